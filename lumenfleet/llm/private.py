@@ -1,0 +1,268 @@
+"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds what they don't cover.
+
+The field is trained from the small labelled table below. Only words with a digit or an "@" can carry a label, so runs of such words
+are whole chains: what lies between them is outside by construction, and decoding the runs decodes the text.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from . import crf
+from .common import key_first
+from .units import in_chunks
+
+#: Kinds in the order in which spans with one start are listed.
+KINDS = ("email", "ip", "card", "phone", "secret")
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+MARK = re.compile(r"[0-9@]")
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+DIGITS = re.compile(r"[^0-9]")
+
+#: The labelled table: {kind:value} is a span of that kind, everything else is outside.
+LABELLED = """
+write to {email:anna.berg@mail.example.org} before noon
+her address is {email:j.doe42@post.example.com}, he said
+contact {email:info@sub.example.net} or come by
+mail {email:x_y-z@example.co.uk} about order 4417
+meet @ 5 in hall 12 with 30 people
+price is 3 @ 20 each in 2019
+the host {ip:10.24.3.118} did not answer
+from {ip:192.0.2.55} to {ip:198.51.100.7} in 20 ms
+log in at {ip:203.0.113.9}, port 8080
+version 2.4.1 of build 1187 came in 2021
+see section 3.2.1 and table 12.4 below
+paid with {card:4539 1488 0343 6467} on 12 May
+card {card:4485275742308327} was refused
+use {card:5500-0055-5555-5559} till 09/27
+item 4500123 costs 1,250.00 in 2020
+account 99120 holds 12,000,000 shares since 1998
+call {phone:+1 (415) 555-0132} after six
+phone {phone:+44 20 7946 0958} or write
+reach me at {phone:(212) 555-0187} today
+tel {phone:555-0199-2231} is gone
+dial {phone:+49 30 901820} for help
+her number is {phone:(303) 555-9001}, call late
+ring {phone:+33.1.70.18.99.00} at 9
+open from 9-17 on 3-4 days in 2-3 weeks
+in the years 1990-1999 some 300-400 came
+dated 2021-05-17 at 12:30 on page 44
+on 17.05.2021 we saw 5 of 12
+set password={secret:8f14e45fceea167a5a} here
+password={secret:a87ff679a2f3e71d91} was leaked
+with token = {secret:"c81e728d9d4c2f636f067f89cc14862c1a2b3c4d"} inside
+token = {secret:"eccbc87e4b5ce2fe28308fd9f2a7baf34d5e6f70"} is old
+api_key = {secret:"1679091c5a880faf6fb5e6087eb1b2dc9f8e7d6c"} set
+secret: {secret:d3d9446802a44259755d38e6d163e820} in the file
+hash a1b2 of file 7 in rev 88e1 was ok
+flight ab1234 at gate b22 on day 3
+model x200 and model t14s weigh 2kg
+isbn 978-3-16-148410-0 has 320 pages
+room 101 seats 40 in block c4
+line 1 of 2 in part 3 of 4
+""".strip().split("\n")
+LABELS = ["outside", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
+FORBIDDEN = np.array([[b.startswith("I-") and a[2:] != b[2:] for b in LABELS] for a in LABELS])
+
+
+def luhn(digits: str) -> bool:
+    twice = "0246813579"
+    return (sum(map(int, digits[-1::-2])) + sum(int(twice[int(d)]) for d in digits[-2::-2])) % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind number) of the patterns' matches that hold, leftmost and apart for each kind."""
+    out = []
+    if not MARK.search(text):
+        return out
+    if "@" in text:
+        out += [(m.start(), m.end(), 0) for m in PATTERNS["email"].finditer(text)]
+    for m in PATTERNS["ip"].finditer(text):
+        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            out.append((m.start(), m.end(), 1))
+    for m in PATTERNS["card"].finditer(text):
+        digits = DIGITS.sub("", m.group())
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            out.append((m.start(), m.end(), 2))
+    if "+" in text:
+        for m in PATTERNS["phone"].finditer(text):
+            if 10 <= len(DIGITS.sub("", m.group())) <= 15:
+                out.append((m.start(), m.end(), 3))
+    return out
+
+
+def shape(word: str) -> str:
+    """Letters x or X, digits 9, others as they are; runs shortened to two."""
+    return re.sub(r"(.)\1+", r"\1\1", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", re.sub(r"[0-9]", "9", word))))[:24]
+
+
+@lru_cache(100_000)
+def own_features(word: str) -> tuple[str, ...]:
+    core = word.strip("\"',;:!?")
+    digits = sum(c.isdigit() for c in core)
+    value = re.split(r"[=:]", core)[-1].strip("\"'")
+    hexa = len(value) >= 16 and re.fullmatch(r"[0-9a-f]+", value) is not None and not value.isdigit()
+    return ("bias", "shape=" + shape(core), f"digits={min(digits, 6) if digits < 13 else 13}", f"length={min(len(core) // 4, 8)}",
+            f"at={'@' in core}", f"dots={min(core.count('.'), 4)}", f"plus={core.startswith('+')}", f"paren={core.startswith('(') and core.endswith(')')}",
+            f"hex={hexa}", f"sign={'=' in core}", f"dashes={min(core.count('-'), 4)}", f"all={core.isdigit()}")
+
+
+@lru_cache(100_000)
+def near_features(word: str, side: str) -> tuple[str, ...]:
+    core = word.strip("\"',;:!?.")
+    return (f"{side}shape={shape(core) if MARK.search(core) else 'word'}", f"{side}word={core.lower()}" if len(core) < 10 and not MARK.search(core) else f"{side}mark")
+
+
+def chains(text: str) -> list[list[tuple[int, int, str, str, str]]]:
+    """Runs of words with a digit or "@": (start, end, word, word before, word behind)."""
+    out, last = [], -1
+    for m in MARK.finditer(text):
+        if m.start() < last:
+            continue
+        a = m.start()
+        while a and not (text[a - 1] == " " or "\t" <= text[a - 1] <= "\r"):
+            a -= 1
+        end = TOKEN.match(text, a).end()
+        before = text[max(0, a - 40) : a].split()
+        behind = text[end : end + 40].split()
+        item = (a, end, text[a:end], before[-1] if before else "", behind[0] if behind else "")
+        if out and not text[last:a].strip(" \t\n\v\f\r"):
+            out[-1].append(item)
+        else:
+            out.append([item])
+        last = end
+    return out
+
+
+def features_of(item: tuple[int, int, str, str, str]) -> tuple[str, ...]:
+    return own_features(item[2][:200]) + near_features(item[3][-40:], "<") + near_features(item[4][:40], ">")
+
+
+def labelled_chains(rows: list[str]) -> tuple[list[list[tuple]], list[int]]:
+    """Chains of the labelled table and the labels of their words."""
+    found, labels = [], []
+    for row in rows:
+        text, spans = "", []
+        for part in re.split(r"(\{\w+:[^}]*\})", row):
+            if m := re.fullmatch(r"\{(\w+):([^}]*)\}", part):
+                spans.append((len(text), len(text) + len(m[2]), m[1]))
+                text += m[2]
+            else:
+                text += part
+        for chain in chains(text):
+            found.append(chain)
+            for a, b, *_ in chain:
+                hit = next((s for s in spans if s[0] < b and a < s[1]), None)
+                first = hit and not any(s[0] < x[1] and x[0] < s[1] for s in [hit] for x in chain if x[0] < a)
+                labels.append(LABELS.index(f"{'B' if first else 'I'}-{hit[2]}") if hit else 0)
+    return found, labels
+
+
+def fit(rows: list[str] = LABELLED) -> dict:
+    found, labels = labelled_chains(rows)
+    names: dict[str, int] = {}
+    rows_ = [np.array([names.setdefault(f, len(names)) for f in features_of(item)]) for chain in found for item in chain]
+    weights, moves = crf.train(rows_, len(names), np.array(labels), np.array([len(c) for c in found]), len(LABELS), steps=150, l2=0.05, rate=0.1, forbid=FORBIDDEN)
+    return {"names": names, "weights": weights, "moves": moves}
+
+
+def field_spans(model: dict, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+    """What Viterbi finds besides the base spans. A span that meets a base span is dropped, as are addresses and card numbers whose
+    pattern's own check refused them: there the patterns know better."""
+    found = [(d, c) for d, t in enumerate(texts) if MARK.search(t) for c in chains(t)]
+    out: list[list] = [[] for _ in texts]
+    for at in range(0, len(found), 4096):
+        some = sorted(found[at : at + 4096], key=lambda x: len(x[1]))
+        lengths = np.array([len(c) for _, c in some])
+        names, weights = model["names"], model["weights"]
+        ids = [[names[f] for f in features_of(item) if f in names] for _, c in some for item in c]
+        emissions = np.zeros((len(ids), len(LABELS)))
+        np.add.at(emissions, np.repeat(np.arange(len(ids)), [len(i) for i in ids]), weights[np.array([f for i in ids for f in i], np.int64)])
+        labels = iter(crf.viterbi(emissions, lengths, model["moves"]))
+        for d, chain in some:
+            spans: list[list] = []
+            for a, b, *_ in chain:
+                label = LABELS[next(labels)]
+                if label[0] == "B":
+                    spans.append([a, b, label[2:]])
+                elif label[0] == "I" and spans:
+                    spans[-1][1] = b
+            for a, b, kind in spans:
+                if kind in ("phone", "secret") and (cut := trimmed(texts[d], a, b, kind)) and not any(x < cut[1] and cut[0] < y for x, y, _ in base[d]):
+                    out[d].append((*cut, KINDS.index(kind)))
+    return out
+
+
+def trimmed(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """The span without what stands around it: for secrets the value behind = or :, for phones from the first to the last digit or bracket."""
+    own = text[a:b]
+    if kind == "secret":
+        m = re.search(r"[0-9A-Za-z/+_-]{12,}(?=[\"',;:.!?)]*$)", own)
+        return (a + m.start(), a + m.end()) if m and MARK.search(m.group()) else None
+    m = re.search(r"[(+]?[0-9].*[0-9]", own, re.S)
+    return (a + m.start(), a + m.end()) if m and 7 <= len(DIGITS.sub("", m.group())) <= 15 else None
+
+
+def listed(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
+
+
+def find_private(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, base and added: arrays of (start, end, kind), in code points, end exclusive.
+
+    Whole texts, no shuffle; null reads as empty. Repeated rows and null ids stay as they are; other columns are ignored.
+    """
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, chunk in in_chunks(batch.column(1).to_pylist()):
+                base = [base_spans(t) for t in chunk]
+                added = field_spans(model, chunk, base)
+                as_rows = lambda x: pa.array([[{"start": a, "end": b, "kind": KINDS[k]} for a, b, k in s] for s in x], pa.list_(span))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(chunk)), as_rows(base), as_rows(added)], names=[id_col, "base", "added"])
+
+    kind = "array<struct<start: long, end: long, kind: string>>"
+    return key_first(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, base {kind}, added {kind}")
+
+
+def redact(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """docs with every span, base or added, replaced by <KIND>; overlapping spans become one, named after the first."""
+
+    def clean(text: str, spans: list[tuple[int, int, int]]) -> str:
+        out, at = [], 0
+        merged: list[list] = []
+        for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b, k])
+        for a, b, k in merged:
+            out += [text[at:a], f"<{KINDS[k].upper()}>"]
+            at = b
+        return "".join([*out, text[at:]])
+
+    where = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(where).to_pylist()
+            for first, chunk in in_chunks(texts):
+                base = [base_spans(t) for t in chunk]
+                added = field_spans(model, chunk, base)
+                new = [clean(t, b + x) if b or x else texts[first + i] for i, (t, b, x) in enumerate(zip(chunk, base, added, strict=True))]
+                rows = batch.slice(first, len(chunk))
+                yield pa.RecordBatch.from_arrays([pa.array(new, batch.schema.field(where).type) if i == where else c for i, c in enumerate(rows.columns)], schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
