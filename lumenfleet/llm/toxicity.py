@@ -1,6 +1,7 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Learning: from a bounded sample of labelled documents a cover of telling words is chosen, which labels the tokens of toxic documents;
+Learning: from a bounded sample of labelled documents a cover of telling words and
+stems is chosen, which labels the tokens of toxic documents;
 on these labelled tokens the field is trained. Scoring: forward-backward gives every word's probability of being toxic; the
 highest and the sum of a document feed a logistic score, and words at 0.5 or more are the offending spans. Chains are lines.
 """
@@ -23,7 +24,7 @@ from .units import in_chunks
 EDGES = ".,;:!?\"'()[]{}<>«»„“”…*_-"
 TOKEN = re.compile(r"\S+")
 #: Labelled rows of each class that the model is fitted on at most.
-MAX_ROWS = 2000
+MAX_ROWS = 1500
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -43,41 +44,56 @@ def words_of(line: str) -> list[str]:
     return [w.strip(EDGES) for w in line.lower().split()]
 
 
-def telling_words(texts: list[list[list[str]]], toxic: list[int]) -> list[str]:
-    """Words that cover the toxic documents: again and again the word in most toxic documents not covered yet, among words at least 20 times
-    likelier in toxic documents than in others. Copies of one document can't bring in their other words, as they are covered."""
-    own = [set(w for line in t for w in line if w) for t in texts]
-    ok = Counter(w for s, y in zip(own, toxic, strict=True) if not y for w in s)
-    n_ok, bad = max(1, len(toxic) - sum(toxic)), [s for s, y in zip(own, toxic, strict=True) if y]
-    total = Counter(w for s in bad for w in s)
-    usable = {w for w, n in total.items() if n >= 2 and n / len(bad) >= 20 * ok[w] / n_ok}
+def signs_of(word: str) -> list[str]:
+    """What a word can be told by: itself, and its first letters (languages that compound words share stems)."""
+    return [word, *[word[:n] + "-" for n in (6, 5, 4) if len(word) > n]] if word else []
+
+
+def telling_signs(sample: list[tuple[str, int]], times: int = 2) -> list[str]:
+    """Signs that cover the toxic documents, each so many times: again and again the sign in most toxic documents still short of it, among
+    those at least 20 times likelier in toxic documents than in others. Copies of one document can't bring in their other
+    words, as they are covered already."""
+    counted = Counter(), Counter()
+    for text, y in sample:
+        counted[y].update({s for w in set(words_of(text)) for s in signs_of(w)})
+    (ok, total), n_bad = counted, sum(y for _, y in sample)
+    n_ok = max(1, len(sample) - n_bad)
+    least = max(3, n_bad // 100)
+    usable = {s for s, n in total.items() if n >= least and n / n_bad >= 20 * ok[s] / n_ok}
     found: list[str] = []
-    left = [s & usable for s in bad]
+    left = [[times, {s for w in set(words_of(text)) for s in signs_of(w) if s in usable}] for text, y in sample if y]
     while left:
-        counts = Counter(w for s in left for w in s)
+        counts = Counter(s for _, d in left for s in d)
         if not counts:
             break
-        word = max(counts, key=lambda w: (counts[w], total[w], w))
-        if counts[word] < max(2, len(bad) // 200):
+        sign = max(counts, key=lambda s: (counts[s], total[s], len(s), s))
+        if counts[sign] < least:
             break
-        found.append(word)
-        left = [s for s in left if word not in s]
+        found.append(sign)
+        stem = sign.rstrip("-")
+        for x in left:
+            if sign in x[1]:
+                x[0] -= 1
+                x[1] = {s for s in x[1] if not s.startswith(stem) and not stem.startswith(s.rstrip("-"))}
+        left = [x for x in left if x[0] > 0]
     return found
 
 
+def number_of(word: str, numbers: dict[str, int]) -> int:
+    """The number of the word's longest telling sign, 0 if it has none."""
+    return next((numbers[s] for s in signs_of(word) if s in numbers), 0)
+
+
 def fit(sample: list[tuple[str, int]], max_chains: int = 1000, chain_words: int = 40) -> dict:
     """The field is trained on at most about 2 * max_chains pieces of lines of at most chain_words words, with and without telling words.
 
-    The model: words (telling words and their number), emissions (number by label), moves, and the document score's coefficients."""
-    texts = [[words_of(line) for line in t.split("\n")] for t, _ in sample]
-    toxic = [y for _, y in sample]
-    lexicon = telling_words(texts, toxic)
-    numbers = {w: i + 1 for i, w in enumerate(lexicon)}  # 0: any other word
+    The model: words (telling signs and their number), emissions (number by label), moves, and the document score's coefficients."""
+    numbers = {s: i + 1 for i, s in enumerate(telling_signs(sample))}  # 0: any other word
     hot, cold = [], []
-    for t, y in zip(texts, toxic, strict=True):
-        for line in t:
+    for text, y in sample:
+        for line in map(words_of, text.split("\n")):
             for at in range(0, len(line), chain_words):
-                row = [numbers.get(w, 0) for w in line[at : at + chain_words]]
+                row = [number_of(w, numbers) for w in line[at : at + chain_words]]
                 (hot if y and any(row) else cold).append((row, y))
     lines = hot[:: -(-len(hot) // max_chains) or 1] + cold[:: -(-len(cold) // max_chains) or 1]
     if not hot:
@@ -88,7 +104,7 @@ def fit(sample: list[tuple[str, int]], max_chains: int = 1000, chain_words: int
     model = {"words": numbers, "emissions": weights - weights[:, :1], "moves": moves, "score": np.zeros(3)}
     x = np.array([summary for summary, _ in Scorer(model).documents([t for t, _ in sample])])
     x = np.column_stack([np.ones(len(x)), x])
-    y, b = np.array(toxic, float), np.zeros(3)
+    y, b = np.array([y for _, y in sample], float), np.zeros(3)
     for _ in range(50):  # Newton steps of a penalized logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         b += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (y - p) - 0.1 * b)
@@ -104,7 +120,7 @@ class _Numbers(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = n = self.words.get(word.strip(EDGES), 0)
+        self[word] = n = number_of(word.strip(EDGES), self.words)
         return n
 
 
