@@ -8,8 +8,8 @@ Sets are arrays of 64-bit hashes. Work goes in four steps, each exact about what
    links are contracted. A group is connected, so links inside it need no search.
 3. Token-group matrix. For each token the groups whose union holds it are counted. A set of which too few tokens lie in any other
    group's union can have no link across groups; those that may form groups again from other hashes.
-4. Open. For what is left, the overlap of each set with each group's union is bounded from its rarest tokens, and members are
-   compared only in groups that hold 0.75 of the set.
+4. Open. What is left is cut into blocks of neighbours, the groups of the last matrix; a set's overlap with their unions is bounded
+   from its rarest tokens, and it is compared with the members of those blocks alone that hold 0.75 of it.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from .units import in_chunks
 WORDS = 5
 #: Similarity in hundredths.
 SIMILAR = 75
-SIEVE_SHARE, MATRIX_SHARE = 0.1, 0.25
+SIEVE_SHARE = 0.1
 STAR_ROUNDS = 3
+#: Sets to a block of the last step.
+BLOCK = 256
 #: Ids to a broadcast at most (16 bytes each); with more, the join shuffles.
 MOST_BROADCAST = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -247,34 +249,34 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def star_pairs(sets: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each set with the first set, in an order of the round's own, among those with the same minimal hash; two hashes to a round."""
+    """(a, b): each set with the first set, in an order of the round's own, among those with the same minimal hash of the round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = mixed(_ODD[:1] + np.uint64(seed))
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            keys = []
-            for raw in batch.column(1).to_pylist():
-                h = np.frombuffer(raw, np.uint64)
-                for k in (2 * seed, 2 * seed + 1):
-                    least = int(mixed(h ^ mixed(_ODD[:1] + np.uint64(k))).min())
-                    keys.append(least // 2 * 2 + (k & 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), 2)), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["a", "key"])
+            keys = [int(mixed(np.frombuffer(raw, np.uint64) ^ salt).min()) for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["a", "key"])
 
     keyed = staged(sets.select("set_id", "hashes").mapInArrow(run, "a long, key long"), "stars")
     leaders = staged(keyed.groupBy("key").agg(F.min_by("a", F.xxhash64("a", F.lit(seed))).alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "leaders")
-    return staged(keyed.join(leaders, "key").filter("a <> b").select("a", "b").distinct(), "pairs")
+    return staged(keyed.join(leaders, "key").filter("a <> b").select("a", "b"), "pairs")
 
 
-def across_groups(sets: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
-    """The token-group matrix at work: set_id, n, hashes, label of those sets that share enough of their first hashes with sets of other groups."""
-    grouped = sets.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").select("set_id", "n", "hashes", F.coalesce("label", "set_id").alias("label"))
-    grouped = staged(grouped, "grouped")
+def across_groups(sets: DataFrame, labels: DataFrame, buckets: int, share: float | None) -> DataFrame:
+    """The token-group matrix at work: those sets (set_id, n, hashes) of whose hashes enough lie in the unions of other groups.
+
+    With share, the first hashes of each set are looked at as in the sieve; without, all are, and 0.75 of them must lie there.
+    """
+    groups = labels.select(F.col("node").alias("set_id"), "label")
+    side = F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups
+    grouped = sets.select("set_id", "n", "hashes").join(side, "set_id", "left").select("set_id", "n", "hashes", F.coalesce("label", "set_id").alias("label"))
+    looked_at = (lambda n: n) if share is None else (lambda n: prefix_size(n, share))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Matrix cells (token, group) of a chunk of sets, each once, dealt by token."""
         for batch in batches:
             n = np.array(batch.column(0).to_pylist(), np.int64)
-            size = prefix_size(n, MATRIX_SHARE)
+            size = looked_at(n)
             sets = [np.frombuffer(raw, np.uint64) for raw in batch.column(1).to_pylist()]
             if not sets:
                 continue
@@ -310,20 +312,57 @@ def across_groups(sets: DataFrame, labels: DataFrame, buckets: int) -> DataFrame
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.array(batch.column(1).to_pylist(), np.int64)
-            size = prefix_size(n, MATRIX_SHARE)
+            size = looked_at(n)
             sets = [np.frombuffer(raw, np.int64)[:m] for raw, m in zip(batch.column(2).to_pylist(), size, strict=True)]
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist(), np.int64), size)), pa.array(np.concatenate(sets))], names=["set_id", "token"])
 
     if tokens.isEmpty():
-        return grouped.limit(0)
+        return sets.limit(0)
     hits = grouped.select("set_id", "n", "hashes").mapInArrow(firsts, "set_id long, token long").join(tokens, "token").groupBy("set_id").agg(F.count(F.lit(1)).alias("shared"))
-    need = F.greatest(F.lit(1), F.floor(F.lit(MATRIX_SHARE * SIMILAR / 100) * F.col("n") - 1e-6))
-    return staged(grouped.join(hits, "set_id").filter(F.col("shared") >= need).drop("shared"), "across")
+    rate = SIMILAR / 100 if share is None else share * SIMILAR / 100
+    need = F.greatest(F.lit(1), F.ceil(F.lit(rate) * F.col("n") - 1e-6) if share is None else F.floor(F.lit(rate) * F.col("n") - 1e-6))
+    passed = staged(sets.select("set_id", "n").join(hits, "set_id").filter(F.col("shared") >= need).select("set_id"), "passed")
+    return staged(sets.join(F.broadcast(passed) if passed.count() <= MOST_BROADCAST else passed, "set_id", "left_semi"), "across")
+
+
+def spanning(pairs: list[tuple[int, int]]) -> list[int]:
+    """Which of the pairs of labels connect something new, in turn."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    kept = []
+    for i, (a, b) in enumerate(pairs):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append(i)
+    return kept
 
 
 def opened(left: DataFrame) -> DataFrame:
-    """Links across groups among the sets of left (set_id, n, hashes, label): groups are opened only for sets of which they hold 0.75."""
+    """Links across labels among the sets of left (set_id, n, hashes, label).
+
+    Here the matrix's groups are blocks of at most BLOCK sets, neighbours in the order of a minimal hash. From a set's rarest tokens
+    come the blocks that may hold 0.75 of it; the overlap with their unions is counted, and the set is compared with all members
+    of the blocks that do, and of its own. Links are given as far as they connect labels within one task's comparisons.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [int(mixed(np.frombuffer(raw, np.uint64)).min()) for raw in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names=["q", "n", "hashes", "label", "key"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            g = (part << 32) + (seen + np.arange(len(batch))) // BLOCK
+            seen += len(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g, pa.int64())], names=["q", "n", "hashes", "label", "g"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,18 +371,45 @@ def opened(left: DataFrame) -> DataFrame:
                 n = [len(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(np.array(batch.column(i).to_pylist(), np.int64), n)) for i in range(3)], pa.array(np.concatenate(sets))], names=["q", "n", "own", "token"])
 
-    tokens = staged(left.select("set_id", "n", "label", "hashes").mapInArrow(explode, "q long, n long, own long, token long"), "open")
+    rows = left.select(F.col("set_id").alias("q"), "n", "hashes", "label")
+    parts = -(-left.count() // (8 * BLOCK))
+    near = rows.mapInArrow(keyed, "q long, n long, hashes binary, label long, key long").repartitionByRange(parts, "key", "q").sortWithinPartitions("key", "q")
+    placed = staged(near.select("q", "n", "hashes", "label").mapInArrow(numbered, "q long, n long, hashes binary, label long, g long"), "blocks")
+    tokens = staged(placed.select("q", "n", "g", "hashes").mapInArrow(explode, "q long, n long, own long, token long"), "open")
     matrix = staged(tokens.select("token", F.col("own").alias("g")).distinct(), "matrix")
     width = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("width"))
     ranked = tokens.join(width, "token").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("width", "token")))
     rare = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1) & (F.col("width") > 1))
     may = staged(rare.join(matrix, "token").filter("g <> own").select("q", "n", "g").distinct(), "may")
     held = tokens.select("q", "token").join(may, "q").join(matrix, ["token", "g"]).groupBy("q", "n", "g").agg(F.count(F.lit(1)).alias("held"))
-    open_ = held.filter(100 * F.col("held") >= SIMILAR * F.col("n"))
-    members = left.select(F.col("label").alias("g"), F.col("set_id").alias("b"), F.col("n").alias("n_b"))
-    near = 100 * F.least("n", "n_b") >= SIMILAR * F.greatest("n", "n_b")
-    pairs = open_.join(members, "g").filter(near).select(F.least("q", "b").alias("a"), F.greatest("q", "b").alias("b")).distinct()
-    return verified(left, staged(pairs, "pairs"))
+    open_ = staged(held.filter(100 * F.col("held") >= SIMILAR * F.col("n")).select("q", "g").unionByName(placed.select("q", "g")), "open")
+    share = (F.pmod(F.xxhash64("q"), F.lit(-(-left.count() // 4096)))).alias("share")  # bounds the sets that meet a block at once
+    asking = open_.join(placed.select("q", "n", "hashes", "label"), "q").select("g", share, "q", "hashes", "label")
+    need = staged(open_.select(F.col("g").alias("g_b"), share.alias("share_b")).distinct(), "need")
+    asked = need.join(placed.select(F.col("q").alias("b"), F.col("hashes").alias("h"), F.col("label").alias("l"), F.col("g").alias("g_b")), "g_b")
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        members = [np.frombuffer(raw, np.uint64) for raw in b.column("h").to_pylist()]
+        sizes = np.array([len(m) for m in members], np.int64)
+        flat, of = np.concatenate([*members, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, of = flat[order], of[order]
+        names, labels = b.column("b").to_pylist(), np.array(b.column("l").to_pylist(), np.int64)
+        pairs, links = [], []
+        for q, raw, label in zip(*[a.column(k).to_pylist() for k in ("q", "hashes", "label")], strict=True):
+            own = np.frombuffer(raw, np.uint64)
+            low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            common = np.bincount(of[at], minlength=len(members))
+            hit = np.flatnonzero((100 * common >= SIMILAR * (len(own) + sizes - common)) & (labels != label))
+            for i in hit:
+                pairs.append((label, int(labels[i])))
+                links.append((q, names[i]))
+        kept = [links[i] for i in spanning(pairs)]
+        return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
+
+    return staged(asking.groupBy("g", "share").cogroup(asked.groupBy("g_b", "share_b")).applyInArrow(compare, "a long, b long"), "links")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,17 +427,23 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     wanted = staged(wanted.unionByName(nulls), "wanted")
     links = None
     if not wanted.isEmpty():
-        sets = sets_of(docs, wanted, id_col, text_col).dropDuplicates(["set_id"])
-        left, labels = staged(sets, "sets"), None
+        sets = sets_of(docs, wanted, id_col, text_col)
+        if sets.count() > sets.select("set_id").distinct().count():  # rows that repeat an id
+            sets = staged(sets.dropDuplicates(["set_id"]), "sets")
+        left = sets
         for seed in range(STAR_ROUNDS):
             new = verified(left, star_pairs(left, seed))
             links = new if links is None else staged(links.unionByName(new), "links")
             labels = components(links)
-            left = across_groups(left.select("set_id", "n", "hashes"), labels, buckets)
+            left = across_groups(left, labels, buckets, SIEVE_SHARE)
+            if left.isEmpty():
+                break
+            left = across_groups(left, labels, buckets, None)
             if left.isEmpty():
                 break
         else:
-            links = staged(links.unionByName(opened(left)), "links")
+            groups = left.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+            links = staged(links.unionByName(opened(staged(groups, "left"))), "links")
             labels = components(links)
     rows = judged
     if links is None:
