@@ -177,10 +177,21 @@ def fit(rows: list[str] = LABELLED) -> dict:
     return {"names": names, "weights": weights, "moves": moves}
 
 
+def without(chain: list[tuple], known: list[tuple[int, int, int]]) -> list[list[tuple]]:
+    """What is left of a chain when words that meet a known span are taken out of it."""
+    out: list[list] = [[]]
+    for item in chain:
+        if any(a < item[1] and item[0] < b for a, b, _ in known):
+            out.append([])
+        else:
+            out[-1].append(item)
+    return [c for c in out if c]
+
+
 def field_spans(model: dict, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """What Viterbi finds besides the base spans. A span that meets a base span is dropped, as are addresses and card numbers whose
     pattern's own check refused them: there the patterns know better."""
-    found = [(d, c) for d, t in enumerate(texts) if MARK.search(t) for c in chains(t)]
+    found = [(d, c) for d, t in enumerate(texts) if MARK.search(t) for whole in chains(t) for c in without(whole, base[d])]
     out: list[list] = [[] for _ in texts]
     for at in range(0, len(found), 4096):
         some = sorted(found[at : at + 4096], key=lambda x: len(x[1]))

@@ -24,8 +24,8 @@ RULES: dict[str, Callable[[Column], Column]] = {
     "repeated_lines": lambda text: F.col("n_dup_lines") * 2 > F.col("n_lines"),
     "word_length": lambda text: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
     "exclamations": lambda text: F.regexp_count(text, F.lit("!")) * 3 > F.col("n_words"),
-    "capitals": lambda text: F.regexp_count(text, F.lit(r"(?<!\p{L})\p{Lu}{2,}(?!\p{L})")) * 10 > 3 * F.col("n_words"),
-    "letters": lambda text: 2 * F.regexp_count(text, F.lit(r"\p{L}")) < F.col("word_chars"),
+    "capitals": lambda text: F.regexp_count(text, F.lit(r"\p{Lu}(?<!\p{L}\p{Lu})\p{Lu}++(?!\p{L})")) * 10 > 3 * F.col("n_words"),
+    "letters": lambda text: 2 * F.regexp_count(text, F.lit(r"[^\p{L}\x20\x09-\x0D]")) > F.col("word_chars"),
 }
 
 
@@ -109,6 +109,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols * 10 > n_words OR n_dup_lines * 2 > n_lines
        OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR len(regexp_extract_all(text, '!')) * 3 > n_words
        OR len(list_filter(regexp_extract_all(text, '\p{L}+'), lambda x: regexp_full_match(x, '\p{Lu}{2,}'))) * 10 > 3 * n_words
-       OR 2 * len(regexp_extract_all(text, '\p{L}')) < word_chars) AS kept
+       OR 2 * len(regexp_extract_all(text, '[^\p{L}\x20\x09-\x0D]')) > word_chars) AS kept
 FROM f
 """

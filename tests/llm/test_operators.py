@@ -1,0 +1,191 @@
+"""The corpus operators against brute force on small tables with nulls, empty and repeated rows and clashing columns."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenfleet.llm import crf, ngram_join, private, toxicity
+from lumenfleet.llm.conversations import reply_ordered
+from lumenfleet.llm.mixing import weighted_fair_queue
+from lumenfleet.llm.ngram_join import ngram_components
+from lumenfleet.llm.packing import pack_documents
+from lumenfleet.llm.quality import quality_rules
+from lumenfleet.llm.queries import tokenizer_path
+from lumenfleet.llm.token_counts import PrefixCounter, token_counts
+from lumenfleet.llm.token_files import decode_block, encode_block, read_token_files, write_token_files
+from lumenfleet.llm.topk import top_k
+from lumenfleet.llm.units import loaded
+
+BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
+ODD = ["", " ", "\n\n", "a  b", "  lead", "trail  ", "they're we'll I'm x'r", "tab\tand\x1cbell", "<|endoftext|> mid <|endoftext|>x", "é è 漢字 ﬁ é", "1234 5.6 !!!?? --", "a b  c", "word " * 700]
+DOCS = "doc_id long, text string, size string, n string"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(1)
+    return [*ODD, None, *[" ".join(r.choice("the of and to in lorem Ipsum dolor, sit amet.".split()) for _ in range(r.randint(1, 400))) for _ in range(12)]]
+
+
+def test_token_counts(spark, texts):
+    library = loaded(tokenizer_path(BYTES))
+    for r in token_counts(docs_of(spark, texts), tokenizer_path(BYTES), limit=20).collect():
+        text = texts[r["doc_id"]] or ""
+        n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n(text), n(text) > 20)
+        assert n(text[: r["fit_chars"]]) <= 20
+
+
+def test_prefix_counts_are_exact_everywhere():
+    library, counter = loaded(tokenizer_path(BYTES)), PrefixCounter(tokenizer_path(BYTES))
+    for t in ODD[:-1]:
+        want = [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+        assert counter.prefix_counts(t).tolist() == want, t
+
+
+def test_token_files(spark, texts):
+    library = loaded(tokenizer_path(BYTES))
+    index, folder, order = write_token_files(docs_of(spark, texts), tokenizer_path(BYTES))
+    at = 0
+    for r in sorted(read_token_files(index, folder, order).collect(), key=lambda r: r["doc_id"]):
+        ids = [*library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
+        assert r["start"] == at and np.frombuffer(r["ids"], "<u4").tolist() == ids
+        at += len(ids)
+
+
+def test_block_round_trip():
+    ranks = np.array([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1, 7, 9], np.uint32)
+    control, data = encode_block(ranks)
+    assert decode_block(control, data, len(ranks)).tolist() == ranks.tolist()
+
+
+def test_packing(spark, texts):
+    library = loaded(tokenizer_path(WORDS))
+    rows = pack_documents(docs_of(spark, texts * 5), tokenizer_path(WORDS)).collect()
+    for i, t in enumerate(texts * 5):
+        ids, at = [*library.encode(t or "", add_special_tokens=False).ids, 1], 0
+        for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    used = {}
+    for r in sorted(rows, key=lambda r: r["offset"]):
+        assert r["offset"] == used.get(r["sequence_id"], 0)
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(used.values()) <= 2048 and sum(v < 2048 for v in used.values()) <= 1
+
+
+def brute_components(texts):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return [(len(s), r) for s, r in zip(sets, root, strict=True)]
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_ngram_components(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    r, texts = random.Random(2), ["", None, "one two", "One two", "a b c d e"]
+    for _ in range(5):
+        base = [f"w{r.randint(0, 500)}" for _ in range(60)]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(r.randint(0, 3)):
+                own[r.randrange(60)] = "edit"
+            texts.append(" ".join(own))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_components(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_ngram_components_of_nothing(spark):
+    assert ngram_components(docs_of(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_top_k(spark):
+    g = np.random.default_rng(0)
+    v = [[float(x) for x in row] for row in g.integers(-8, 8, (200, 6)) / 64]
+    rows = [(i, x) for i, x in enumerate(v)] + [(500, None), (501, [float("nan")] * 6), (None, v[0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=7).collect()
+    e = np.floor(64 * np.array(v)).astype(int)
+    for q in range(0, 200, 20):
+        s = e @ e[q]
+        want = sorted((-int(s[i]), i) for i in range(200) if i != q)[:7]
+        assert sorted((-r["score"], r["vec_id"]) for r in got if r["query_id"] == q) == want
+
+
+def test_mix_meets_targets(spark):
+    rows = [(i, f"s{i % 4}" if i % 5 else None, "w " * (i % 7 + 1)) for i in range(400)]
+    out = weighted_fair_queue(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    for s in {r["source"] for r in out}:
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and all(r["taken"] <= 3 * r["size"] for r in own)
+    assert abs(sum({r["source"]: r["target"] for r in out}.values()) - sum(r["size"] for r in out)) < 1e-6
+
+
+def test_quality_rules(spark):
+    good = " ".join(f"word{i}" for i in range(80)).replace("0", "a").replace("1", "b")
+    texts = [good, None, "", "short text", "Of " * 80, " ".join(f"w{i}$$$" for i in range(80)), " ".join(f"CAPS{chr(65 + i % 26)}X" for i in range(80))]
+    got = {r["doc_id"]: r for r in quality_rules(docs_of(spark, texts)).collect()}
+    assert [got[i]["kept"] for i in range(7)] == [True, False, False, False, False, False, False]
+    assert got[4]["n_repeat_words"] == 80 and got[0]["n_repeat_words"] == 0
+
+
+def test_private_spans():
+    model = private.fit()
+    text = "mail a.b@c.example.com ip 10.0.0.300 then 10.0.0.30 card 4539 1488 0343 6467 or +1 (415) 555-0132 password=8f14e45fceea167a5a now"
+    base = private.base_spans(text)
+    assert sorted(private.KINDS[k] for _, _, k in base) == ["card", "email", "ip", "phone"]
+    added = private.field_spans(model, [text], [base])[0]
+    assert [text[a:b] for a, b, k in added if private.KINDS[k] == "secret"] == ["8f14e45fceea167a5a"]
+    assert private.field_spans(model, ["nothing here at all, in 2020"], [[]]) == [[]]
+
+
+def test_toxicity_learns_and_leaves_clean_text_alone():
+    r = random.Random(3)
+    clean = lambda: " ".join(r.choice(("you", "and", f"w{r.randint(0, 300)}", f"w{r.randint(0, 300)}")) for _ in range(40))
+    rows = [(clean(), 0) for _ in range(100)] + [(f"{clean()} you {w} and {v} {clean()}", 1) for w in ("foulword", "badword") for v in ("foulword", "nastiness") for _ in range(15)]
+    scorer = toxicity.Scorer(toxicity.fit(rows))
+    score, spans = scorer.scores(["you foulword " + clean(), clean(), ""])
+    assert score[0] >= 0.5 > max(score[1:]) and (4, 12) in spans[0]
+
+
+def test_forward_backward_and_viterbi_against_enumeration():
+    import itertools
+
+    g = np.random.default_rng(1)
+    e, m, n = g.normal(size=(5, 3)), g.normal(size=(3, 3)), np.array([3, 2])
+    p, best, at = crf.marginals(e, n, m), crf.viterbi(e, n, m), 0
+    for size in n:
+        score = lambda y, at=at: sum(e[at + i, v] for i, v in enumerate(y)) + sum(m[a, b] for a, b in zip((0, *y), (*y, 0), strict=True))
+        paths = list(itertools.product(range(3), repeat=int(size)))
+        w = np.exp([score(y) for y in paths])
+        for i in range(size):
+            for k in range(3):
+                assert np.isclose(p[at + i, k], sum(x for x, y in zip(w, paths, strict=True) if y[i] == k) / w.sum())
+        assert tuple(best[at : at + size]) == paths[int(w.argmax())]
+        at += size
+
+
+def test_quotations(spark):
+    rows = [(1, 0, "user", "The first line.\nAnd more of it."), (1, 1, "assistant", "An answer to that."), (1, 2, "user", "Ann wrote:\n> The first line.\nI disagree."), (1, 3, "user", "> > The first line!\n> I disagree\nYes, me too."), (1, 4, "user", None), (None, 5, "user", "alone")]
+    out = {r["turn"]: r for r in reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out[2]["reply_to"] == 0 and out[2]["text"] == "I disagree." and out[2]["n_linked"] == 1
+    assert out[3]["reply_to"] == 2 and out[3]["n_quotes"] == 2 and out[3]["n_linked"] == 2
+    assert out[4]["text"] == "" and out[5]["reply_to"] is None
