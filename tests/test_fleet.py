@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from lumenfleet.functions import semantics as sem
 from lumenfleet.operators import catalog, measure
-from lumenfleet.plans import fleet
+from lumenfleet.plans import fleet, points
 from lumenfleet.sources import frames as src
+from lumenfleet.sources import raw
 from lumenfleet.streaming import qc
 
 SF = "/root/testdata/sf0.001"
 #: Each family once; the driver runs all of them.
-SOME = ["a07_noise_pair", "a03_w01_channel_metrics", "a01_region_statistics", "j06_defects", "n11_defect_correction", "a15_binning", "n06_median", "n02_gaussian", "j12_exposure_merge", "j08_format_candidates", "t03_drift"]
+SOME = ["a07_noise_pair", "a03_w01_channel_metrics", "a01_region_statistics", "j06_defects", "n11_defect_correction", "a15_binning", "n06_median", "n02_gaussian", "j12_exposure_merge", "j08_format_candidates", "t03_drift", *sorted(k for k, f in fleet.QUERIES.items() if f.__module__ == points.__name__)]
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,11 @@ def test_drift_stream_runs_and_matches_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("drift").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("drift").count() == qc.drift(events).count()
+
+
+def test_raw_files_are_read_frame_by_frame(spark, tmp_path):
+    import struct
+
+    (tmp_path / "a.raw").write_bytes(b"head" + struct.pack(">12H", *[v << 4 for v in range(100, 112)]) + b"rest")
+    got = raw.read_raw(spark, str(tmp_path), 3, 2, 12, high_aligned=True, big_endian=True, header=4).orderBy("frame_id", "y").collect()
+    assert [(r["frame_id"], r["y"], list(r["codes"])) for r in got] == [(0, 0, [100, 101, 102]), (0, 1, [103, 104, 105]), (1, 0, [106, 107, 108]), (1, 1, [109, 110, 111])]
