@@ -9,24 +9,16 @@ then lookups.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import key_first
-from .units import SEPARATOR, SPACED_UNIT, WHITE, UnitTable, by_text, in_chunks, kept_table, loaded
-
-#: The pre-tokenizer's pattern (fixed value).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_alphabet() -> dict[str, int]:
-    """Byte-level vocabularies write bytes as printable characters: those that print stand for themselves, the others follow from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+from .units import BYTE_PIECES, SEPARATOR, SPACED_UNIT, WHITE, UnitTable, by_text, byte_alphabet, in_chunks, kept_table, loaded
 
 
 class PrefixCounter:
@@ -42,10 +34,11 @@ class PrefixCounter:
         self.rank = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in reversed(list(enumerate(merges)))}
         self.vocabulary = {as_bytes(s) for s in model["vocab"] if all(c in letters for c in s)}
         self.longest = max(map(len, self.vocabulary))
-        self.pieces, self.white = regex.compile(PIECES), regex.compile(f"[{WHITE}]*")
+        self.pieces, self.white = regex.compile(BYTE_PIECES), regex.compile(f"[{WHITE}]*")
         self.path, self._library = path, None
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.alone: dict[bytes, bool] = {}
+        self.known: dict[bytes, list[int]] = {}
 
     def _merged(self, text: bytes) -> list[bytes]:
         """Merging by rank, for the few bytes of one or two tokens."""
@@ -70,18 +63,39 @@ class PrefixCounter:
 
     def piece(self, piece: bytes) -> list[int]:
         """counts[j]: tokens of piece[:j], for all j from 0 on."""
-        counts, last, vocabulary = [0], [b""], self.vocabulary
-        for j in range(1, len(piece) + 1):
-            for i in range(max(0, j - self.longest), j):
+        if (found := self.known.get(piece)) is None:
+            found = self.known[piece] = self._extended(piece, [0], [b""])
+        return found
+
+    def _extended(self, piece: bytes, counts: list[int], last: list[bytes]) -> list[int]:
+        """counts of the whole piece from those of a prefix; last[j] ends the encoding of piece[:j]. Both lists grow in place."""
+        vocabulary, longest, pairs = self.vocabulary, self.longest, self.pairs
+        for j in range(len(counts), len(piece) + 1):
+            for i in range(max(0, j - longest), j):
                 token = piece[i:j]
-                if token in vocabulary and (self._pair(last[i], token) if i else self._alone(token)):
-                    break
+                if token in vocabulary:
+                    if i:
+                        survives = pairs.get((last[i], token))
+                        if survives is None:
+                            survives = self._pair(last[i], token)
+                    else:
+                        survives = self._alone(token)
+                    if survives:
+                        break
             else:
                 raise ValueError("a byte without a token")
             counts.append(counts[i] + 1)
             last.append(token)
         return counts
 
+    def learn(self, pieces: Iterable[bytes]) -> None:
+        """Work out new pieces in sorted order: each goes on from the prefix that it shares with the one before."""
+        counts, last, before = [0], [b""], b""
+        for piece in sorted(p for p in set(pieces) if p not in self.known):
+            shared = len(commonprefix((before, piece)))
+            counts, last, before = counts[: shared + 1], last[: shared + 1], piece
+            self.known[piece] = self._extended(piece, counts, last)
+
     def unit(self, unit: str) -> list[int]:
         """Tokens of unit[:i] for i = 1..len(unit); the unit is white space with a word, as SPACED_UNIT cuts it."""
         if SEPARATOR in unit:  # the library cuts special tokens out first; rare, so it is asked itself
@@ -108,6 +122,9 @@ class PrefixCounter:
     def compute(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pairs) > 2_000_000:
             self.pairs.clear()
+        if len(self.known) > 150_000:
+            self.known.clear()
+        self.learn(piece.encode("utf-8", "surrogatepass") for u in units if SEPARATOR not in u for piece in self.pieces.findall(u))
         rows = [self.unit(u) for u in units]
         flat = np.fromiter((c for r in rows for c in r), np.int32, sum(map(len, rows)))
         return flat, np.fromiter(map(len, rows), np.int64, len(rows))
@@ -137,7 +154,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
         table = prefix_table(path)
         for batch in batches:
             texts, ids = batch.column(1), batch.column(0)
-            size = np.array([len(t.encode()) if t else 0 for t in texts.to_pylist()], np.int64)
+            size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             n, fit = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             for first, chunk in in_chunks(texts.to_pylist()):
                 codes, sizes = table.batch(chunk)
@@ -156,7 +173,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                     row = table.flat[table.starts[code] : table.starts[code] + table.lengths[code]]
                     inside = np.flatnonzero(row + base <= limit)
                     fit[first + k] = lengths[own][:u].sum() + (inside[-1] + 1 if len(inside) else 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(n), pa.array(n > limit), pa.array(fit)], names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+            yield pa.RecordBatch.from_arrays([ids, size, pa.array(n), pa.array(n > limit), pa.array(fit)], names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     kind = dict(docs.dtypes)[id_col]
     return key_first(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")

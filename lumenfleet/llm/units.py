@@ -21,6 +21,9 @@ WORD_UNIT = re.compile(f"[^{WHITE}]+")
 #: Python takes these for white space too, the tokenizers don't.
 NOT_WHITE = re.compile("[\\x1c-\\x1f]")
 SEPARATOR = "<|endoftext|>"
+#: The two pre-tokenizers' patterns (fixed values).
+BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def words_only(text: str) -> list[str]:
@@ -122,6 +125,55 @@ def library_ids(tokenizer) -> Callable:
     return compute
 
 
+def byte_alphabet() -> dict[str, int]:
+    """Byte-level vocabularies write bytes as printable characters: those that print stand for themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+#: Units of plain Latin text: no normal form changes them, and every Unicode version tells their letters and digits alike.
+PLAIN = re.compile("[ ]?[!-~\\xa1-\u024f]+")
+
+
+class PieceIds:
+    """compute() for UnitTable: plain Latin units are cut by the tokenizer's pattern and each distinct piece goes to the library's
+    model once; all other units, and those that may hold special tokens, go through the whole library.
+    """
+
+    def __init__(self, tokenizer, pattern: str, lower: bool, most: int = 300_000):
+        import regex
+
+        self.model, self.library = tokenizer.model, library_ids(tokenizer)
+        self.cut, self.lower, self.most = regex.compile(pattern).findall, lower, most
+        self.printed = {b: c for c, b in byte_alphabet().items()}
+        self.known: dict[str, list[int]] = {}
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.known[piece] = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.printed))]
+        return ids
+
+    def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        others = [i for i, u in enumerate(units) if "<|" in u or not PLAIN.fullmatch(u)]
+        flat, lengths = self.library([units[i] for i in others])
+        ends, own = np.cumsum(lengths), dict.fromkeys(others)
+        for k, i in enumerate(others):
+            own[i] = flat[ends[k] - lengths[k] : ends[k]].tolist()
+        out: list[int] = []
+        sizes = np.zeros(len(units), np.int64)
+        for i, unit in enumerate(units):
+            before = len(out)
+            if i in own:
+                out += own[i]
+            else:
+                for piece in self.cut(unit.lower() if self.lower else unit):
+                    out += self.known.get(piece) or self._piece(piece)
+            sizes[i] = len(out) - before
+        return np.array(out, np.int32), sizes
+
+
 _KEPT: dict[tuple, UnitTable] = {}
 
 
@@ -133,11 +185,11 @@ def kept_table(kind: str, path: str, make: Callable[[str], UnitTable]) -> UnitTa
 
 
 def byte_level_ids(path: str) -> UnitTable:
-    return kept_table("byte ids", path, lambda p: UnitTable(SPACED_UNIT.findall, library_ids(loaded(p))))
+    return kept_table("byte ids", path, lambda p: UnitTable(SPACED_UNIT.findall, PieceIds(loaded(p), BYTE_PIECES, lower=False)))
 
 
 def word_level_ids(path: str) -> UnitTable:
-    return kept_table("word ids", path, lambda p: UnitTable(words_only, library_ids(loaded(p))))
+    return kept_table("word ids", path, lambda p: UnitTable(words_only, PieceIds(loaded(p), WORD_PIECES, lower=True)))
 
 
 def in_chunks(texts: Iterable[str | None], most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
