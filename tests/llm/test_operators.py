@@ -18,7 +18,7 @@ from lumenfleet.llm.queries import tokenizer_path
 from lumenfleet.llm.token_counts import PrefixCounter, token_counts
 from lumenfleet.llm.token_files import decode_block, encode_block, read_token_files, write_token_files
 from lumenfleet.llm.topk import top_k
-from lumenfleet.llm.units import loaded
+from lumenfleet.llm.units import byte_level_ids, document_ids, loaded, word_level_ids
 
 BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 ODD = ["", " ", "\n\n", "a  b", "  lead", "trail  ", "they're we'll I'm x'r", "tab\tand\x1cbell", "<|endoftext|> mid <|endoftext|>x", "é è 漢字 ﬁ é", "1234 5.6 !!!?? --", "a b  c", "word " * 700]
@@ -61,6 +61,17 @@ def test_token_files(spark, texts):
         at += len(ids)
 
 
+@pytest.mark.parametrize(("name", "table"), [(BYTES, byte_level_ids), (WORDS, word_level_ids)])
+def test_units_equal_the_library(name, table):
+    library, some = loaded(tokenizer_path(name)), random.Random(3)
+    alphabet = "aZé'ßİıſ ²½ªº\xad\xa0ɏ\u0300\x1c\t\n  12.,'sreLL<|>日本😀"
+    texts = ["".join(some.choices(alphabet, k=some.randint(0, 40))) for _ in range(2000)] + ["don't I'LL we'Re'x x<|endoftext|>y 's"]
+    ids, sizes = document_ids(table(tokenizer_path(name)), texts)
+    ends = np.cumsum(sizes)
+    for text, a, b in zip(texts, ends - sizes, ends, strict=True):
+        assert library.encode(text, add_special_tokens=False).ids == ids[a:b].tolist(), ascii(text)
+
+
 def test_block_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1, 7, 9], np.uint32)
     control, data = encode_block(ranks)
