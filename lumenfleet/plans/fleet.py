@@ -188,6 +188,13 @@ def f10_channel_tiling(spark, d):
     return px.select("frame_id", "y", F.expr("CAST((x % 2) * 32 + x DIV 2 AS INT)").alias("tx"), F.expr("CAST((y % 2) * (height DIV 2) + y DIV 2 AS INT)").alias("ty"), "code")
 
 
+@query(f"WITH {SCENE} SELECT frame_id, y, (x%2)*32 + x//2 AS tx, (y%2)*(height//2) + y//2 AS ty, code FROM px WHERE y < height//2*2")
+def f10_channel_tiling_whole(spark, d):
+    """Every pixel in the tile of its channel; only an odd last row goes."""
+    px = with_height(scene(spark, d), src.frames(spark, d)).filter("y < height DIV 2 * 2")
+    return px.select("frame_id", "y", F.expr("CAST((x % 2) * 32 + x DIV 2 AS INT)").alias("tx"), F.expr("CAST((y % 2) * (height DIV 2) + y DIV 2 AS INT)").alias("ty"), "code")
+
+
 @query(f"WITH {SCENE} SELECT frame_id, y, x, code FROM px WHERE x % 7 = 0 AND y % 5 = 0")
 def f13_systematic_sample(spark, d):
     return src.explode_rows(src.rows(spark, d).filter("y % 5 = 0")).filter("x % 7 = 0").select("frame_id", "y", "x", "code")

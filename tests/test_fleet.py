@@ -35,6 +35,13 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(key(r) for r in got.select(names).collect()) == sorted(key(r) for r in want)
 
 
+def test_tiling_maps_every_pixel(spark, duck):
+    test_query_equals_sql(spark, duck, "f10_channel_tiling_whole")
+    tiles = fleet.QUERIES["f10_channel_tiling_whole"](spark, SF)
+    heights = {r["frame_id"]: r["height"] // 2 * 2 for r in src.frames(spark, SF).collect()}
+    assert tiles.count() == tiles.select("frame_id", "tx", "ty").distinct().count() == 64 * sum(heights.values())
+
+
 def test_rank_quantiles_take_the_upper_middle(spark):
     hist = spark.createDataFrame([(1, 100, 1), (1, 200, 1)], "frame_id long, code int, n long")
     r = measure.histogram_metrics(hist, ["frame_id"], 12).first()
