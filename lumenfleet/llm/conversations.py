@@ -1,8 +1,10 @@
 """Quotation linking for chat formatting, in DataFrame functions alone.
 
-Quoted passages (runs of lines with one quote level) are normalised and hashed; the earliest message of the conversation that says
-the same as a whole, a paragraph or a line is where they come from. A message replies to the source of its outermost quotes, or
-else to the message before it, and a path of these replies orders the conversation without its quotes.
+Quoted passages (runs of lines with one quote level) are normalised to words. They come from the earliest message of the conversation
+that has these words in one piece from the start of a line or sentence to the end of one; else, from the earliest that has them in
+one piece anywhere; else, from the earliest that has the passage's lines and sentences in sequence, with gaps. Hashes of a passage's
+first words find the places, hashes of all its words decide. A message replies to the source of its outermost quotes, or else to the
+message before it, and a path of these replies orders the conversation without its quotes.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Lengths in words of the heads that find the places where a passage may begin.
+HEADS = (1, 2, 4, 8)
+#: A unit of text ends with its line or its sentence.
+UNIT_END = r"\n|[.!?\u2026]+[\"'\u201d\u2019\u00bb)\]]*(?:\s+|\z)|[\u3002\uff01\uff1f]+"
 #: Turns to a bucket of the two-level running values; bounds what one task sorts of one conversation.
 BUCKET = 1000
 
@@ -50,19 +56,72 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
     return rows.filter(normal(F.col("passage")) != "")
 
 
-def said_first(messages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """conv_id, key, source: the first turn whose own text, or a paragraph or line of it, has the key; only keys that are quoted."""
-    units = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")))
-    rows = messages.select("conv_id", "turn", F.explode(units).alias("unit")).select("conv_id", "turn", key_of(F.col("unit")).alias("key"))
-    return rows.join(wanted, ["conv_id", "key"], "left_semi").groupBy("conv_id", "key").agg(F.min("turn").alias("source"))
+def units_of(text: Column) -> Column:
+    """The text's lines and sentences, each an array of its normal words; those without words are left out."""
+    units = F.transform(F.split(F.regexp_replace(text, r"(?m)^>+", ""), UNIT_END), normal)
+    return F.transform(F.filter(units, lambda u: u != ""), lambda u: F.split(u, " "))
+
+
+def keyed(words: Column) -> list[Column]:
+    """key, m, k, head: hash and number of the words; number and hash of the first ones, by which places are found."""
+    m = F.size(words)
+    k = F.greatest(*[F.when(m >= k, F.lit(k)) for k in HEADS])
+    return [F.md5(F.array_join(words, " ")).alias("key"), m.alias("m"), k.alias("k"), F.xxhash64(F.slice(words, F.lit(1), k)).alias("head")]
+
+
+def said_words(messages: DataFrame, quoting: DataFrame) -> DataFrame:
+    """row, conv_id, turn, words, first: what each message of the quoting conversations says itself; first tells where a unit begins."""
+    rows = messages.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", units_of(F.col("own")).alias("units"))
+    first = F.flatten(F.transform("units", lambda u: F.transform(u, lambda _, i: i == 0)))
+    rows = rows.select("conv_id", "turn", F.flatten("units").alias("words"), first.alias("first")).filter("size(words) > 0")
+    return staged(rows.withColumn("row", F.monotonically_increasing_id()), "said")
+
+
+def places(said: DataFrame, wanted: DataFrame) -> DataFrame:
+    """row, conv_id, turn, key, at, m, aligned: every place where the words of a wanted key (conv_id, key, m, k, head) stand.
+
+    Heads are joined to lengths, not to keys: many passages with one beginning make a place only once for each length.
+    """
+    head = lambda at, k: F.struct(at.alias("at"), F.lit(k).alias("k"), F.when(at + k <= F.size("words"), F.xxhash64(F.slice("words", at + 1, F.lit(k)))).alias("head"))
+    heads = F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda at: F.array(*[head(at, k) for k in HEADS])))
+    heads = said.select("row", "conv_id", F.explode(heads).alias("h")).select("row", "conv_id", "h.*").filter("head is not null")
+    begun = heads.join(wanted.select("conv_id", "k", "head", "m").distinct(), ["conv_id", "k", "head"]).select("row", "at", "m")
+    end = F.col("at") + F.col("m")
+    found = begun.join(said, "row").filter(end <= F.size("words"))
+    aligned = F.expr("first[at]") & F.coalesce(F.get("first", end), F.lit(True))
+    found = found.select("row", "conv_id", "turn", F.md5(F.array_join(F.slice("words", F.col("at") + 1, F.col("m")), " ")).alias("key"), "at", "m", aligned.alias("aligned"))
+    return staged(found.join(wanted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi"), "places")
+
+
+def said_apart(said: DataFrame, passages: DataFrame) -> DataFrame:
+    """conv_id, key, apart: the first turn that has all units of the passage in sequence, with gaps; passages of one unit are left out.
+
+    Only messages that have the passage's longest unit are looked at.
+    """
+    whole = passages.dropDuplicates(["conv_id", "key"]).select("conv_id", F.col("key").alias("whole"), units_of(F.col("passage")).alias("units")).filter("size(units) > 1")
+    parts = whole.select("conv_id", "whole", F.size("units").alias("n"), F.posexplode("units").alias("i", "unit"))
+    parts = staged(parts.select("conv_id", "whole", "n", "i", *keyed(F.col("unit"))), "parts")
+    at = places(said, parts)
+    longest = parts.groupBy("conv_id", "whole").agg(F.max_by("key", F.struct("m", "i")).alias("key"))
+    able = longest.join(at, ["conv_id", "key"]).select("conv_id", "whole", "row").distinct()
+    each = able.join(parts.select("conv_id", "whole", "n", "i", "key"), ["conv_id", "whole"]).join(at, ["conv_id", "row", "key"])
+    lined = each.groupBy("conv_id", "whole", "row", "turn", "n").agg(F.sort_array(F.collect_list(F.struct("i", "at", "m"))).alias("found"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("end"))
+    took = F.aggregate("found", start, lambda done, x: F.when((x["i"] == done["i"]) & (x["at"] >= done["end"]), F.struct((done["i"] + 1).alias("i"), (x["at"] + x["m"]).alias("end"))).otherwise(done))
+    return lined.filter(took["i"] == F.col("n")).groupBy("conv_id", F.col("whole").alias("key")).agg(F.min("turn").alias("apart"))
 
 
 def linked_quotes(messages: DataFrame) -> DataFrame:
     """Quoted passages with source, the earlier turn they come from (null: none found)."""
     passages = staged(quoted_passages(messages), "passages")
-    sources = staged(said_first(messages, passages.select("conv_id", "key").distinct()), "sources")
-    found = passages.join(sources, ["conv_id", "key"], "left")
-    return found.withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
+    said = said_words(messages, passages)
+    at = places(said, passages.select("conv_id", *keyed(F.split(normal(F.col("passage")), " "))))
+    sources = at.groupBy("conv_id", "key").agg(F.min(F.when(F.col("aligned"), F.col("turn"))).alias("unit"), F.min("turn").alias("within"))
+    earlier = lambda name: F.when(F.col(name) < F.col("turn"), F.col(name))
+    found = passages.join(sources, ["conv_id", "key"], "left").withColumn("source", F.coalesce(earlier("unit"), earlier("within"))).drop("unit", "within")
+    found = staged(found, "found")
+    apart = said_apart(said, found.filter("source is null"))
+    return found.join(apart, ["conv_id", "key"], "left").withColumn("source", F.coalesce("source", earlier("apart"))).drop("apart")
 
 
 def running_last(rows: DataFrame, value: str, out: str) -> DataFrame:

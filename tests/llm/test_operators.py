@@ -200,3 +200,24 @@ def test_quotations(spark):
     assert out[2]["reply_to"] == 0 and out[2]["text"] == "I disagree." and out[2]["n_linked"] == 1
     assert out[3]["reply_to"] == 2 and out[3]["n_quotes"] == 2 and out[3]["n_linked"] == 2
     assert out[4]["text"] == "" and out[5]["reply_to"] is None
+
+
+def test_partial_and_rewrapped_quotations(spark):
+    said = "Alpha one two three. Beta four five six.\nGamma seven eight nine.\nDelta ten eleven twelve.\n\nSecond paragraph stands here.\n\nThird paragraph ends it."
+    quotes = {
+        "two lines of three": ["Gamma seven eight nine.", "Delta ten eleven twelve."],
+        "two paragraphs of three": ["Second paragraph stands here.", "", "Third paragraph ends it."],
+        "a sentence of a line": ["Beta four five six."],
+        "rewrapped": ["Beta four", "five six. Gamma seven", "eight nine."],
+        "half a sentence": ["ten eleven"],
+        "left out between": ["Alpha one two three.", "[...]", "Second paragraph stands here."],
+    }
+    rows = [(c, t, "user", text) for c, lines in enumerate(quotes.values()) for t, text in enumerate([said, "Not that.", "\n".join(f"> {x}".rstrip() for x in lines) + "\nMy answer."])]
+    n = len(quotes)
+    # Words of no message; the units in another order; a part of a word; said only later; a unit elsewhere goes before words within.
+    rows += [(n, 0, "user", said), (n, 1, "user", "Not that."), (n, 2, "user", "> never said before"), (n, 3, "user", "> Gamma seven eight nine.\n> Alpha one two three."), (n, 4, "user", "> amma seven"), (n, 5, "user", "> said afterwards only"), (n, 6, "user", "It was said afterwards only")]
+    rows += [(n + 1, 0, "user", "Well, yes, we can do it."), (n + 1, 1, "user", "Yes. We can."), (n + 1, 2, "user", "No."), (n + 1, 3, "user", "> Yes\nGood.")]
+    out = {(r["conv_id"], r["turn"]): r for r in reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {name: (out[c, 2]["n_quotes"], out[c, 2]["n_linked"], out[c, 2]["reply_to"]) for c, name in enumerate(quotes)} == {name: (1, 1, 0) for name in quotes}
+    assert [(out[n, t]["n_linked"], out[n, t]["reply_to"]) for t in range(2, 6)] == [(0, t - 1) for t in range(2, 6)]
+    assert out[n + 1, 3]["reply_to"] == 1
