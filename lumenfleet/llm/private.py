@@ -29,6 +29,9 @@ PATTERNS = {
 MARK = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 DIGITS = re.compile(r"[^0-9]")
+ALNUM = re.compile(r"[^\W_]|@")
+#: Words of more characters, and words that meet a known span, are cut at these marks, one set after the other.
+LONG, CUTS = 200, ('?&,;"', ":", "=")
 
 #: The labelled table: {kind:value} is a span of that kind, everything else is outside.
 LABELLED = """
@@ -124,9 +127,16 @@ def near_features(word: str, side: str) -> tuple[str, ...]:
     return (f"{side}shape={shape(core) if MARK.search(core) else 'word'}", f"{side}word={core.lower()}" if len(core) < 10 and not MARK.search(core) else f"{side}mark")
 
 
-def chains(text: str) -> list[list[tuple[int, int, str, str, str]]]:
-    """Runs of words with a digit or "@": (start, end, word, word before, word behind)."""
-    out, last = [], -1
+def cut(text: str, a: int, b: int, known: list[tuple[int, int, int]], marks: tuple[str, ...] = CUTS) -> list[tuple[int, int]]:
+    """The word from a to b, or its parts if it is long or meets a known span: as few as leave the rest whole."""
+    if not marks or (b - a <= LONG and not any(x < b and a < y for x, y, _ in known)):
+        return [(a, b)]
+    return [part for m in re.compile(f"[^{marks[0]}]+").finditer(text, a, b) for part in cut(text, m.start(), m.end(), known, marks[1:])]
+
+
+def chains(text: str, known: list[tuple[int, int, int]] = ()) -> list[list[tuple[int, int, str, str, str]]]:
+    """Runs of words, or parts of them, with a digit or "@": (start, end, word, word before, word behind)."""
+    out, last, tail = [], -1, -1
     for m in MARK.finditer(text):
         if m.start() < last:
             continue
@@ -134,19 +144,26 @@ def chains(text: str) -> list[list[tuple[int, int, str, str, str]]]:
         while a and not (text[a - 1] == " " or "\t" <= text[a - 1] <= "\r"):
             a -= 1
         end = TOKEN.match(text, a).end()
-        before = text[max(0, a - 40) : a].split()
-        behind = text[end : end + 40].split()
-        item = (a, end, text[a:end], before[-1] if before else "", behind[0] if behind else "")
-        if out and not text[last:a].strip(" \t\n\v\f\r"):
-            out[-1].append(item)
-        else:
-            out.append([item])
+        before = text[max(0, a - 40) : a].split()[-1:]
+        behind = text[end : end + 40].split()[:1]
+        parts = [p for p in cut(text, a, end, known) if ALNUM.search(text, *p)] or [(a, end)]
+        words = [*(before or [""]), *[text[x:y] for x, y in parts], *(behind or [""])]
+        for i, (x, y) in enumerate(parts):
+            if not MARK.search(text, x, y):
+                continue
+            item = (x, y, words[i + 1], words[i], words[i + 2])
+            if out and not text[tail:x].strip(" \t\n\v\f\r"):
+                out[-1].append(item)
+            else:
+                out.append([item])
+            tail = y
         last = end
     return out
 
 
 def features_of(item: tuple[int, int, str, str, str]) -> tuple[str, ...]:
-    return own_features(item[2][:200]) + near_features(item[3][-40:], "<") + near_features(item[4][:40], ">")
+    own = own_features if len(item[2]) <= LONG else own_features.__wrapped__  # long words would fill the cache
+    return own(item[2]) + near_features(item[3][-40:], "<") + near_features(item[4][:40], ">")
 
 
 def labelled_chains(rows: list[str]) -> tuple[list[list[tuple]], list[int]]:
@@ -191,7 +208,7 @@ def without(chain: list[tuple], known: list[tuple[int, int, int]]) -> list[list[
 def field_spans(model: dict, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """What Viterbi finds besides the base spans. A span that meets a base span is dropped, as are addresses and card numbers whose
     pattern's own check refused them: there the patterns know better."""
-    found = [(d, c) for d, t in enumerate(texts) if MARK.search(t) for whole in chains(t) for c in without(whole, base[d])]
+    found = [(d, c) for d, t in enumerate(texts) if MARK.search(t) for whole in chains(t, base[d]) for c in without(whole, base[d])]
     out: list[list] = [[] for _ in texts]
     for at in range(0, len(found), 4096):
         some = sorted(found[at : at + 4096], key=lambda x: len(x[1]))

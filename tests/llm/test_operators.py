@@ -168,6 +168,15 @@ def test_private_spans():
     assert private.field_spans(model, ["nothing here at all, in 2020"], [[]]) == [[]]
 
 
+def test_secrets_in_long_words_and_beside_addresses():
+    model, secret = private.fit(), "8f14e45fceea167a5a"
+    path = "https://www.example.com/" + "/".join(f"part{i}" for i in range(60))
+    json = "{" + ",".join(f'"field{i}":{i}' for i in range(40)) + f',"password":"{secret}","more":[' + ",".join(map(str, range(80))) + "]}"
+    for text in (f"see {path}?a=1&token={secret} now", f"see {path}?token={secret}&page=12 now", f"{json} end", f"login a.b@c.example.com:password={secret} now", f"at 10.0.0.30,password={secret},x now"):
+        base = private.base_spans(text)
+        assert [text[a:b] for a, b, k in private.field_spans(model, [text], [base])[0] if private.KINDS[k] == "secret"] == [secret], text
+
+
 def test_toxicity_learns_and_leaves_clean_text_alone():
     r = random.Random(3)
     clean = lambda: " ".join(r.choice(("you", "and", f"w{r.randint(0, 300)}", f"w{r.randint(0, 300)}")) for _ in range(40))
