@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfleet.llm import private
-from lumenfleet.llm.common import WORD, scratch
+from lumenfleet.llm.common import WORD, scratch, staged
 from lumenfleet.llm.mixing import schedule, weighted_fair_queue
-from lumenfleet.llm.ngram_join import ngram_components
+from lumenfleet.llm.ngram_join import ngram_components, with_set_ids
 from lumenfleet.llm.packing import pack_documents
 from lumenfleet.llm.quality import quality_rules
 from lumenfleet.llm.queries import tokenizer_path
@@ -32,12 +32,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id; documents without words or ids stay too.
 
-    Rows that repeat that doc_id are copies of it or linked to it; of them the one with the smallest text stays.
+    Rows that repeat a doc_id are told apart by their sets: those of other components stay, those with equal sets are copies, of which
+    the one with the smallest text stays.
     """
-    found = ngram_components(docs)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi")
-    one = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
+    found = ngram_components(docs).filter("doc_id is not null").select("doc_id", "n_shingles", "set_id", "label")
+    found = staged(found, "components")
+    kept = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc_id", "set_id")).alias("d")).select("d.*", F.lit(False).alias("empty"))
+    kept = kept.unionByName(found.filter("n_shingles = 0").select("doc_id", "set_id", F.lit(True).alias("empty")).distinct())
+    ids = found.groupBy("doc_id").agg((F.min(F.struct("n_shingles", "set_id")) != F.max(F.struct("n_shingles", "set_id"))).alias("several"))
+    several = ids.filter("several").select("doc_id")
+    named = docs.filter("doc_id is not null").select(COLUMNS)
+    alone = named.join(kept.join(several, "doc_id", "left_anti"), "doc_id")
+    told = with_set_ids(named.join(several, "doc_id", "left_semi")).join(kept, ["doc_id", "set_id"])
+    rows = alone.select(*COLUMNS, "set_id", "empty").unionByName(told.select(*COLUMNS, "set_id", "empty"))
+    rows = rows.withColumn("each", F.when(F.col("empty"), F.monotonically_increasing_id()))
+    one = rows.groupBy("doc_id", "set_id", "each").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
     return one.select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
 
 
@@ -62,7 +71,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]
 
-#: SQL has no tokenizer, field model or packing; the stages are tested against brute force instead.
+#: SQL has no tokenizer, field model or packing; tests/llm/test_pipeline.py compares run() to brute force instead.
 ORACLE_SQL = None
 
 

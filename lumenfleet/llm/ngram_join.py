@@ -225,6 +225,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
     return staged(sets.unionByName(more), "sets")
 
 
+def with_set_ids(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with set_id, as ngram_components has it; 0 for texts without words."""
+    where = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in in_chunks(batch.column(where).to_pylist()):
+                names = pa.array([set_id(s) if len(s) else 0 for s in shingle_sets(texts)], pa.int64())
+                rows = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*rows.columns, names], names=[*batch.schema.names, "set_id"])
+
+    return docs.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes) + ", set_id long")
+
+
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of set ids that are similar."""
     x = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("h_a"))
@@ -413,7 +427,8 @@ def opened(left: DataFrame) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, set_id, component_id: the smallest id that links lead to, its own included.
+    """One row per document: id, n_shingles, set_id, component_id: the smallest id that links lead to, its own included; label names
+    the component itself, as components of rows that repeat an id may share their component_id (null for empty sets).
 
     Null texts and texts without words have an empty set and only themselves. Documents with equal sets are linked; repeated rows
     stay rows. A null id never is the smallest unless all are null. Other columns are ignored. Sets and tokens are known by 64-bit
@@ -452,6 +467,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         rows = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     rows = staged(rows.select(id_col, "n", "set_id", "label"), "labelled")
     first = staged(rows.filter("n > 0").groupBy("label").agg(F.min(id_col).alias("component_id")), "firsts")
-    full = rows.filter("n > 0").join(first, "label").select(id_col, F.col("n").alias("n_shingles"), "set_id", "component_id")
-    empty = rows.filter("n = 0").select(id_col, F.col("n").alias("n_shingles"), "set_id", F.col(id_col).alias("component_id"))
+    full = rows.filter("n > 0").join(first, "label").select(id_col, F.col("n").alias("n_shingles"), "set_id", "component_id", "label")
+    empty = rows.filter("n = 0").select(id_col, F.col("n").alias("n_shingles"), "set_id", F.col(id_col).alias("component_id"), F.lit(None).cast("long").alias("label"))
     return full.unionByName(empty)
