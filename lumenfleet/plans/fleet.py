@@ -165,6 +165,12 @@ def a24_profile_statistics(spark, d):
     return rounded(measure.profile_statistics(scene(spark, d).filter("y = 7").select("frame_id", c("code").alias("v")), ["frame_id"], "v"), "mean", "sigma")
 
 
+@query(f"""WITH {SCENE} SELECT frame_id, y, count(*)::BIGINT AS n, round(avg(code),6) AS mean, min(code) AS min, max(code) AS max, median(code)::DOUBLE AS median, round(stddev_pop(code),6) AS sigma FROM px GROUP BY frame_id, y""")
+def a24_profile_statistics_rows(spark, d):
+    """The profile of every row of every frame."""
+    return rounded(measure.profile_statistics(scene(spark, d).select("frame_id", "y", c("code").alias("v")), ["frame_id", "y"], "v"), "mean", "sigma")
+
+
 @query(f"""WITH {SCENE}, b AS (SELECT frame_id, y//2 AS by, x//2 AS bx, count(*) AS k, max(code) FILTER (channel='R') AS r, (max(code) FILTER (channel='Gr') + max(code) FILTER (channel='Gb'))//2 AS g, max(code) FILTER (channel='B') AS bl FROM px GROUP BY ALL),
 m AS (SELECT frame_id, avg(r) AS r, avg(g) AS g, avg(bl) AS b FROM b WHERE k = 4 GROUP BY frame_id) SELECT frame_id, round(CASE WHEN r <= 64 OR g <= 64 THEN 1 ELSE (g-64)/(r-64) END,6) AS gain_r, round(CASE WHEN b <= 64 OR g <= 64 THEN 1 ELSE (g-64)/(b-64) END,6) AS gain_b FROM m""")
 def a13_gray_world(spark, d):
@@ -243,6 +249,13 @@ def o03_capped_defects(spark, d):
     return transform.capped(transform.defects(px, transform.defect_thresholds(px, 6.0, keys), keys), 1).select("frame_id", "y", "x", "code", "type", "truncated")
 
 
+@query(f"WITH {DEFECT_SQL} SELECT frame_id, y, x, code, type, truncated FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY y, x) AS r, count(*) OVER (PARTITION BY frame_id) > 100000 AS truncated FROM d) WHERE r <= 100000")
+def o03_capped_defects_default(spark, d):
+    """The cap as the reference has it by default, 100000 a frame."""
+    px, keys = flat(spark, d), ["frame_id", "channel"]
+    return transform.capped(transform.defects(px, transform.defect_thresholds(px, 6.0, keys), keys), 100_000).select("frame_id", "y", "x", "code", "type", "truncated")
+
+
 @query(f"""WITH {DEFECT_SQL}, o AS (SELECT dy, dx, greatest(abs(dy),abs(dx)) AS r FROM range(-3,4) a(dy), range(-3,4) b(dx) WHERE dy<>0 OR dx<>0),
 g AS (SELECT d.frame_id, d.y, d.x, o.r, px.code AS v FROM d, o JOIN px ON px.frame_id=d.frame_id AND px.y=d.y+2*dy AND px.x=d.x+2*dx WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.frame_id=px.frame_id AND e.y=px.y AND e.x=px.x)),
 k AS (SELECT *, count(*) OVER (PARTITION BY frame_id,y,x ORDER BY r) AS known FROM g), s AS (SELECT frame_id,y,x,coalesce(min(r) FILTER (known>=2),3) AS stop FROM k GROUP BY ALL),

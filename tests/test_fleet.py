@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfleet.functions import semantics as sem
-from lumenfleet.operators import catalog, measure
+from lumenfleet.operators import catalog, measure, transform
 from lumenfleet.plans import fleet, points
 from lumenfleet.sources import frames as src
 from lumenfleet.sources import raw
@@ -42,6 +42,18 @@ def test_tiling_maps_every_pixel(spark, duck):
     assert tiles.count() == tiles.select("frame_id", "tx", "ty").distinct().count() == 64 * sum(heights.values())
 
 
+def test_profiles_of_every_row(spark, duck):
+    test_query_equals_sql(spark, duck, "a24_profile_statistics_rows")
+    assert fleet.QUERIES["a24_profile_statistics_rows"](spark, SF).count() == src.rows(spark, SF).count()
+
+
+def test_default_cap_leaves_all_defects_and_caps_truncate(spark, duck):
+    test_query_equals_sql(spark, duck, "o03_capped_defects_default")
+    assert fleet.QUERIES["o03_capped_defects_default"](spark, SF).count() == fleet.QUERIES["j06_defects"](spark, SF).count()
+    some = spark.createDataFrame([(1, 0, 3), (1, 0, 1), (1, 2, 0), (2, 5, 5)], "frame_id long, y int, x int")
+    assert sorted(tuple(r[k] for k in ("frame_id", "y", "x", "truncated")) for r in transform.capped(some, 2).collect()) == [(1, 0, 1, True), (1, 0, 3, True), (2, 5, 5, False)]
+
+
 def test_rank_quantiles_take_the_upper_middle(spark):
     hist = spark.createDataFrame([(1, 100, 1), (1, 200, 1)], "frame_id long, code int, n long")
     r = measure.histogram_metrics(hist, ["frame_id"], 12).first()
