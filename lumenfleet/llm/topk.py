@@ -1,8 +1,10 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors get one more coordinate so that all candidates have one norm: the largest inner product is then the smallest distance, and
-a table of distances to pivots bounds it from below by the triangle inequality, |d(q, p) - d(x, p)| at the best pivot. Candidates
-are scored in the order of their bounds until the bound alone keeps the rest out. Queries meet candidates block by block.
+Vectors get one more coordinate so that all candidates have one norm: the largest inner product is then the smallest distance. Candidates
+lie in order of their nearest pivot, and groups of neighbours keep the least and the largest distance to every pivot: by the triangle
+inequality a query's distance to any member is at least its own distance to the pivot less the largest, or the least less its own,
+at the best pivot. Groups are scored in the order of their bounds until the bound alone keeps the rest out. Queries meet candidates
+block by block.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import staged
 
 PIVOTS = 32
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16384
-STEP = 256
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 16384
+#: Candidates to a group with one row of bounds.
+GROUP = 128
+NO_SCORE = np.iinfo(np.int64).min
 
 
 def whole_numbers(vector: Column, scale: int = 64) -> Column:
@@ -27,51 +31,24 @@ def whole_numbers(vector: Column, scale: int = 64) -> Column:
 
 
 def usable(vector: Column) -> Column:
-    """Not null, not empty, and every component a finite number."""
+    """Not null, and every component a finite number."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return vector.isNotNull() & (F.size(vector) > 0) & ~bad
+    return vector.isNotNull() & ~bad
 
 
-def packed(rows: DataFrame, block: int, pivots: np.ndarray | None, top: float, dims: int, augment: bool) -> DataFrame:
-    """Blocks of at most block rows: ids, vectors (int64) and distances to the pivots (float64), row by row."""
+def narrowest(largest: int) -> np.dtype:
+    """The smallest kind of integer that holds these numbers and their negatives."""
+    return np.dtype(next(k for k in ("<i1", "<i2", "<i4", "<i8") if largest <= np.iinfo(k).max))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-        vectors: list[np.ndarray] = []
-        held = 0
-
-        def flush():
-            nonlocal ids, vectors, held
-            i, v = np.concatenate(ids), np.concatenate(vectors)
-            ids, vectors, held = [], [], 0
-            for at in range(0, len(i), block):
-                own = v[at : at + block]
-                d = distances(own, pivots, top, augment)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (i[at : at + block].tobytes(), own.tobytes(), d.tobytes())], names=["ids", "vectors", "table"])
-
-        for batch in batches:
-            lists = batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            v = np.zeros((len(sizes), dims), np.int64)
-            v[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-            ids.append(batch.column(0).to_numpy())
-            vectors.append(v)
-            held += len(sizes)
-            if held >= block:
-                yield from flush()
-        if held:
-            yield from flush()
 
-    return rows.mapInArrow(run, "ids binary, vectors binary, table binary")
+def with_extra(v: np.ndarray, top: float, augment: bool) -> np.ndarray:
+    """Vectors with the coordinate that brings their squared norm up to top; queries have 0 there."""
+    x = v.astype(np.float64)
+    extra = np.sqrt(np.maximum(top - (x * x).sum(1), 0)) if augment else np.zeros(len(x))
+    return np.column_stack([x, extra])
 
 
-def distances(v: np.ndarray, pivots: np.ndarray, top: float, augment: bool) -> np.ndarray:
-    """Distances to the pivots. With augment, v has the coordinate that brings its squared norm up to top; queries have 0 there."""
-    x = v.astype(np.float64)
-    square = (x * x).sum(1)
-    extra = np.sqrt(np.maximum(top - square, 0)) if augment else np.zeros(len(x))
-    full = np.column_stack([x, extra])
+def distances(full: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     d2 = (full * full).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * full @ pivots.T
     return np.sqrt(np.maximum(d2, 0))
 
@@ -86,82 +63,135 @@ def spread_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def best_of_block(q, q_ids, q_table, x, x_ids, x_table, top: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate id, score) of each query's k best in the block; ties to the smaller id."""
-    rows, found, scores = [], [], []
-    by_id = np.argsort(x_ids, kind="stable")
-    x, x_ids, x_table = x[by_id], x_ids[by_id], x_table[by_id]
-    xf = x.astype(np.float64)
-    small = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2**52  # then doubles are exact
+def packed(rows: DataFrame, block: int, pivots: np.ndarray, top: float, dims: int, kind: np.dtype, augment: bool) -> DataFrame:
+    """Blocks of at most block rows (row, id, v): row numbers, ids and vectors; for candidates in order of the nearest pivot, with the
+    least and largest distance to the pivots of each group of GROUP rows; for queries with their own distances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            row, own, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for at in range(0, len(row), block):
+                some = slice(at, at + block)
+                d = distances(with_extra(v[some], top, augment), pivots)
+                order, least, most = np.arange(len(d)), d, d
+                if augment:
+                    near = d.argmin(1)
+                    order = np.lexsort((d[np.arange(len(d)), near], near))
+                    starts = np.arange(0, len(d), GROUP)
+                    least, most = np.minimum.reduceat(d[order], starts, 0), np.maximum.reduceat(d[order], starts, 0)
+                parts = (row[some][order], own[some][order], v[some][order].astype(kind), least, most)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["rows", "ids", "vectors", "least", "most"])
+
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            v = np.zeros((len(sizes), dims), np.int64)
+            v[np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), v))
+            if sum(len(x[0]) for x in held) >= block:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return rows.mapInArrow(run, "rows binary, ids binary, vectors binary, least binary, most binary")
+
+
+def numbered(blocks: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The blocks with numbers from 0 on, and how many there are. One row per block of thousands of vectors is ranked in one task."""
+    marked = staged(blocks.withColumn("mark", F.monotonically_increasing_id()), name)
+    ranks = marked.select("mark").withColumn(name, F.row_number().over(Window.orderBy("mark")) - 1)
+    return marked.join(ranks, "mark").drop("mark"), marked.count()
+
+
+def best_of_block(q, q_rows, q_table, x, x_ids, x_rows, least, most, top: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, ids) of each query's k best in the block, NO_SCORE where there are fewer; ties to the smaller id."""
+    small = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1]) < 2**52  # then doubles are exact
+    kind = np.float64 if small else np.int64
+    qk, xk = q.astype(kind), x.astype(kind)
+    gap = np.zeros((len(q), len(least)))
+    for p in range(q_table.shape[1]):
+        d = q_table[:, p, None]
+        np.maximum(gap, np.maximum(d - most[None, :, p], least[None, :, p] - d), out=gap)
     square = (q.astype(np.float64) ** 2).sum(1)
-    for i in range(len(q)):
-        low = np.abs(x_table - q_table[i]).max(1)
-        order = np.argsort(low, kind="stable")
-        high = (square[i] + top - low[order] ** 2) / 2  # no score in this order's rest is above it
-        slack = 1e-6 * (1 + abs(high[0]))
-        ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(order), STEP):
-            if len(got) == k and high[at] + slack < got[-1]:
-                break
-            some = order[at : at + STEP]
-            s = np.rint(xf[some] @ q[i].astype(np.float64)).astype(np.int64) if small else x[some] @ q[i]
-            own = x_ids[some] != q_ids[i]
-            ids, got = np.concatenate([ids, x_ids[some][own]]), np.concatenate([got, s[own]])
-            best = np.lexsort((ids, -got))[:k]
-            ids, got = ids[best], got[best]
-        rows.append(np.full(len(ids), i))
-        found.append(ids)
-        scores.append(got)
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
+    slack = 1e-6 * (1 + top + square[:, None])
+    high = (square[:, None] + top - gap**2) / 2 + slack  # no score in the group is above it
+    order = np.argsort(-high, axis=1, kind="stable")
+    scores, ids = np.full((len(q), k), NO_SCORE), np.full((len(q), k), np.iinfo(np.int64).max)
+    open_ = np.arange(len(q))
+    for step in range(len(least)):
+        group = order[open_, step]
+        ok = high[open_, group] >= scores[open_, -1]
+        open_, group = open_[ok], group[ok]
+        if not len(open_):
+            break
+        by_group = np.argsort(group, kind="stable")
+        for some in np.split(by_group, np.flatnonzero(np.diff(group[by_group])) + 1):
+            at, own = open_[some], slice(group[some[0]] * GROUP, (group[some[0]] + 1) * GROUP)
+            product = qk[at] @ xk[own].T
+            s = np.rint(product).astype(np.int64) if small else product
+            s = np.where(x_rows[own][None] == q_rows[at][:, None], NO_SCORE, s)
+            better = s.max(1) >= scores[at, -1]
+            if better.any():
+                at = at[better]
+                both = np.concatenate([scores[at], s[better]], 1)
+                names = np.concatenate([ids[at], np.where(s[better] == NO_SCORE, np.iinfo(np.int64).max, x_ids[own][None])], 1)
+                best = np.lexsort((names, -np.maximum(both, NO_SCORE + 1)), axis=1)[:, :k]
+                scores[at], ids[at] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+    return scores, ids
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, pivot_sample: int = 1000) -> DataFrame:
-    """query_id, rank (from 1), the candidate's id and its score, for the rows where queries holds, against every row with another id.
+    """query_id, rank (from 1), the candidate's id and its score, for the rows where queries holds, against every other row.
 
-    Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; shorter vectors count as if
-    filled with zeros. Repeated rows are candidates each for itself. Scores are exact while they fit 64 bits. Pivots come from
-    at most pivot_sample vectors and decide the work only. Query blocks hold at most 1024 rows, candidate blocks 16384.
+    Vectors that are null or hold null or non-finite components take no part, nor do null ids; shorter vectors count as if
+    filled with zeros. Rows that repeat an id are queries and candidates each for itself, and only a query's own row is barred. Scores
+    are exact while they fit 64 bits. Pivots come from at most pivot_sample vectors and decide the work only. Query blocks hold at
+    most 4096 rows, candidate blocks 16384. An empty table, or one without queries, gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v"), queries.alias("is_query")).filter(usable(F.col("v")) & F.col("id").isNotNull())
-    rows = staged(rows.select("id", whole_numbers(F.col("v"), scale).alias("v"), "is_query"), "vectors")
-    shape = rows.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)), F.count_if("is_query"), F.count(F.lit(1))).first()
-    result = "query_id long, candidate long, score long"
-    if not shape[3] or not shape[2]:
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("row"), "id", whole_numbers(F.col("v"), scale).alias("v"), "is_query"), "vectors")
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    largest = F.greatest(F.abs(F.coalesce(F.array_max("v"), F.lit(0))), F.abs(F.coalesce(F.array_min("v"), F.lit(0))))
+    dims, top, n_queries, n, most = rows.agg(F.max(F.size("v")), F.max(square), F.count_if("is_query"), F.count(F.lit(1)), F.max(largest)).first()
+    if not n or not n_queries:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
-    dims, top = shape[0], shape[1] * (1 + 1e-12)
-    sample = np.zeros((min(pivot_sample, shape[3]), dims))
+    dims, top, kind = max(1, dims), top * (1 + 1e-12), narrowest(most)
+    sample = np.zeros((min(pivot_sample, n), dims))
     for i, r in enumerate(rows.select("v").limit(pivot_sample).collect()):
         sample[i, : len(r["v"])] = r["v"]
-    pivots = spread_pivots(np.column_stack([sample, np.sqrt(np.maximum(top - (sample * sample).sum(1), 0))]), PIVOTS)
-    q_rows = rows.filter("is_query").select("id", "v").repartition(-(-shape[2] // QUERY_BLOCK))
-    q = staged(packed(q_rows, QUERY_BLOCK, pivots, top, dims, False).withColumn("qb", F.monotonically_increasing_id()), "query-blocks")
-    x = staged(packed(rows.select("id", "v"), CANDIDATE_BLOCK, pivots, top, dims, True).withColumn("xb", F.monotonically_increasing_id()), "candidate-blocks")
-    # The block numbers alone go through the driver: one number for each 1024 queries and 16384 candidates.
-    q_numbers, x_numbers = ([r[0] for r in t.collect()] for t in (q.select("qb"), x.select("xb")))
-    each = lambda numbers, name: F.explode(F.array(*[F.lit(n).cast("long") for n in numbers])).alias(name)
-    x_side = x.select("xb", F.col("ids").alias("x_ids"), F.col("vectors").alias("x"), F.col("table").alias("x_table"), each(q_numbers, "qb"))
-    q_side = q.select("qb", "ids", "vectors", "table", each(x_numbers, "xb"))
-    pairs = q_side.join(x_side, ["qb", "xb"]).select("ids", "vectors", "table", "x_ids", "x", "x_table")
+    pivots = spread_pivots(with_extra(sample, top, True), PIVOTS)
+    q_rows = rows.filter("is_query").select("row", "id", "v").repartition(-(-n_queries // QUERY_BLOCK))
+    q, _ = numbered(packed(q_rows, QUERY_BLOCK, pivots, top, dims, kind, False).select("rows", "ids", "vectors", "least"), "qb")
+    x, n_x = numbered(packed(rows.select("row", "id", "v"), CANDIDATE_BLOCK, pivots, top, dims, kind, True), "xb")
+    # Each query block goes to every candidate block; candidate blocks, the larger side, travel once for all of them.
+    asked = q.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(n_x - 1))))
+    x = x.select("xb", *[F.col(c).alias("x_" + c) for c in ("rows", "ids", "vectors", "least", "most")])
+    pairs = asked.join(x, "xb").select("rows", "ids", "vectors", "least", "x_rows", "x_ids", "x_vectors", "x_least", "x_most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
-                raw = [batch.column(i)[r].as_py() for i in range(6)]
-                q_ids, x_ids = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[3], np.int64)
-                read = lambda b, n, kind: np.frombuffer(b, kind).reshape(n, -1)
-                rows, ids, scores = best_of_block(read(raw[1], len(q_ids), np.int64), q_ids, read(raw[2], len(q_ids), np.float64), read(raw[4], len(x_ids), np.int64), x_ids, read(raw[5], len(x_ids), np.float64), top, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids), pa.array(scores)], names=["query_id", "candidate", "score"])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate")
-    ranked = pairs.mapInArrow(run, result).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+                raw = [batch.column(i)[r].as_py() for i in range(9)]
+                (q_rows, q_ids), (x_rows, x_ids) = ([np.frombuffer(b, np.int64) for b in raw[i : i + 2]] for i in (0, 4))
+                table = lambda b: np.frombuffer(b, np.float64).reshape(-1, len(pivots))
+                q, x = (np.frombuffer(raw[i], kind).reshape(-1, dims) for i in (2, 6))
+                scores, ids = best_of_block(q, q_rows, table(raw[3]), x, x_ids, x_rows, table(raw[7]), table(raw[8]), top, k)
+                at, place = np.nonzero(scores != NO_SCORE)
+                yield pa.RecordBatch.from_arrays([pa.array(q_rows[at]), pa.array(q_ids[at]), pa.array(ids[at, place]), pa.array(scores[at, place])], names=["row", "query_id", "candidate", "score"])
+
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "candidate")
+    ranked = pairs.mapInArrow(run, "row long, query_id long, candidate long, score long").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("candidate").alias(id_col), "score")
 
 
 OP1_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
