@@ -46,7 +46,7 @@ class UnitTable:
     max_units bounds the memory of a worker: beyond it the table starts anew. Results don't depend on it.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], compute: Callable, max_units: int = 400_000):
+    def __init__(self, split: Callable[[str], list[str]], compute: Callable, max_units: int = 800_000):
         self.split, self.compute, self.max_units = split, compute, max_units
         self._reset()
 
@@ -141,7 +141,7 @@ class PieceIds:
     model once; all other units, and those that may hold special tokens, go through the whole library.
     """
 
-    def __init__(self, tokenizer, pattern: str, lower: bool, most: int = 300_000):
+    def __init__(self, tokenizer, pattern: str, lower: bool, most: int = 100_000):
         import regex
 
         self.model, self.library = tokenizer.model, library_ids(tokenizer)
@@ -156,22 +156,34 @@ class PieceIds:
     def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
             self.known.clear()
-        others = [i for i, u in enumerate(units) if "<|" in u or not PLAIN.fullmatch(u)]
-        flat, lengths = self.library([units[i] for i in others])
-        ends, own = np.cumsum(lengths), dict.fromkeys(others)
-        for k, i in enumerate(others):
-            own[i] = flat[ends[k] - lengths[k] : ends[k]].tolist()
-        out: list[int] = []
+        out: list[int | None] = []
         sizes = np.zeros(len(units), np.int64)
+        others: list[int] = []
+        known, tokenize, lower = self.known, self.model.tokenize, self.lower
         for i, unit in enumerate(units):
-            before = len(out)
-            if i in own:
-                out += own[i]
+            word = unit[1:] if unit[0] == " " else unit
+            if word.isascii() and word.isalpha():  # one piece, written as it stands
+                ids = [t.id for t in tokenize(("\u0120" if len(word) < len(unit) else "") + (word.lower() if lower else word))]
+            elif "<|" in unit or not PLAIN.fullmatch(unit):
+                others.append(i)
+                continue
             else:
-                for piece in self.cut(unit.lower() if self.lower else unit):
-                    out += self.known.get(piece) or self._piece(piece)
-            sizes[i] = len(out) - before
-        return np.array(out, np.int32), sizes
+                ids = []
+                for piece in self.cut(unit.lower() if lower else unit):
+                    ids += known.get(piece) or self._piece(piece)
+            sizes[i] = len(ids)
+            out += ids
+        plain = np.array(out, np.int32)
+        if not others:
+            return plain, sizes
+        flat, lengths = self.library([units[i] for i in others])
+        sizes[others] = lengths
+        other = np.zeros(len(units), bool)
+        other[others] = True
+        whole = np.empty(len(plain) + len(flat), np.int32)
+        theirs = np.repeat(other, sizes)
+        whole[theirs], whole[~theirs] = flat, plain
+        return whole, sizes
 
 
 _KEPT: dict[tuple, UnitTable] = {}
