@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import private, toxicity
-from .common import staged, table
+from .common import count_words, table
 from .conversations import reply_ordered
-from .mixing import OP8_SQL, weighted_fair_queue
+from .mixing import OP8_SQL, fair_mix
 from .ngram_join import ngram_components
 from .packing import pack_documents
 from .quality import OP7_SQL, quality_rules
@@ -58,10 +58,8 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import count_words
-
-    sized = staged(table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("words")), "sizes")
-    return weighted_fair_queue(sized, size_col="words").select("doc_id", "size", "source_size", "target", "taken")
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("words"))
+    return fair_mix(sized, size_col="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_private(spark: SparkSession, sf_dir: str) -> DataFrame:
