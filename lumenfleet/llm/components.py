@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,8 +22,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         two = one.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b").filter("la <> lb")
         up = staged(two.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("up")), "labels")
         if up.isEmpty():
+            dropped(up)
             return labels
         for _ in range(2):
             further = up.select(F.col("label").alias("up"), F.col("up").alias("further"))
-            up = staged(up.join(further, "up", "left").select("label", F.coalesce("further", "up").alias("up")), "labels")
-        labels = staged(labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+            before, up = up, staged(up.join(further, "up", "left").select("label", F.coalesce("further", "up").alias("up")), "labels")
+            dropped(before)
+        before, labels = labels, staged(labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        dropped(before, up)
