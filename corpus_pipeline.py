@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicate removal, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written as Parquet and read again as the next one's docs. All but
-the last return the columns of documents.
+the last return the columns of documents; further columns, whatever their names, are left out. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfleet.llm import private
-from lumenfleet.llm.common import WORD, scratch, staged
+from lumenfleet.llm.common import count_words, scratch, staged
 from lumenfleet.llm.mixing import schedule, weighted_fair_queue
-from lumenfleet.llm.ngram_join import ngram_components, with_set_ids
+from lumenfleet.llm.ngram_join import MOST_BROADCAST, ngram_components, with_set_ids
 from lumenfleet.llm.packing import pack_documents
 from lumenfleet.llm.quality import quality_rules
 from lumenfleet.llm.queries import tokenizer_path
@@ -23,49 +23,55 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the cascade reject go."""
-    # A filter on a plain column would be pushed below the features and work each of them out many times over.
-    verdict = F.col("kept") & (F.monotonically_increasing_id() >= 0)
-    return quality_rules(docs.select(COLUMNS)).withColumn("verdict", verdict).filter("verdict").select(COLUMNS)
+    """Documents that the base rules or the cascade reject go, null and empty texts among them; other rows stay as they are.
+
+    The verdicts are written first: a filter on them would be pushed below the features and work each of them out many times over.
+    """
+    return staged(quality_rules(docs.select(COLUMNS)).select(*COLUMNS, "kept"), "verdicts").filter("kept").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id; documents without words or ids stay too.
 
     Rows that repeat a doc_id are told apart by their sets: those of other components stay, those with equal sets are copies, of which
-    the one with the smallest text stays.
+    the one with the smallest text stays. Only such rows are compared by their texts; all others go or stay by their id.
     """
     found = ngram_components(docs).filter("doc_id is not null").select("doc_id", "n_shingles", "set_id", "label")
-    found = staged(found, "components")
     kept = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc_id", "set_id")).alias("d")).select("d.*", F.lit(False).alias("empty"))
-    kept = kept.unionByName(found.filter("n_shingles = 0").select("doc_id", "set_id", F.lit(True).alias("empty")).distinct())
-    ids = found.groupBy("doc_id").agg((F.min(F.struct("n_shingles", "set_id")) != F.max(F.struct("n_shingles", "set_id"))).alias("several"))
-    several = ids.filter("several").select("doc_id")
-    named = docs.filter("doc_id is not null").select(COLUMNS)
-    alone = named.join(kept.join(several, "doc_id", "left_anti"), "doc_id")
-    told = with_set_ids(named.join(several, "doc_id", "left_semi")).join(kept, ["doc_id", "set_id"])
-    rows = alone.select(*COLUMNS, "set_id", "empty").unionByName(told.select(*COLUMNS, "set_id", "empty"))
-    rows = rows.withColumn("each", F.when(F.col("empty"), F.monotonically_increasing_id()))
-    one = rows.groupBy("doc_id", "set_id", "each").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
-    return one.select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
+    kept = staged(kept.unionByName(found.filter("n_shingles = 0").select("doc_id", "set_id", F.lit(True).alias("empty")).distinct()), "kept")
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
+    repeated = staged(ids.filter("m > 1").select("doc_id"), "repeated")
+    gone = staged(ids.filter("m = 1").select("doc_id").join(kept, "doc_id", "left_anti").unionByName(repeated), "gone")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    alone = docs.select(COLUMNS).join(few(gone), "doc_id", "left_anti")
+    told = with_set_ids(docs.select(COLUMNS).join(few(repeated), "doc_id", "left_semi")).join(kept, ["doc_id", "set_id"])
+    told = told.withColumn("each", F.when(F.col("empty"), F.monotonically_increasing_id()))
+    one = told.groupBy("doc_id", "set_id", "each").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
+    return alone.unionByName(one.select(COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data give way to their kind; n_chars follows the new text."""
+    """Spans of personal data give way to their kind; n_chars follows the new text. Null and empty texts stay as they are, and so do all rows."""
     clean = private.redact(docs.select(COLUMNS), private.fit())
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source comes to its target: documents past it go, those of short sources come again, the copy at the cut-off is cut."""
-    copies = schedule(weighted_fair_queue(docs.select(COLUMNS)))
-    text = F.when(F.col("copy_taken") >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("copy_taken").cast("int")), " "))
-    taken = copies.withColumn("text", text)
+    """Every source comes to its target: documents past it go, those of short sources come again, the copy at the cut-off is cut behind its
+    last word taken. Documents without words go. Rows are numbered and written once; the queue works on sizes, and texts are
+    joined to the copies at the end.
+    """
+    rows = staged(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("number"), count_words(F.col("text")).alias("words")), "numbered")
+    copies = schedule(weighted_fair_queue(rows.select("doc_id", "source", "number", "words"), size_col="words"))
+    taken = rows.join(copies.select("number", "size", "copy_taken", "vfinish", "key", "copy"), "number")
+    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the white space before it
+    until = F.array_join(F.slice(words, F.lit(1), F.col("copy_taken").cast("int")), "")
+    taken = taken.withColumn("text", F.when(F.col("copy_taken") >= F.col("size"), F.col("text")).otherwise(until)).orderBy("vfinish", "key", "number", "copy")
     return taken.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as sequences of 2048 tokens: one row per piece."""
+    """The mix as sequences of 2048 tokens: one row per piece. Null and empty texts are one end id."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
