@@ -8,7 +8,10 @@ from pyspark.sql import SparkSession
 
 from lumenfleet.plans import fleet
 
-HEADLINE = ["a07_noise_pair", "a03_w01_channel_metrics", "a01_region_statistics", "a06_noise_single", "a11_projections", "w03_auto_levels", "j06_defects", "n11_defect_correction", "a15_binning", "a17_pyramid", "n02_gaussian", "j12_exposure_merge", "j08_format_candidates", "t03_drift"]
+HEADLINE = [
+    "a07_noise_pair", "a03_w01_channel_metrics", "a01_region_statistics", "a06_noise_single", "a11_projections", "w03_auto_levels", "j06_defects",
+    "n11_defect_correction", "a15_binning", "a17_pyramid", "n02_gaussian", "n06_median", "j12_exposure_merge", "j08_format_candidates", "t03_drift",
+]
 
 if __name__ == "__main__":
     folder, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import c, clamp, full_scale_factor, half_up, pop_variance
+from ..functions.semantics import c, cfa_channel, clamp, full_scale_factor, half_up, pop_variance
 
 
 # --- Arithmetic of two frames -------------------------------------------------------------------------------------------------
@@ -63,64 +63,75 @@ def bayer_pyramid(px: DataFrame, width: int, height: str, levels: int) -> DataFr
 
 
 # --- Filters ------------------------------------------------------------------------------------------------------------------
-def stencil_rows(rows: DataFrame, radius: int, step: int, band: int | None = None) -> tuple[DataFrame, list[str]]:
-    """rows with columns r0 .. r2k: the same-phase rows around each, the edge rows repeated. With band, tall frames are cut into bands of so
-    many rows, each with the neighbours it needs, so that no task holds a whole frame."""
-    keys = ["frame_id", c("y") % step]
-    if band:
-        reach = radius * step
-        edge = Window.partitionBy("frame_id")
-        rows = rows.withColumn("top", F.max("y").over(edge))
-        own = F.floor(c("y") / band)
-        near = F.array_distinct(F.array(own, F.greatest(F.lit(0), F.floor((c("y") - reach) / band)), F.least(F.floor(c("top") / band), F.floor((c("y") + reach) / band))))
-        rows = rows.withColumn("band", F.explode(near))
-        keys = [*keys, "band"]
-    w = Window.partitionBy(*keys).orderBy("y")
+#: Rows to a band: what a task of a filter holds is a band of a frame and the rows around it, never a whole tall frame.
+BAND = 256
+
+
+def stencil_rows(rows: DataFrame, radius: int, step: int, band: int = BAND, columns: tuple[str, ...] = ("codes",), missing: bool = False) -> tuple[DataFrame, list[list[str]]]:
+    """rows with the same-phase rows around each, for each of the columns a list of names from 2 * radius + 1 rows; the edge rows repeated, or null
+    with missing. Frames are cut into bands, each with the neighbours it needs."""
+    reach = radius * step
+    own = F.floor(c("y") / band)
+    near = F.array_distinct(F.array(own, F.greatest(F.lit(0), F.floor((c("y") - reach) / band)), F.floor((c("y") + reach) / band)))
+    rows = rows.withColumn("band", F.explode(near))
+    w = Window.partitionBy("frame_id", c("y") % step, "band").orderBy("y")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    names = []
-    for k in range(-radius, radius + 1):
-        name = f"r{k + radius}"
-        if k < 0:
-            value = F.coalesce(F.lag("codes", -k).over(w), F.first("codes").over(whole))
-        elif k > 0:
-            value = F.coalesce(F.lead("codes", k).over(w), F.last("codes").over(whole))
-        else:
-            value = c("codes")
-        rows, names = rows.withColumn(name, value), [*names, name]
-    if band:
-        rows = rows.filter(F.floor(c("y") / band) == c("band")).drop("band", "top")
-    return rows, names
-
-
-def beside(array: Column, width: int, k: int, step: int) -> Column:
-    """The array whose i-th value is the same-phase neighbour k steps on, the edge value repeated."""
-    last = [(width - 1 - p) // step for p in range(step)]
-    index = [i % step + min(max(i // step + k, 0), last[i % step]) * step for i in range(width)]
-    return F.transform(F.array(*map(F.lit, index)), lambda i: F.get(array, i))
-
-
-def separable(rows: DataFrame, weights: list[float], width: int, depth: int, step: int) -> DataFrame:
-    """Weighted mean over the window, horizontally and then vertically in the order of the offsets; 16-bit values rescaled to full scale."""
-    radius = len(weights) // 2
-    shift = 1 << (16 - depth)
-    v = F.transform("codes", lambda x: (x * shift).cast("double"))
-    flat = rows.withColumn("codes", v)
-    across = None
-    for k, wt in zip(range(-radius, radius + 1), weights, strict=True):
-        part = _scaled(beside(c("codes"), width, k, step), wt)
-        across = part if across is None else F.zip_with(across, part, lambda p, q: p + q)
-    flat = flat.select("frame_id", "y", across.alias("codes"))
-    around, names = stencil_rows(flat, radius, step)
-    down = None
-    for name, wt in zip(names, weights, strict=True):
-        part = _scaled(c(name), wt)
-        down = part if down is None else F.zip_with(down, part, lambda p, q: p + q)
-    scale = full_scale_factor(depth)
-    return around.select("frame_id", "y", F.transform(down, lambda x: clamp(half_up(x * F.lit(scale)), F.lit(0), F.lit(65535)).cast("int")).alias("codes"))
-
-
-def _scaled(array: Column, weight: float) -> Column:
-    return F.transform(array, lambda x: x * F.lit(weight))
+    names = [[f"{name}_{k + radius}" for k in range(-radius, radius + 1)] for name in columns]
+    for name, own_names in zip(columns, names, strict=True):
+        for k, out in zip(range(-radius, radius + 1), own_names, strict=True):
+            value = F.lag(name, -k).over(w) if k < 0 else F.lead(name, k).over(w) if k else c(name)
+            if k and not missing:
+                value = F.coalesce(value, (F.first(name) if k < 0 else F.last(name)).over(whole))
+            rows = rows.withColumn(out, value)
+    return rows.filter(F.floor(c("y") / band) == c("band")).drop("band"), names
+
+
+def beside(array: Column, k: int, step: int) -> Column:
+    """The array whose i-th value is the same-phase neighbour k steps on, the edge value repeated; the width is the array's own."""
+    if not k:
+        return array
+    n, edge = F.size(array), F.least(F.lit(step), F.size(array))
+    if k < 0:
+        return F.slice(F.concat(F.flatten(F.array_repeat(F.slice(array, F.lit(1), edge), -k)), array), F.lit(1), n)
+    whole = F.concat(array, F.flatten(F.array_repeat(F.slice(array, n - edge + 1, edge), k)))
+    return F.slice(whole, F.size(whole) - n + 1, n)
+
+
+def together(arrays: list[Column], one) -> Column:
+    """one(values) at every place of arrays of one length, in a single pass."""
+    zipped = F.arrays_zip(*[a.alias(f"v{i}") for i, a in enumerate(arrays)])
+    return F.transform(zipped, lambda v: one([v[f"v{i}"] for i in range(len(arrays))]))
+
+
+def weighted(values: list[Column], weights: list[float]) -> Column:
+    total = values[0] * F.lit(weights[0])
+    for v, w in zip(values[1:], weights[1:], strict=True):
+        total = total + v * F.lit(w)
+    return total
+
+
+def to_full_scale(value: Column, factor: float) -> Column:
+    return clamp(half_up(value * F.lit(factor)), F.lit(0), F.lit(65535)).cast("int")
+
+
+def smoothed(rows: DataFrame, weights: list[float], depth: int, step: int, finish, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
+    """finish(mean, 16-bit value) of the weighted mean over the window, horizontally and then vertically in the order of the offsets."""
+    radius, shift = len(weights) // 2, 1 << (16 - depth)
+    across = [together([beside(c(name), k, step) for k in range(-radius, radius + 1)], lambda v: weighted([(x * shift).cast("double") for x in v], weights)).alias(f"{name}_m") for name in columns]
+    flat = rows.select("frame_id", "y", *columns, *across)
+    around, names = stencil_rows(flat, radius, step, columns=tuple(f"{name}_m" for name in columns))
+    out = [together([*map(c, own), c(name)], lambda v: finish(weighted(v[:-1], weights), (v[-1] * shift).cast("double"))).alias(name) for name, own in zip(columns, names, strict=True)]
+    return around.select("frame_id", "y", *out)
+
+
+def separable(rows: DataFrame, weights: list[float], depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
+    """Weighted mean over the window; 16-bit values rescaled to full scale."""
+    return smoothed(rows, weights, depth, step, lambda mean, _: to_full_scale(mean, full_scale_factor(depth)), columns)
+
+
+def unsharp_mask(rows: DataFrame, weights: list[float], amount: float, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
+    """v + amount * (v - weighted mean), rescaled to full scale."""
+    return smoothed(rows, weights, depth, step, lambda mean, v: to_full_scale(v + F.lit(float(amount)) * (v - mean), full_scale_factor(depth)), columns)
 
 
 def box_weights(radius: int) -> list[float]:
@@ -132,50 +143,34 @@ def gaussian_weights(radius: int, sigma: float) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def extreme(rows: DataFrame, radius: int, width: int, depth: int, step: int, largest: bool) -> DataFrame:
+def extreme(rows: DataFrame, radius: int, depth: int, step: int, largest: bool, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
     """Erode or dilate: minimum or maximum over the window, rescaled to 16 bit."""
     pick = F.greatest if largest else F.least
-    around, names = stencil_rows(rows, radius, step)
-    fold = lambda arrays: _fold(arrays, pick)
-    down = around.select("frame_id", "y", fold([c(n) for n in names]).alias("codes"))
-    across = fold([beside(c("codes"), width, k, step) for k in range(-radius, radius + 1)])
+    across = [together([beside(c(name), k, step) for k in range(-radius, radius + 1)], lambda v: pick(*v)).alias(name) for name in columns]
+    around, names = stencil_rows(rows.select("frame_id", "y", *across), radius, step, columns=columns)
     scale = full_scale_factor(depth) * (1 << (16 - depth))
-    return down.select("frame_id", "y", F.transform(across, lambda x: clamp(half_up(x * F.lit(scale)), F.lit(0), F.lit(65535)).cast("int")).alias("codes"))
+    return around.select("frame_id", "y", *[together([*map(c, own)], lambda v: to_full_scale(pick(*v), scale)).alias(name) for name, own in zip(columns, names, strict=True)])
 
 
-def _fold(arrays: list[Column], pick) -> Column:
-    out = arrays[0]
-    for a in arrays[1:]:
-        out = F.zip_with(out, a, lambda p, q: pick(p, q))
-    return out
+def median_filter(rows: DataFrame, radius: int, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
+    """Median of the same-phase window (the count is odd), rescaled to 16 bit."""
+    around, names = stencil_rows(rows.select("frame_id", "y", *columns), radius, step, columns=columns)
+    n, scale = (2 * radius + 1) ** 2, full_scale_factor(depth) * (1 << (16 - depth))
+    window = lambda own: [beside(c(r), k, step) for r in own for k in range(-radius, radius + 1)]
+    return around.select("frame_id", "y", *[together(window(own), lambda v: to_full_scale(F.element_at(F.sort_array(F.array(*v)), n // 2 + 1), scale)).alias(name) for name, own in zip(columns, names, strict=True)])
 
 
-def median_filter(px: DataFrame, radius: int, width: int, height: str, depth: int, step: int) -> DataFrame:
-    """Median of the same-phase window (upper middle never arises: the count is odd). Each pixel goes to the windows that hold it."""
-    n = 2 * radius + 1
-    last_x = lambda x: F.floor((F.lit(width - 1) - c(x) % step) / step)
-    offs = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)])).alias("o")
-    want = px.select("frame_id", "y", "x", c(height).alias("hh"), offs)
-    ny = (c("y") % step + clamp(F.floor(c("y") / step) + c("o.dy"), F.lit(0), F.floor((c("hh") - 1 - c("y") % step) / step)) * step).cast("int")
-    nx = (c("x") % step + clamp(F.floor(c("x") / step) + c("o.dx"), F.lit(0), last_x("x")) * step).cast("int")
-    near = want.select("frame_id", "y", "x", ny.alias("ny"), nx.alias("nx"))
-    got = near.join(px.select("frame_id", c("y").alias("ny"), c("x").alias("nx"), "code"), ["frame_id", "ny", "nx"])
-    mid = F.element_at(F.array_sort(F.collect_list("code")), n * n // 2 + 1)
+def sobel(rows: DataFrame, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
+    """A quarter of the gradient's length, rescaled to 16 bit."""
+    around, names = stencil_rows(rows.select("frame_id", "y", *columns), 1, step, columns=columns)
     scale = full_scale_factor(depth) * (1 << (16 - depth))
-    return got.groupBy("frame_id", "y", "x").agg(mid.alias("m")).select("frame_id", "y", "x", clamp(half_up(c("m") * F.lit(scale)), F.lit(0), F.lit(65535)).cast("int").alias("v16"))
-
-
-def sobel(rows: DataFrame, width: int, depth: int, step: int) -> DataFrame:
-    around, names = stencil_rows(rows, 1, step)
-    up, mid, low = (c(n) for n in names)
-    side = lambda a, k: beside(a, width, k, step)
-    add = lambda a, b: F.zip_with(a, b, lambda p, q: p + q)
-    less = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
-    twice = lambda a: F.transform(a, lambda p: p * 2)
-    gx = less(add(add(side(up, 1), twice(side(mid, 1))), side(low, 1)), add(add(side(up, -1), twice(side(mid, -1))), side(low, -1)))
-    gy = less(add(add(side(low, -1), twice(low)), side(low, 1)), add(add(side(up, -1), twice(up)), side(up, 1)))
-    scale = full_scale_factor(depth) * (1 << (16 - depth))
-    return around.select("frame_id", "y", F.zip_with(gx, gy, lambda p, q: clamp(half_up(F.sqrt((p * p + q * q).cast("double")) / 4 * F.lit(scale)), F.lit(0), F.lit(65535)).cast("int")).alias("codes"))
+
+    def one(v: list[Column]) -> Column:
+        gx = (v[2] + v[5] * 2 + v[8]) - (v[0] + v[3] * 2 + v[6])
+        gy = (v[6] + v[7] * 2 + v[8]) - (v[0] + v[1] * 2 + v[2])
+        return to_full_scale(F.sqrt((gx * gx + gy * gy).cast("double")) / 4, scale)
+
+    return around.select("frame_id", "y", *[together([beside(c(r), k, step) for r in own for k in (-1, 0, 1)], one).alias(name) for name, own in zip(columns, names, strict=True)])
 
 
 # --- Defects ------------------------------------------------------------------------------------------------------------------
@@ -185,61 +180,93 @@ def defect_thresholds(px: DataFrame, k: float, keys: list[str]) -> DataFrame:
     return per.select(*keys, "mean", "sigma", (c("mean") + k * c("sigma")).alias("high"), (c("mean") - k * c("sigma")).alias("low"))
 
 
-def defects(px: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
-    """frame_id, y, x, code, type and deviation in sigmas (null where sigma is 0); strict comparisons."""
-    kind = F.when(c("code") > c("high"), "hot").when(c("code") < c("low"), "dead")
-    found = px.join(thresholds, keys).withColumn("type", kind).filter(c("type").isNotNull())
-    return found.select("frame_id", "y", "x", "code", "channel", "type", F.when(c("sigma") > 0, (c("code") - c("mean")) / c("sigma")).alias("deviation"))
+def defects(rows: DataFrame, pattern: Column, k: float, segment: int | None = None) -> DataFrame:
+    """frame_id, y, x, code, channel, type and deviation in sigmas (null where sigma is 0) from image rows; strict comparisons with thresholds by channel,
+    and by exposure segment of side-by-side frames.
+
+    Every frame's thresholds are one map that meets its rows; pixels come apart after that and are never shuffled.
+    """
+    part = F.floor(c("x") / segment) if segment else F.lit(0)
+
+    def pixels(r: DataFrame, *keep: str) -> DataFrame:
+        px = r.select("frame_id", "y", pattern.alias("pattern"), *keep, F.posexplode("codes").alias("x", "code"))
+        return px.withColumn("channel", cfa_channel("pattern", "x", "y", segment)).withColumn("group", F.concat_ws("/", part.cast("string"), "channel"))
+
+    bounds = F.struct("high", "low", "mean", "sigma")
+    per = defect_thresholds(pixels(rows), k, ["frame_id", "group"]).groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct(c("group"), bounds.alias("t")))).alias("bounds"))
+    px = pixels(rows.join(per, "frame_id"), "bounds").withColumn("t", c("bounds")[c("group")]).drop("bounds")
+    kind = F.when(c("code") > c("t.high"), "hot").when(c("code") < c("t.low"), "dead")
+    found = px.withColumn("type", kind).filter(c("type").isNotNull())
+    return found.select("frame_id", "y", "x", "code", "channel", "type", F.when(c("t.sigma") > 0, (c("code") - c("t.mean")) / c("t.sigma")).alias("deviation"))
 
 
 def capped(found: DataFrame, most: int) -> DataFrame:
-    """The first most defects of each frame in y, x order, with truncated where there are more."""
-    first = found.withColumn("r", F.row_number().over(Window.partitionBy("frame_id").orderBy("y", "x"))).filter(c("r") <= most)
-    many = found.groupBy("frame_id").agg((F.count(F.lit(1)) > most).alias("truncated"))
-    return first.join(many, "frame_id").drop("r")
+    """The first most defects of each frame in y, x order, with truncated where there are more: one more is looked at, none counted."""
+    rank = F.row_number().over(Window.partitionBy("frame_id").orderBy("y", "x"))
+    first = found.withColumn("r", rank).filter(c("r") <= most + 1)
+    more = first.withColumn("truncated", F.max("r").over(Window.partitionBy("frame_id")) > most)
+    return more.filter(c("r") <= most).drop("r")
+
 
+def corrected(rows: DataFrame, found: DataFrame, step: int, mean: bool = False) -> DataFrame:
+    """Defects with the median, or mean, of their good neighbours: rings 1 to 3, up to the first ring at which two or more are known.
 
-def corrected(px: DataFrame, found: DataFrame, step: int) -> DataFrame:
-    """Defects with the median of their good neighbours: rings 1 to 3, up to the first ring at which two or more are known."""
+    Neighbours are asked for by image row: one record of each row that holds some meets the places wanted of it.
+    """
     offs = [(r, dy, dx) for r in (1, 2, 3) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if max(abs(dy), abs(dx)) == r]
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(dy * step).alias("dy"), F.lit(dx * step).alias("dx")) for r, dy, dx in offs])).alias("o")
-    want = found.select("frame_id", "y", "x", each).select("frame_id", "y", "x", "o.r", (c("y") + c("o.dy")).alias("ny"), (c("x") + c("o.dx")).alias("nx"))
-    got = want.join(px.select("frame_id", c("y").alias("ny"), c("x").alias("nx"), c("code").alias("v")), ["frame_id", "ny", "nx"])
-    good = got.join(found.select("frame_id", c("y").alias("ny"), c("x").alias("nx")), ["frame_id", "ny", "nx"], "left_anti")
-    upto = good.withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("frame_id", "y", "x").orderBy("r")))
-    stop = upto.groupBy("frame_id", "y", "x").agg(F.coalesce(F.min(F.when(c("known") >= 2, c("r"))), F.lit(3)).alias("stop"))
-    used = good.join(stop, ["frame_id", "y", "x"]).filter(c("r") <= c("stop"))
-    value = used.groupBy("frame_id", "y", "x").agg(half_up(F.median("v")).cast("int").alias("value"), F.count(F.lit(1)).alias("neighbours"))
+    want = found.select("frame_id", "y", "x", each).select("frame_id", c("y").alias("dy"), c("x").alias("dx"), "o.r", (c("y") + c("o.dy")).alias("y"), (c("x") + c("o.dx")).alias("x"))
+    # One list of wanted and bad places for each image row.
+    asked = want.select("frame_id", "y", F.struct("dy", "dx", "r", "x").alias("w"), F.lit(None).cast("int").alias("bad")).unionByName(found.select("frame_id", "y", F.lit(None).cast("struct<dy:int,dx:int,r:int,x:int>").alias("w"), c("x").cast("int").alias("bad")))
+    lists = asked.groupBy("frame_id", "y").agg(F.collect_list("w").alias("w"), F.collect_list("bad").alias("bad")).filter(F.size("w") > 0)
+    met = rows.select("frame_id", "y", "codes").join(lists, ["frame_id", "y"])
+    got = met.select("frame_id", "codes", "bad", F.explode("w").alias("w")).filter((c("w.x") >= 0) & (c("w.x") < F.size("codes")) & ~F.array_contains("bad", c("w.x")))
+    good = got.select("frame_id", c("w.dy").alias("y"), c("w.dx").alias("x"), c("w.r").alias("r"), F.get("codes", c("w.x")).alias("v"))
+    near = good.groupBy("frame_id", "y", "x").agg(*[F.count_if(c("r") <= r).alias(f"n{r}") for r in (1, 2, 3)], *[(F.avg if mean else F.median)(F.when(c("r") <= r, c("v"))).alias(f"v{r}") for r in (1, 2, 3)])
+    pick = lambda name: F.when(c("n1") >= 2, c(f"{name}1")).when(c("n2") >= 2, c(f"{name}2")).otherwise(c(f"{name}3"))
+    value = near.select("frame_id", "y", "x", half_up(pick("v")).cast("int").alias("value"), pick("n").alias("neighbours"))
     return found.select("frame_id", "y", "x", "code", "type").join(value, ["frame_id", "y", "x"], "left").select("frame_id", "y", "x", "code", "type", F.coalesce("value", "code").alias("corrected"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
 # --- Exposures ----------------------------------------------------------------------------------------------------------------
-def split_exposures(rows: DataFrame, stages: int, block: int, height: str) -> DataFrame:
-    """Line-interleaved frames to one frame per stage: arithmetic on y alone, cropped to the rows that all stages have."""
-    period = stages * block
-    keep = F.floor(c(height) / period) * block
-    sub = F.floor(c("y") / period) * block + c("y") % block
-    out = rows.withColumn("stage", (F.floor(c("y") / block) % stages).cast("int")).withColumn("sub_y", sub.cast("int"))
-    return out.filter(c("sub_y") < keep).select("frame_id", "stage", c("sub_y").alias("y"), "codes")
-
-
-def merge_exposures(split: DataFrame, ratio: float, black: float, depth: int, saturation: float = 0.9, blend: float = 0.1) -> DataFrame:
-    """Two stages (0 the longer) to float32 radiance: the shorter scaled by the ratio takes over where the longer nears saturation."""
+def split_exposures(rows: DataFrame, stages: int, block: int, height: str, offset: int = 0) -> DataFrame:
+    """Line-interleaved frames to one frame per stage: arithmetic on y alone. Each stage reads offset rows later than the one before it, so
+    they are cut to the sensor rows that all of them have."""
+    period, spread = stages * block, offset * (stages - 1)
+    lowest = min(0, spread)
+    keep = F.floor(c(height) / period) * block - abs(spread)
+    stage = (F.floor(c("y") / block) % stages).cast("int")
+    sub = F.floor(c("y") / period) * block + c("y") % block - (offset * stage - lowest)
+    out = rows.withColumn("stage", stage).withColumn("sub_y", sub.cast("int"))
+    return out.filter((c("sub_y") >= 0) & (c("sub_y") < keep) & (c("y") < F.floor(c(height) / period) * period)).select("frame_id", "stage", c("sub_y").alias("y"), "codes")
+
+
+def merge_exposures(split: DataFrame, ratio: float, black: float, depth: int, saturation: float = 0.9, blend: float = 0.1, stages: int = 2) -> DataFrame:
+    """Two or three stages (0 the longest) to float32 radiance: stage k, scaled by the ratio to the power of k, takes over where what is merged
+    so far nears its saturation. One aggregate brings the stages of a row together; there is no join."""
     shift = 1 << (16 - depth)
-    full = float(((1 << depth) - 1) * shift) - black
-    t1 = saturation * full
-    t0 = t1 - blend * full if blend < saturation else t1 / 2
+    linear = float(((1 << depth) - 1) * shift) - black
+    if linear <= 0 or stages not in (2, 3):
+        raise ValueError("the black level must lie below the largest code, and stages are 2 or 3")
     f = lambda v: F.lit(v).cast("float")
-    both = split.groupBy("frame_id", "y").agg(F.max(F.when(c("stage") == 0, c("codes"))).alias("a"), F.max(F.when(c("stage") == 1, c("codes"))).alias("b"))
-
-    def one(p: Column, q: Column) -> Column:
-        longer = (p * shift).cast("float") - f(black)
-        scaled = ((q * shift).cast("float") - f(black)) * f(ratio)
-        t = ((longer - f(t0)) / f(t1 - t0)).cast("float")
-        w = (t * t * (f(3.0) - f(2.0) * t)).cast("float")
-        return F.when(longer <= f(t0), longer).when(longer >= f(t1), scaled).otherwise((longer + (scaled - longer) * w).cast("float"))
-
-    return both.filter("a is not null and b is not null").select("frame_id", "y", F.zip_with("a", "b", one).alias("values"))
+    names = [f"s{k}" for k in range(stages)]
+    met = split.groupBy("frame_id", "y").agg(*[F.max(F.when(c("stage") == k, c("codes"))).alias(n) for k, n in enumerate(names)])
+
+    def one(v: list[Column]) -> Column:
+        lines = [(x * shift).cast("float") - f(black) for x in v]
+        merged = lines[0]
+        for k in range(1, stages):
+            full = linear * ratio ** (k - 1)
+            t1 = saturation * full
+            t0 = t1 - blend * full if t1 - blend * full > 0 else t1 / 2
+            scaled = lines[k] * f(ratio**k)
+            t = ((merged - f(t0)) / f(t1 - t0)).cast("float")
+            w = (t * t * (f(3.0) - f(2.0) * t)).cast("float")
+            merged = F.when(merged <= f(t0), merged).when(merged >= f(t1), scaled).otherwise((merged + (scaled - merged) * w).cast("float"))
+        return merged
+
+    whole = " and ".join(f"{n} is not null" for n in names)
+    return met.filter(whole).select("frame_id", "y", together([*map(c, names)], one).alias("values"))
 
 
 def quantized(merged: DataFrame, full_scale: float) -> DataFrame:

@@ -52,6 +52,14 @@ def flat(spark, d):
     return src.pixels(spark, d, "flat")
 
 
+def pattern_of(frame: str = "frame_id"):
+    return F.element_at(F.array(*map(F.lit, src.BAYER)), (c(frame) % 4 + 1).cast("int"))
+
+
+def flat_defects(spark, d):
+    return transform.defects(src.rows(spark, d, "flat"), pattern_of(), 6.0)
+
+
 def with_height(px: DataFrame, frames: DataFrame) -> DataFrame:
     return px.join(frames.select("frame_id", "height"), "frame_id")
 
@@ -188,17 +196,20 @@ def f03_channels(spark, d):
     return scene(spark, d).groupBy("frame_id", "bayer", "channel").agg(F.count(F.lit(1)).alias("n"), F.sum("code").alias("total"))
 
 
-@query(f"WITH {SCENE} SELECT frame_id, y, (x%2)*32 + x//2 AS tx, (y%2)*(height//2) + y//2 AS ty, code FROM px WHERE y < height//2*2 AND (x+y)%16=0")
+@query(f"WITH {SCENE} SELECT frame_id, y, (x%2)*32 + x//2 AS tx, (y%2)*(height//2) + y//2 AS ty, code FROM px WHERE y < height//2*2")
 def f10_channel_tiling(spark, d):
-    px = with_height(scene(spark, d), src.frames(spark, d)).filter("y < height DIV 2 * 2 AND (x + y) % 16 = 0")
+    """Every pixel in the tile of its channel; only an odd last row goes."""
+    px = with_height(scene(spark, d), src.frames(spark, d)).filter("y < height DIV 2 * 2")
     return px.select("frame_id", "y", F.expr("CAST((x % 2) * 32 + x DIV 2 AS INT)").alias("tx"), F.expr("CAST((y % 2) * (height DIV 2) + y DIV 2 AS INT)").alias("ty"), "code")
 
 
-@query(f"WITH {SCENE} SELECT frame_id, y, (x%2)*32 + x//2 AS tx, (y%2)*(height//2) + y//2 AS ty, code FROM px WHERE y < height//2*2")
+@query(f"""WITH {SCENE}, t AS (SELECT frame_id, height, x AS tx, y AS ty, x//32 AS qx, y//(height//2) AS qy FROM px WHERE y < height//2*2)
+SELECT t.frame_id, tx, ty, (tx - qx*32)*2 + qx AS x, ((ty - qy*(height//2))*2 + qy)::INT AS y FROM t""")
 def f10_channel_tiling_whole(spark, d):
-    """Every pixel in the tile of its channel; only an odd last row goes."""
-    px = with_height(scene(spark, d), src.frames(spark, d)).filter("y < height DIV 2 * 2")
-    return px.select("frame_id", "y", F.expr("CAST((x % 2) * 32 + x DIV 2 AS INT)").alias("tx"), F.expr("CAST((y % 2) * (height DIV 2) + y DIV 2 AS INT)").alias("ty"), "code")
+    """The way back: where every pixel of the tiled frame comes from."""
+    t = with_height(scene(spark, d), src.frames(spark, d)).filter("y < height DIV 2 * 2").select("frame_id", c("x").alias("tx"), c("y").alias("ty"), F.expr("height DIV 2").alias("qh"))
+    back = lambda at, quad: F.expr(f"CAST(({at} - ({at} DIV {quad}) * {quad}) * 2 + {at} DIV {quad} AS INT)")
+    return t.select("frame_id", "tx", "ty", back("tx", "32").alias("x"), back("ty", "qh").alias("y"))
 
 
 @query(f"WITH {SCENE} SELECT frame_id, y, x, code FROM px WHERE x % 7 = 0 AND y % 5 = 0")
@@ -235,8 +246,7 @@ def s07_wide_samples(spark, d):
 @query(f"""WITH {FLAT}, m AS (SELECT frame_id, channel, {MOM} FROM px GROUP BY ALL), t AS (SELECT *, s::DOUBLE/n AS mean, sqrt({VAR}) AS sigma FROM m)
 SELECT px.frame_id, y, x, code, px.channel, CASE WHEN code > mean+6*sigma THEN 'hot' ELSE 'dead' END AS type, round((code-mean)/sigma,6) AS deviation FROM px JOIN t USING (frame_id, channel) WHERE code > mean+6*sigma OR code < mean-6*sigma""")
 def j06_defects(spark, d):
-    px, keys = flat(spark, d), ["frame_id", "channel"]
-    return rounded(transform.defects(px, transform.defect_thresholds(px, 6.0, keys), keys), "deviation")
+    return rounded(flat_defects(spark, d), "deviation")
 
 
 DEFECT_SQL = f"""{FLAT}, m AS (SELECT frame_id, channel, {MOM} FROM px GROUP BY ALL), t AS (SELECT *, s::DOUBLE/n AS mean, sqrt({VAR}) AS sigma FROM m),
@@ -245,15 +255,13 @@ d AS (SELECT px.frame_id, y, x, code, CASE WHEN code > mean+6*sigma THEN 'hot' E
 
 @query(f"WITH {DEFECT_SQL} SELECT frame_id, y, x, code, type, truncated FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY y, x) AS r, count(*) OVER (PARTITION BY frame_id) > 1 AS truncated FROM d) WHERE r <= 1")
 def o03_capped_defects(spark, d):
-    px, keys = flat(spark, d), ["frame_id", "channel"]
-    return transform.capped(transform.defects(px, transform.defect_thresholds(px, 6.0, keys), keys), 1).select("frame_id", "y", "x", "code", "type", "truncated")
+    return transform.capped(flat_defects(spark, d), 1).select("frame_id", "y", "x", "code", "type", "truncated")
 
 
 @query(f"WITH {DEFECT_SQL} SELECT frame_id, y, x, code, type, truncated FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY y, x) AS r, count(*) OVER (PARTITION BY frame_id) > 100000 AS truncated FROM d) WHERE r <= 100000")
 def o03_capped_defects_default(spark, d):
     """The cap as the reference has it by default, 100000 a frame."""
-    px, keys = flat(spark, d), ["frame_id", "channel"]
-    return transform.capped(transform.defects(px, transform.defect_thresholds(px, 6.0, keys), keys), 100_000).select("frame_id", "y", "x", "code", "type", "truncated")
+    return transform.capped(flat_defects(spark, d), 100_000).select("frame_id", "y", "x", "code", "type", "truncated")
 
 
 @query(f"""WITH {DEFECT_SQL}, o AS (SELECT dy, dx, greatest(abs(dy),abs(dx)) AS r FROM range(-3,4) a(dy), range(-3,4) b(dx) WHERE dy<>0 OR dx<>0),
@@ -262,8 +270,7 @@ k AS (SELECT *, count(*) OVER (PARTITION BY frame_id,y,x ORDER BY r) AS known FR
 u AS (SELECT g.frame_id,g.y,g.x,floor(median(v)+0.5)::INT AS value,count(*)::BIGINT AS m FROM g JOIN s USING (frame_id,y,x) WHERE r<=stop GROUP BY ALL)
 SELECT d.*, coalesce(value,code) AS corrected, coalesce(m,0)::BIGINT AS neighbours FROM d LEFT JOIN u USING (frame_id,y,x)""")
 def n11_defect_correction(spark, d):
-    px, keys = flat(spark, d), ["frame_id", "channel"]
-    return transform.corrected(px, transform.defects(px, transform.defect_thresholds(px, 6.0, keys), keys), 2)
+    return transform.corrected(src.rows(spark, d, "flat"), flat_defects(spark, d), 2)
 
 
 ARITH_SQL = "p AS (SELECT a.frame_id//2 AS pair_id, a.y, a.x, a.code AS a, b.code AS b FROM px a JOIN px b ON b.frame_id=a.frame_id+1 AND a.y=b.y AND a.x=b.x WHERE a.frame_id%2=0)"
@@ -323,23 +330,23 @@ def _wide(rows: DataFrame) -> DataFrame:
 
 @query(f"WITH {SCENE}, {STENCIL} SELECT frame_id, y, x, greatest(0, least(65535, floor(min(code)*{FULL16} + 0.5::DOUBLE)))::INT AS v16 FROM n GROUP BY frame_id, y, x")
 def n04_minimum(spark, d):
-    return _wide(transform.extreme(src.rows(spark, d), 1, src.WIDTH, src.DEPTH, 2, False))
+    return _wide(transform.extreme(src.rows(spark, d), 1, src.DEPTH, 2, False))
 
 
 @query(f"WITH {SCENE}, {STENCIL} SELECT frame_id, y, x, greatest(0, least(65535, floor(max(code)*{FULL16} + 0.5::DOUBLE)))::INT AS v16 FROM n GROUP BY frame_id, y, x")
 def n05_maximum(spark, d):
-    return _wide(transform.extreme(src.rows(spark, d), 1, src.WIDTH, src.DEPTH, 2, True))
+    return _wide(transform.extreme(src.rows(spark, d), 1, src.DEPTH, 2, True))
 
 
 @query(f"WITH {SCENE}, {STENCIL} SELECT frame_id, y, x, greatest(0, least(65535, floor(median(code)*{FULL16} + 0.5::DOUBLE)))::INT AS v16 FROM n GROUP BY frame_id, y, x")
 def n06_median(spark, d):
-    return transform.median_filter(with_height(scene(spark, d), src.frames(spark, d)), 1, src.WIDTH, "height", src.DEPTH, 2)
+    return _wide(transform.median_filter(src.rows(spark, d), 1, src.DEPTH, 2))
 
 
 @query(f"""WITH {SCENE}, {STENCIL}, g AS (SELECT frame_id, y, x, sum(code*dx*(2-abs(dy))) AS gx, sum(code*dy*(2-abs(dx))) AS gy FROM n GROUP BY frame_id, y, x)
 SELECT frame_id, y, x, greatest(0, least(65535, floor(sqrt((gx*gx+gy*gy)::DOUBLE)/4*{FULL16} + 0.5::DOUBLE)))::INT AS v16 FROM g""")
 def n07_sobel(spark, d):
-    return _wide(transform.sobel(src.rows(spark, d), src.WIDTH, src.DEPTH, 2))
+    return _wide(transform.sobel(src.rows(spark, d), src.DEPTH, 2))
 
 
 def _separable_sql(weights: list[float]) -> str:
@@ -356,12 +363,12 @@ SELECT frame_id, y, x, greatest(0, least(65535, floor(v*{sem.full_scale_factor(1
 
 @query(f"WITH {SCENE}, {_separable_sql(transform.box_weights(1))}")
 def n01_box_mean(spark, d):
-    return _wide(transform.separable(src.rows(spark, d), transform.box_weights(1), src.WIDTH, src.DEPTH, 2))
+    return _wide(transform.separable(src.rows(spark, d), transform.box_weights(1), src.DEPTH, 2))
 
 
 @query(f"WITH {SCENE}, {_separable_sql(transform.gaussian_weights(2, 1.2))}")
 def n02_gaussian(spark, d):
-    return _wide(transform.separable(src.rows(spark, d), transform.gaussian_weights(2, 1.2), src.WIDTH, src.DEPTH, 2))
+    return _wide(transform.separable(src.rows(spark, d), transform.gaussian_weights(2, 1.2), src.DEPTH, 2))
 
 
 SPLIT = "z AS (SELECT frame_id, ((y//2)%2) AS stage, (y//4)*2+y%2 AS sy, x, code, height FROM px), sp AS (SELECT * FROM z WHERE sy < height//4*2)"
@@ -374,7 +381,8 @@ def u01_exposure_split(spark, d):
     return out.select("frame_id", "stage", "y", F.posexplode("codes").alias("x", "code"))
 
 
-@query(f"""WITH {SCENE}, {SPLIT}, j AS (SELECT a.frame_id, a.sy AS y, a.x, ((a.code*16)::FLOAT - 1024::FLOAT)::FLOAT AS l, (((b.code*16)::FLOAT - 1024::FLOAT) * 16::FLOAT)::FLOAT AS s FROM sp a JOIN sp b ON a.frame_id=b.frame_id AND a.sy=b.sy AND a.x=b.x AND a.stage=0 AND b.stage=1),
+@query(f"""WITH {SCENE}, {SPLIT}, q AS (SELECT frame_id, sy AS y, x, max(code) FILTER (stage = 0) AS a, max(code) FILTER (stage = 1) AS b FROM sp GROUP BY ALL),
+j AS (SELECT frame_id, y, x, ((a*16)::FLOAT - 1024::FLOAT)::FLOAT AS l, (((b*16)::FLOAT - 1024::FLOAT) * 16::FLOAT)::FLOAT AS s FROM q WHERE a IS NOT NULL AND b IS NOT NULL),
 t AS (SELECT *, ((l - {0.9 * 64496.0 - 0.1 * 64496.0!r}::FLOAT) / {0.9 * 64496.0 - (0.9 * 64496.0 - 0.1 * 64496.0)!r}::FLOAT)::FLOAT AS t FROM j),
 m AS (SELECT *, CASE WHEN l <= {0.9 * 64496.0 - 0.1 * 64496.0!r}::FLOAT THEN l WHEN l >= {0.9 * 64496.0!r}::FLOAT THEN s ELSE (l + (s-l)*((t*t)::FLOAT*(3::FLOAT-2::FLOAT*t))::FLOAT)::FLOAT END AS v FROM t)
 SELECT frame_id, y::INT AS y, x, greatest(0, least(65535, round_even(greatest(v::DOUBLE, 0)*{65535.0 / (64496.0 * 16)!r}::DOUBLE, 0)))::INT AS v16 FROM m""")

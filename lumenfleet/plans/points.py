@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as sem
 from ..functions.semantics import c
-from ..operators import transform
 from ..sources import frames as src
 from ..sources import raw
-from .fleet import DEFECT_SQL, SCENE, flat, query, rounded, scene
+from .fleet import DEFECT_SQL, SCENE, flat_defects, query, rounded, scene
 
 H = "fr AS (SELECT frame_id, max(height) AS height FROM px GROUP BY frame_id)"
 #: A point for each frame, on some frames beyond the edge.
@@ -101,8 +100,7 @@ def a19_reference_mean(spark, d):
 
 @query(f"WITH {DEFECT_SQL} SELECT frame_id, count(*) FILTER (type='hot')::BIGINT AS hot, count(*) FILTER (type='dead')::BIGINT AS dead FROM d GROUP BY frame_id")
 def a21_defect_counts(spark, d):
-    px, keys = flat(spark, d), ["frame_id", "channel"]
-    found = transform.defects(px, transform.defect_thresholds(px, 6.0, keys), keys)
+    found = flat_defects(spark, d)
     return found.groupBy("frame_id").agg(F.count_if(c("type") == "hot").alias("hot"), F.count_if(c("type") == "dead").alias("dead"))
 
 
