@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,42 +89,70 @@ def stencil_rows(rows: DataFrame, radius: int, step: int, band: int = BAND, colu
     return rows.filter(F.floor(c("y") / band) == c("band")).drop("band"), names
 
 
-def beside(array: Column, k: int, step: int) -> Column:
-    """The array whose i-th value is the same-phase neighbour k steps on, the edge value repeated; the width is the array's own."""
-    if not k:
-        return array
-    n, edge = F.size(array), F.least(F.lit(step), F.size(array))
-    if k < 0:
-        return F.slice(F.concat(F.flatten(F.array_repeat(F.slice(array, F.lit(1), edge), -k)), array), F.lit(1), n)
-    whole = F.concat(array, F.flatten(F.array_repeat(F.slice(array, n - edge + 1, edge), k)))
-    return F.slice(whole, F.size(whole) - n + 1, n)
+def side(values: np.ndarray, k: int, step: int) -> np.ndarray:
+    """The same-phase neighbour k steps on of every value along the last axis, the edge value repeated."""
+    i = np.arange(values.shape[-1])
+    last = (len(i) - 1 - i % step) // step
+    return values[..., i % step + np.clip(i // step + k, 0, last) * step]
 
 
-def together(arrays: list[Column], one) -> Column:
-    """one(values) at every place of arrays of one length, in a single pass."""
-    zipped = F.arrays_zip(*[a.alias(f"v{i}") for i, a in enumerate(arrays)])
-    return F.transform(zipped, lambda v: one([v[f"v{i}"] for i in range(len(arrays))]))
+def of_rows(lists: list[pa.Array], one: Callable[[np.ndarray], np.ndarray], kind: pa.DataType) -> pa.Array:
+    """one(values) of image rows of one width at a time: values are tables of rows by pixels, one for each of the lists."""
+    widths = lists[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
+    if not len(widths) or (widths == widths[0]).all():
+        values = one(np.stack([x.flatten().to_numpy(zero_copy_only=False).reshape(len(widths), -1) for x in lists])) if offsets[-1] else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ravel(values), kind))
+    out = np.zeros(offsets[-1], kind.to_pandas_dtype())
+    for w in np.unique(widths[widths > 0]):  # frames of several widths in one batch
+        own = np.flatnonzero(widths == w)
+        values = one(np.stack([x.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), w) for x in lists]))
+        out[offsets[own][:, None] + np.arange(w)] = values
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, kind))
 
 
-def weighted(values: list[Column], weights: list[float]) -> Column:
-    total = values[0] * F.lit(weights[0])
+def by_row(rows: DataFrame, groups: list[list[str]], names: list[str], one: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:
+    """frame_id, y and for each group of array columns its result under the name, batch by batch in numpy; no batch needs another."""
+    flat, arrow = [n for own in groups for n in own], {"int": pa.int32(), "float": pa.float32()}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, at = [], 2
+            for own in groups:
+                columns.append(of_rows([batch.column(at + i) for i in range(len(own))], one, arrow))
+                at += len(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["frame_id", "y", *names])
+
+    return rows.select("frame_id", "y", *flat).mapInArrow(run, "frame_id long, y int, " + ", ".join(f"{n} array<{kind}>" for n in names))
+
+
+def to_full_scale(values: np.ndarray, factor: float) -> np.ndarray:
+    return np.clip(np.floor(values * factor + 0.5), 0, 65535).astype(np.int32)
+
+
+def weighted(values: list[np.ndarray], weights: list[float]) -> np.ndarray:
+    total = values[0] * weights[0]
     for v, w in zip(values[1:], weights[1:], strict=True):
-        total = total + v * F.lit(w)
+        total = total + v * w
     return total
 
 
-def to_full_scale(value: Column, factor: float) -> Column:
-    return clamp(half_up(value * F.lit(factor)), F.lit(0), F.lit(65535)).cast("int")
+def stencil(rows: DataFrame, radius: int, step: int, one: Callable[[np.ndarray], np.ndarray], columns: tuple[str, ...]) -> DataFrame:
+    """one(window rows) for every image row, of each of the columns alone."""
+    around, names = stencil_rows(rows.select("frame_id", "y", *columns), radius, step, columns=columns)
+    return by_row(around, names, list(columns), one)
 
 
-def smoothed(rows: DataFrame, weights: list[float], depth: int, step: int, finish, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
+def smoothed(rows: DataFrame, weights: list[float], depth: int, step: int, finish: Callable, columns: tuple[str, ...]) -> DataFrame:
     """finish(mean, 16-bit value) of the weighted mean over the window, horizontally and then vertically in the order of the offsets."""
     radius, shift = len(weights) // 2, 1 << (16 - depth)
-    across = [together([beside(c(name), k, step) for k in range(-radius, radius + 1)], lambda v: weighted([(x * shift).cast("double") for x in v], weights)).alias(f"{name}_m") for name in columns]
-    flat = rows.select("frame_id", "y", *columns, *across)
-    around, names = stencil_rows(flat, radius, step, columns=tuple(f"{name}_m" for name in columns))
-    out = [together([*map(c, own), c(name)], lambda v: finish(weighted(v[:-1], weights), (v[-1] * shift).cast("double"))).alias(name) for name, own in zip(columns, names, strict=True)]
-    return around.select("frame_id", "y", *out)
+
+    def one(v: np.ndarray) -> np.ndarray:
+        v = (v * shift).astype(np.float64)
+        across = weighted([side(v, k, step) for k in range(-radius, radius + 1)], weights)
+        return finish(weighted(list(across), weights), v[radius])
+
+    return stencil(rows, radius, step, one, columns)
 
 
 def separable(rows: DataFrame, weights: list[float], depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
@@ -131,7 +162,7 @@ def separable(rows: DataFrame, weights: list[float], depth: int, step: int, colu
 
 def unsharp_mask(rows: DataFrame, weights: list[float], amount: float, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
     """v + amount * (v - weighted mean), rescaled to full scale."""
-    return smoothed(rows, weights, depth, step, lambda mean, v: to_full_scale(v + F.lit(float(amount)) * (v - mean), full_scale_factor(depth)), columns)
+    return smoothed(rows, weights, depth, step, lambda mean, v: to_full_scale(v + amount * (v - mean), full_scale_factor(depth)), columns)
 
 
 def box_weights(radius: int) -> list[float]:
@@ -145,32 +176,32 @@ def gaussian_weights(radius: int, sigma: float) -> list[float]:
 
 def extreme(rows: DataFrame, radius: int, depth: int, step: int, largest: bool, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
     """Erode or dilate: minimum or maximum over the window, rescaled to 16 bit."""
-    pick = F.greatest if largest else F.least
-    across = [together([beside(c(name), k, step) for k in range(-radius, radius + 1)], lambda v: pick(*v)).alias(name) for name in columns]
-    around, names = stencil_rows(rows.select("frame_id", "y", *across), radius, step, columns=columns)
-    scale = full_scale_factor(depth) * (1 << (16 - depth))
-    return around.select("frame_id", "y", *[together([*map(c, own)], lambda v: to_full_scale(pick(*v), scale)).alias(name) for name, own in zip(columns, names, strict=True)])
+    scale, pick = full_scale_factor(depth) * (1 << (16 - depth)), np.maximum if largest else np.minimum
+    return stencil(rows, radius, step, lambda v: to_full_scale(pick.reduce([side(pick.reduce(v), k, step) for k in range(-radius, radius + 1)]), scale), columns)
 
 
 def median_filter(rows: DataFrame, radius: int, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
     """Median of the same-phase window (the count is odd), rescaled to 16 bit."""
-    around, names = stencil_rows(rows.select("frame_id", "y", *columns), radius, step, columns=columns)
-    n, scale = (2 * radius + 1) ** 2, full_scale_factor(depth) * (1 << (16 - depth))
-    window = lambda own: [beside(c(r), k, step) for r in own for k in range(-radius, radius + 1)]
-    return around.select("frame_id", "y", *[together(window(own), lambda v: to_full_scale(F.element_at(F.sort_array(F.array(*v)), n // 2 + 1), scale)).alias(name) for name, own in zip(columns, names, strict=True)])
+    scale, n = full_scale_factor(depth) * (1 << (16 - depth)), (2 * radius + 1) ** 2
+
+    def one(v: np.ndarray) -> np.ndarray:
+        window = np.concatenate([side(v, k, step) for k in range(-radius, radius + 1)])
+        return to_full_scale(np.partition(window, n // 2, 0)[n // 2], scale)
+
+    return stencil(rows, radius, step, one, columns)
 
 
 def sobel(rows: DataFrame, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
     """A quarter of the gradient's length, rescaled to 16 bit."""
-    around, names = stencil_rows(rows.select("frame_id", "y", *columns), 1, step, columns=columns)
     scale = full_scale_factor(depth) * (1 << (16 - depth))
 
-    def one(v: list[Column]) -> Column:
-        gx = (v[2] + v[5] * 2 + v[8]) - (v[0] + v[3] * 2 + v[6])
-        gy = (v[6] + v[7] * 2 + v[8]) - (v[0] + v[1] * 2 + v[2])
-        return to_full_scale(F.sqrt((gx * gx + gy * gy).cast("double")) / 4, scale)
+    def one(v: np.ndarray) -> np.ndarray:
+        left, mid, right = (side(v, k, step).astype(np.int64) for k in (-1, 0, 1))
+        gx = right[0] + 2 * right[1] + right[2] - left[0] - 2 * left[1] - left[2]
+        gy = left[2] + 2 * mid[2] + right[2] - left[0] - 2 * mid[0] - right[0]
+        return to_full_scale(np.sqrt((gx * gx + gy * gy).astype(np.float64)) / 4, scale)
 
-    return around.select("frame_id", "y", *[together([beside(c(r), k, step) for r in own for k in (-1, 0, 1)], one).alias(name) for name, own in zip(columns, names, strict=True)])
+    return stencil(rows, 1, step, one, columns)
 
 
 # --- Defects ------------------------------------------------------------------------------------------------------------------
@@ -184,19 +215,28 @@ def defects(rows: DataFrame, pattern: Column, k: float, segment: int | None = No
     """frame_id, y, x, code, channel, type and deviation in sigmas (null where sigma is 0) from image rows; strict comparisons with thresholds by channel,
     and by exposure segment of side-by-side frames.
 
-    Every frame's thresholds are one map that meets its rows; pixels come apart after that and are never shuffled.
+    A frame's channels are its four phases, so that pixels are counted by numbers. Its bounds are one record that meets its rows; pixels
+    come apart after that, with the bounds of their row alone, and are never shuffled.
     """
-    part = F.floor(c("x") / segment) if segment else F.lit(0)
-
-    def pixels(r: DataFrame, *keep: str) -> DataFrame:
-        px = r.select("frame_id", "y", pattern.alias("pattern"), *keep, F.posexplode("codes").alias("x", "code"))
-        return px.withColumn("channel", cfa_channel("pattern", "x", "y", segment)).withColumn("group", F.concat_ws("/", part.cast("string"), "channel"))
-
-    bounds = F.struct("high", "low", "mean", "sigma")
-    per = defect_thresholds(pixels(rows), k, ["frame_id", "group"]).groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct(c("group"), bounds.alias("t")))).alias("bounds"))
-    px = pixels(rows.join(per, "frame_id"), "bounds").withColumn("t", c("bounds")[c("group")]).drop("bounds")
+    phase = lambda x, y: (c(y) % 2 * 2 + x % 2).cast("int")
+    inner = lambda x: x % segment if segment else x
+    part = lambda x: F.floor(x / segment).cast("int") if segment else F.lit(0)
+    rows = rows.select("frame_id", "y", pattern.alias("pattern"), "codes")
+    px = rows.select("frame_id", "y", F.posexplode("codes").alias("x", "code")).select("frame_id", part(c("x")).alias("part"), phase(inner(c("x")), "y").alias("phase"), "code")
+    limits = F.struct("high", "low", "mean", "sigma")
+    per = defect_thresholds(px, k, ["frame_id", "part", "phase"])
+    if segment:
+        per = per.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct(c("part") * 4 + c("phase"), limits.alias("t")))).alias("bounds"))
+        px = rows.join(per, "frame_id").select("frame_id", "y", "pattern", "bounds", F.posexplode("codes").alias("x", "code")).withColumn("t", c("bounds")[part(c("x")) * 4 + phase(inner(c("x")), "y")])
+    else:  # two phases to a row
+        per = per.groupBy("frame_id").agg(*[F.max(F.when(c("phase") == p, limits)).alias(f"b{p}") for p in range(4)])
+        met = rows.join(per, "frame_id").withColumns({f"t{x}": F.when(c("y") % 2 == 0, c(f"b{x}")).otherwise(c(f"b{2 + x}")) for x in (0, 1)})
+        flat = [c(f"t{x}.{name}").alias(f"{name}{x}") for x in (0, 1) for name in ("high", "low", "mean", "sigma")]
+        px = met.select("frame_id", "y", "pattern", *flat, F.posexplode("codes").alias("x", "code"))
+        own = lambda name: F.when(c("x") % 2 == 0, c(f"{name}0")).otherwise(c(f"{name}1"))
+        px = px.filter((c("code") > own("high")) | (c("code") < own("low"))).withColumn("t", F.struct(*[own(name).alias(name) for name in ("high", "low", "mean", "sigma")]))
     kind = F.when(c("code") > c("t.high"), "hot").when(c("code") < c("t.low"), "dead")
-    found = px.withColumn("type", kind).filter(c("type").isNotNull())
+    found = px.withColumn("channel", cfa_channel("pattern", "x", "y", segment)).withColumn("type", kind).filter(c("type").isNotNull())
     return found.select("frame_id", "y", "x", "code", "channel", "type", F.when(c("t.sigma") > 0, (c("code") - c("t.mean")) / c("t.sigma")).alias("deviation"))
 
 
@@ -248,30 +288,29 @@ def merge_exposures(split: DataFrame, ratio: float, black: float, depth: int, sa
     linear = float(((1 << depth) - 1) * shift) - black
     if linear <= 0 or stages not in (2, 3):
         raise ValueError("the black level must lie below the largest code, and stages are 2 or 3")
-    f = lambda v: F.lit(v).cast("float")
     names = [f"s{k}" for k in range(stages)]
     met = split.groupBy("frame_id", "y").agg(*[F.max(F.when(c("stage") == k, c("codes"))).alias(n) for k, n in enumerate(names)])
+    f = np.float32
 
-    def one(v: list[Column]) -> Column:
-        lines = [(x * shift).cast("float") - f(black) for x in v]
+    def one(v: np.ndarray) -> np.ndarray:
+        lines = (v * shift).astype(f) - f(black)
         merged = lines[0]
         for k in range(1, stages):
             full = linear * ratio ** (k - 1)
             t1 = saturation * full
             t0 = t1 - blend * full if t1 - blend * full > 0 else t1 / 2
             scaled = lines[k] * f(ratio**k)
-            t = ((merged - f(t0)) / f(t1 - t0)).cast("float")
-            w = (t * t * (f(3.0) - f(2.0) * t)).cast("float")
-            merged = F.when(merged <= f(t0), merged).when(merged >= f(t1), scaled).otherwise((merged + (scaled - merged) * w).cast("float"))
+            t = (merged - f(t0)) / f(t1 - t0)
+            smooth = merged + (scaled - merged) * (t * t * (f(3) - f(2) * t))
+            merged = np.where(merged <= f(t0), merged, np.where(merged >= f(t1), scaled, smooth))
         return merged
 
-    whole = " and ".join(f"{n} is not null" for n in names)
-    return met.filter(whole).select("frame_id", "y", together([*map(c, names)], one).alias("values"))
+    return by_row(met.filter(" and ".join(f"{n} is not null" for n in names)), [names], ["values"], one, "float")
 
 
 def quantized(merged: DataFrame, full_scale: float) -> DataFrame:
-    scale = F.lit(65535.0 / full_scale)
-    return merged.select("frame_id", "y", F.transform("values", lambda v: clamp(F.rint(F.greatest(v.cast("double"), F.lit(0.0)) * scale), F.lit(0.0), F.lit(65535.0)).cast("int")).alias("codes"))
+    scale = 65535.0 / full_scale if full_scale > 0 else 0.0
+    return by_row(merged, [["values"]], ["codes"], lambda v: np.clip(np.rint(np.maximum(v[0].astype(np.float64), 0) * scale), 0, 65535).astype(np.int32))
 
 
 # --- Colour -------------------------------------------------------------------------------------------------------------------

@@ -15,22 +15,30 @@ CODES = {
 }
 
 
+def orders_by_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two columns that frames derive from, with frame_id, and all rows of a frame in one partition.
+
+    The rows are dealt while they are two numbers each. What is derived from them stays where it is, 64 times as large: groups and
+    windows by frame, and joins on frame_id alone, need no further shuffle.
+    """
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", F.expr("CAST(o_orderkey DIV 48 AS BIGINT)").alias("frame_id"))
+    return orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame_id")
+
+
 def pixels(spark: SparkSession, sf_dir: str, kind: str = "scene") -> DataFrame:
     """frame_id, y, x, code, bayer, channel."""
     from ..functions.semantics import cfa_channel
 
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
-    px = orders.select("*", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("x"))
-    px = px.selectExpr("CAST(o_orderkey DIV 48 AS BIGINT) frame_id", "CAST(o_orderkey % 48 AS INT) y", "x", f"CAST({CODES[kind]} AS INT) code")
+    px = orders_by_frame(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("x"))
+    px = px.selectExpr("frame_id", "CAST(o_orderkey % 48 AS INT) y", "x", f"CAST({CODES[kind]} AS INT) code")
     px = px.withColumn("bayer", F.element_at(F.array(*map(F.lit, BAYER)), (F.col("frame_id") % 4 + 1).cast("int")))
     return px.withColumn("channel", cfa_channel("bayer", "x", "y"))
 
 
 def rows(spark: SparkSession, sf_dir: str, kind: str = "scene") -> DataFrame:
     """frame_id, y, codes: one record per image row."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
     code = CODES[kind]
-    return orders.selectExpr("CAST(o_orderkey DIV 48 AS BIGINT) frame_id", "CAST(o_orderkey % 48 AS INT) y", f"transform(sequence(0, {WIDTH - 1}), x -> CAST({code} AS INT)) codes")
+    return orders_by_frame(spark, sf_dir).selectExpr("frame_id", "CAST(o_orderkey % 48 AS INT) y", f"transform(sequence(0, {WIDTH - 1}), x -> CAST({code} AS INT)) codes")
 
 
 def explode_rows(rows_df: DataFrame, *keep: str) -> DataFrame:
