@@ -66,3 +66,29 @@ def quantile_rank(q: float, n) -> Column:
 
 def luma(r, g, b) -> Column:
     return clamp(F.rint(0.299 * c(r) + 0.587 * c(g) + 0.114 * c(b)), F.lit(0.0), F.lit(65535.0)).cast("int")
+
+
+def saturation_code(code, depth) -> Column:
+    """The code at which a sensor saturates: the largest of its depth where none, or a larger one, is given."""
+    top = F.pow(F.lit(2.0), c(depth)) - 1
+    usable = c(code).isNotNull() & ~F.isnan(c(code)) & (c(code) > 0) & (c(code) < float("inf"))
+    return F.when(usable, F.least(c(code).cast("double"), top)).otherwise(top)
+
+
+def gain_db(gain, least: float = -60.0) -> Column:
+    return F.when(c(gain) > 0, 20 * F.log10(c(gain))).otherwise(F.lit(least))
+
+
+def gain_linear(db) -> Column:
+    return F.pow(F.lit(10.0), c(db) / 20)
+
+
+def transferred_level(level, from_depth, to_depth) -> Column:
+    """A level code at another depth, to the nearest even."""
+    top = lambda depth: F.pow(F.lit(2.0), c(depth)) - 1
+    return F.rint(c(level) / top(from_depth) * top(to_depth))
+
+
+def carried_level(v16, depth: int) -> Column:
+    """A 16-bit level of a frame of lower depth on the full scale of its processed result."""
+    return clamp(half_up(c(v16) * F.lit(full_scale_factor(depth))), F.lit(0), F.lit(65535))

@@ -96,22 +96,23 @@ def side(values: np.ndarray, k: int, step: int) -> np.ndarray:
     return values[..., i % step + np.clip(i // step + k, 0, last) * step]
 
 
-def of_rows(lists: list[pa.Array], one: Callable[[np.ndarray], np.ndarray], kind: pa.DataType) -> pa.Array:
-    """one(values) of image rows of one width at a time: values are tables of rows by pixels, one for each of the lists."""
+def of_rows(lists: list[pa.Array], one: Callable[[np.ndarray], np.ndarray], kind: pa.DataType, shape: Callable[[int], int]) -> pa.Array:
+    """one(values) of image rows of one width at a time: values are tables of rows by pixels, one for each of the lists; shape tells the width
+    of the result."""
     widths = lists[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    offsets = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
-    if not len(widths) or (widths == widths[0]).all():
-        values = one(np.stack([x.flatten().to_numpy(zero_copy_only=False).reshape(len(widths), -1) for x in lists])) if offsets[-1] else np.zeros(0)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ravel(values), kind))
+    given = {int(w): shape(int(w)) if w else 0 for w in np.unique(widths)}
+    offsets = np.concatenate([[0], np.cumsum([given[int(w)] for w in widths])]).astype(np.int32)
     out = np.zeros(offsets[-1], kind.to_pandas_dtype())
-    for w in np.unique(widths[widths > 0]):  # frames of several widths in one batch
+    for w, wide in given.items():  # frames of several widths may share a batch
         own = np.flatnonzero(widths == w)
-        values = one(np.stack([x.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), w) for x in lists]))
-        out[offsets[own][:, None] + np.arange(w)] = values
+        if w:
+            taken = lists if len(given) == 1 else [x.take(pa.array(own)) for x in lists]
+            values = one(np.stack([x.flatten().to_numpy(zero_copy_only=False).reshape(len(own), w) for x in taken]))
+            out[offsets[own][:, None] + np.arange(wide)] = values
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, kind))
 
 
-def by_row(rows: DataFrame, groups: list[list[str]], names: list[str], one: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:
+def by_row(rows: DataFrame, groups: list[list[str]], names: list[str], one: Callable[[np.ndarray], np.ndarray], kind: str = "int", shape: Callable[[int], int] = lambda w: w) -> DataFrame:
     """frame_id, y and for each group of array columns its result under the name, batch by batch in numpy; no batch needs another."""
     flat, arrow = [n for own in groups for n in own], {"int": pa.int32(), "float": pa.float32()}[kind]
 
@@ -119,7 +120,7 @@ def by_row(rows: DataFrame, groups: list[list[str]], names: list[str], one: Call
         for batch in batches:
             columns, at = [], 2
             for own in groups:
-                columns.append(of_rows([batch.column(at + i) for i in range(len(own))], one, arrow))
+                columns.append(of_rows([batch.column(at + i) for i in range(len(own))], one, arrow, shape))
                 at += len(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["frame_id", "y", *names])
 
@@ -313,6 +314,19 @@ def quantized(merged: DataFrame, full_scale: float) -> DataFrame:
     return by_row(merged, [["values"]], ["codes"], lambda v: np.clip(np.rint(np.maximum(v[0].astype(np.float64), 0) * scale), 0, 65535).astype(np.int32))
 
 
+def side_by_side(split: DataFrame) -> DataFrame:
+    """The stages of each row beside each other, the longest exposure first; a segment is one stage wide."""
+    stages = F.array_sort(F.collect_list(F.struct("stage", "codes")))
+    return split.groupBy("frame_id", "y").agg(F.flatten(F.transform(stages, lambda s: s["codes"])).alias("codes"))
+
+
+def quantization(full_scale: Column, depth: Column) -> tuple[Column, Column]:
+    """Step of 16-bit values over the full scale, and the bits lost against the source's step."""
+    step = F.when(full_scale > 0, full_scale / 65535.0).otherwise(0.0)
+    own = F.pow(F.lit(2.0), 16 - depth)
+    return step, F.when(step > own, F.log2(step / own)).otherwise(0.0)
+
+
 # --- Colour -------------------------------------------------------------------------------------------------------------------
 def display_transfer(code: Column, black: float, white: float, gain: float = 1.0, contrast: float = 1.0, gamma: float = 2.2) -> Column:
     """Code to 8 bit: levels, gain, contrast about one half, clamp, gamma; white at or below black makes a step."""
