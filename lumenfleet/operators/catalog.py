@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,12 @@ def numbering(name: Column) -> tuple[Column, Column, Column]:
 def numbered_stacks(files: DataFrame) -> DataFrame:
     """files (folder, name, ext, length) with prefix, suffix, number, index (from 0) and size of their stack; lone files have size 1."""
     prefix, number, suffix = numbering(F.regexp_replace("name", r"\.[^.]*$", ""))
-    rows = files.withColumn("prefix", F.lower(prefix)).withColumn("number", number).withColumn("suffix", F.lower(suffix)).filter("number is not null")
-    key = ["folder", "ext", "prefix", "suffix"]
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("stack_size"))
-    ordered = rows.withColumn("index", F.row_number().over(Window.partitionBy(*key).orderBy("number", "name")) - 1)
-    return ordered.join(sizes, key)
+    rows = files.withColumn("prefix", F.lower(prefix)).withColumn("number", number).withColumn("suffix", F.lower(suffix))
+    rows = rows.withColumn("alone", F.when(c("number").isNull(), c("name")))  # names without a number, or with one beyond 64 bits
+    key = ["folder", "ext", "prefix", "suffix", "alone"]
+    each = Window.partitionBy(*key)
+    ordered = rows.withColumn("index", F.row_number().over(each.orderBy("number", "name")) - 1)
+    return ordered.withColumn("stack_size", F.count(F.lit(1)).over(each)).drop("alone")
 
 
 def same_size_stacks(files: DataFrame) -> DataFrame:
@@ -40,21 +43,38 @@ def same_size_stacks(files: DataFrame) -> DataFrame:
 
 
 def name_filter(terms: str) -> Column:
-    """A condition on name: any of the terms (extension ".raw", wildcard "dark*", part of the name), or all as /regex/; case doesn't count."""
+    """A condition on name: any of the terms (extension ".raw", wildcard "dark*", part of the name), or all as /regex/; case doesn't count.
+
+    White space of any kind, semicolons and commas, full-width ones too, stand between terms. "//" and a pattern that can't be read match
+    every name; a lone "." is a part of the name; an extension is compared as a whole.
+    """
     text = terms.strip()
-    if len(text) > 2 and text[0] == text[-1] == "/":
-        return F.col("name").rlike("(?i)" + text[1:-1])
-    parts = [t for t in text.replace(";", " ").replace(",", " ").replace("；", " ").replace("，", " ").replace("　", " ").split(" ") if t]
-    out = F.lit(not parts)
-    for t in parts:
+    if len(text) >= 2 and text[0] == text[-1] == "/":
+        pattern = text[1:-1]
+        return F.col("name").rlike("(?i)" + pattern) if pattern and readable(pattern) else F.lit(True)
+    parts = re.split(r"[\s;,\uFF1B\uFF0C]+", text)
+    out = None
+    for t in filter(None, parts):
         if "*" in t or "?" in t:
-            pattern = "".join(".*" if ch == "*" else "." if ch == "?" else "\\" + ch if not ch.isalnum() else ch for ch in t)
-            out = out | F.col("name").rlike(f"(?is)^{pattern}$")
-        elif t.startswith("."):
-            out = out | F.lower("name").endswith(t.lower())
+            one = F.col("name").rlike("(?is)^" + "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in t) + "$")
+        elif t.startswith(".") and len(t) > 1:
+            one = F.lower(F.regexp_extract("name", r"\.[^.]*$", 0)) == t.lower()
         else:
-            out = out | F.lower("name").contains(t.lower())
-    return out
+            one = F.lower("name").contains(t.lower())
+        out = one if out is None else out | one
+    return F.lit(True) if out is None else out
+
+
+def readable(pattern: str) -> bool:
+    """Whether Spark's pattern engine can read it."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.sql import SparkSession
+
+    try:
+        SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def name_dimensions(name: Column) -> Column:
