@@ -41,7 +41,7 @@ MOST_BROADCAST = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 NO_ROW = 0xFFFF
 #: Hashes to a chunk of the sieve: large, so that a chunk's blocks stay large where there are many buckets.
-CHUNK_HASHES = 4_000_000
+CHUNK_HASHES = 1_000_000
 #: Blocks to a mask of the last matrix.
 MASK = 64
 #: Sets to a share of the counts that are added up in one task.
@@ -158,9 +158,9 @@ def sieve(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFram
 
         hashes = 0
         for batch in batches:
-            for first, texts in in_chunks(batch.column(1).to_pylist(), 8_000_000):
-                for cut in range(0, len(texts), 8192):
-                    sets = shingle_sets(texts[cut : cut + 8192])
+            for first, texts in in_chunks(batch.column(1).to_pylist()):
+                for cut in range(0, len(texts), 4096):
+                    sets = shingle_sets(texts[cut : cut + 4096])
                     if len(n) + len(sets) >= NO_ROW or hashes > CHUNK_HASHES:
                         yield from flush()
                         count, hashes = count + 1, 0
