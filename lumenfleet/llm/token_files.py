@@ -8,7 +8,6 @@ frequent take one byte. Reading looks up a control byte's four lengths in a tabl
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import key_first, scratch, staged
+from .common import dropped, key_first, scratch, staged
 from .units import byte_level_ids, document_ids, in_chunks
 
 #: Lengths of the four ids of each control byte.
@@ -102,7 +101,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, end
     """Tokenize all documents and write their ids in ascending order of id_col.
 
     Returns the block index (one row per block of about a million ids: shard, block, file, at, control_bytes, data_bytes, n_ids, doc_ids,
-    doc_n), the folder and the table from rank to id. Nulls sort first; rows with the same id follow by their number of ids.
+    doc_n), the folder and the table from rank to id. Nulls sort first; rows with the same id follow by their number of ids, then by a hash of them.
     Files have names of their own for each attempt, and the index names those that counted, so a repeated task does no harm.
     """
     spark = docs.sparkSession
@@ -151,9 +150,12 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, end
 
     names = ["shard", "block", "file", "at", "control_bytes", "data_bytes", "n_ids", "doc_ids", "doc_n"]
     kind = dict(docs.dtypes)[id_col]
-    ordered = encoded.repartitionByRange(files, F.col(id_col), F.col("n")).sortWithinPartitions(id_col, "n").select(id_col, "width", "ids")
+    keys = [F.col(id_col), F.col("n"), F.xxhash64("ids")]  # a full order: what starts where is the same in every run
+    ordered = encoded.repartitionByRange(files, *keys).sortWithinPartitions(*keys).select(id_col, "width", "ids")
     index = ordered.mapInArrow(run, f"shard long, block long, file string, at long, control_bytes long, data_bytes long, n_ids long, doc_ids array<{kind}>, doc_n array<long>")
-    return staged(index, "token-index"), folder, order
+    index = staged(index, "token-index")
+    dropped(encoded)
+    return index, folder, order
 
 
 def read_token_files(index: DataFrame, folder: str, order: np.ndarray, id_col: str = "doc_id") -> DataFrame:
@@ -187,7 +189,3 @@ def read_token_files(index: DataFrame, folder: str, order: np.ndarray, id_col: s
 
     # A block is some megabytes: few to a batch, dealt out again since the index itself is small.
     return placed.repartition(F.col("file"), F.col("at")).mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids binary")
-
-
-def crc(raw: bytes) -> int:
-    return zlib.crc32(raw)

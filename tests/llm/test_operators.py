@@ -298,3 +298,14 @@ def test_quality_order_is_repeatable(spark):
     a, b = (sorted((r["doc_id"], r["failed"] or "") for r in quality_rules(docs_of(spark, texts)).collect()) for _ in range(2))
     assert a == b
     assert quality_rules(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_token_files_of_repeated_ids_and_of_nothing(spark):
+    path = tokenizer_path(BYTES)
+    table = spark.createDataFrame([(k, t, "clash", "clash") for k in (None, 7) for t in ("one two", "two one", "one two", None)], DOCS)
+    runs = []
+    for parts in (1, 5):
+        found = read_token_files(*write_token_files(table.repartition(parts), path)).collect()
+        runs.append(sorted((r["start"], r["doc_id"] or 0, r["n_tokens"], bytes(r["ids"])) for r in found))
+    assert runs[0] == runs[1] and len(runs[0]) == 8
+    assert read_token_files(*write_token_files(table.limit(0), path)).count() == 0
