@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import private, toxicity
+from .clustering import OP11_SQL, cluster
 from .common import count_words, table
 from .conversations import reply_ordered
 from .mixing import OP8_SQL, fair_mix
@@ -17,6 +18,7 @@ from .quality import OP7_SQL, quality_rules
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from .topk import OP1_SQL, top_k
+from .whitening import whiten
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,5 +77,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivot_topk, op2_token_files, op3_toxicity, op4_ngram_join, op5_quotation_linking, op6_packing, op7_quality_cascade, op8_fair_mix, op9_private, op10_token_counts)}
-ORACLES = {"op1_pivot_topk": OP1_SQL, "op7_quality_cascade": OP7_SQL, "op8_fair_mix": OP8_SQL}
+def op11_scalar_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dims=64)
+
+
+def op13_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivot_topk, op2_token_files, op3_toxicity, op4_ngram_join, op5_quotation_linking, op6_packing, op7_quality_cascade, op8_fair_mix, op9_private, op10_token_counts, op11_scalar_tables, op13_multiplicity_whitening)}
+ORACLES = {"op1_pivot_topk": OP1_SQL, "op7_quality_cascade": OP7_SQL, "op8_fair_mix": OP8_SQL, "op11_scalar_tables": OP11_SQL}
