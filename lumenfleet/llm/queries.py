@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import private, toxicity
 from .clustering import OP11_SQL, cluster
 from .common import count_words, table
+from .context_mixing import language_model_scores
 from .conversations import reply_ordered
 from .mixing import OP8_SQL, fair_mix
 from .ngram_join import ngram_components
@@ -81,9 +82,13 @@ def op11_scalar_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dims=64)
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivot_topk, op2_token_files, op3_toxicity, op4_ngram_join, op5_quotation_linking, op6_packing, op7_quality_cascade, op8_fair_mix, op9_private, op10_token_counts, op11_scalar_tables, op13_multiplicity_whitening)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivot_topk, op2_token_files, op3_toxicity, op4_ngram_join, op5_quotation_linking, op6_packing, op7_quality_cascade, op8_fair_mix, op9_private, op10_token_counts, op11_scalar_tables, op12_context_mixing, op13_multiplicity_whitening)}
 ORACLES = {"op1_pivot_topk": OP1_SQL, "op7_quality_cascade": OP7_SQL, "op8_fair_mix": OP8_SQL, "op11_scalar_tables": OP11_SQL}
