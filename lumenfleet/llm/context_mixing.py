@@ -162,7 +162,7 @@ def shared_bits(a: bytes, b: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def sorted_blocks(words: DataFrame) -> DataFrame:
+def sorted_blocks(words: DataFrame, size: int = WORD_BLOCK) -> DataFrame:
     """(before, word, n), each word in one partition and sorted, as blocks of rows in binary columns, with first and last word and, for
     the bits of both, how many training occurrences of the block begin with them."""
     schema = "block long, first binary, last binary, from_first binary, from_last binary, before binary, words binary, ends binary, n binary, tokens long, distinct long"
@@ -187,8 +187,8 @@ def sorted_blocks(words: DataFrame) -> DataFrame:
 
         for batch in batches:
             held.extend(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            while len(held) >= 2 * WORD_BLOCK:  # cut between different words; a word has 256 rows at most
-                at = WORD_BLOCK
+            while len(held) >= 2 * size + 256:  # cut between different words; a word has 256 rows at most
+                at = size
                 while held[at][1] == held[at - 1][1]:
                     at += 1
                 yield one(held[:at])
@@ -450,7 +450,7 @@ def scored(blocks: DataFrame, tables, known, weights: np.ndarray, table: np.ndar
     return blocks.mapInArrow(run, schema)
 
 
-def language_model_scores(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_model_scores(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", word_block: int = WORD_BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row.
 
     Null texts count as empty: an end mark alone. White space only parts words. Rows with a null id are scored, count as held out and
@@ -463,7 +463,7 @@ def language_model_scores(docs: DataFrame, rounds: int = 2, id_col: str = "doc_i
     lists = staged(listed(own), "lists")
     entries = lists.filter("kind = 1").select("block", "place", "before", "word", "n")
     words = entries.groupBy("before", "word").agg(F.sum("n").alias("n"))
-    blocks = staged(sorted_blocks(words), "words")
+    blocks = staged(sorted_blocks(words, word_block), "words")
     summaries = blocks.select("block", "first", "last", "from_first", "from_last", "tokens", "distinct").collect()
     tokens, distinct = (sum(r[k] for r in summaries) for k in ("tokens", "distinct"))
     known = spark.sparkContext.broadcast(edges(summaries))
