@@ -1,15 +1,16 @@
 """Log-probabilities of texts by online logistic mixing of context predictors, bit by bit.
 
 A text is its lower-cased words, each closed by a blank, and an end mark. Every word is coded from left to right, byte by byte and bit by
-bit; the byte before a word is the last one of the word before it. Predictors of a bit are (1) the count of all training words that begin
-with the same bits, an exact tree as large as the vocabulary, and (2 to 5) counts in hashed tables whose contexts are the last one, two,
-three and five bytes. Their log-odds are added with weights which a gate chooses by how often the tree has seen the place and by the
+bit. Predictors of a bit are (1) the count of all training words that begin
+with the same bits, an exact tree as large as the vocabulary, and (2 to 5) counts in hashed tables whose contexts are the last two, three
+and five bytes, and all of the word so far; before its first byte stands one of eight classes of the last byte of the word before it.
+Their log-odds are added with weights which a gate chooses by how often the tree has seen the place and by the
 place in the word; the weights are learned online, and the sum is refined by an adaptive table from summed to observed odds.
 
 The tree is a table of words, sorted by range: a place in it is a run of neighbours, and what runs over the edge of a block is found from
 each block's first and last word. So all that grows with the corpus stays in Spark; the driver sees a few numbers for each block of
-words. A word's bits depend on the word and the byte before it alone: each distinct pair is scored once and joined back to its texts by
-blocks. While weights are learned, an occurrence is predicted from all others without itself, as an online coder would.
+words. A word's bits depend on the word and that class alone: each distinct pair is scored once and joined back to its texts by blocks, and
+those that begin alike share the work on their beginning. While weights are learned, an occurrence is predicted from all others without itself, as an online coder would.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ BLANK, END, ON, LAST = b" ", b"\n", b"\t", b"\r"  # what closes a word, a text,
 TEXT_BLOCK, LIST_BLOCK, PART = 32 << 20, 400_000, 1 << 17
 #: Words to a block of the tree.
 WORD_BLOCK = 1 << 16
-ORDERS = (1, 2, 3, 5)
+WIDE = PIECE + 1
+ORDERS = (2, 3, 5, WIDE + 1)
 SLOT_BITS = 18
 #: Tasks that count into the tables: each sends its slots once.
 TABLE_TASKS = 256
@@ -42,6 +44,7 @@ GATE_SEEN, GATE_PLACE = (1, 2, 3, 8, 64), (1, 2, 3, 5, 9)
 GATES = (len(GATE_SEEN) + 1) * (len(GATE_PLACE) + 1)
 BUCKETS = 33
 SMALL = 0.4
+_CLASS = [bytes([48 + (b & 7)]) for b in range(256)]
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -52,27 +55,27 @@ def is_training(doc_id):
 
 
 def keys_of(text: bytes) -> Iterator[bytes]:
-    """The keys of a text: the byte before, then the word with its close; for a long word its pieces, and END END with a digest, which
-    stands for the whole word in counts."""
-    before = END
+    """The keys of a text: the class of the byte before, then the word with its close; for a long word its pieces, and END with a digest,
+    which stands for the whole word in counts."""
+    before = _CLASS[END[0]]
     for found in _WORD.finditer(text):
         word = found.group()
         if len(word) <= PIECE:
             yield before + word + BLANK
         else:
-            yield END + END + hashlib.blake2b(word, digest_size=16).digest()
+            yield before + END + hashlib.blake2b(word, digest_size=16).digest()
             for at in range(0, len(word), PIECE):
                 piece = word[at : at + PIECE]
                 yield before + piece + (ON if at + PIECE < len(word) else LAST)
-                before = piece[-1:]
-        before = word[-1:]
+                before = _CLASS[piece[-1]]
+        before = _CLASS[word[-1]]
     yield before + END
 
 
 def listed(docs: DataFrame) -> DataFrame:
     """Blocks of texts. kind 0: row (a number for the row of docs), doc_id, train and, in payload, the text's distinct keys (places in the
-    block's list) and their counts; a long text may have several, in several blocks. kind 1: a key of the block's list: place, before,
-    word (with its close), n (occurrences in training texts)."""
+    block's list) and their counts; a long text may have several, in several blocks. kind 1: a key of the block's list: place,
+    before (a class), word (with its close), n (occurrences in training texts)."""
     schema = "block long, kind int, row long, doc_id long, train boolean, payload binary, place int, before binary, word binary, n long"
     kinds = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("payload", pa.binary()), ("place", pa.int32()), ("before", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
 
@@ -130,7 +133,7 @@ def key_lists(raw: bytes) -> Iterator[list[bytes]]:
     if len(raw) < 1 << 20:
         words = _WORD.findall(raw)
         if not words or len(max(words, key=len)) <= PIECE:  # the usual text
-            before = [END, *[w[-1:] for w in words]]
+            before = [_CLASS[END[0]], *[_CLASS[w[-1]] for w in words]]
             yield [*[b + w + BLANK for b, w in zip(before, words, strict=False)], before[-1] + END]
             return
     source = keys_of(raw)
@@ -140,9 +143,6 @@ def key_lists(raw: bytes) -> Iterator[list[bytes]]:
 
 # The tree of words -----------------------------------------------------------------------------------------------------------------
 
-WIDE = PIECE + 1
-
-
 def as_matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Words as rows of WIDE bytes, filled with zeros, and their lengths; those that stand for long words have length 0."""
     lengths = np.array([0 if w[:1] == END and len(w) > 1 else len(w) for w in words], np.int64)
@@ -162,43 +162,51 @@ def shared_bits(a: bytes, b: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
+def counts_as_token(words: list[bytes]) -> np.ndarray:
+    """Words, ends and what stands for long words; pieces don't."""
+    return np.array([w[-1:] in (BLANK, END) or w[:1] == END for w in words], bool)
+
+
+def word_numbers(words: list[bytes]) -> np.ndarray:
+    """Sorted words numbered, equal ones alike."""
+    return np.cumsum([i > 0 and w != words[i - 1] for i, w in enumerate(words)])
+
+
 def sorted_blocks(words: DataFrame, size: int = WORD_BLOCK) -> DataFrame:
-    """(before, word, n), each word in one partition and sorted, as blocks of rows in binary columns, with first and last word and, for
-    the bits of both, how many training occurrences of the block begin with them."""
+    """(before, word, n), sorted by word, as blocks of rows in binary columns, with first and last word and, for the bits of both, how many
+    training occurrences of the block begin with them."""
     schema = "block long, first binary, last binary, from_first binary, from_last binary, before binary, words binary, ends binary, n binary, tokens long, distinct long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 24, []
+        block, held = TaskContext.get().partitionId() << 32, ([], [], [])
 
-        def one(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
+        def one(before: list[bytes], words: list[bytes], n: list[int]) -> pa.RecordBatch:
             nonlocal block
-            words = [r[1] for r in rows]
-            n = np.array([r[2] for r in rows], np.int64)
+            n = np.array(n, np.int64)
             m, lengths = as_matrix(words)
             real = np.flatnonzero(lengths)
             edge = lambda w: along(m, lengths, n, w) if w else np.zeros(1, np.int64)
             first, last = (words[real[0]], words[real[-1]]) if len(real) else (b"", b"")
-            counted = np.array([len(w) > 1 and w[:1] == END or w[-1:] in (BLANK, END) for w in words]) & (n > 0)
-            starts = np.array([i == 0 or words[i] != words[i - 1] for i in range(len(words))])
-            known = np.bincount(np.cumsum(starts) - 1, n * counted) > 0
-            out = [block, first, last, edge(first).tobytes(), edge(last).tobytes(), b"".join(r[0] for r in rows), b"".join(words), np.cumsum([len(w) for w in words]).astype(np.int64).tobytes(), n.tobytes(), int((n * counted).sum()), int(known.sum())]
+            counted = n * counts_as_token(words)
+            distinct = int((np.bincount(word_numbers(words), counted) > 0).sum())
+            out = [block, first, last, edge(first).tobytes(), edge(last).tobytes(), b"".join(before), b"".join(words), np.cumsum([len(w) for w in words]).astype(np.int64).tobytes(), n.tobytes(), int(counted.sum()), distinct]
             block += 1
-            return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for k, v in zip(names, out, strict=True)})
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in out], names=names)
 
         for batch in batches:
-            held.extend(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            while len(held) >= 2 * size + 256:  # cut between different words; a word has 256 rows at most
+            for i, column in enumerate(held):
+                column += batch.column(i).to_pylist()
+            while len(held[1]) >= 2 * size + 8:  # cut between different words; a word has 8 rows at most
                 at = size
-                while held[at][1] == held[at - 1][1]:
+                while held[1][at] == held[1][at - 1]:
                     at += 1
-                yield one(held[:at])
-                held = held[at:]
-        if held:
-            yield one(held)
+                yield one(*(column[:at] for column in held))
+                held = tuple(column[at:] for column in held)
+        if held[1]:
+            yield one(*held)
 
     names = [part.split()[0] for part in schema.split(", ")]
-    spread = words.repartitionByRange("word").sortWithinPartitions("word", "before").select("before", "word", "n")
-    return spread.mapInArrow(run, schema)
+    return words.repartitionByRange("word").sortWithinPartitions("word", "before").select("before", "word", "n").mapInArrow(run, schema)
 
 
 def along(m: np.ndarray, lengths: np.ndarray, n: np.ndarray, word: bytes) -> np.ndarray:
@@ -250,53 +258,61 @@ class Block:
         self.m, self.lengths = as_matrix(self.words)
         self.edge = edge or (b"", np.zeros(0, np.int64), b"", np.zeros(0, np.int64))
 
-    def beyond(self, j: int, k: int, alive: np.ndarray) -> np.ndarray:
+    def beyond(self, j: int, k: int, rows: np.ndarray) -> np.ndarray | int:
         """What other blocks hold of the first 8 j + k bits of the rows."""
-        out = np.zeros(len(alive), np.int64)
+        out = 0
         for word, extra in ((self.edge[0], self.edge[1]), (self.edge[2], self.edge[3])):
             if 8 * j + k < len(extra):
-                same = np.ones(len(alive), bool)
+                same = np.ones(len(rows), bool)
                 for i in range(j):
-                    same &= self.m[alive, i] == word[i]
+                    same &= self.m[rows, i] == word[i]
                 if k:
-                    same &= self.m[alive, j] >> (8 - k) == word[j] >> (8 - k)
-                out += same * extra[8 * j + k]
+                    same &= self.m[rows, j] >> (8 - k) == word[j] >> (8 - k)
+                out = out + same * extra[8 * j + k]
         return out
 
-    def bytes_in_turn(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(place, rows that have a byte there, those bytes, what the tree counts for 0 to 8 of its bits: 9 by rows). Rows are sorted:
-        those that begin alike are neighbours, and run numbers tell them apart."""
+    def bytes_in_turn(self) -> Iterator[tuple]:
+        """For each place in words, the beginnings that end there, by class, each once: (place, a row of each, the place before's beginning of
+        each, training occurrences in the block, what the tree counts for 0 to 8 bits of the last byte: 9 by beginnings, rows that have
+        a byte there and the beginning of each). Rows are sorted: words that begin alike are neighbours."""
         alive = np.flatnonzero(self.lengths)
         run = np.zeros(len(alive), np.int64)
-        total = np.full(len(alive), self.n[alive].sum()) + self.beyond(0, 0, alive)
+        _, own = np.unique(self.before[alive], return_inverse=True)
+        total = np.array([self.n[alive].sum()]) + self.beyond(0, 0, alive[:1])
         for j in range(WIDE):
             have = self.lengths[alive] > j
-            alive, run, total = alive[have], run[have], total[have]
+            alive, run, own = alive[have], run[have], own[have]
             if not len(alive):
                 return
             byte, n = self.m[alive, j], self.n[alive]
-            counts = np.empty((9, len(alive)), np.int64)
-            counts[0] = total
-            parted = run[1:] != run[:-1]
-            for k in range(1, 9):
-                bits = byte >> (8 - k)
-                starts = np.flatnonzero(np.append(True, parted | (bits[1:] != bits[:-1])))
-                sizes = np.diff(np.append(starts, len(alive)))
-                counts[k] = np.repeat(np.add.reduceat(n, starts), sizes) + self.beyond(j, k, alive)
-            yield j, alive, byte, counts
-            run, total = np.repeat(np.arange(len(starts)), sizes), counts[8]
-
-
-def contexts(block: Block, j: int, alive: np.ndarray) -> np.ndarray:
-    """Hashes of the last 1, 2, 3 and 5 bytes before the place: by order and row."""
-    out = np.empty((len(ORDERS), len(alive)), np.uint64)
-    h = np.full(len(alive), j == 0, np.uint64)
-    for i in range(1, max(ORDERS) + 1):
-        at = j - i
-        byte = block.m[alive, at] if at >= 0 else block.before[alive] if at == -1 else np.zeros(len(alive), np.uint8)
-        h = (h * np.uint64(0x9E3779B97F4A7C15) + byte + np.uint64(i + 1)) ^ (h >> np.uint64(29))
-        if i in ORDERS:
-            out[ORDERS.index(i)] = h
+            starts = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (byte[1:] != byte[:-1])))
+            rows, before = alive[starts], run[starts]
+            mine = np.add.reduceat(n, starts)
+            counts = np.empty((9, len(rows)), np.int64)
+            counts[0], counts[8] = total[before], mine + self.beyond(j, 8, rows)
+            parted, last = before[1:] != before[:-1], byte[starts]
+            for k in range(1, 8):
+                bits = last >> (8 - k)
+                first = np.flatnonzero(np.append(True, parted | (bits[1:] != bits[:-1])))
+                counts[k] = np.repeat(np.add.reduceat(mine, first), np.diff(np.append(first, len(rows)))) + self.beyond(j, k, rows)
+            run = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(alive))))
+            total = counts[8]
+            _, at, mixed_own = np.unique(run * 256 + self.before[alive], return_index=True, return_inverse=True)
+            yield j, alive[at], own[at], np.bincount(mixed_own, n).astype(np.int64), counts[:, run[at]], alive, mixed_own
+            own = mixed_own
+
+
+def contexts(block: Block, j: int, rows: np.ndarray) -> np.ndarray:
+    """Hashes of the last bytes before the place, as many as each order says: by order and row. Before a word's first byte stands the
+    class, and zeros before it."""
+    out = np.empty((len(ORDERS), len(rows)), np.uint64)
+    h = np.zeros(len(rows), np.uint64)
+    for i in range(1, j + 2):
+        byte = block.m[rows, j - i] if j >= i else block.before[rows]
+        h = (h * np.uint64(0x9E3779B97F4A7C15) + byte + np.uint64(i)) ^ (h >> np.uint64(29))
+        for o in range(len(ORDERS)):
+            if i == min(ORDERS[o], j + 1):
+                out[o] = h * np.uint64(2 * o + 1)
     return out
 
 
@@ -315,11 +331,9 @@ def table_counts(blocks: DataFrame) -> np.ndarray:
         for batch in batches:
             for row in rows_of(batch):
                 block = Block(row, None)
-                for j in range(WIDE):
-                    alive = np.flatnonzero((block.lengths > j) & (block.n > 0))
-                    if not len(alive):
-                        break
-                    context, byte, n = contexts(block, j, alive), block.m[alive, j], block.n[alive]
+                for j, rows, _, n, *_ in block.bytes_in_turn():
+                    rows, n = rows[n > 0], n[n > 0]
+                    context, byte = contexts(block, j, rows), block.m[rows, j]
                     for k in range(9):
                         at = slots(context, byte, k)
                         for o in range(len(ORDERS)):
@@ -328,32 +342,36 @@ def table_counts(blocks: DataFrame) -> np.ndarray:
         used = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(flat[used])], names=["slot", "n"])
 
-    got = blocks.select("words", "ends", "before", "n").coalesce(TABLE_TASKS).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = np.zeros(len(ORDERS) << SLOT_BITS)
+    got = blocks.select("before", "words", "ends", "n").coalesce(TABLE_TASKS).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = np.zeros(len(ORDERS) << SLOT_BITS, np.float32)
     for r in got.toLocalIterator():
         found[r["slot"]] = r["n"]
-    return found.astype(np.float32).reshape(len(ORDERS), -1)
+    return found.reshape(len(ORDERS), -1)
 
 
 # Mixing ----------------------------------------------------------------------------------------------------------------------------
 
 
 def bits_of(block: Block, tables: np.ndarray, leave_out: bool) -> Iterator[tuple]:
-    """For each bit in turn: (rows, the bit, log-odds of the true bit by predictor, gate). With leave_out, one occurrence of the row is
-    taken from all counts."""
-    less = 1.0 if leave_out else 0.0
-    for j, alive, byte, tree in block.bytes_in_turn():
-        context = contexts(block, j, alive)
-        have = tables[np.arange(len(ORDERS))[:, None], slots(context, byte, 0)]
+    """For each place, (rows, before, occurrences, alive, run) of bytes_in_turn and, for each of 8 bits: the bit, log-odds of the true bit by
+    predictor, gate. With leave_out, only training occurrences come, and one is taken from all counts."""
+    less, orders = np.float32(leave_out), np.arange(len(ORDERS))[:, None]
+    for j, rows, before, n, tree, alive, run in block.bytes_in_turn():
+        if leave_out:
+            have = n > 0
+            rows, before, n, tree = rows[have], before[have], n[have], tree[:, have]
+            if not len(rows):
+                continue
+        context, byte, tree = contexts(block, j, rows), block.m[rows, j], tree.astype(np.float32)
         place = int(np.searchsorted(GATE_PLACE, j, "right"))
+        seen = np.vstack([tree[:1], tables[orders, slots(context, byte, 0)]]) - less
+        bits = []
         for k in range(8):
-            then = tables[np.arange(len(ORDERS))[:, None], slots(context, byte, k + 1)]
-            seen = np.maximum(np.vstack([tree[k][None], have]) - less, 0)
-            right = np.maximum(np.vstack([tree[k + 1][None], then]) - less, 0)
-            odds = np.log((right + SMALL) / (np.maximum(seen - right, 0) + SMALL))
-            gate = np.searchsorted(GATE_SEEN, seen[0], "right") * (len(GATE_PLACE) + 1) + place
-            yield alive, byte >> (7 - k) & 1, odds, gate
-            have = then
+            right = np.vstack([tree[k + 1][None], tables[orders, slots(context, byte, k + 1)]]) - less
+            odds = np.log((np.maximum(right, 0) + np.float32(SMALL)) / (np.maximum(seen - right, 0) + np.float32(SMALL)))
+            bits.append((byte >> (7 - k) & 1, odds, np.searchsorted(GATE_SEEN, seen[0], "right") * (len(GATE_PLACE) + 1) + place))
+            seen = right
+        yield (rows, before, n, alive, run), bits
 
 
 def learned(blocks: DataFrame, tables, known, weights: np.ndarray, rate: float) -> np.ndarray:
@@ -364,17 +382,14 @@ def learned(blocks: DataFrame, tables, known, weights: np.ndarray, rate: float)
         for batch in batches:
             for row in rows_of(batch):
                 block = Block(row, known.value.get(row["block"]))
-                for alive, _, odds, gate in bits_of(block, tables.value, True):
-                    train = np.flatnonzero(block.n[alive] > 0)
-                    n, st, g = block.n[alive[train]].astype(float), odds[:, train], gate[train]
-                    wrong = n * (1 - 1 / (1 + np.exp(-np.clip((w[g] * st.T).sum(1), -30, 30))))
-                    of_gate = np.bincount(g, n, GATES)
-                    step = np.column_stack([np.bincount(g, wrong * x, GATES) for x in st])
-                    scale = np.column_stack([np.bincount(g, n * x * x, GATES) for x in st])
-                    # A gate's step is scaled by the recent power of its inputs, so that its size follows neither counts nor block sizes.
-                    power = 0.98 * power + scale.sum(1)
-                    w += 4 * rate * step / power[:, None]
-                    seen += of_gate
+                for (_, _, n, _, _), bits in bits_of(block, tables.value, True):
+                    for _, st, g in bits:
+                        right = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ji->i", w[g], st), -30, 30)))
+                        wrong, norm = n * (1 - right), n * (st * st).sum(0)
+                        # A gate's step is scaled by the recent power of its inputs, so that its size follows neither counts nor block sizes.
+                        power = 0.98 * power + np.bincount(g, norm, GATES)
+                        w += 4 * rate * np.column_stack([np.bincount(g, wrong * x, GATES) for x in st]) / power[:, None]
+                        seen += np.bincount(g, n, GATES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES), pa.int32()), pa.array(seen), pa.array(list(w * seen[:, None]), pa.list_(pa.float64()))], names=["gate", "seen", "w"])
 
     parts = blocks.mapInArrow(run, "gate int, seen double, w array<double>")
@@ -392,7 +407,7 @@ def bucket(odds_of_one: np.ndarray) -> np.ndarray:
 
 def mixed(odds: np.ndarray, gate: np.ndarray, bit: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of the true bit, and the place of the odds of a one in the refining table."""
-    st = np.clip((weights[gate] * odds.T).sum(1), -20, 20)
+    st = np.clip(np.einsum("ij,ji->i", weights[gate], odds), -20, 20)
     return st, bucket(np.where(bit == 1, st, -st)) * GATES + gate
 
 
@@ -411,11 +426,11 @@ def refining(blocks: DataFrame, tables, known, weights: np.ndarray) -> np.ndarra
         for batch in batches:
             for row in rows_of(batch):
                 block = Block(row, known.value.get(row["block"]))
-                for alive, bit, odds, gate in bits_of(block, tables.value, True):
-                    n = block.n[alive].astype(float)
-                    _, at = mixed(odds, gate, bit, weights)
-                    total[0] += np.bincount(at, n * (bit == 1), BUCKETS * GATES)
-                    total[1] += np.bincount(at, n, BUCKETS * GATES)
+                for (_, _, n, _, _), bits in bits_of(block, tables.value, True):
+                    for bit, odds, gate in bits:
+                        _, at = mixed(odds, gate, bit, weights)
+                        total[0] += np.bincount(at, n * (bit == 1), BUCKETS * GATES)
+                        total[1] += np.bincount(at, n, BUCKETS * GATES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS * GATES), pa.int32()), pa.array(total[0]), pa.array(total[1])], names=["at", "ones", "all"])
 
     middle = np.repeat((np.arange(BUCKETS) - BUCKETS // 2) / 2, GATES)
@@ -426,28 +441,26 @@ def refining(blocks: DataFrame, tables, known, weights: np.ndarray) -> np.ndarra
     return np.log((ones + drawn * p) / (every - ones + drawn * (1 - p)))
 
 
-def scored(blocks: DataFrame, tables, known, weights: np.ndarray, table: np.ndarray, tokens: int, distinct: int) -> DataFrame:
-    """(before, word) with score (log10 of the word's probability), base (log10 of (c + 1) / (N + V + 1)), and whether it counts as a token
-    and is known; those that stand for long words have no score, pieces no base."""
-    schema = "before binary, word binary, score double, base double, token boolean, known boolean, size int"
-    names = [part.split()[0] for part in schema.split(", ")]
+def scored(blocks: DataFrame, tables, known, weights: np.ndarray, table: np.ndarray) -> DataFrame:
+    """key (a 64-bit hash of class and word), score (log10 of its probability), c (its occurrences; null for pieces), size (bytes coded). What stands
+    for a long word has no score, its pieces have no count."""
+    schema = "before binary, word binary, score double, c long, size int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
                 block = Block(row, known.value.get(row["block"]))
-                total = np.zeros(len(block.words))
-                for alive, bit, odds, gate in bits_of(block, tables.value, False):
-                    total[alive] += refined(*mixed(odds, gate, bit, weights), bit, table)
-                words = block.words
-                token = np.array([(w[:1] == END and len(w) > 1) or w[-1:] in (BLANK, END) for w in words])
-                starts = np.array([i == 0 or words[i] != words[i - 1] for i in range(len(words))])
-                which = np.cumsum(starts) - 1
-                c = np.bincount(which, block.n)[which]
-                base = np.where(token, np.log10((c + 1) / (tokens + distinct + 1)), 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array([bytes([b]) for b in block.before], pa.binary()), pa.array(words, pa.binary()), pa.array(total / np.log(10)), pa.array(base), pa.array(token), pa.array(token & (c > 0)), pa.array(block.lengths, pa.int32())], names=names)
+                score, total = np.zeros(len(block.words)), np.zeros(8)
+                for (_, before, _, alive, runs), bits in bits_of(block, tables.value, False):
+                    total = total[before]
+                    for bit, odds, gate in bits:
+                        total += refined(*mixed(odds, gate, bit, weights), bit, table)
+                    score[alive] = total[runs]
+                which = word_numbers(block.words)
+                c = pa.array(np.bincount(which, block.n).astype(np.int64)[which], mask=~counts_as_token(block.words))
+                yield pa.RecordBatch.from_arrays([pa.array([bytes([b]) for b in block.before], pa.binary()), pa.array(block.words, pa.binary()), pa.array(score / np.log(10)), c, pa.array(block.lengths, pa.int32())], names=["before", "word", "score", "c", "size"])
 
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(run, schema).select(F.xxhash64("before", "word").alias("key"), "score", "c", "size")
 
 
 def language_model_scores(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", word_block: int = WORD_BLOCK) -> DataFrame:
@@ -456,7 +469,7 @@ def language_model_scores(docs: DataFrame, rounds: int = 3, id_col: str = "doc_i
     Null texts count as empty: an end mark alone. White space only parts words. Rows with a null id are scored, count as held out and
     don't train; repeated rows train and are scored each for itself. A table without training rows scores all by the same rules with
     no counts. An empty table gives an empty result. Words of more than 32 bytes are coded in pieces; in base counts they are known by
-    a 128-bit digest. n_bytes are those of the coded words with a blank after each and one for the end. Further columns are ignored.
+    a 128-bit digest; scores find their way back to texts by 64-bit hashes of words. n_bytes are those of the coded words with a blank after each and one for the end. Further columns are ignored.
     """
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), is_training(docs[id_col].cast("long")).alias("train"))
@@ -472,10 +485,9 @@ def language_model_scores(docs: DataFrame, rounds: int = 3, id_col: str = "doc_i
     for i in range(rounds):
         weights = learned(blocks, tables, known, weights, 1 / (1 + i))
     table = refining(blocks, tables, known, weights)
-    words_scored = staged(scored(blocks, tables, known, weights, table, tokens, distinct), "scored")
+    words_scored = staged(scored(blocks, tables, known, weights, table), "scored")
     dropped(blocks)
-    found = entries.select("block", "place", "before", "word").join(words_scored, ["before", "word"])
-    found = found.select(F.col("block").alias("in_block"), "place", "score", "base", "token", "known", "size")
+    found = entries.select(F.col("block").alias("in_block"), "place", F.xxhash64("before", "word").alias("key")).join(words_scored, "key").drop("key")
     texts = lists.filter("kind = 0").select("block", "row", "doc_id", "train", "payload")
     schema = "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
     names = [part.split()[0] for part in schema.split(", ")]
@@ -483,17 +495,17 @@ def language_model_scores(docs: DataFrame, rounds: int = 3, id_col: str = "doc_i
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         place = right.column("place").to_numpy()
         m = int(place.max(initial=-1)) + 1
-        of = {}
-        for k in ("score", "base", "token", "known", "size"):
-            of[k] = np.zeros(m)
-            of[k][place] = right.column(k).to_numpy()
-        out = {k: [] for k in ("token", "known", "base", "score", "size")}
+        of = np.zeros((5, m))
+        c = right.column("c").fill_null(-1).to_numpy()
+        token = c >= 0
+        of[:, place] = [right.column("score").to_numpy(), np.where(token, np.log10((np.maximum(c, 0) + 1) / (tokens + distinct + 1)), 0), token, c > 0, right.column("size").to_numpy()]
+        sums = []
         for payload in left.column("payload"):
             own, count = from_payload(payload.as_py())
-            for k, values in out.items():
-                values.append(float((of[k][own] * count).sum()))
-        whole = lambda k: pa.array(np.rint(out[k]).astype(np.int64))
-        return pa.table([left.column("row"), left.column("doc_id"), left.column("train"), whole("token"), whole("known"), pa.array(out["base"]), pa.array(out["score"]), whole("size")], names=names)
+            sums.append(of[:, own] @ count)
+        score, base, token, known, size = np.array(sums).reshape(-1, 5).T
+        whole = lambda v: pa.array(np.rint(v).astype(np.int64))
+        return pa.table([left.column("row"), left.column("doc_id"), left.column("train"), whole(token), whole(known), pa.array(base), pa.array(score), whole(size)], names=names)
 
     got = texts.groupBy("block").cogroup(found.groupBy("in_block")).applyInArrow(run, schema)
     # A long text's parts come together again; all others have one.
