@@ -44,7 +44,8 @@ GATE_SEEN, GATE_PLACE = (1, 2, 3, 8, 64), (1, 2, 3, 5, 9)
 GATES = (len(GATE_SEEN) + 1) * (len(GATE_PLACE) + 1)
 BUCKETS = 33
 SMALL = 0.4
-_CLASS = [bytes([48 + (b & 7)]) for b in range(256)]
+#: Classes of the byte before a word: its lowest three bits.
+CLASSES = 8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -54,30 +55,37 @@ def is_training(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2, F.lit(False))
 
 
-def keys_of(text: bytes) -> Iterator[bytes]:
-    """The keys of a text: the class of the byte before, then the word with its close; for a long word its pieces, and END with a digest,
-    which stands for the whole word in counts."""
-    before = _CLASS[END[0]]
+def keys_of(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """A text's words, each with the last byte before it. Long words come in pieces, with a close of their own, and once more as END with a
+    digest, which stands for the whole word in counts."""
+    before = END[0]
     for found in _WORD.finditer(text):
         word = found.group()
         if len(word) <= PIECE:
-            yield before + word + BLANK
+            yield word, before
         else:
-            yield before + END + hashlib.blake2b(word, digest_size=16).digest()
+            yield END + hashlib.blake2b(word, digest_size=16).digest(), before
             for at in range(0, len(word), PIECE):
                 piece = word[at : at + PIECE]
-                yield before + piece + (ON if at + PIECE < len(word) else LAST)
-                before = _CLASS[piece[-1]]
-        before = _CLASS[word[-1]]
-    yield before + END
+                yield piece + (ON if at + PIECE < len(word) else LAST), before
+                before = piece[-1]
+        before = word[-1]
+    yield END, before
+
+
+def closed(word: bytes) -> bytes:
+    """A word with its close; ends, pieces and what stands for a long word have their own."""
+    return word if word[:1] == END or word[-1:] in (ON, LAST) else word + BLANK
 
 
 def listed(docs: DataFrame) -> DataFrame:
-    """Blocks of texts. kind 0: row (a number for the row of docs), doc_id, train and, in payload, the text's distinct keys (places in the
-    block's list) and their counts; a long text may have several, in several blocks. kind 1: a key of the block's list: place,
-    before (a class), word (with its close), n (occurrences in training texts)."""
-    schema = "block long, kind int, row long, doc_id long, train boolean, payload binary, place int, before binary, word binary, n long"
-    kinds = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("payload", pa.binary()), ("place", pa.int32()), ("before", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
+    """Blocks of texts. kind 0: row (a number for the row of docs), doc_id, train and, in payload, the text's distinct keys (a word's place
+    in the block's list, times CLASSES, plus the class) and their counts; a long text may have several, in several blocks. kind 1: a
+    word of the block's list: place, word (with its close), n0 to n7 (occurrences in training texts by class, null for a class that no
+    text of the block has)."""
+    numbers = [f"n{i}" for i in range(CLASSES)]
+    schema = "block long, kind int, row long, doc_id long, train boolean, payload binary, place int, word binary, " + ", ".join(f"{k} long" for k in numbers)
+    kinds = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("payload", pa.binary()), ("place", pa.int32()), ("word", pa.binary()), *[(k, pa.int64()) for k in numbers]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = row = TaskContext.get().partitionId() << 32
@@ -89,27 +97,30 @@ def listed(docs: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, held, places, parts
-            n = np.zeros(len(places), np.int64)
+            n, there = np.zeros(len(places) * CLASSES, np.int64), np.zeros(len(places) * CLASSES, bool)
             for _, _, train, own, count in parts:
+                there[own] = True
                 if train:
                     n[own] += count
             for at in range(0, len(parts), 1000):
                 rows, ids, trains, owns, counts = zip(*parts[at : at + 1000], strict=True)
                 yield made(0, len(rows), row=rows, doc_id=ids, train=trains, payload=[as_payload(*x) for x in zip(owns, counts, strict=True)])
-            keys = list(places)
-            for at in range(0, len(keys), 50_000):
-                some = keys[at : at + 50_000]
-                yield made(1, len(some), place=range(at, at + len(some)), before=[x[:1] for x in some], word=[x[1:] for x in some], n=n[at : at + len(some)])
+            words, n, there = [closed(w) for w in places], n.reshape(-1, CLASSES), there.reshape(-1, CLASSES)
+            for at in range(0, len(words), 50_000):
+                some = slice(at, at + 50_000)
+                of_class = {k: pa.array(n[some, i], mask=~there[some, i]) for i, k in enumerate(numbers)}
+                yield made(1, len(words[some]), place=range(at, at + len(words[some])), word=words[some], **of_class)
             block, held, places, parts = block + 1, 0, {}, []
 
         for batch in batches:
             for doc_id, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass").translate(_LOWER)
                 row += 1
-                for keys in key_lists(raw):
-                    own, count = np.unique(np.fromiter([places.setdefault(k, len(places)) for k in keys], np.int64, len(keys)), return_counts=True)
+                for words, before in key_lists(raw):
+                    place = np.fromiter([places.setdefault(w, len(places)) for w in words], np.int64, len(words))
+                    own, count = np.unique(place * CLASSES + before % CLASSES, return_counts=True)
                     parts.append((row, doc_id, train, own, count))
-                    held += 8 * len(keys)
+                    held += 8 * len(words)
                     if held >= TEXT_BLOCK or len(places) >= LIST_BLOCK:
                         yield from flush()
         if parts:
@@ -128,17 +139,19 @@ def from_payload(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[0].T.copy().view("<u4").ravel(), both[1].T.copy().view("<u4").ravel()
 
 
-def key_lists(raw: bytes) -> Iterator[list[bytes]]:
-    """A text's keys, in one list, or for long texts in lists of PART."""
+def key_lists(raw: bytes) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """A text's words and the bytes before them, in one list, or for long texts in lists of PART."""
     if len(raw) < 1 << 20:
         words = _WORD.findall(raw)
         if not words or len(max(words, key=len)) <= PIECE:  # the usual text
-            before = [_CLASS[END[0]], *[_CLASS[w[-1]] for w in words]]
-            yield [*[b + w + BLANK for b, w in zip(before, words, strict=False)], before[-1] + END]
+            before = [END[0], *[w[-1] for w in words]]
+            words.append(END)
+            yield words, np.array(before)
             return
     source = keys_of(raw)
     while some := list(islice(source, PART)):
-        yield some
+        words, before = zip(*some, strict=True)
+        yield words, np.array(before)
 
 
 # The tree of words -----------------------------------------------------------------------------------------------------------------
@@ -173,40 +186,38 @@ def word_numbers(words: list[bytes]) -> np.ndarray:
 
 
 def sorted_blocks(words: DataFrame, size: int = WORD_BLOCK) -> DataFrame:
-    """(before, word, n), sorted by word, as blocks of rows in binary columns, with first and last word and, for the bits of both, how many
+    """Words with n0 to n7, sorted, as blocks of rows (a word and a class of before) in binary columns, with first and last word and, for the bits of both, how many
     training occurrences of the block begin with them."""
     schema = "block long, first binary, last binary, from_first binary, from_last binary, before binary, words binary, ends binary, n binary, tokens long, distinct long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, ([], [], [])
+        block, held, n = TaskContext.get().partitionId() << 32, [], np.zeros((0, CLASSES))
 
-        def one(before: list[bytes], words: list[bytes], n: list[int]) -> pa.RecordBatch:
+        def one(distinct_words: list[bytes], numbers: np.ndarray) -> pa.RecordBatch:
             nonlocal block
-            n = np.array(n, np.int64)
+            at, before = np.nonzero(~np.isnan(numbers))
+            words, n = [distinct_words[i] for i in at], numbers[at, before].astype(np.int64)
             m, lengths = as_matrix(words)
             real = np.flatnonzero(lengths)
             edge = lambda w: along(m, lengths, n, w) if w else np.zeros(1, np.int64)
             first, last = (words[real[0]], words[real[-1]]) if len(real) else (b"", b"")
             counted = n * counts_as_token(words)
             distinct = int((np.bincount(word_numbers(words), counted) > 0).sum())
-            out = [block, first, last, edge(first).tobytes(), edge(last).tobytes(), b"".join(before), b"".join(words), np.cumsum([len(w) for w in words]).astype(np.int64).tobytes(), n.tobytes(), int(counted.sum()), distinct]
+            out = [block, first, last, edge(first).tobytes(), edge(last).tobytes(), before.astype(np.uint8).tobytes(), b"".join(words), np.cumsum([len(w) for w in words]).astype(np.int64).tobytes(), n.tobytes(), int(counted.sum()), distinct]
             block += 1
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in out], names=names)
 
         for batch in batches:
-            for i, column in enumerate(held):
-                column += batch.column(i).to_pylist()
-            while len(held[1]) >= 2 * size + 8:  # cut between different words; a word has 8 rows at most
-                at = size
-                while held[1][at] == held[1][at - 1]:
-                    at += 1
-                yield one(*(column[:at] for column in held))
-                held = tuple(column[at:] for column in held)
-        if held[1]:
-            yield one(*held)
+            held += batch.column(0).to_pylist()
+            n = np.vstack([n, np.column_stack([batch.column(i + 1).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(CLASSES)])])
+            while len(held) >= 2 * size:
+                yield one(held[:size], n[:size])
+                held, n = held[size:], n[size:]
+        if held:
+            yield one(held, n)
 
     names = [part.split()[0] for part in schema.split(", ")]
-    return words.repartitionByRange("word").sortWithinPartitions("word", "before").select("before", "word", "n").mapInArrow(run, schema)
+    return words.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(run, schema)
 
 
 def along(m: np.ndarray, lengths: np.ndarray, n: np.ndarray, word: bytes) -> np.ndarray:
@@ -297,7 +308,10 @@ class Block:
                 counts[k] = np.repeat(np.add.reduceat(mine, first), np.diff(np.append(first, len(rows)))) + self.beyond(j, k, rows)
             run = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(alive))))
             total = counts[8]
-            _, at, mixed_own = np.unique(run * 256 + self.before[alive], return_index=True, return_inverse=True)
+            code = run * CLASSES + self.before[alive]
+            first = np.full(len(rows) * CLASSES, -1)
+            first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+            at, mixed_own = first[first >= 0], (np.cumsum(first >= 0) - 1)[code]
             yield j, alive[at], own[at], np.bincount(mixed_own, n).astype(np.int64), counts[:, run[at]], alive, mixed_own
             own = mixed_own
 
@@ -442,28 +456,35 @@ def refining(blocks: DataFrame, tables, known, weights: np.ndarray) -> np.ndarra
 
 
 def scored(blocks: DataFrame, tables, known, weights: np.ndarray, table: np.ndarray) -> DataFrame:
-    """key (a 64-bit hash of class and word), score (log10 of its probability), c (its occurrences; null for pieces), size (bytes coded). What stands
-    for a long word has no score, its pieces have no count."""
-    schema = "before binary, word binary, score double, c long, size int"
+    """key (a 64-bit hash of the word), scores (log10 of its probability, after each class of before that turned up, as doubles), classes (a bit
+    for each of those), c (its occurrences; null for pieces), size (bytes coded). What stands for a long word scores 0, its pieces
+    have no count."""
+    schema = "word binary, scores binary, classes int, c long, size int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
                 block = Block(row, known.value.get(row["block"]))
-                score, total = np.zeros(len(block.words)), np.zeros(8)
+                score, total = np.zeros(len(block.words)), np.zeros(CLASSES)
                 for (_, before, _, alive, runs), bits in bits_of(block, tables.value, False):
                     total = total[before]
                     for bit, odds, gate in bits:
                         total += refined(*mixed(odds, gate, bit, weights), bit, table)
                     score[alive] = total[runs]
                 which = word_numbers(block.words)
-                c = pa.array(np.bincount(which, block.n).astype(np.int64)[which], mask=~counts_as_token(block.words))
-                yield pa.RecordBatch.from_arrays([pa.array([bytes([b]) for b in block.before], pa.binary()), pa.array(block.words, pa.binary()), pa.array(score / np.log(10)), c, pa.array(block.lengths, pa.int32())], names=["before", "word", "score", "c", "size"])
+                first = np.flatnonzero(np.diff(which, prepend=-1))
+                words = [block.words[i] for i in first]
+                ends = np.append(first, len(which))
+                score /= np.log(10)
+                scores = [score[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+                classes = np.add.reduceat(1 << block.before.astype(np.int32), first)
+                c = pa.array(np.add.reduceat(block.n, first), mask=~counts_as_token(words))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(scores, pa.binary()), pa.array(classes, pa.int32()), c, pa.array(block.lengths[first], pa.int32())], names=["word", "scores", "classes", "c", "size"])
 
-    return blocks.mapInArrow(run, schema).select(F.xxhash64("before", "word").alias("key"), "score", "c", "size")
+    return blocks.mapInArrow(run, schema).select(F.xxhash64("word").alias("key"), "scores", "classes", "c", "size")
 
 
-def language_model_scores(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", word_block: int = WORD_BLOCK) -> DataFrame:
+def language_model_scores(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", word_block: int = WORD_BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row.
 
     Null texts count as empty: an end mark alone. White space only parts words. Rows with a null id are scored, count as held out and
@@ -474,8 +495,8 @@ def language_model_scores(docs: DataFrame, rounds: int = 3, id_col: str = "doc_i
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), is_training(docs[id_col].cast("long")).alias("train"))
     lists = staged(listed(own), "lists")
-    entries = lists.filter("kind = 1").select("block", "place", "before", "word", "n")
-    words = entries.groupBy("before", "word").agg(F.sum("n").alias("n"))
+    entries = lists.filter("kind = 1").select("block", "place", "word", *[f"n{i}" for i in range(CLASSES)])
+    words = entries.groupBy("word").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(CLASSES)])
     blocks = staged(sorted_blocks(words, word_block), "words")
     summaries = blocks.select("block", "first", "last", "from_first", "from_last", "tokens", "distinct").collect()
     tokens, distinct = (sum(r[k] for r in summaries) for k in ("tokens", "distinct"))
@@ -487,18 +508,19 @@ def language_model_scores(docs: DataFrame, rounds: int = 3, id_col: str = "doc_i
     table = refining(blocks, tables, known, weights)
     words_scored = staged(scored(blocks, tables, known, weights, table), "scored")
     dropped(blocks)
-    found = entries.select(F.col("block").alias("in_block"), "place", F.xxhash64("before", "word").alias("key")).join(words_scored, "key").drop("key")
+    found = entries.select(F.col("block").alias("in_block"), "place", F.xxhash64("word").alias("key")).join(words_scored, "key").drop("key")
     texts = lists.filter("kind = 0").select("block", "row", "doc_id", "train", "payload")
     schema = "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = right.column("place").to_numpy()
-        m = int(place.max(initial=-1)) + 1
-        of = np.zeros((5, m))
-        c = right.column("c").fill_null(-1).to_numpy()
-        token = c >= 0
-        of[:, place] = [right.column("score").to_numpy(), np.where(token, np.log10((np.maximum(c, 0) + 1) / (tokens + distinct + 1)), 0), token, c > 0, right.column("size").to_numpy()]
+        place, c = right.column("place").to_numpy(), right.column("c").fill_null(-1).to_numpy()
+        token, m = c >= 0, int(place.max(initial=-1)) + 1
+        of = np.zeros((5, m * CLASSES))
+        at, own_class = np.nonzero(right.column("classes").to_numpy()[:, None] >> np.arange(CLASSES) & 1)
+        of[0, place[at] * CLASSES + own_class] = np.frombuffer(b"".join(right.column("scores").to_pylist()), np.float64)
+        each = np.stack([np.where(token, np.log10((np.maximum(c, 0) + 1) / (tokens + distinct + 1)), 0), token, c > 0, right.column("size").to_numpy()])
+        of[1:].reshape(4, m, CLASSES)[:, place] = each[:, :, None]
         sums = []
         for payload in left.column("payload"):
             own, count = from_payload(payload.as_py())

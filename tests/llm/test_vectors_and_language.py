@@ -130,8 +130,9 @@ def test_language_model_base_and_blocks(spark, texts):
 def test_language_model_learns(spark, texts):
     _, docs = docs_of(spark, texts)
     plain = context_mixing.language_model_scores(docs, rounds=0).filter("held_out").agg({"score": "sum"}).first()[0]
-    mixed = context_mixing.language_model_scores(docs, rounds=3).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
-    assert mixed["sum(score)"] > plain and mixed["sum(score)"] > mixed["sum(base_score)"]
+    assert context_mixing.language_model_scores(docs).filter("held_out").agg({"score": "sum"}).first()[0] > plain
+    prose = context_mixing.language_model_scores(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert prose["sum(score)"] > 0.9 * prose["sum(base_score)"]  # both negative: ten percent better than counted words
     assert context_mixing.language_model_scores(docs.limit(0)).count() == 0
     alone = context_mixing.language_model_scores(docs.filter("doc_id is null")).collect()
     assert [(r["held_out"], r["train_tokens"], r["base_score"]) for r in alone] == [(True, 0, 0.0)] and alone[0]["score"] < 0
@@ -151,7 +152,7 @@ def test_predictions_of_a_bit_sum_to_one():
 def test_tree_counts_equal_brute_force():
     words = sorted({bytes(random.Random(i).choices(b"ab\xff\x00", k=random.Random(-i).randint(0, 5))) + b" " for i in range(1, 200)})
     n = [i % 4 for i in range(len(words))]
-    row = {"ends": np.cumsum([len(w) for w in words]).astype(np.int64).tobytes(), "words": b"".join(words), "before": bytes(48 + i % 3 for i in range(len(words))), "n": np.array(n, np.int64).tobytes()}
+    row = {"ends": np.cumsum([len(w) for w in words]).astype(np.int64).tobytes(), "words": b"".join(words), "before": bytes(i % 3 for i in range(len(words))), "n": np.array(n, np.int64).tobytes()}
     bits = ["".join(f"{b:08b}" for b in w) for w in words]
     for j, rows, _, _, counts, alive, run in context_mixing.Block(row, None).bytes_in_turn():
         assert sorted(alive) == [i for i, w in enumerate(words) if len(w) > j]
@@ -164,7 +165,8 @@ def test_tree_counts_equal_brute_force():
 def test_long_texts_go_in_parts():
     text = b"ab " * 400_000 + b"z" * 100
     lists = list(context_mixing.key_lists(text))
-    assert max(map(len, lists)) <= context_mixing.PART and sum(map(len, lists)) == 400_000 + 1 + 4 + 1
+    assert max(len(words) for words, _ in lists) <= context_mixing.PART and sum(len(words) for words, _ in lists) == 400_000 + 1 + 4 + 1
+    assert lists[0][1][:3].tolist() == [10, 98, 98] and lists[-1][0][-1] == b"\n" and all(len(words) == len(before) for words, before in lists)
     own, count = np.array([0, 7, 70_000]), np.array([1, 300, 2])
     back = context_mixing.from_payload(context_mixing.as_payload(own, count))
     assert back[0].tolist() == own.tolist() and back[1].tolist() == count.tolist()
