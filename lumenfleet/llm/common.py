@@ -36,22 +36,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, path: str) -> None:
+def written(df: DataFrame, path: str, **options: str) -> None:
     """Write a table; its shuffle files go with the end of the write, as nothing else reads them."""
     spark = df.sparkSession
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
     finally:
         spark.conf.set(CLEAN_UP, before)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    written(df, path)
+    written(df, path, **options)
     found = spark.read.schema(df.schema).parquet(path)
     found.staged_at = path
     return found

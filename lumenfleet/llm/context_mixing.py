@@ -32,7 +32,7 @@ from .common import dropped, staged
 PIECE = 32
 BLANK, END, ON, LAST = b" ", b"\n", b"\t", b"\r"  # what closes a word, a text, a piece, the last piece of a long word
 #: Texts of about so many bytes, or so many distinct keys, make a block, which lists its keys once; long texts go by so many keys.
-TEXT_BLOCK, LIST_BLOCK, PART = 32 << 20, 400_000, 1 << 17
+TEXT_BLOCK, LIST_BLOCK, PART = 32 << 20, 300_000, 1 << 17
 #: Words to a block of the tree.
 WORD_BLOCK = 1 << 16
 WIDE = PIECE + 1
@@ -456,10 +456,10 @@ def refining(blocks: DataFrame, tables, known, weights: np.ndarray) -> np.ndarra
 
 
 def scored(blocks: DataFrame, tables, known, weights: np.ndarray, table: np.ndarray) -> DataFrame:
-    """key (a 64-bit hash of the word), scores (log10 of its probability, after each class of before that turned up, as doubles), classes (a bit
-    for each of those), c (its occurrences; null for pieces), size (bytes coded). What stands for a long word scores 0, its pieces
+    """key (a 64-bit hash of the word), scores (log10 of its probability, after each class of before that turned up, as floats), c (its
+    occurrences; null for pieces), kind (a bit for each of those classes, and above them the bytes coded). What stands for a long word scores 0, its pieces
     have no count."""
-    schema = "word binary, scores binary, classes int, c long, size int"
+    schema = "word binary, scores binary, c long, kind int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -475,13 +475,13 @@ def scored(blocks: DataFrame, tables, known, weights: np.ndarray, table: np.ndar
                 first = np.flatnonzero(np.diff(which, prepend=-1))
                 words = [block.words[i] for i in first]
                 ends = np.append(first, len(which))
-                score /= np.log(10)
+                score = (score / np.log(10)).astype(np.float32)
                 scores = [score[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
                 classes = np.add.reduceat(1 << block.before.astype(np.int32), first)
                 c = pa.array(np.add.reduceat(block.n, first), mask=~counts_as_token(words))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(scores, pa.binary()), pa.array(classes, pa.int32()), c, pa.array(block.lengths[first], pa.int32())], names=["word", "scores", "classes", "c", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(scores, pa.binary()), c, pa.array(classes | block.lengths[first] << CLASSES, pa.int32())], names=["word", "scores", "c", "kind"])
 
-    return blocks.mapInArrow(run, schema).select(F.xxhash64("word").alias("key"), "scores", "classes", "c", "size")
+    return blocks.mapInArrow(run, schema).select(F.xxhash64("word").alias("key"), "scores", "c", "kind")
 
 
 def language_model_scores(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", word_block: int = WORD_BLOCK) -> DataFrame:
@@ -494,7 +494,7 @@ def language_model_scores(docs: DataFrame, rounds: int = 2, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), is_training(docs[id_col].cast("long")).alias("train"))
-    lists = staged(listed(own), "lists")
+    lists = staged(listed(own), "lists", compression="zstd")
     entries = lists.filter("kind = 1").select("block", "place", "word", *[f"n{i}" for i in range(CLASSES)])
     words = entries.groupBy("word").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(CLASSES)])
     blocks = staged(sorted_blocks(words, word_block), "words")
@@ -508,23 +508,24 @@ def language_model_scores(docs: DataFrame, rounds: int = 2, id_col: str = "doc_i
     table = refining(blocks, tables, known, weights)
     words_scored = staged(scored(blocks, tables, known, weights, table), "scored")
     dropped(blocks)
-    found = entries.select(F.col("block").alias("in_block"), "place", F.xxhash64("word").alias("key")).join(words_scored, "key").drop("key")
+    found = entries.select(F.col("block").alias("in_block"), "place", F.xxhash64("word").alias("key")).join(words_scored, "key")
+    found = found.select("in_block", (F.shiftleft(F.col("place").cast("long"), 16) + F.col("kind")).alias("place_kind"), "scores", "c")
     texts = lists.filter("kind = 0").select("block", "row", "doc_id", "train", "payload")
     schema = "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        place, c = right.column("place").to_numpy(), right.column("c").fill_null(-1).to_numpy()
-        token, m = c >= 0, int(place.max(initial=-1)) + 1
-        of = np.zeros((5, m * CLASSES))
-        at, own_class = np.nonzero(right.column("classes").to_numpy()[:, None] >> np.arange(CLASSES) & 1)
-        of[0, place[at] * CLASSES + own_class] = np.frombuffer(b"".join(right.column("scores").to_pylist()), np.float64)
-        each = np.stack([np.where(token, np.log10((np.maximum(c, 0) + 1) / (tokens + distinct + 1)), 0), token, c > 0, right.column("size").to_numpy()])
-        of[1:].reshape(4, m, CLASSES)[:, place] = each[:, :, None]
+        place_kind, c = right.column("place_kind").to_numpy(), right.column("c").fill_null(-1).to_numpy()
+        place, token = place_kind >> 16, c >= 0
+        m = int(place.max(initial=-1)) + 1
+        at, own_class = np.nonzero(place_kind[:, None] >> np.arange(CLASSES) & 1)
+        of_pair, of_word = np.zeros(m * CLASSES, np.float32), np.zeros((4, m))
+        of_pair[place[at] * CLASSES + own_class] = np.frombuffer(b"".join(right.column("scores").to_pylist()), np.float32)
+        of_word[:, place] = [np.where(token, np.log10((np.maximum(c, 0) + 1) / (tokens + distinct + 1)), 0), token, c > 0, place_kind >> CLASSES & 0xFF]
         sums = []
         for payload in left.column("payload"):
             own, count = from_payload(payload.as_py())
-            sums.append(of[:, own] @ count)
+            sums.append([of_pair[own] @ count.astype(np.float64), *(of_word[:, own // CLASSES] @ count)])
         score, base, token, known, size = np.array(sums).reshape(-1, 5).T
         whole = lambda v: pa.array(np.rint(v).astype(np.int64))
         return pa.table([left.column("row"), left.column("doc_id"), left.column("train"), whole(token), whole(known), pa.array(base), pa.array(score), whole(size)], names=names)
