@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
@@ -89,7 +90,7 @@ def listed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = row = TaskContext.get().partitionId() << 32
-        held, places, parts = 0, {}, []
+        held, places, parts = 0, growing(), []
 
         def made(kind: int, size: int, **columns) -> pa.RecordBatch:
             columns |= {"block": [block] * size, "kind": [kind] * size}
@@ -110,14 +111,14 @@ def listed(docs: DataFrame) -> DataFrame:
                 some = slice(at, at + 50_000)
                 of_class = {k: pa.array(n[some, i], mask=~there[some, i]) for i, k in enumerate(numbers)}
                 yield made(1, len(words[some]), place=range(at, at + len(words[some])), word=words[some], **of_class)
-            block, held, places, parts = block + 1, 0, {}, []
+            block, held, places, parts = block + 1, 0, growing(), []
 
         for batch in batches:
-            for doc_id, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+            for doc_id, text, train in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+                raw = (text.as_py() or b"").translate(_LOWER)
                 row += 1
                 for words, before in key_lists(raw):
-                    place = np.fromiter([places.setdefault(w, len(places)) for w in words], np.int64, len(words))
+                    place = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
                     own, count = np.unique(place * CLASSES + before % CLASSES, return_counts=True)
                     parts.append((row, doc_id, train, own, count))
                     held += 8 * len(words)
@@ -129,6 +130,13 @@ def listed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def growing() -> defaultdict[bytes, int]:
+    """Words to places; a word that is not there gets the next place."""
+    places: defaultdict[bytes, int] = defaultdict()
+    places.default_factory = places.__len__
+    return places
+
+
 def as_payload(own: np.ndarray, count: np.ndarray) -> bytes:
     """Places and counts, four bytes each, all first bytes first: this packs well."""
     return b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (own, count))
@@ -143,7 +151,7 @@ def key_lists(raw: bytes) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """A text's words and the bytes before them, in one list, or for long texts in lists of PART."""
     if len(raw) < 1 << 20:
         words = _WORD.findall(raw)
-        if not words or len(max(words, key=len)) <= PIECE:  # the usual text
+        if not words or max(map(len, words)) <= PIECE:  # the usual text
             before = [END[0], *[w[-1] for w in words]]
             words.append(END)
             yield words, np.array(before)
@@ -326,15 +334,14 @@ def contexts(block: Block, j: int, rows: np.ndarray) -> np.ndarray:
         h = (h * np.uint64(0x9E3779B97F4A7C15) + byte + np.uint64(i)) ^ (h >> np.uint64(29))
         for o in range(len(ORDERS)):
             if i == min(ORDERS[o], j + 1):
-                out[o] = h * np.uint64(2 * o + 1)
+                out[o] = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * o + 1)
     return out
 
 
 def slots(context: np.ndarray, byte: np.ndarray, k: int) -> np.ndarray:
     """The slot of the first k bits of the byte in each order's table."""
-    node = (np.uint64(1 << k) | (byte >> (8 - k)).astype(np.uint64)) if k else np.full(len(byte), 1, np.uint64)
-    h = (context ^ node * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    node = (np.uint64(1 << k) | (byte >> (8 - k)).astype(np.uint64)) if k else np.uint64(1)
+    return ((context + node * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def table_counts(blocks: DataFrame) -> np.ndarray:
@@ -369,7 +376,7 @@ def table_counts(blocks: DataFrame) -> np.ndarray:
 def bits_of(block: Block, tables: np.ndarray, leave_out: bool) -> Iterator[tuple]:
     """For each place, (rows, before, occurrences, alive, run) of bytes_in_turn and, for each of 8 bits: the bit, log-odds of the true bit by
     predictor, gate. With leave_out, only training occurrences come, and one is taken from all counts."""
-    less, orders = np.float32(leave_out), np.arange(len(ORDERS))[:, None]
+    less, flat, orders = np.float32(leave_out), tables.ravel(), np.arange(len(ORDERS))[:, None] << SLOT_BITS
     for j, rows, before, n, tree, alive, run in block.bytes_in_turn():
         if leave_out:
             have = n > 0
@@ -378,12 +385,12 @@ def bits_of(block: Block, tables: np.ndarray, leave_out: bool) -> Iterator[tuple
                 continue
         context, byte, tree = contexts(block, j, rows), block.m[rows, j], tree.astype(np.float32)
         place = int(np.searchsorted(GATE_PLACE, j, "right"))
-        seen = np.vstack([tree[:1], tables[orders, slots(context, byte, 0)]]) - less
+        seen = np.vstack([tree[:1], flat.take(slots(context, byte, 0) + orders)]) - less
         bits = []
         for k in range(8):
-            right = np.vstack([tree[k + 1][None], tables[orders, slots(context, byte, k + 1)]]) - less
+            right = np.vstack([tree[k + 1][None], flat.take(slots(context, byte, k + 1) + orders)]) - less
             odds = np.log((np.maximum(right, 0) + np.float32(SMALL)) / (np.maximum(seen - right, 0) + np.float32(SMALL)))
-            bits.append((byte >> (7 - k) & 1, odds, np.searchsorted(GATE_SEEN, seen[0], "right") * (len(GATE_PLACE) + 1) + place))
+            bits.append((byte >> (7 - k) & 1, odds, sum((seen[0] >= least).astype(np.int64) for least in GATE_SEEN) * (len(GATE_PLACE) + 1) + place))
             seen = right
         yield (rows, before, n, alive, run), bits
 
