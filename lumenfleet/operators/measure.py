@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +105,45 @@ def noise_pair(px_pairs: DataFrame, saturation: int) -> DataFrame:
     """From pixels (pair_id, channel, a, b): total, temporal (sigma of the difference / sqrt 2) and fixed-pattern noise, dynamic range."""
     d = c("a") - c("b")
     per = px_pairs.groupBy("pair_id", "channel").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("s"), F.sum(c("a").cast("long") * c("a")).alias("s2"), F.sum(d).alias("ds"), F.sum(d.cast("long") * d).alias("ds2"))
+    return pair_noise(per, ["pair_id"], saturation)
+
+
+def two_phases(a: np.ndarray, b: np.ndarray) -> list[tuple[int, ...]]:
+    """(parity of x, n, sum of a, of its square, of a - b, of its square) for the two column phases of two rows."""
+    out = []
+    for parity in (0, 1):
+        v, d = (x[parity::2].astype(np.int64) for x in (a, a.astype(np.int64) - b))
+        out.append((parity, len(v), int(v.sum()), int((v * v).sum()), int(d.sum()), int((d * d).sum())))
+    return out
+
+
+def pair_moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """From rows (keys, y, a, b: codes of two frames) the keys, y, parity, n, s, s2, ds, ds2: two records a row, no pixel leaves its row. Rows
+    of unequal length give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            lists = [(batch.column(k).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(batch.column(k).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])) for k in ("a", "b")]
+            (a, a_ends), (b, b_ends) = lists
+            for i in range(len(batch)):
+                if a_ends[i + 1] - a_ends[i] == b_ends[i + 1] - b_ends[i]:
+                    at += [i, i]
+                    found += two_phases(a[a_ends[i] : a_ends[i + 1]], b[b_ends[i] : b_ends[i + 1]])
+            own = batch.select([*keys, "y"]).take(pa.array(at, pa.int64()))
+            numbers = np.array(found, np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(numbers[:, 0], pa.int32()), *[pa.array(numbers[:, i]) for i in range(1, 6)]], names=[*keys, "y", "parity", "n", "s", "s2", "ds", "ds2"])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "y"))
+    return rows.select(*keys, "y", "a", "b").mapInArrow(run, f"{schema}, parity int, n long, s long, s2 long, ds long, ds2 long")
+
+
+def pair_noise(moments_of: DataFrame, keys: list[str], saturation: int) -> DataFrame:
+    """Noise of a pair from its moments (keys, channel, n, s, s2, ds, ds2), in as many parts as there are: variances are pooled within channels."""
+    per = moments_of.groupBy(*keys, "channel").agg(*[F.sum(k).alias(k) for k in ("n", "s", "s2", "ds", "ds2")]).filter("n > 0")
     per = per.withColumn("v", pop_variance("n", "s", "s2")).withColumn("dv", pop_variance("n", "ds", "ds2"))
-    out = per.groupBy("pair_id").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"), F.sqrt(F.sum(c("n") * c("v")) / F.sum("n")).alias("sigma_total"), F.sqrt(F.sum(c("n") * c("dv")) / F.sum("n") / 2).alias("sigma_temporal"))
+    out = per.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"), F.sqrt(F.sum(c("n") * c("v")) / F.sum("n")).alias("sigma_total"), F.sqrt(F.sum(c("n") * c("dv")) / F.sum("n") / 2).alias("sigma_temporal"))
     fpn = F.sqrt(F.greatest(F.lit(0.0), c("sigma_total") * c("sigma_total") - c("sigma_temporal") * c("sigma_temporal")))
     return out.select("*", fpn.alias("sigma_fpn"), to_db(F.lit(saturation), "sigma_total").alias("dr_total_db"), to_db(F.lit(saturation), "sigma_temporal").alias("dr_temporal_db"))
 

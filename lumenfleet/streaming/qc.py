@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import c, pop_variance
@@ -16,22 +16,38 @@ def drift(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> Da
     return per.select(c("window")["start"].alias("window_start"), "event_type", "n", (c("s") / c("n") / 1000).alias("mean"), (F.sqrt(pop_variance("n", "s", "s2")) / 1000).alias("sigma"), "max")
 
 
-def frame_qc(rows: DataFrame) -> DataFrame:
-    """frame_id, n, mean, sigma, min, max, saturated: one pass over arriving rows (12 bit)."""
+def qc_moments(rows: DataFrame) -> DataFrame:
+    """frame_id, n, s, s2, hot, min, max of the rows that are there (12 bit); parts of a frame can be added up later."""
     per_row = rows.select("frame_id", F.size("codes").cast("long").alias("n"), F.aggregate("codes", F.lit(0).cast("long"), lambda a, v: a + v).alias("s"), F.aggregate("codes", F.lit(0).cast("long"), lambda a, v: a + v.cast("long") * v).alias("s2"), F.array_min("codes").alias("lo"), F.array_max("codes").alias("hi"), F.size(F.filter("codes", lambda v: v == 4095)).cast("long").alias("hot"))
-    per = per_row.groupBy("frame_id").agg(*[F.sum(k).alias(k) for k in ("n", "s", "s2", "hot")], F.min("lo").alias("min"), F.max("hi").alias("max"))
+    return per_row.groupBy("frame_id").agg(*[F.sum(k).alias(k) for k in ("n", "s", "s2", "hot")], F.min("lo").alias("min"), F.max("hi").alias("max"))
+
+
+def qc_values(parts: DataFrame) -> DataFrame:
+    """frame_id, n, mean, sigma, min, max, saturated from one or more parts of each frame's moments."""
+    per = parts.groupBy("frame_id").agg(*[F.sum(k).alias(k) for k in ("n", "s", "s2", "hot")], F.min("min").alias("min"), F.max("max").alias("max"))
     return per.select("frame_id", "n", (c("s") / c("n")).alias("mean"), F.sqrt(pop_variance("n", "s", "s2")).alias("sigma"), "min", "max", c("hot").alias("saturated"))
 
 
+def frame_qc(rows: DataFrame) -> DataFrame:
+    """frame_id, n, mean, sigma, min, max, saturated: one pass over arriving rows (12 bit)."""
+    return qc_values(qc_moments(rows))
+
+
 def append_qc(rows_stream: DataFrame, table_path: str, checkpoint: str):
-    """Start the streaming job that appends frame_qc of each micro-batch to a Parquet table; a repeated batch overwrites its own folder."""
+    """Start the streaming job that appends qc_moments of each micro-batch to a Parquet table; a repeated batch overwrites its own folder. A frame
+    whose rows arrive in several batches has several parts, which read_qc adds up."""
 
     def write(batch: DataFrame, number: int) -> None:
-        frame_qc(batch).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        qc_moments(batch).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
     return rows_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_qc(spark: SparkSession, table_path: str) -> DataFrame:
+    """frame_qc of all that append_qc has seen so far."""
+    return qc_values(spark.read.schema("frame_id long, n long, s long, s2 long, hot long, min int, max int").parquet(f"{table_path}/batch=*"))
+
+
 def consecutive_difference(events: DataFrame) -> DataFrame:
     """Each sensor's value against its previous one: the batch twin of the stateful operator below."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
