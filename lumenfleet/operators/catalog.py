@@ -80,8 +80,8 @@ def readable(pattern: str) -> bool:
 def name_dimensions(name: Column) -> Column:
     """"1920x1080" pairs of 2 to 5 digits that don't stand inside longer digit runs, as [width, height] arrays, each once."""
     plain = F.translate(name, WIDE_DIGITS, DIGITS)
-    found = F.regexp_extract_all(plain, F.lit(r"(?<![0-9])[0-9]{2,5}[xX×][0-9]{2,5}(?![0-9])"), 0)
-    return F.array_distinct(F.transform(found, lambda m: F.transform(F.split(F.lower(F.translate(m, "×", "x")), "x"), lambda d: d.cast("int"))))
+    found = F.regexp_extract_all(plain, F.lit(r"(?<![0-9])[0-9]{2,5}\s*[xX×]\s*[0-9]{2,5}(?![0-9])"), 0)
+    return F.array_distinct(F.transform(found, lambda m: F.transform(F.split(F.lower(F.translate(m, "×", "x")), r"\s*x\s*"), lambda d: d.cast("int"))))
 
 
 def format_candidates(files: DataFrame, dimensions: DataFrame, header: int = 0, most: int = 10) -> DataFrame:
