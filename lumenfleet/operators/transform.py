@@ -206,39 +206,76 @@ def sobel(rows: DataFrame, depth: int, step: int, columns: tuple[str, ...] = ("c
 
 
 # --- Defects ------------------------------------------------------------------------------------------------------------------
-def defect_thresholds(px: DataFrame, k: float, keys: list[str]) -> DataFrame:
-    per = px.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("code").alias("s"), F.sum(c("code").cast("long") * c("code")).alias("s2"))
-    per = per.withColumn("mean", c("s") / c("n")).withColumn("sigma", F.sqrt(pop_variance("n", "s", "s2")))
-    return per.select(*keys, "mean", "sigma", (c("mean") + k * c("sigma")).alias("high"), (c("mean") - k * c("sigma")).alias("low"))
+def phase_moments(rows: DataFrame, segment: int | None = None) -> DataFrame:
+    """frame_id, part, phase, n, s, s2 of each row's pixels, by exposure segment (0 without) and colour-filter phase: two records a row and
+    segment, no pixel leaves its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for frame, y, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                v = codes.values.to_numpy(zero_copy_only=False).astype(np.int64) if codes.is_valid else np.zeros(0, np.int64)
+                for at in range(0, len(v), segment or max(1, len(v))):
+                    for parity in (0, 1):
+                        own = v[at : at + segment if segment else len(v)][parity::2]
+                        out.append((frame, at // segment if segment else 0, y % 2 * 2 + parity, len(own), int(own.sum()), int((own * own).sum())))
+            columns = np.array(out, np.int64).reshape(-1, 6).T
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), *[pa.array(x) for x in columns[3:]]], names=["frame_id", "part", "phase", "n", "s", "s2"])
+
+    return rows.select("frame_id", "y", "codes").mapInArrow(run, "frame_id long, part int, phase int, n long, s long, s2 long").filter("n > 0")
+
+
+def phase_limits(rows: DataFrame, k: float, segment: int | None = None) -> DataFrame:
+    """frame_id and, as one array for each number, mean and sigma of each (part, phase), at part * 4 + phase."""
+    per = phase_moments(rows, segment).groupBy("frame_id", "part", "phase").agg(*[F.sum(x).alias(x) for x in ("n", "s", "s2")])
+    per = per.withColumn("t", F.struct((c("part") * 4 + c("phase")).alias("at"), (c("s") / c("n")).alias("mean"), F.sqrt(pop_variance("n", "s", "s2")).alias("sigma")))
+    return per.groupBy("frame_id").agg(F.array_sort(F.collect_list("t")).alias("limits"))
+
+
+def marked(rows: DataFrame, k: float, segment: int | None = None, **kept: Column) -> DataFrame:
+    """Image rows with their defects: frame_id, y, codes, x and hot (arrays), mean and sigma of each. Pixels are compared with the bounds of
+    their row's phases in numpy batches; frames' bounds are one record that meets their rows."""
+    met = rows.select("frame_id", "y", "codes", *[v.alias(n) for n, v in kept.items()]).join(phase_limits(rows, k, segment), "frame_id")
+    names = ["frame_id", "y", "codes", *kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, hots, means, sigmas = [], [], [], []
+            for y, codes, limits in zip(batch.column("y").to_pylist(), batch.column("codes"), batch.column("limits"), strict=True):
+                v = codes.values.to_numpy(zero_copy_only=False).astype(np.int64) if codes.is_valid else np.zeros(0, np.int64)
+                t = limits.values
+                at, mean, sigma = (t.field(n).to_numpy(zero_copy_only=False) for n in ("at", "mean", "sigma"))
+                full = np.full((3, int(at.max()) + 2), np.nan)
+                full[0, at], full[1, at] = mean, sigma
+                x = np.arange(len(v))
+                own = (x // segment * 4 if segment else 0) + y % 2 * 2 + (x % segment if segment else x) % 2
+                m, s = full[0, own], full[1, own]
+                hot, dead = v > m + k * s, v < m - k * s
+                bad = np.flatnonzero(hot | dead)
+                xs.append(bad.astype(np.int32)), hots.append(hot[bad]), means.append(m[bad]), sigmas.append(s[bad])
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(xs, pa.list_(pa.int32())), pa.array(hots, pa.list_(pa.bool_())), pa.array(means, pa.list_(pa.float64())), pa.array(sigmas, pa.list_(pa.float64()))], names=[*names, "x", "hot", "mean", "sigma"])
+
+    kinds = dict(met.dtypes)
+    schema = ", ".join([*[f"{n} {kinds[n]}" for n in names], "x array<int>, hot array<boolean>, mean array<double>, sigma array<double>"])
+    return met.mapInArrow(run, schema)
 
 
 def defects(rows: DataFrame, pattern: Column, k: float, segment: int | None = None) -> DataFrame:
     """frame_id, y, x, code, channel, type and deviation in sigmas (null where sigma is 0) from image rows; strict comparisons with thresholds by channel,
-    and by exposure segment of side-by-side frames.
-
-    A frame's channels are its four phases, so that pixels are counted by numbers. Its bounds are one record that meets its rows; pixels
-    come apart after that, with the bounds of their row alone, and are never shuffled.
-    """
-    phase = lambda x, y: (c(y) % 2 * 2 + x % 2).cast("int")
-    inner = lambda x: x % segment if segment else x
-    part = lambda x: F.floor(x / segment).cast("int") if segment else F.lit(0)
-    rows = rows.select("frame_id", "y", pattern.alias("pattern"), "codes")
-    px = rows.select("frame_id", "y", F.posexplode("codes").alias("x", "code")).select("frame_id", part(c("x")).alias("part"), phase(inner(c("x")), "y").alias("phase"), "code")
-    limits = F.struct("high", "low", "mean", "sigma")
-    per = defect_thresholds(px, k, ["frame_id", "part", "phase"])
-    if segment:
-        per = per.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct(c("part") * 4 + c("phase"), limits.alias("t")))).alias("bounds"))
-        px = rows.join(per, "frame_id").select("frame_id", "y", "pattern", "bounds", F.posexplode("codes").alias("x", "code")).withColumn("t", c("bounds")[part(c("x")) * 4 + phase(inner(c("x")), "y")])
-    else:  # two phases to a row
-        per = per.groupBy("frame_id").agg(*[F.max(F.when(c("phase") == p, limits)).alias(f"b{p}") for p in range(4)])
-        met = rows.join(per, "frame_id").withColumns({f"t{x}": F.when(c("y") % 2 == 0, c(f"b{x}")).otherwise(c(f"b{2 + x}")) for x in (0, 1)})
-        flat = [c(f"t{x}.{name}").alias(f"{name}{x}") for x in (0, 1) for name in ("high", "low", "mean", "sigma")]
-        px = met.select("frame_id", "y", "pattern", *flat, F.posexplode("codes").alias("x", "code"))
-        own = lambda name: F.when(c("x") % 2 == 0, c(f"{name}0")).otherwise(c(f"{name}1"))
-        px = px.filter((c("code") > own("high")) | (c("code") < own("low"))).withColumn("t", F.struct(*[own(name).alias(name) for name in ("high", "low", "mean", "sigma")]))
-    kind = F.when(c("code") > c("t.high"), "hot").when(c("code") < c("t.low"), "dead")
-    found = px.withColumn("channel", cfa_channel("pattern", "x", "y", segment)).withColumn("type", kind).filter(c("type").isNotNull())
-    return found.select("frame_id", "y", "x", "code", "channel", "type", F.when(c("t.sigma") > 0, (c("code") - c("t.mean")) / c("t.sigma")).alias("deviation"))
+    and by exposure segment of side-by-side frames. Only what is found leaves its row."""
+    found = marked(rows, k, segment, pattern=pattern)
+    px = found.select("frame_id", "y", "pattern", "codes", F.explode(F.arrays_zip("x", "hot", "mean", "sigma")).alias("d"))
+    px = px.select("frame_id", "y", c("d.x").alias("x"), F.get("codes", c("d.x")).alias("code"), "pattern", "d.hot", "d.mean", "d.sigma")
+    return px.select("frame_id", "y", "x", "code", cfa_channel("pattern", "x", "y", segment).alias("channel"), F.when(c("hot"), "hot").otherwise("dead").alias("type"), F.when(c("sigma") > 0, (c("code") - c("mean")) / c("sigma")).alias("deviation"))
+
+
+def ranked_by_deviation(found: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The most defects that deviate most, by amount, of each key (of the whole fleet without keys), with rank from 1; ties by frame, y, x;
+    unknown deviations come last. Each partition keeps its own best before anything is brought together, so no task sorts them all."""
+    order = [F.abs("deviation").desc_nulls_last(), c("frame_id"), c("y"), c("x")]
+    if not keys:
+        return found.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # at most so many rows
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(c("rank") <= most)
 
 
 def capped(found: DataFrame, most: int) -> DataFrame:
@@ -249,24 +286,53 @@ def capped(found: DataFrame, most: int) -> DataFrame:
     return more.filter(c("r") <= most).drop("r")
 
 
-def corrected(rows: DataFrame, found: DataFrame, step: int, mean: bool = False) -> DataFrame:
-    """Defects with the median, or mean, of their good neighbours: rings 1 to 3, up to the first ring at which two or more are known.
-
-    Neighbours are asked for by image row: one record of each row that holds some meets the places wanted of it.
-    """
-    offs = [(r, dy, dx) for r in (1, 2, 3) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if max(abs(dy), abs(dx)) == r]
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(dy * step).alias("dy"), F.lit(dx * step).alias("dx")) for r, dy, dx in offs])).alias("o")
-    want = found.select("frame_id", "y", "x", each).select("frame_id", c("y").alias("dy"), c("x").alias("dx"), "o.r", (c("y") + c("o.dy")).alias("y"), (c("x") + c("o.dx")).alias("x"))
-    # One list of wanted and bad places for each image row.
-    asked = want.select("frame_id", "y", F.struct("dy", "dx", "r", "x").alias("w"), F.lit(None).cast("int").alias("bad")).unionByName(found.select("frame_id", "y", F.lit(None).cast("struct<dy:int,dx:int,r:int,x:int>").alias("w"), c("x").cast("int").alias("bad")))
-    lists = asked.groupBy("frame_id", "y").agg(F.collect_list("w").alias("w"), F.collect_list("bad").alias("bad")).filter(F.size("w") > 0)
-    met = rows.select("frame_id", "y", "codes").join(lists, ["frame_id", "y"])
-    got = met.select("frame_id", "codes", "bad", F.explode("w").alias("w")).filter((c("w.x") >= 0) & (c("w.x") < F.size("codes")) & ~F.array_contains("bad", c("w.x")))
-    good = got.select("frame_id", c("w.dy").alias("y"), c("w.dx").alias("x"), c("w.r").alias("r"), F.get("codes", c("w.x")).alias("v"))
-    near = good.groupBy("frame_id", "y", "x").agg(*[F.count_if(c("r") <= r).alias(f"n{r}") for r in (1, 2, 3)], *[(F.avg if mean else F.median)(F.when(c("r") <= r, c("v"))).alias(f"v{r}") for r in (1, 2, 3)])
-    pick = lambda name: F.when(c("n1") >= 2, c(f"{name}1")).when(c("n2") >= 2, c(f"{name}2")).otherwise(c(f"{name}3"))
-    value = near.select("frame_id", "y", "x", half_up(pick("v")).cast("int").alias("value"), pick("n").alias("neighbours"))
-    return found.select("frame_id", "y", "x", "code", "type").join(value, ["frame_id", "y", "x"], "left").select("frame_id", "y", "x", "code", "type", F.coalesce("value", "code").alias("corrected"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+def in_bands(rows: DataFrame, reach: int, band: int) -> DataFrame:
+    """Each row in its band of so many rows and in those of its neighbours within reach: band is the key of a task's work."""
+    at = lambda d: F.floor((c("y") + d) / band).cast("int")
+    return rows.withColumn("band", F.explode(F.array_distinct(F.filter(F.array(at(-reach), at(0), at(reach)), lambda b: b >= 0))))
+
+
+def corrected(rows: DataFrame, step: int, mean: bool = False, band: int = BAND) -> DataFrame:
+    """Defects of marked rows with the median, or mean, of their good neighbours: rings 1 to 3 at step, up to the first ring at which two or
+    more are known; unchanged where none is. A band and its neighbouring rows meet once; a frame is as many tasks as it has bands."""
+    schema = "frame_id long, y int, x int, code int, type string, corrected int, neighbours long"
+    offsets = [(r, dy, dx) for r in (1, 2, 3) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if max(abs(dy), abs(dx)) == r]
+    ring, down, right = (np.array(v) for v in zip(*offsets, strict=True))
+
+    def run(key, table):
+        table = table.sort_by("y").combine_chunks()
+        y = table.column("y").to_numpy()
+        rows = [v.values.to_numpy(zero_copy_only=False) for v in table.column("codes")]
+        bad = [v.values.to_numpy(zero_copy_only=False) for v in table.column("x")]
+        width, low = max((len(r) for r in rows), default=0), int(y.min())
+        values, good = np.zeros((int(y.max()) - low + 1, width), np.int64), np.zeros((int(y.max()) - low + 1, width), bool)
+        for at, codes, places in zip(y - low, rows, bad, strict=True):
+            values[at, : len(codes)], good[at, : len(codes)] = codes, True
+            good[at, places] = False
+        own = np.flatnonzero(y // band == key[1].as_py())
+        ys = np.concatenate([np.full(len(bad[i]), y[i]) for i in own] or [np.zeros(0, np.int32)])
+        xs = np.concatenate([bad[i] for i in own] or [np.zeros(0, np.int32)])
+        hot = np.concatenate([table.column("hot")[int(i)].values.to_numpy(zero_copy_only=False) for i in own] or [np.zeros(0, bool)])
+        ny, nx = ys[:, None] - low + down * step, xs[:, None] + right * step
+        there = (ny >= 0) & (ny < len(values)) & (nx >= 0) & (nx < width)
+        ny, nx = np.where(there, ny, 0), np.where(there, nx, 0)
+        there &= good[ny, nx] if values.size else False
+        counts = np.stack([(there & (ring <= r)).sum(1) for r in (1, 2, 3)])
+        upto = np.where(counts[0] >= 2, 1, np.where(counts[1] >= 2, 2, 3))
+        there &= ring <= upto[:, None]
+        n = there.sum(1)
+        near = np.where(there, values[ny, nx] if values.size else 0, np.iinfo(np.int64).max)
+        if mean:
+            value = np.where(there, near, 0).sum(1) / np.maximum(n, 1)
+        else:
+            near.sort(1)
+            pick = lambda at: near[np.arange(len(near)), np.maximum(at, 0)]
+            value = (pick((n - 1) // 2) + pick(n // 2)) / 2
+        code = values[ys - low, xs] if values.size else np.zeros(0, np.int64)
+        fixed = np.where(n > 0, np.floor(np.where(n > 0, value, 0) + 0.5), code).astype(np.int64)
+        return pa.table([pa.array([key[0].as_py()] * len(ys), pa.int64()), pa.array(ys, pa.int32()), pa.array(xs, pa.int32()), pa.array(code, pa.int32()), pa.array(np.where(hot, "hot", "dead").tolist(), pa.string()), pa.array(fixed, pa.int32()), pa.array(n, pa.int64())], names=[part.split()[0] for part in schema.split(", ")])
+
+    return in_bands(rows.select("frame_id", "y", "codes", "x", "hot"), 3 * step, band).groupBy("frame_id", "band").applyInArrow(run, schema)
 
 
 # --- Exposures ----------------------------------------------------------------------------------------------------------------

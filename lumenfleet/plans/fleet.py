@@ -94,14 +94,14 @@ SELECT pair_id, n, round(mean, 6) AS mean, round(st, 6) AS sigma_total, round(tt
 
 @query(f"WITH {SCENE}, {PAIR_SQL}")
 def a07_noise_pair(spark, d):
-    """Temporal and fixed-pattern noise of every A/B pair: rows meet by (frame, y), pixels only within the joined record."""
+    """Temporal and fixed-pattern noise of every A/B pair: rows meet by (frame, y) and become two records of sums each."""
     rows = src.rows(spark, d)
-    even = rows.filter("frame_id % 2 = 0").select(c("frame_id").alias("frame_a"), "y", c("codes").alias("a"))
-    odd = rows.filter("frame_id % 2 = 1").select((c("frame_id") - 1).alias("frame_a"), "y", c("codes").alias("b"))
-    both = even.join(odd, ["frame_a", "y"]).select(F.expr("frame_a DIV 2").alias("pair_id"), "frame_a", "y", F.posexplode(F.arrays_zip("a", "b")).alias("x", "v"))
-    pattern = F.element_at(F.array(*map(F.lit, src.BAYER)), (c("frame_a") % 4 + 1).cast("int"))
-    px = both.select("pair_id", sem.cfa_channel(pattern, "x", "y").alias("channel"), "v.a", "v.b")
-    return rounded(measure.noise_pair(px, TOP), "mean", "sigma_total", "sigma_temporal", "sigma_fpn", "dr_total_db", "dr_temporal_db")
+    even = rows.filter("frame_id % 2 = 0").select(F.expr("frame_id DIV 2").alias("pair_id"), "y", c("codes").alias("a"))
+    odd = rows.filter("frame_id % 2 = 1").select(F.expr("frame_id DIV 2").alias("pair_id"), "y", c("codes").alias("b"))
+    parts = measure.pair_moments(even.join(odd, ["pair_id", "y"]), "pair_id")
+    pattern = pattern_of(c("pair_id") * 2)
+    noise = measure.pair_noise(parts.withColumn("channel", sem.cfa_channel(pattern, "parity", "y")), ["pair_id"], TOP)
+    return rounded(noise, "mean", "sigma_total", "sigma_temporal", "sigma_fpn", "dr_total_db", "dr_temporal_db")
 
 
 @query(f"""WITH {SCENE}, m AS (SELECT frame_id, channel, {MOM} FROM px GROUP BY ALL), e AS (SELECT frame_id, sum(n)::BIGINT AS n, sum(s)::DOUBLE/sum(n) AS mean, sqrt(sum(n*{VAR})/sum(n)) AS st FROM m GROUP BY frame_id)
@@ -270,7 +270,7 @@ k AS (SELECT *, count(*) OVER (PARTITION BY frame_id,y,x ORDER BY r) AS known FR
 u AS (SELECT g.frame_id,g.y,g.x,floor(median(v)+0.5)::INT AS value,count(*)::BIGINT AS m FROM g JOIN s USING (frame_id,y,x) WHERE r<=stop GROUP BY ALL)
 SELECT d.*, coalesce(value,code) AS corrected, coalesce(m,0)::BIGINT AS neighbours FROM d LEFT JOIN u USING (frame_id,y,x)""")
 def n11_defect_correction(spark, d):
-    return transform.corrected(src.rows(spark, d, "flat"), flat_defects(spark, d), 2)
+    return transform.corrected(transform.marked(src.rows(spark, d, "flat"), 6.0), 2)
 
 
 ARITH_SQL = "p AS (SELECT a.frame_id//2 AS pair_id, a.y, a.x, a.code AS a, b.code AS b FROM px a JOIN px b ON b.frame_id=a.frame_id+1 AND a.y=b.y AND a.x=b.x WHERE a.frame_id%2=0)"
