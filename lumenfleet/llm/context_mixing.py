@@ -112,6 +112,7 @@ def listed(docs: DataFrame) -> DataFrame:
                 of_class = {k: pa.array(n[some, i], mask=~there[some, i]) for i, k in enumerate(numbers)}
                 yield made(1, len(words[some]), place=range(at, at + len(words[some])), word=words[some], **of_class)
             block, held, places, parts = block + 1, 0, growing(), []
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for doc_id, text, train in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
@@ -150,7 +151,7 @@ def from_payload(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 def key_lists(raw: bytes) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """A text's words and the bytes before them, in one list, or for long texts in lists of PART."""
     if len(raw) < 1 << 20:
-        words = _WORD.findall(raw)
+        words = raw.split()  # at the same six characters
         if not words or max(map(len, words)) <= PIECE:  # the usual text
             before = [END[0], *[w[-1] for w in words]]
             words.append(END)
