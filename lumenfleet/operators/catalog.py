@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import c
+from .ranking import placed
 
 #: Full-width digits read as ASCII digits.
 WIDE_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
@@ -33,9 +34,7 @@ def numbered_stacks(files: DataFrame) -> DataFrame:
     rows = files.withColumn("prefix", F.lower(prefix)).withColumn("number", number).withColumn("suffix", F.lower(suffix))
     rows = rows.withColumn("alone", F.when(c("number").isNull(), c("name")))  # names without a number, or with one beyond 64 bits
     key = ["folder", "ext", "prefix", "suffix", "alone"]
-    each = Window.partitionBy(*key)
-    ordered = rows.withColumn("index", F.row_number().over(each.orderBy("number", "name")) - 1)
-    return ordered.withColumn("stack_size", F.count(F.lit(1)).over(each)).drop("alone")
+    return placed(rows, key, ["number", "name"], size="stack_size").withColumn("index", c("index").cast("int")).drop("alone")
 
 
 def same_size_stacks(files: DataFrame) -> DataFrame:

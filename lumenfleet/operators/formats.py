@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import c
+from .ranking import beside
 
 #: Values that a descriptor may hold (fixed values).
 DEPTHS, PACKINGS, ORDERS = (8, 10, 12, 14, 16), ("Lsb", "Msb"), ("Little", "Big")
@@ -102,13 +103,10 @@ def history_after(events: DataFrame) -> DataFrame:
     the key."""
     key = ["length", "ext"]
     log = events.withColumn("ext", normal_extension("ext"))
-    own = Window.partitionBy(*key, "format").orderBy("ts")
-    back = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # A removal forgets what was set before it.
-    log = log.withColumn("life", F.count_if(c("action") == "remove").over(back))
-    per = log.filter("action = 'record'").groupBy(*key, "format", "life").agg(F.max("ts").alias("used"), F.max_by("auto_open", F.when(c("auto_open").isNotNull(), c("ts"))).alias("auto_open"), F.max(F.when(c("auto_open"), c("ts"))).alias("allowed"))
-    lives = log.groupBy(*key, "format").agg(F.max("life").alias("life"))
-    alive = per.join(lives, [*key, "format", "life"])
+    # A removal forgets what was set before it; its time is one record of the format's key.
+    removed = log.filter("action = 'remove'").groupBy(*key, "format").agg(F.max("ts").alias("removed"))
+    kept = log.filter("action = 'record'").join(removed, [*key, "format"], "left").filter("removed IS NULL OR ts > removed")
+    alive = kept.groupBy(*key, "format").agg(F.max("ts").alias("used"), F.max_by("auto_open", F.when(c("auto_open").isNotNull(), c("ts"))).alias("auto_open"), F.max(F.when(c("auto_open"), c("ts"))).alias("allowed"))
     last = log.filter("action = 'record' AND auto_open").groupBy(*key).agg(F.max("ts").alias("last_allowed"))
     found = alive.join(last, key, "left")
     return found.select(*key, "format", "used", (F.coalesce("auto_open", F.lit(False)) & c("allowed").eqNullSafe(c("last_allowed"))).alias("auto_open"))
@@ -116,8 +114,7 @@ def history_after(events: DataFrame) -> DataFrame:
 
 def neighbours(stacked: DataFrame, key: list[str]) -> DataFrame:
     """Stacks of several files with the names before and after each."""
-    w = Window.partitionBy(*key).orderBy("index")
-    return stacked.filter("stack_size > 1").withColumns({"previous": F.lag("name").over(w), "next": F.lead("name").over(w)})
+    return beside(stacked.filter("stack_size > 1"), key, "name", previous=-1, next=1)
 
 
 def export_bytes(kind: str, pixels, frames, depth, colour) -> Column:

@@ -162,12 +162,11 @@ def vertical_projection(rows: DataFrame) -> DataFrame:
 
 
 def profile_statistics(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, min, max, median (the mean of the middle pair), sigma by two passes, exactly zero for constant profiles."""
-    first = values.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.median(value).alias("median"))
-    d = c(value) - c("mean")
-    second = values.join(first.select(*keys, "mean"), keys).groupBy(*keys).agg(F.sum(d * d).alias("dd"), F.sum(d).alias("d"))
-    var = (c("dd") - c("d") * c("d") / c("n")) / c("n")
-    return first.join(second, keys).select(*keys, "n", "mean", "min", "max", "median", F.when(c("min") == c("max"), 0.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sigma"))
+    """n, mean, min, max, median (the mean of the middle pair), sigma from one scan of whole numbers: sums are exact, so constant profiles have
+    a sigma of exactly zero."""
+    v = c(value).cast("long")
+    per = values.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("s2"), F.min(value).alias("min"), F.max(value).alias("max"), F.median(value).alias("median"))
+    return per.select(*keys, "n", (c("s") / c("n")).alias("mean"), "min", "max", "median", F.sqrt(pop_variance("n", "s", "s2")).alias("sigma"))
 
 
 def gray_world(px: DataFrame, black: int) -> DataFrame:

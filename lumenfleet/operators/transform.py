@@ -41,35 +41,77 @@ def binned(px: DataFrame, factor: int, width: int, height: str, depth: int, step
     return per.select("frame_id", "y", "x", clamp(half_up(c("s") * F.lit(scale)), F.lit(0), F.lit(65535)).cast("int").alias("v16"))
 
 
-def pyramid(px: DataFrame, levels: int) -> DataFrame:
-    """Block means of 2, 4, ... with truncation; sums and counts are chained, so that every level is the mean of its pixels."""
-    level = px.select("frame_id", "y", "x", c("code").cast("long").alias("s"), F.lit(1).cast("long").alias("n"))
-    out = None
-    for k in range(1, levels + 1):
-        level = level.groupBy("frame_id", F.floor(c("y") / 2).cast("int").alias("y"), F.floor(c("x") / 2).cast("int").alias("x")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        part = level.select("frame_id", F.lit(1 << k).alias("level"), "y", "x", F.floor(c("s") / c("n")).cast("int").alias("code"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def bayer_pyramid(px: DataFrame, width: int, height: str, levels: int) -> DataFrame:
-    """Same-phase halving, truncated at each level: the next level starts from truncated codes."""
-    level, out = px.select("frame_id", "y", "x", "code", c(height).alias("h")), None
-    w = width
-    for k in range(1, levels + 1):
-        cell = lambda v: (F.floor(c(v) / 4) * 2 + c(v) % 2).cast("int")
-        level = level.filter((c("x") < w // 4 * 4) & (c("y") < F.floor(c("h") / 4) * 4)).groupBy("frame_id", cell("y").alias("y"), cell("x").alias("x")).agg(F.floor(F.sum("code") / 4).cast("int").alias("code"), (F.floor(F.max("h") / 4) * 2).cast("int").alias("h"))
-        w = w // 4 * 2
-        part = level.select("frame_id", F.lit(1 << k).alias("level"), "y", "x", "code")
-        out = part if out is None else out.unionByName(part)
-    return out
+#: Rows to a band: what a task of a filter or a reduction holds is a band of a frame and the rows around it, never a whole tall frame.
+BAND = 256
 
 
-# --- Filters ------------------------------------------------------------------------------------------------------------------
-#: Rows to a band: what a task of a filter holds is a band of a frame and the rows around it, never a whole tall frame.
-BAND = 256
+def band_rows(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """(first y, codes, which are there) of a band's rows as a table; rows and pixels that are missing are 0."""
+    y = table.column("y").to_numpy()
+    rows = [v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.zeros(0, np.int64) for v in table.column("codes")]
+    low, width = int(y.min()), max(map(len, rows))
+    codes, there = np.zeros((int(y.max()) - low + 1, width), np.int64), np.zeros((int(y.max()) - low + 1, width), np.int64)
+    for at, row in zip(y - low, rows, strict=True):
+        codes[at, : len(row)], there[at, : len(row)] = row, 1
+    return low, codes, there
+
+
+def level_rows(frame: int, levels: list[tuple[int, int, np.ndarray]]) -> pa.Table:
+    """(level, first y, codes) of a frame's band as records frame_id, level, y, codes."""
+    n = [len(v) for _, _, v in levels]
+    lists = pa.chunked_array([pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel(), pa.int32())) for _, _, v in levels] or [pa.array([], pa.list_(pa.int32()))])
+    ys = np.concatenate([first + np.arange(len(v)) for _, first, v in levels] or [np.zeros(0)])
+    return pa.table([pa.array([frame] * sum(n), pa.int64()), pa.array(np.repeat([k for k, _, _ in levels], n), pa.int32()), pa.array(ys, pa.int32()), lists], names=["frame_id", "level", "y", "codes"])
 
 
+_LEVELS = "frame_id long, level int, y int, codes array<int>"
+
+
+def pyramid(rows: DataFrame, levels: int, band: int = BAND) -> DataFrame:
+    """Block means of 2, 4, ... with truncation, as rows (frame_id, level, y, codes): sums and counts are chained, so that every level is the mean
+    of its pixels. All levels come from one pass over bands, which hold whole blocks."""
+    if band % (1 << levels):
+        raise ValueError("a band holds whole blocks")
+
+    def run(key, table):
+        low, s, n = band_rows(table)
+        made = []
+        s, n = np.pad(s, ((low % band, 0), (0, 0))), np.pad(n, ((low % band, 0), (0, 0)))
+        first = low - low % band
+        for k in range(1, levels + 1):
+            s, n = (np.add.reduceat(np.add.reduceat(v, np.arange(0, v.shape[0], 2), 0), np.arange(0, v.shape[1], 2), 1) if v.size else v for v in (s, n))
+            keep = np.flatnonzero(n.any(1)) if n.size else np.zeros(0, int)
+            for run_of in np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1):
+                if len(run_of):
+                    made.append((1 << k, (first >> k) + int(run_of[0]), s[run_of] // np.maximum(n[run_of], 1)))
+        return level_rows(key[0].as_py(), made)
+
+    return rows.select("frame_id", "y", "codes", F.floor(c("y") / band).alias("band")).groupBy("frame_id", "band").applyInArrow(run, _LEVELS)
+
+
+def bayer_pyramid(rows: DataFrame, height: str, levels: int, band: int = BAND) -> DataFrame:
+    """Same-phase halving of rows that carry their frame's height, truncated at each level: the next level starts from truncated codes. What
+    is left over right and below is dropped. One pass over bands, as in pyramid."""
+    if band % (2 << levels):
+        raise ValueError("a band holds whole blocks")
+
+    def run(key, table):
+        low, v, _ = band_rows(table)
+        v = np.pad(v, ((low % band, 0), (0, 0)))
+        first, tall, made = low - low % band, int(table.column("h")[0].as_py()), []
+        for k in range(1, levels + 1):
+            v = v[: max(0, tall // 4 * 4 - first)]
+            v = v[: len(v) // 4 * 4, : v.shape[1] // 4 * 4]
+            v = v.reshape(v.shape[0] // 4, 2, 2, v.shape[1] // 4, 2, 2).sum((1, 4)).reshape(v.shape[0] // 2, v.shape[1] // 2) // 4
+            first, tall = first // 2, tall // 4 * 2
+            if v.size:
+                made.append((1 << k, first, v))
+        return level_rows(key[0].as_py(), made)
+
+    return rows.select("frame_id", "y", "codes", c(height).alias("h"), F.floor(c("y") / band).alias("band")).groupBy("frame_id", "band").applyInArrow(run, _LEVELS)
+
+
+# --- Filters ------------------------------------------------------------------------------------------------------------------
 def stencil_rows(rows: DataFrame, radius: int, step: int, band: int = BAND, columns: tuple[str, ...] = ("codes",), missing: bool = False) -> tuple[DataFrame, list[list[str]]]:
     """rows with the same-phase rows around each, for each of the columns a list of names from 2 * radius + 1 rows; the edge rows repeated, or null
     with missing. Frames are cut into bands, each with the neighbours it needs."""
@@ -138,10 +180,46 @@ def weighted(values: list[np.ndarray], weights: list[float]) -> np.ndarray:
     return total
 
 
-def stencil(rows: DataFrame, radius: int, step: int, one: Callable[[np.ndarray], np.ndarray], columns: tuple[str, ...]) -> DataFrame:
-    """one(window rows) for every image row, of each of the columns alone."""
-    around, names = stencil_rows(rows.select("frame_id", "y", *columns), radius, step, columns=columns)
-    return by_row(around, names, list(columns), one)
+def in_bands(rows: DataFrame, reach: int, band: int) -> DataFrame:
+    """Each row in its band of so many rows and in those of its neighbours within reach: band is the key of a task's work."""
+    at = lambda d: F.floor((c("y") + d) / band).cast("int")
+    return rows.withColumn("band", F.explode(F.array_distinct(F.filter(F.array(at(-reach), at(0), at(reach)), lambda b: b >= 0))))
+
+
+#: Pixels of a window's rows that are worked on at once.
+CELLS = 1 << 22
+
+
+def stencil(rows: DataFrame, radius: int, step: int, one: Callable[[np.ndarray], np.ndarray], columns: tuple[str, ...], band: int = BAND) -> DataFrame:
+    """one(window rows) for every image row, of each of the columns alone: windows are the same-phase rows around, those at the edges repeated,
+    as a table (row of the window, image row, pixel). Bands meet their neighbouring rows in tasks of their own, so a tall frame is as
+    many tasks as it has bands. Rows without values give none, and don't count as neighbours."""
+    schema = "frame_id long, y int, " + ", ".join(f"{n} array<int>" for n in columns)
+    around = np.arange(-radius, radius + 1)[:, None]
+
+    def run(key, table):
+        table = table.sort_by("y").combine_chunks()
+        y = table.column("y").to_numpy()
+        own, made = y // band == key[1].as_py(), []
+        for name in columns:
+            lists = table.column(name).combine_chunks()
+            widths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            there, width = np.flatnonzero(widths), int(widths.max(initial=0))
+            if (widths[there] != width).any():
+                raise ValueError(f"frame {key[0].as_py()} has rows of several lengths")
+            values = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((0, 0), np.int32)
+            out, each = np.zeros((len(y), width), np.int32), max(1, CELLS // max(1, width * (2 * radius + 1)))
+            for phase in range(step):
+                alike = np.flatnonzero(y[there] % step == phase)
+                mine = np.flatnonzero(own[there[alike]])
+                for at in range(0, len(mine), each):
+                    some = mine[at : at + each]
+                    out[there[alike[some]]] = one(values[alike[np.clip(some + around, 0, len(alike) - 1)]])
+            ends = np.concatenate([[0], np.cumsum(np.where(widths[own] > 0, width, 0))]).astype(np.int32)
+            made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(out[own & (widths > 0)].ravel(), pa.int32())))
+        return pa.table([pa.array([key[0].as_py()] * int(own.sum()), pa.int64()), pa.array(y[own], pa.int32()), *made], names=["frame_id", "y", *columns])
+
+    return in_bands(rows.select("frame_id", "y", *columns), radius * step, band).groupBy("frame_id", "band").applyInArrow(run, schema)
 
 
 def smoothed(rows: DataFrame, weights: list[float], depth: int, step: int, finish: Callable, columns: tuple[str, ...]) -> DataFrame:
@@ -286,12 +364,6 @@ def capped(found: DataFrame, most: int) -> DataFrame:
     return more.filter(c("r") <= most).drop("r")
 
 
-def in_bands(rows: DataFrame, reach: int, band: int) -> DataFrame:
-    """Each row in its band of so many rows and in those of its neighbours within reach: band is the key of a task's work."""
-    at = lambda d: F.floor((c("y") + d) / band).cast("int")
-    return rows.withColumn("band", F.explode(F.array_distinct(F.filter(F.array(at(-reach), at(0), at(reach)), lambda b: b >= 0))))
-
-
 def corrected(rows: DataFrame, step: int, mean: bool = False, band: int = BAND) -> DataFrame:
     """Defects of marked rows with the median, or mean, of their good neighbours: rings 1 to 3 at step, up to the first ring at which two or
     more are known; unchanged where none is. A band and its neighbouring rows meet once; a frame is as many tasks as it has bands."""

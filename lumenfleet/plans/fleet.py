@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as sem
 from ..functions.semantics import c
 from ..operators import catalog, measure, transform
+from ..operators.ranking import placed
 from ..sources import frames as src
 from ..streaming import qc
 
@@ -306,14 +307,15 @@ PYR = "l1 AS (SELECT frame_id, y//2 AS y, x//2 AS x, sum(code) AS s, count(*) AS
 
 @query(f"WITH {SCENE}, {PYR} SELECT frame_id, 2 AS level, y, x, (s//n)::INT AS code FROM l1 UNION ALL SELECT frame_id, 4, y, x, (s//n)::INT FROM l2 UNION ALL SELECT frame_id, 8, y, x, (s//n)::INT FROM l3")
 def a17_pyramid(spark, d):
-    return transform.pyramid(scene(spark, d), 3)
+    return transform.pyramid(src.rows(spark, d), 3).select("frame_id", "level", "y", F.posexplode("codes").alias("x", "code"))
 
 
 @query(f"""WITH {SCENE}, b1 AS (SELECT frame_id, (y//4)*2+y%2 AS y, (x//4)*2+x%2 AS x, sum(code)//4 AS code, max(height)//4*2 AS h FROM px WHERE y < height//4*4 GROUP BY frame_id, (y//4)*2+y%2, (x//4)*2+x%2),
 b2 AS (SELECT frame_id, (y//4)*2+y%2 AS y, (x//4)*2+x%2 AS x, sum(code)//4 AS code FROM b1 WHERE y < h//4*4 GROUP BY frame_id, (y//4)*2+y%2, (x//4)*2+x%2)
 SELECT frame_id, 2 AS level, y::INT AS y, x::INT AS x, code::INT AS code FROM b1 UNION ALL SELECT frame_id, 4, y::INT, x::INT, code::INT FROM b2""")
 def a26_bayer_pyramid(spark, d):
-    return transform.bayer_pyramid(with_height(scene(spark, d), src.frames(spark, d)), src.WIDTH, "height", 2)
+    found = transform.bayer_pyramid(with_height(src.rows(spark, d), src.frames(spark, d)), "height", 2)
+    return found.select("frame_id", "level", "y", F.posexplode("codes").alias("x", "code"))
 
 
 def _neighbour(k_y: int, k_x: int) -> str:
@@ -431,10 +433,8 @@ def f14_name_filter(spark, d):
 
 @query(f"WITH {FILES} SELECT folder, name, (row_number() OVER (PARTITION BY folder ORDER BY CASE k WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END, doc_id))::INT AS place FROM f")
 def o01_natural_order(spark, d):
-    from pyspark.sql import Window
-
-    t = files(spark, d).withColumn("k", catalog.natural_key(c("name")))
-    return t.select("folder", "name", F.row_number().over(Window.partitionBy("folder").orderBy("k")).alias("place"))
+    each = placed(files(spark, d), ["folder"], [catalog.natural_key(c("name"))], "place")
+    return each.select("folder", "name", (c("place") + 1).cast("int").alias("place"))
 
 
 @query(f"""WITH {FILES}, o AS (SELECT * FROM f, (VALUES (1,1),(1,2),(1,4),(2,1),(2,2),(2,4)) t(bytes, frames) WHERE length % (bytes*frames) = 0), dm AS (SELECT * FROM (VALUES (64,48),(48,64),(32,48),(96,64)) t(width,height)),

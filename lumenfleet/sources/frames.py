@@ -15,14 +15,17 @@ CODES = {
 }
 
 
-def orders_by_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two columns that frames derive from, with frame_id, and all rows of a frame in one partition.
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """A table whose scan has fewer splits than there are cores, dealt to the cores by ranges; any larger one as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartitionByRange(cores, by)
+
 
-    The rows are dealt while they are two numbers each. What is derived from them stays where it is, 64 times as large: groups and
-    windows by frame, and joins on frame_id alone, need no further shuffle.
-    """
+def orders_by_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two columns that frames derive from, with frame_id. A frame's rows may lie in several partitions: what needs them together asks for
+    it, by frame or by band, and what can be added up is added up first."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", F.expr("CAST(o_orderkey DIV 48 AS BIGINT)").alias("frame_id"))
-    return orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame_id")
+    return spread(orders, "o_orderkey")
 
 
 def pixels(spark: SparkSession, sf_dir: str, kind: str = "scene") -> DataFrame:

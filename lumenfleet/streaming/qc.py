@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.semantics import c, pop_variance
+from ..operators.ranking import beside, placed
 
 
 def drift(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -50,8 +51,9 @@ def read_qc(spark: SparkSession, table_path: str) -> DataFrame:
 
 def consecutive_difference(events: DataFrame) -> DataFrame:
     """Each sensor's value against its previous one: the batch twin of the stateful operator below."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.withColumn("previous", F.lag("value").over(w)).filter("previous is not null").select("user_id", "event_id", (c("value") - c("previous")).alias("difference"))
+    each = placed(events.select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"])
+    both = beside(each, ["user_id"], "value", previous=-1).filter("previous is not null")
+    return both.select("user_id", "event_id", (c("value") - c("previous")).alias("difference"))
 
 
 def consecutive_stream(events: DataFrame) -> DataFrame:
