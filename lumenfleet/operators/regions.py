@@ -108,3 +108,32 @@ def mapped_cursor(at, source, target) -> Column:
 
 def corresponding_pixel(at, size) -> Column:
     return F.when((c(at) >= -0.5) & (c(at) < c(size) - 0.5), clamp(F.floor(c(at) + 0.5), F.lit(0), c(size) - 1).cast("int"))
+
+
+def projection_targets(rois: DataFrame, direction: str = "direction") -> DataFrame:
+    """Resolved regions (with mixed: the frame shows line-interleaved exposures, and the direction of a projection) with target, refusal, axis_start
+    and axis_source: where the axis begins in what is shown, and, for a lattice, in the source.
+
+    Columns of line-interleaved exposures mix them, so horizontal projections of such frames are refused; tiled frames need a region, and
+    side-by-side exposures are not projected vertically as a whole.
+    """
+    horizontal, none = c(direction) == "horizontal", (c("x").isNull()) | (F.coalesce(c("w"), F.lit(0)) <= 0) | (F.coalesce(c("h"), F.lit(0)) <= 0)
+    refusal = (
+        F.when(horizontal & c("mixed"), "exposures in rows").when(~none, c("reason")).when(c("tiled"), "no region in quadrants")
+        .when((c("segment") > 0) & ~horizontal & (c("width") > c("segment")), "exposures side by side")
+    )
+    rows = rois.withColumn("refusal", refusal)
+    target = F.when(c("refusal").isNotNull(), "refused").when(none, "whole").otherwise(c("kind"))
+    rows = rows.withColumn("target", target)
+    start = F.when(c("target").isin("rectangle", "lattice"), F.when(horizontal, c("cx")).otherwise(c("cy"))).when(c("target") == "whole", 0)
+    return rows.withColumns({"axis_start": start.cast("int"), "axis_source": F.when(c("target") == "lattice", F.when(horizontal, c("tx")).otherwise(c("ty"))).cast("int")})
+
+
+def readouts(points: DataFrame, rows: DataFrame, panes: int = 4) -> DataFrame:
+    """view_id, x, y, code0 ... and delta of points (view_id, pane, frame_id, bit_depth, x, y) in up to so many frames each: codes are null outside
+    their frame, and delta is the second less the first where there are just two panes, of one depth, with a code each."""
+    met = points.join(rows.select("frame_id", "y", "codes"), ["frame_id", "y"], "left").withColumn("code", F.when(c("x") >= 0, F.get("codes", c("x"))))
+    own = lambda i, name: F.max(F.when(c("pane") == i, c(name)))
+    per = met.groupBy("view_id", "x", "y").agg(F.count(F.lit(1)).alias("n"), *[own(i, "code").alias(f"code{i}") for i in range(panes)], *[own(i, "bit_depth").alias(f"depth{i}") for i in range(2)])
+    delta = F.when((c("n") == 2) & (c("depth0") == c("depth1")), c("code1") - c("code0"))
+    return per.select("view_id", "x", "y", *[f"code{i}" for i in range(panes)], delta.alias("delta"))
