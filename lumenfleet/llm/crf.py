@@ -80,6 +80,39 @@ def viterbi(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
     return label[steps, rows]
 
 
+#: Cells (steps x chains x labels) of a rectangle at most; tokens of a chain that go at once, and tokens of context on both sides of them.
+CELLS, LONGEST, AROUND = 1 << 20, 2048, 64
+
+
+def in_rectangles(run, emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """run (viterbi or marginals) over chains of any lengths in bounded memory: chains of like length go together, as many as a rectangle holds.
+    A chain of more than LONGEST tokens goes in windows, each decided with AROUND tokens of context on both sides; shorter ones are
+    decided as run does."""
+    lengths = np.asarray(lengths, np.int64)
+    begins = np.cumsum(lengths) - lengths
+    # (first token, tokens, tokens of context before, tokens that count): one for each usual chain
+    pieces = [np.column_stack([begins, lengths, np.zeros_like(lengths), lengths])[(lengths <= LONGEST) & (lengths > 0)]]
+    for begin, n in zip(begins[lengths > LONGEST], lengths[lengths > LONGEST], strict=True):
+        at = np.arange(0, n, LONGEST)
+        low, high = np.maximum(at - AROUND, 0), np.minimum(at + LONGEST + AROUND, n)
+        pieces.append(np.column_stack([begin + low, high - low, at - low, np.minimum(at + LONGEST, n) - at]))
+    pieces = np.concatenate(pieces)
+    pieces = pieces[np.argsort(pieces[:, 1], kind="stable")]
+    out, at = None, 0
+    while at < len(pieces):
+        most = max(1, CELLS // (int(pieces[at, 1]) * emissions.shape[1]))
+        some = pieces[at : at + most]
+        fits = np.arange(1, len(some) + 1) * some[:, 1] * emissions.shape[1] <= CELLS
+        some = some[: max(1, int(fits.sum()))]  # sizes grow, so the fits come first
+        at += len(some)
+        rows, steps = padded(some[:, 1])
+        found = run(emissions[some[rows, 0] + steps], some[:, 1], moves)
+        out = np.zeros((int(lengths.sum()), *found.shape[1:]), found.dtype) if out is None else out
+        counts = (steps >= some[rows, 2]) & (steps < some[rows, 2] + some[rows, 3])
+        out[(some[rows, 0] + steps)[counts]] = found[counts]
+    return run(emissions, lengths, moves) if out is None else out
+
+
 def train(features: list[np.ndarray], n_features: int, labels: np.ndarray, lengths: np.ndarray, n_labels: int, steps: int = 200, l2: float = 0.01, rate: float = 0.3, forbid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features by labels) and moves by Adam on the penalized log likelihood.
 

@@ -1,14 +1,18 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds what they don't cover.
 
 The field is trained from the small labelled table below. Only words with a digit or an "@" can carry a label, so runs of such words
-are whole chains: what lies between them is outside by construction, and decoding the runs decodes the text.
+are whole chains: what lies between them is outside by construction, and decoding the runs decodes the text. Of a word the field
+reads a shape of 24 characters, of its neighbours the 40 that are nearest; spans cover whole words all the same.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ from .units import in_chunks
 KINDS = ("email", "ip", "card", "phone", "secret")
 PATTERNS = {
     "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),  # a run of digits that fails at its first fails at each
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "card": re.compile(r"[0-9](?:[\x20-]?+[0-9])++"),  # nothing follows, so nothing is given back: a long row needs no memory for that
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 #: An address is a name, "@" and a domain.
@@ -30,8 +34,11 @@ NAME, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+(\.[A
 MARK = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 DIGITS = re.compile(r"[^0-9]")
-#: Letters, a digit, letters, a digit: what keys look like and words with a number behind don't.
-MIXED = re.compile(r"[A-Za-z]\D*[0-9]+[A-Za-z_]+[0-9]")
+NUMBER, LETTER, THEN = re.compile(r"[0-9]+"), re.compile(r"[A-Za-z]"), re.compile(r"[A-Za-z_]+[0-9]")
+#: What a secret's value is made of, and what may stand behind it.
+VALUE, BEHIND = re.compile(r"[0-9A-Za-z/+_-]{12,}"), "\"',;:.!?)}]"
+#: Words whose features are worked out at once.
+WORDS = 20_000
 ALNUM = re.compile(r"[^\W_]|@")
 #: Words of more characters, and words that meet a known span, are cut at these marks, one set after the other.
 LONG, CUTS = 200, ('?&,;"', ":", "=")
@@ -141,13 +148,23 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1\1", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", re.sub(r"[0-9]", "9", word))))[:24]
 
 
+def mixed_up(value: str) -> bool:
+    """Letters, a number, letters, a number: what keys look like and words with a number behind don't. Each character is read once or twice."""
+    last = 0
+    for m in NUMBER.finditer(value):
+        if LETTER.search(value, last, m.start()) and THEN.match(value, m.end()):
+            return True
+        last = m.end()
+    return False
+
+
 @lru_cache(100_000)
 def own_features(word: str) -> tuple[str, ...]:
     core = word.strip("\"',;:!?")
     digits = sum(c.isdigit() for c in core)
     value = re.split(r"[=:]", core)[-1].strip("\"'{}[]()")
     hexa = len(value) >= 16 and re.fullmatch(r"[0-9a-f]+", value) is not None and not value.isdigit()
-    mixed = len(value) >= 16 and value.replace("_", "").isalnum() and MIXED.search(value) is not None and not hexa
+    mixed = len(value) >= 16 and value.replace("_", "").isalnum() and mixed_up(value) and not hexa
     return ("bias", "shape=" + shape(core), f"digits={min(digits, 6) if digits < 13 else 13}", f"length={min(len(core) // 4, 8)}",
             f"at={'@' in core}", f"dots={min(core.count('.'), 4)}", f"plus={core.startswith('+')}", f"paren={core.startswith('(') and core.endswith(')')}",
             f"hex={hexa}", f"mixed={mixed}", f"zero={core.startswith('0') and core.isdigit()}", f"sign={'=' in core}", f"dashes={min(core.count('-'), 4)}", f"all={core.isdigit()}")
@@ -159,16 +176,29 @@ def near_features(word: str, side: str) -> tuple[str, ...]:
     return (f"{side}shape={shape(core) if MARK.search(core) else 'word'}", f"{side}word={core.lower()}" if len(core) < 10 and not MARK.search(core) else f"{side}mark")
 
 
-def cut(text: str, a: int, b: int, known: list[tuple[int, int, int]], marks: tuple[str, ...] = CUTS) -> list[tuple[int, int]]:
+class Known:
+    """Spans by start, with the farthest end so far: whether any meets a stretch is one search."""
+
+    def __init__(self, spans: Iterable[tuple[int, int, int]] = ()):
+        ordered = sorted(spans)
+        self.starts, self.tops = [s[0] for s in ordered], list(accumulate((s[1] for s in ordered), max))
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.tops[i - 1] > a
+
+
+def cut(text: str, a: int, b: int, known: Known, marks: tuple[str, ...] = CUTS) -> list[tuple[int, int]]:
     """The word from a to b, or its parts if it is long or meets a known span: as few as leave the rest whole."""
-    if not marks or (b - a <= LONG and not any(x < b and a < y for x, y, _ in known)):
+    if not marks or (b - a <= LONG and not known.meets(a, b)):
         return [(a, b)]
     return [part for m in re.compile(f"[^{marks[0]}]+").finditer(text, a, b) for part in cut(text, m.start(), m.end(), known, marks[1:])]
 
 
-def chains(text: str, known: list[tuple[int, int, int]] = ()) -> list[list[tuple[int, int, str, str, str]]]:
-    """Runs of words, or parts of them, with a digit or "@": (start, end, word, word before, word behind)."""
-    out, last, tail = [], -1, -1
+def chained(text: str, known: Known = Known()) -> Iterator[tuple[int, int, str, str, str] | None]:
+    """Words, or parts of them, with a digit or "@": (start, end, word, word before, word behind), in order; None between two that don't follow
+    each other."""
+    last, tail = -1, -1
     for m in MARK.finditer(text):
         if m.start() < last:
             continue
@@ -183,14 +213,45 @@ def chains(text: str, known: list[tuple[int, int, int]] = ()) -> list[list[tuple
         for i, (x, y) in enumerate(parts):
             if not MARK.search(text, x, y):
                 continue
-            item = (x, y, words[i + 1], words[i], words[i + 2])
-            if out and not text[tail:x].strip(" \t\n\v\f\r"):
-                out[-1].append(item)
-            else:
-                out.append([item])
+            if tail >= 0 and text[tail:x].strip(" \t\n\v\f\r"):
+                yield None
+            yield (x, y, words[i + 1], words[i], words[i + 2])
             tail = y
         last = end
-    return out
+
+
+def chains(text: str) -> list[list[tuple[int, int, str, str, str]]]:
+    """Runs of such words."""
+    return [list(own) for there, own in groupby(chained(text), lambda item: item is not None) if there]
+
+
+class Segment(NamedTuple):
+    """Part of a chain: its items, how many at its begin are context from the part before, how many count, whether the chain begins here."""
+
+    doc: int
+    items: list
+    skip: int
+    counts: int
+    begins: bool
+
+
+def segments(doc: int, text: str, known: Known) -> Iterator[Segment]:
+    """Chains of a text without words that meet a known span; long ones in parts with context on both sides."""
+    held: list = []
+    skip, begins = 0, True
+    for item in chained(text, known):
+        if item is None or known.meets(item[0], item[1]):
+            if len(held) > skip:
+                yield Segment(doc, held, skip, len(held) - skip, begins)
+            held, skip, begins = [], 0, True
+            continue
+        held.append(item)
+        if len(held) == skip + WORDS + crf.AROUND:
+            yield Segment(doc, held, skip, WORDS, begins)
+            held = held[skip + WORDS - crf.AROUND :]
+            skip, begins = crf.AROUND, False
+    if len(held) > skip:
+        yield Segment(doc, held, skip, len(held) - skip, begins)
 
 
 def features_of(item: tuple[int, int, str, str, str]) -> tuple[str, ...]:
@@ -226,50 +287,59 @@ def fit(rows: list[str] = LABELLED) -> dict:
     return {"names": names, "weights": weights, "moves": moves}
 
 
-def without(chain: list[tuple], known: list[tuple[int, int, int]]) -> list[list[tuple]]:
-    """What is left of a chain when words that meet a known span are taken out of it."""
-    out: list[list] = [[]]
-    for item in chain:
-        if any(a < item[1] and item[0] < b for a, b, _ in known):
-            out.append([])
-        else:
-            out[-1].append(item)
-    return [c for c in out if c]
-
-
 def field_spans(model: dict, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """What Viterbi finds besides the base spans. A span that meets a base span is dropped, as are addresses and card numbers whose
     pattern's own check refused them: there the patterns know better."""
-    found = [(d, c) for d, t in enumerate(texts) if MARK.search(t) for whole in chains(t, base[d]) for c in without(whole, base[d])]
+    known = [Known(spans) for spans in base]
     out: list[list] = [[] for _ in texts]
-    for at in range(0, len(found), 4096):
-        some = sorted(found[at : at + 4096], key=lambda x: len(x[1]))
-        lengths = np.array([len(c) for _, c in some])
-        names, weights = model["names"], model["weights"]
-        ids = [[names[f] for f in features_of(item) if f in names] for _, c in some for item in c]
+    spans: list[list] = []
+
+    def closed(d: int) -> None:
+        for a, b, kind in spans:
+            if kind in ("phone", "secret") and (cut := trimmed(texts[d], a, b, kind)) and not known[d].meets(*cut):
+                out[d].append((*cut, KINDS.index(kind)))
+        spans.clear()
+
+    names, weights, last = model["names"], model["weights"], 0
+    stream = (s for d, t in enumerate(texts) if MARK.search(t) for s in segments(d, t, known[d]))
+    while some := batch_of(stream):
+        ids = [[names[f] for f in features_of(item) if f in names] for s in some for item in s.items]
         emissions = np.zeros((len(ids), len(LABELS)))
         np.add.at(emissions, np.repeat(np.arange(len(ids)), [len(i) for i in ids]), weights[np.array([f for i in ids for f in i], np.int64)])
-        labels = iter(crf.viterbi(emissions, lengths, model["moves"]))
-        for d, chain in some:
-            spans: list[list] = []
-            for a, b, *_ in chain:
-                label = LABELS[next(labels)]
-                if label[0] == "B":
-                    spans.append([a, b, label[2:]])
-                elif label[0] == "I" and spans:
+        labels, at = crf.in_rectangles(crf.viterbi, emissions, np.array([len(s.items) for s in some]), model["moves"]), 0
+        for s in some:
+            if s.begins:
+                closed(last)
+            last = s.doc
+            for (a, b, *_), label in zip(s.items[s.skip : s.skip + s.counts], labels[at + s.skip : at + s.skip + s.counts], strict=True):
+                name = LABELS[label]
+                if name[0] == "B":
+                    spans.append([a, b, name[2:]])
+                elif name[0] == "I" and spans:
                     spans[-1][1] = b
-            for a, b, kind in spans:
-                if kind in ("phone", "secret") and (cut := trimmed(texts[d], a, b, kind)) and not any(x < cut[1] and cut[0] < y for x, y, _ in base[d]):
-                    out[d].append((*cut, KINDS.index(kind)))
+            at += len(s.items)
+    closed(last)
     return out
 
 
+def batch_of(stream: Iterator[Segment]) -> list[Segment]:
+    """Segments of about WORDS words together."""
+    some, n = [], 0
+    for s in stream:
+        some.append(s)
+        n += len(s.items)
+        if n >= WORDS:
+            break
+    return some
+
+
 def trimmed(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The span without what stands around it: for secrets the value behind = or :, for phones from the first to the last digit or bracket."""
     own = text[a:b]
     if kind == "secret":
-        m = re.search(r"[0-9A-Za-z/+_-]{12,}(?=[\"',;:.!?)}\]]*$)", own)
-        return (a + m.start(), a + m.end()) if m and MARK.search(m.group()) else None
+        stop = len(own.rstrip(BEHIND))
+        m = VALUE.match(own[:stop][::-1])  # the run that ends there
+        return (a + stop - m.end(), a + stop) if m and MARK.search(m.group()) else None
     m = re.search(r"[(+]?[0-9].*[0-9]", own, re.S)
     return (a + m.start(), a + m.end()) if m and 7 <= len(DIGITS.sub("", m.group())) <= 15 else None
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import key_first
-from .units import BYTE_PIECES, SEPARATOR, SPACED_UNIT, WHITE, UnitTable, by_text, byte_alphabet, in_chunks, kept_table, loaded
+from .units import BYTE_PIECES, SEPARATOR, SPACED_UNIT, WHITE, UnitTable, by_text, byte_alphabet, in_chunks, kept_table
 
 
 class PrefixCounter:
@@ -35,7 +35,7 @@ class PrefixCounter:
         self.vocabulary = {as_bytes(s) for s in model["vocab"] if all(c in letters for c in s)}
         self.longest = max(map(len, self.vocabulary))
         self.pieces, self.white = regex.compile(BYTE_PIECES), regex.compile(f"[{WHITE}]*")
-        self.path, self._library = path, None
+        self.path = path
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.alone: dict[bytes, bool] = {}
         self.known: dict[bytes, list[int]] = {}
@@ -98,9 +98,14 @@ class PrefixCounter:
 
     def unit(self, unit: str) -> list[int]:
         """Tokens of unit[:i] for i = 1..len(unit); the unit is white space with a word, as SPACED_UNIT cuts it."""
-        if SEPARATOR in unit:  # the library cuts special tokens out first; rare, so it is asked itself
-            self._library = self._library or loaded(self.path)
-            return [len(self._library.encode(unit[:i], add_special_tokens=False).ids) for i in range(1, len(unit) + 1)]
+        if SEPARATOR in unit:  # the library cuts it out first: what is before it is a text of its own, and so is a part of it at the end
+            counts: list[int] = []
+            while (at := unit.find(SEPARATOR)) >= 0:
+                base, own = (counts[-1] if counts else 0), self.unit(unit[:at] + SEPARATOR[:-1])
+                counts += [base + n for n in own]
+                counts.append(base + (own[at - 1] if at else 0) + 1)
+                unit = unit[at + len(SEPARATOR) :]
+            return counts + [counts[-1] + n for n in self.unit(unit)] if unit else counts
         out: list[int] = []
         for piece in self.pieces.findall(unit):
             base, raw = (out[-1] if out else 0), piece.encode("utf-8", "surrogatepass")

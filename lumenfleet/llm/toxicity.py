@@ -133,7 +133,7 @@ class Scorer:
         """Highest and summed probability of a line of n words none of which is in the lexicon."""
         if n not in self.plain:
             m = self.model
-            p = crf.marginals(np.repeat(m["emissions"][:1], n, 0), np.array([n]), m["moves"])[:, 1]
+            p = crf.in_rectangles(crf.marginals, np.repeat(m["emissions"][:1], n, 0), np.array([n]), m["moves"])[:, 1]
             if len(self.plain) > 10_000:
                 self.plain.clear()
             self.plain[n] = (float(p.max()), float(p.sum()))
@@ -158,16 +158,12 @@ class Scorer:
                     best[d] = max(best[d], high)
                     total[d] += s
         if chains:
-            order = np.argsort([len(c) for c in chains], kind="stable")
-            for at in range(0, len(order), 512):  # chains of like length together
-                some = [int(i) for i in order[at : at + 512]]
-                lengths = np.array([len(chains[i]) for i in some])
-                p = crf.marginals(self.model["emissions"][np.concatenate([chains[i] for i in some])], lengths, self.model["moves"])[:, 1]
-                for i, own in zip(some, np.split(p, np.cumsum(lengths)[:-1]), strict=True):
-                    d, k = where[i]
-                    best[d] = max(best[d], own.max())
-                    total[d] += own.sum()
-                    found[d] += [(k, int(j)) for j in np.flatnonzero(own >= 0.5)]
+            sizes = np.array([len(c) for c in chains])
+            p = crf.in_rectangles(crf.marginals, self.model["emissions"][np.concatenate(chains)], sizes, self.model["moves"])[:, 1]
+            for (d, k), own in zip(where, np.split(p, np.cumsum(sizes)[:-1]), strict=True):
+                best[d] = max(best[d], own.max())
+                total[d] += own.sum()
+                found[d] += [(k, int(j)) for j in np.flatnonzero(own >= 0.5)]
         return [((float(b), float(np.log1p(t))), sorted(f)) for b, t, f in zip(best, total, found, strict=True)]
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
