@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import c, pop_variance, quantile_rank, to_db, to_stops
+from ..functions.semantics import c, cfa_channel, pop_variance, quantile_rank, to_db, to_stops
 
 
 def moments(code: str = "code") -> list[Column]:
@@ -41,9 +41,35 @@ def histogram(px: DataFrame, *keys: str) -> DataFrame:
     return px.groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def channel_histogram(px: DataFrame) -> DataFrame:
+def row_histogram(rows: DataFrame, pattern: Column | None = None) -> DataFrame:
+    """frame_id, code, n of image rows (frame_id, y, codes), and channel with the frames' colour filter: codes are counted batch by batch in numpy,
+    so that no pixel leaves its row, and the counts of batches are added up."""
+    lines = rows.select("frame_id", "y", "codes", (F.lit(None).cast("string") if pattern is None else pattern).alias("pattern"))
+    by_phase = pattern is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frames, first, which = np.unique(batch.column(0).to_numpy(), return_index=True, return_inverse=True)
+            lengths = batch.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            codes, own = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+            phase = np.zeros(len(codes), np.int64)
+            if by_phase:
+                x = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                phase = batch.column(1).to_numpy()[own] % 2 * 2 + x % 2
+            found, n = np.unique((which[own] * 4 + phase) << 16 | codes, return_counts=True)
+            at = found >> 18
+            yield pa.RecordBatch.from_arrays([pa.array(frames[at]), batch.column(3).take(pa.array(first[at])), pa.array(found >> 16 & 3, pa.int32()), pa.array(found & 0xFFFF, pa.int32()), pa.array(n)], names=["frame_id", "pattern", "phase", "code", "n"])
+
+    counted = lines.mapInArrow(run, "frame_id long, pattern string, phase int, code int, n long")
+    if pattern is None:
+        return counted.groupBy("frame_id", "code").agg(F.sum("n").alias("n"))
+    per = counted.groupBy("frame_id", "pattern", "phase", "code").agg(F.sum("n").alias("n"))
+    return per.select("frame_id", cfa_channel("pattern", c("phase") % 2, F.floor(c("phase") / 2)).alias("channel"), "code", "n")
+
+
+def channel_histogram(rows: DataFrame, pattern: Column) -> DataFrame:
     """frame_id, channel, code, n; the frame's total, channel null, follows from the channels without a second scan."""
-    per = histogram(px, "frame_id", "channel")
+    per = row_histogram(rows, pattern)
     total = per.groupBy("frame_id", "code").agg(F.sum("n").alias("n")).select("frame_id", F.lit(None).cast("string").alias("channel"), "code", "n")
     return per.unionByName(total)
 

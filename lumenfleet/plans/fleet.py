@@ -76,13 +76,13 @@ SELECT frame_id, channel, n AS count, round(s::DOUBLE/n, 6) AS mean, round(sqrt(
 
 @query(f"WITH {SCENE}, {METRIC_SQL}")
 def a03_w01_channel_metrics(spark, d):
-    hist = measure.histogram(scene(spark, d), "frame_id", "channel")
+    hist = measure.row_histogram(src.rows(spark, d), pattern_of())
     return rounded(measure.histogram_metrics(hist, ["frame_id", "channel"], src.DEPTH), "mean", "sigma", "saturated_pct", "zero_pct", "dr_db")
 
 
 @query(f"WITH {SCENE}, t AS (SELECT frame_id, channel, code, count(*)::BIGINT AS n FROM px GROUP BY ALL) SELECT * FROM t UNION ALL SELECT frame_id, NULL, code, sum(n)::BIGINT FROM t GROUP BY frame_id, code")
 def a03_channel_histogram(spark, d):
-    return measure.channel_histogram(scene(spark, d))
+    return measure.channel_histogram(src.rows(spark, d), pattern_of())
 
 
 PAIR_SQL = f"""p AS (SELECT a.frame_id // 2 AS pair_id, a.channel, a.code AS a, b.code AS b FROM px a JOIN px b ON b.frame_id = a.frame_id + 1 AND a.y = b.y AND a.x = b.x WHERE a.frame_id % 2 = 0),
@@ -145,33 +145,33 @@ def a12_lattice_projection(spark, d):
 
 @query(f"WITH {SCENE}, h AS (SELECT frame_id, code, count(*)::BIGINT AS n FROM px GROUP BY ALL) SELECT *, (sum(n) OVER (PARTITION BY frame_id ORDER BY code))::BIGINT AS cumulative FROM h")
 def w04_cumulative_histogram(spark, d):
-    return measure.cumulative(measure.histogram(scene(spark, d), "frame_id"), "frame_id")
+    return measure.cumulative(measure.row_histogram(src.rows(spark, d)), "frame_id")
 
 
 @query(f"""WITH {SCENE}, h AS (SELECT frame_id, code, count(*) AS n FROM px GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY frame_id ORDER BY code) AS up, sum(n) OVER (PARTITION BY frame_id ORDER BY code DESC) AS down, floor(sum(n) OVER (PARTITION BY frame_id)*0.0035::DOUBLE) AS cut FROM h),
 l AS (SELECT frame_id, min(code) FILTER (up > cut) AS black, max(code) FILTER (down > cut) AS white FROM w GROUP BY frame_id) SELECT frame_id, CASE WHEN white > black THEN black END AS black, CASE WHEN white > black THEN white END AS white FROM l""")
 def w03_auto_levels(spark, d):
-    return measure.auto_levels(measure.histogram(scene(spark, d), "frame_id"), ["frame_id"])
+    return measure.auto_levels(measure.row_histogram(src.rows(spark, d)), ["frame_id"])
 
 
 @query(f"WITH {SCENE}, h AS (SELECT frame_id, (code*256)//4096 AS col, count(*)::BIGINT AS n FROM px GROUP BY ALL) SELECT *, (sum(n) OVER (PARTITION BY frame_id ORDER BY col))::BIGINT AS cumulative FROM h")
 def a22_display_columns(spark, d):
-    return measure.display_columns(measure.histogram(scene(spark, d), "frame_id"), ["frame_id"], 256, 4096)
+    return measure.display_columns(measure.row_histogram(src.rows(spark, d)), ["frame_id"], 256, 4096)
 
 
 @query(f"""WITH {SCENE}, h AS (SELECT channel, code, count(*)::BIGINT AS n FROM px GROUP BY ALL), a AS (SELECT c.code, k.channel FROM range(0,4096) c(code), (SELECT DISTINCT channel FROM px) k)
 SELECT a.code::INT AS raw_code, a.channel, coalesce(n,0)::BIGINT AS count, (sum(coalesce(n,0)) OVER (PARTITION BY a.channel ORDER BY a.code))::BIGINT AS cumulative FROM a LEFT JOIN h USING (code, channel)""")
 def k03_histogram_table(spark, d):
     """All 4096 codes by channel over the fleet, absent ones as 0."""
-    hist = measure.histogram(scene(spark, d), "channel")
+    hist = measure.row_histogram(src.rows(spark, d), pattern_of()).groupBy("channel", "code").agg(F.sum("n").alias("n"))
     full = spark.range(1 << src.DEPTH).select(c("id").cast("int").alias("code"), F.explode(F.array(*map(F.lit, ("R", "Gr", "Gb", "B")))).alias("channel"))
     return measure.cumulative(full.join(hist, ["code", "channel"], "left").select("code", "channel", F.coalesce("n", F.lit(0)).alias("n")), "channel").select(c("code").alias("raw_code"), "channel", c("n").alias("count"), "cumulative")
 
 
-@query(f"""WITH {SCENE}, p AS (SELECT frame_id, code AS v FROM px WHERE y = 7), f AS (SELECT frame_id, count(*)::BIGINT AS n, avg(v) AS mean, min(v) AS min, max(v) AS max, median(v) AS median, stddev_pop(v) AS sd FROM p GROUP BY frame_id)
-SELECT frame_id, n, round(mean,6) AS mean, min, max, median::DOUBLE AS median, round(sd,6) AS sigma FROM f""")
+@query(f"""WITH {SCENE} SELECT frame_id, x, count(*)::BIGINT AS n, round(avg(code),6) AS mean, min(code) AS min, max(code) AS max, median(code)::DOUBLE AS median, round(stddev_pop(code),6) AS sigma FROM px GROUP BY frame_id, x""")
 def a24_profile_statistics(spark, d):
-    return rounded(measure.profile_statistics(scene(spark, d).filter("y = 7").select("frame_id", c("code").alias("v")), ["frame_id"], "v"), "mean", "sigma")
+    """The profile of every column of every frame."""
+    return rounded(measure.profile_statistics(scene(spark, d).select("frame_id", "x", c("code").alias("v")), ["frame_id", "x"], "v"), "mean", "sigma")
 
 
 @query(f"""WITH {SCENE} SELECT frame_id, y, count(*)::BIGINT AS n, round(avg(code),6) AS mean, min(code) AS min, max(code) AS max, median(code)::DOUBLE AS median, round(stddev_pop(code),6) AS sigma FROM px GROUP BY frame_id, y""")

@@ -99,3 +99,16 @@ def test_appended_quality_in_parts(spark, tmp_path):
     assert got == want and got[1]["n"] == 8 and got[1]["saturated"] == 4
     qc.qc_moments(spark.createDataFrame(rows[6:], schema)).write.mode("overwrite").parquet(str(tmp_path / "table" / "batch=1"))
     assert {r["frame_id"]: r for r in qc.read_qc(spark, str(tmp_path / "table")).collect()} == want
+
+
+def test_values_of_a_sensor_one_after_another(spark, tmp_path):
+    """The stateful difference of values over several batches equals the batch form, which needs no group in one task."""
+    schema = "user_id long, ts timestamp, event_id long, value double"
+    r = np.random.default_rng(4)
+    rows = [(int(u), START + dt.timedelta(seconds=i), i, float(v)) for i, (u, v) in enumerate(zip(r.integers(0, 3, 60), r.integers(0, 99, 60), strict=True))]
+    for at in range(0, 60, 20):
+        spark.createDataFrame(rows[at : at + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = qc.consecutive_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(tuple(x) for x in qc.consecutive_difference(spark.createDataFrame(rows, schema)).collect()) and len(got) == 57
