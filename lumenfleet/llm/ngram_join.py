@@ -26,7 +26,7 @@ from pyspark.taskcontext import TaskContext
 
 from .common import delete, dropped, key_first, scratch, staged
 from .components import components
-from .units import in_chunks
+from .units import forget_tables, in_chunks
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -134,6 +134,7 @@ def sieve(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFram
     spark = docs.sparkSession
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         part, count = TaskContext.get().partitionId(), 0
         ids, n, names, rows, keys, of = [], [], [], [], [], []
         known: dict[int, int] = {}

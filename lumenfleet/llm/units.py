@@ -197,6 +197,11 @@ def kept_table(kind: str, path: str, make: Callable[[str], UnitTable]) -> UnitTa
     return _KEPT[kind, path]
 
 
+def forget_tables() -> None:
+    """Drop the worker's tables: for steps that need none, in a worker that earlier steps have used. They are made anew when asked for."""
+    _KEPT.clear()
+
+
 def byte_level_ids(path: str) -> UnitTable:
     return kept_table("byte ids", path, lambda p: UnitTable(SPACED_UNIT.findall, PieceIds(loaded(p), BYTE_PIECES, lower=False)))
 
