@@ -27,7 +27,7 @@ def f13_strides_by_format(spark, d):
     column, row = sampling.sampling_strides("width", "height", c("most"), "hdr", "frames", "stages", "line_block")
     strides = f.select("frame_id", column.alias("column_stride"), row.alias("row_stride"))
     rows = src.rows(spark, d).join(strides, "frame_id")
-    return sampling.sampled(rows).join(strides, "frame_id").select("frame_id", "column_stride", "row_stride", "y", "x", "code")
+    return sampling.sampled(rows, "column_stride", "row_stride", "column_stride", "row_stride").select("frame_id", "column_stride", "row_stride", "y", "x", "code")
 
 
 _DEVIATION = f"{DEFECT_SQL}, v AS (SELECT d.*, CASE WHEN sigma > 0 THEN (d.code - mean)/sigma END AS deviation FROM d JOIN px USING (frame_id, y, x) JOIN t ON t.frame_id = px.frame_id AND t.channel = px.channel)"
