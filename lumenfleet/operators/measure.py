@@ -27,11 +27,12 @@ def clamp_regions(rois: DataFrame) -> DataFrame:
 def region_statistics(px: DataFrame, rois: DataFrame) -> DataFrame:
     """frame_id, roi_id, n, mean, sigma, min, max for every region of every frame; an empty region gives zeros.
 
-    Regions meet their frame's pixels by an equi join on frame_id; the box is the residual condition.
+    Regions meet their frame's pixels by an equi join on frame_id, as tables of a partition's regions, so that pixels need no sort; the box is
+    the residual condition.
     """
     cut = clamp_regions(rois).select("frame_id", "roi_id", "x0", "y0", "x1", "y1")
     inside = (c("x") >= c("x0")) & (c("x") < c("x1")) & (c("y") >= c("y0")) & (c("y") < c("y1"))
-    found = px.select("frame_id", "x", "y", "code").join(cut, "frame_id").filter(inside).groupBy("frame_id", "roi_id").agg(*moments())
+    found = px.select("frame_id", "x", "y", "code").join(cut.hint("shuffle_hash"), "frame_id").filter(inside).groupBy("frame_id", "roi_id").agg(*moments())
     full = cut.select("frame_id", "roi_id").join(found, ["frame_id", "roi_id"], "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
     return full.select("frame_id", "roi_id", zero(c("n")).alias("n"), zero(c("s") / c("n")).cast("double").alias("mean"), zero(F.sqrt(pop_variance("n", "s", "s2"))).cast("double").alias("sigma"), zero(c("min")).alias("min"), zero(c("max")).alias("max"))
@@ -74,6 +75,15 @@ def channel_histogram(rows: DataFrame, pattern: Column) -> DataFrame:
     return per.unionByName(total)
 
 
+def pixel_histogram(px: DataFrame) -> DataFrame:
+    """The same from pixels (frame_id, channel, code), which no shuffle moves where they lie by frame: one record of counts a code, which comes
+    apart at the end."""
+    names = ("R", "Gr", "Gb", "B")
+    per = px.groupBy("frame_id", "code").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c("channel") == k).alias(k) for k in names])
+    each = F.array(F.struct(F.lit(None).cast("string").alias("channel"), c("total").alias("n")), *[F.struct(F.lit(k).alias("channel"), c(k).alias("n")) for k in names])
+    return per.select("frame_id", "code", F.explode(each).alias("v")).select("frame_id", "v.channel", "code", "v.n").filter("n > 0")
+
+
 def histogram_metrics(hist: DataFrame, keys: list[str], depth: int) -> DataFrame:
     """median, p1, p99 (by rank), mode (lowest of the most frequent), mean, sigma, saturated and zero shares, simple dynamic range."""
     by = Window.partitionBy(*keys)

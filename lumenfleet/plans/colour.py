@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.semantics import c
 from ..operators import colour, transform
 from ..sources import frames as src
-from .fleet import SCENE, _separable_sql, _wide, pattern_of, query, rounded, scene, with_height
+from .fleet import SCENE, _separable_sql, _wide, pattern_of, query, rounded, scene
 
 RGB = "rgb AS (SELECT frame_id, y, x, height, code AS r, (code*3+7)%4096 AS g, (code*5+11)%4096 AS b FROM px)"
 
 
-def rgb_pixels(spark, d):
-    return scene(spark, d).select("frame_id", "y", "x", c("code").alias("r"), ((c("code") * 3 + 7) % 4096).alias("g"), ((c("code") * 5 + 11) % 4096).alias("b"))
+def rgb_pixels(spark, d, height: bool = False):
+    return src.pixels(spark, d, height=height).select("frame_id", "y", "x", c("code").alias("r"), ((c("code") * 3 + 7) % 4096).alias("g"), ((c("code") * 5 + 11) % 4096).alias("b"), *["height"][:height])
 
 
 def rgb_rows(spark, d):
@@ -92,7 +92,7 @@ def x06_develop_with_matrix(spark, d):
 @query(f"""WITH {SCENE}, {RGB}, t AS (SELECT frame_id, (y//3)::INT AS y, (x//3)::INT AS x, sum(r*16) AS r, sum(g*16) AS g, sum(b*16) AS b FROM rgb WHERE x < 63 AND y < height//3*3 GROUP BY ALL)
 SELECT frame_id, y, x, {', '.join(f"least(65535, floor({k}*{65535.0 / (4095 << 4) / 9!r}::DOUBLE + 0.5))::INT AS {k}" for k in 'rgb')} FROM t""")
 def a16_binning_rgb(spark, d):
-    return colour.binned_rgb(with_height(rgb_pixels(spark, d), src.frames(spark, d)), 3, src.WIDTH, "height", src.DEPTH)
+    return colour.binned_rgb(rgb_pixels(spark, d, height=True), 3, src.WIDTH, "height", src.DEPTH)
 
 
 def _extreme_sql(k: str) -> str:

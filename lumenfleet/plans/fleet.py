@@ -61,6 +61,10 @@ def flat_defects(spark, d):
     return transform.defects(src.rows(spark, d, "flat"), pattern_of(), 6.0)
 
 
+def scene_with_height(spark, d):
+    return src.pixels(spark, d, "scene", height=True)
+
+
 def with_height(px: DataFrame, frames: DataFrame) -> DataFrame:
     return px.join(frames.select("frame_id", "height"), "frame_id")
 
@@ -76,13 +80,13 @@ SELECT frame_id, channel, n AS count, round(s::DOUBLE/n, 6) AS mean, round(sqrt(
 
 @query(f"WITH {SCENE}, {METRIC_SQL}")
 def a03_w01_channel_metrics(spark, d):
-    hist = measure.row_histogram(src.rows(spark, d), pattern_of())
+    hist = measure.histogram(scene(spark, d), "frame_id", "channel")
     return rounded(measure.histogram_metrics(hist, ["frame_id", "channel"], src.DEPTH), "mean", "sigma", "saturated_pct", "zero_pct", "dr_db")
 
 
 @query(f"WITH {SCENE}, t AS (SELECT frame_id, channel, code, count(*)::BIGINT AS n FROM px GROUP BY ALL) SELECT * FROM t UNION ALL SELECT frame_id, NULL, code, sum(n)::BIGINT FROM t GROUP BY frame_id, code")
 def a03_channel_histogram(spark, d):
-    return measure.channel_histogram(src.rows(spark, d), pattern_of())
+    return measure.pixel_histogram(scene(spark, d))
 
 
 PAIR_SQL = f"""p AS (SELECT a.frame_id // 2 AS pair_id, a.channel, a.code AS a, b.code AS b FROM px a JOIN px b ON b.frame_id = a.frame_id + 1 AND a.y = b.y AND a.x = b.x WHERE a.frame_id % 2 = 0),
@@ -145,25 +149,25 @@ def a12_lattice_projection(spark, d):
 
 @query(f"WITH {SCENE}, h AS (SELECT frame_id, code, count(*)::BIGINT AS n FROM px GROUP BY ALL) SELECT *, (sum(n) OVER (PARTITION BY frame_id ORDER BY code))::BIGINT AS cumulative FROM h")
 def w04_cumulative_histogram(spark, d):
-    return measure.cumulative(measure.row_histogram(src.rows(spark, d)), "frame_id")
+    return measure.cumulative(measure.histogram(scene(spark, d), "frame_id"), "frame_id")
 
 
 @query(f"""WITH {SCENE}, h AS (SELECT frame_id, code, count(*) AS n FROM px GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY frame_id ORDER BY code) AS up, sum(n) OVER (PARTITION BY frame_id ORDER BY code DESC) AS down, floor(sum(n) OVER (PARTITION BY frame_id)*0.0035::DOUBLE) AS cut FROM h),
 l AS (SELECT frame_id, min(code) FILTER (up > cut) AS black, max(code) FILTER (down > cut) AS white FROM w GROUP BY frame_id) SELECT frame_id, CASE WHEN white > black THEN black END AS black, CASE WHEN white > black THEN white END AS white FROM l""")
 def w03_auto_levels(spark, d):
-    return measure.auto_levels(measure.row_histogram(src.rows(spark, d)), ["frame_id"])
+    return measure.auto_levels(measure.histogram(scene(spark, d), "frame_id"), ["frame_id"])
 
 
 @query(f"WITH {SCENE}, h AS (SELECT frame_id, (code*256)//4096 AS col, count(*)::BIGINT AS n FROM px GROUP BY ALL) SELECT *, (sum(n) OVER (PARTITION BY frame_id ORDER BY col))::BIGINT AS cumulative FROM h")
 def a22_display_columns(spark, d):
-    return measure.display_columns(measure.row_histogram(src.rows(spark, d)), ["frame_id"], 256, 4096)
+    return measure.display_columns(measure.histogram(scene(spark, d), "frame_id"), ["frame_id"], 256, 4096)
 
 
 @query(f"""WITH {SCENE}, h AS (SELECT channel, code, count(*)::BIGINT AS n FROM px GROUP BY ALL), a AS (SELECT c.code, k.channel FROM range(0,4096) c(code), (SELECT DISTINCT channel FROM px) k)
 SELECT a.code::INT AS raw_code, a.channel, coalesce(n,0)::BIGINT AS count, (sum(coalesce(n,0)) OVER (PARTITION BY a.channel ORDER BY a.code))::BIGINT AS cumulative FROM a LEFT JOIN h USING (code, channel)""")
 def k03_histogram_table(spark, d):
     """All 4096 codes by channel over the fleet, absent ones as 0."""
-    hist = measure.row_histogram(src.rows(spark, d), pattern_of()).groupBy("channel", "code").agg(F.sum("n").alias("n"))
+    hist = measure.histogram(scene(spark, d), "channel")
     full = spark.range(1 << src.DEPTH).select(c("id").cast("int").alias("code"), F.explode(F.array(*map(F.lit, ("R", "Gr", "Gb", "B")))).alias("channel"))
     return measure.cumulative(full.join(hist, ["code", "channel"], "left").select("code", "channel", F.coalesce("n", F.lit(0)).alias("n")), "channel").select(c("code").alias("raw_code"), "channel", c("n").alias("count"), "cumulative")
 
@@ -200,7 +204,7 @@ def f03_channels(spark, d):
 @query(f"WITH {SCENE} SELECT frame_id, y, (x%2)*32 + x//2 AS tx, (y%2)*(height//2) + y//2 AS ty, code FROM px WHERE y < height//2*2")
 def f10_channel_tiling(spark, d):
     """Every pixel in the tile of its channel; only an odd last row goes."""
-    px = with_height(scene(spark, d), src.frames(spark, d)).filter("y < height DIV 2 * 2")
+    px = scene_with_height(spark, d).filter("y < height DIV 2 * 2")
     return px.select("frame_id", "y", F.expr("CAST((x % 2) * 32 + x DIV 2 AS INT)").alias("tx"), F.expr("CAST((y % 2) * (height DIV 2) + y DIV 2 AS INT)").alias("ty"), "code")
 
 
@@ -208,7 +212,7 @@ def f10_channel_tiling(spark, d):
 SELECT t.frame_id, tx, ty, (tx - qx*32)*2 + qx AS x, ((ty - qy*(height//2))*2 + qy)::INT AS y FROM t""")
 def f10_channel_tiling_whole(spark, d):
     """The way back: where every pixel of the tiled frame comes from."""
-    t = with_height(scene(spark, d), src.frames(spark, d)).filter("y < height DIV 2 * 2").select("frame_id", c("x").alias("tx"), c("y").alias("ty"), F.expr("height DIV 2").alias("qh"))
+    t = scene_with_height(spark, d).filter("y < height DIV 2 * 2").select("frame_id", c("x").alias("tx"), c("y").alias("ty"), F.expr("height DIV 2").alias("qh"))
     back = lambda at, quad: F.expr(f"CAST(({at} - ({at} DIV {quad}) * {quad}) * 2 + {at} DIV {quad} AS INT)")
     return t.select("frame_id", "tx", "ty", back("tx", "32").alias("x"), back("ty", "qh").alias("y"))
 
@@ -298,7 +302,7 @@ def j04_flat_field(spark, d):
 
 @query(f"WITH {SCENE}, b AS (SELECT frame_id, ((y//4)*2 + y%2)::INT AS y2, ((x//4)*2 + x%2)::INT AS x2, sum(code*16) AS s FROM px WHERE y < height//4*4 GROUP BY ALL) SELECT frame_id, y2 AS y, x2 AS x, greatest(0, least(65535, floor(s*({sem.full_scale_factor(12)!r}::DOUBLE/4) + 0.5::DOUBLE)))::INT AS v16 FROM b")
 def a15_binning(spark, d):
-    px = with_height(scene(spark, d), src.frames(spark, d))
+    px = scene_with_height(spark, d)
     return transform.binned(px, 2, src.WIDTH, "height", src.DEPTH)
 
 
