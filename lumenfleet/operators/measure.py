@@ -92,10 +92,11 @@ def histogram_metrics(hist: DataFrame, keys: list[str], depth: int) -> DataFrame
     top = (1 << depth) - 1
     out = running.groupBy(*keys).agg(
         F.max("total").alias("count"), F.sum(c("code") * c("n")).alias("s"), F.sum(c("code").cast("long") * c("code") * c("n")).alias("s2"),
-        at(0.5).alias("median"), at(0.01).alias("p1"), at(0.99).alias("p99"), F.max_by("code", F.struct("n", -c("code"))).alias("mode"),
+        at(0.5).alias("median"), at(0.01).alias("p1"), at(0.99).alias("p99"), F.max(c("n") * 65536 + (65535 - c("code"))).alias("top_count"),  # of the most frequent the lowest, as one number
         F.sum(F.when(c("code") == top, c("n")).otherwise(0)).alias("hot"), F.sum(F.when(c("code") == 0, c("n")).otherwise(0)).alias("zeros"),
     )
     sigma = F.sqrt(pop_variance("count", "s", "s2"))
+    out = out.withColumn("mode", (65535 - c("top_count") % 65536).cast("int"))
     return out.withColumn("sigma", sigma).select(*keys, "count", (c("s") / c("count")).alias("mean"), "sigma", "median", "p1", "p99", "mode", (100.0 * c("hot") / c("count")).alias("saturated_pct"), (100.0 * c("zeros") / c("count")).alias("zero_pct"), F.coalesce(to_db(F.lit(top), "sigma"), F.lit(0.0)).alias("dr_db"))
 
 
