@@ -190,17 +190,20 @@ def in_bands(rows: DataFrame, reach: int, band: int) -> DataFrame:
 CELLS = 1 << 22
 
 
-def stencil(rows: DataFrame, radius: int, step: int, one: Callable[[np.ndarray], np.ndarray], columns: tuple[str, ...], band: int = BAND) -> DataFrame:
-    """one(window rows) for every image row, of each of the columns alone: windows are the same-phase rows around, those at the edges repeated,
-    as a table (row of the window, image row, pixel). Bands meet their neighbouring rows in tasks of their own, so a tall frame is as
-    many tasks as it has bands. Rows without values give none, and don't count as neighbours."""
-    schema = "frame_id long, y int, " + ", ".join(f"{n} array<int>" for n in columns)
-    around = np.arange(-radius, radius + 1)[:, None]
+#: Radius of a filter, and what it makes of the rows of a window: a table (row of the window, image row, pixel).
+Filter = tuple[int, Callable[[np.ndarray], np.ndarray]]
+
+
+def stencils(rows: DataFrame, filters: dict[str, Filter], step: int, columns: tuple[str, ...], band: int = BAND) -> DataFrame:
+    """filter, frame_id, y and each of the columns as the filter leaves it, all filters from one pass: windows are the same-phase rows around, those
+    at the edges repeated. Bands meet their neighbouring rows in tasks of their own, so a tall frame is as many tasks as it has bands.
+    Rows without values give none, and don't count as neighbours."""
+    schema = "filter string, frame_id long, y int, " + ", ".join(f"{n} array<int>" for n in columns)
 
     def run(key, table):
         table = table.sort_by("y").combine_chunks()
         y = table.column("y").to_numpy()
-        own, made = y // band == key[1].as_py(), []
+        own, made = y // band == key[1].as_py(), {n: [] for n in columns}
         for name in columns:
             lists = table.column(name).combine_chunks()
             widths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -208,21 +211,31 @@ def stencil(rows: DataFrame, radius: int, step: int, one: Callable[[np.ndarray],
             if (widths[there] != width).any():
                 raise ValueError(f"frame {key[0].as_py()} has rows of several lengths")
             values = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((0, 0), np.int32)
-            out, each = np.zeros((len(y), width), np.int32), max(1, CELLS // max(1, width * (2 * radius + 1)))
-            for phase in range(step):
-                alike = np.flatnonzero(y[there] % step == phase)
-                mine = np.flatnonzero(own[there[alike]])
-                for at in range(0, len(mine), each):
-                    some = mine[at : at + each]
-                    out[there[alike[some]]] = one(values[alike[np.clip(some + around, 0, len(alike) - 1)]])
             ends = np.concatenate([[0], np.cumsum(np.where(widths[own] > 0, width, 0))]).astype(np.int32)
-            made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(out[own & (widths > 0)].ravel(), pa.int32())))
-        return pa.table([pa.array([key[0].as_py()] * int(own.sum()), pa.int64()), pa.array(y[own], pa.int32()), *made], names=["frame_id", "y", *columns])
+            for radius, one in filters.values():
+                out, each = np.zeros((len(y), width), np.int32), max(1, CELLS // max(1, width * (2 * radius + 1)))
+                around = np.arange(-radius, radius + 1)[:, None]
+                for phase in range(step):
+                    alike = np.flatnonzero(y[there] % step == phase)
+                    mine = np.flatnonzero(own[there[alike]])
+                    for at in range(0, len(mine), each):
+                        some = mine[at : at + each]
+                        out[there[alike[some]]] = one(values[alike[np.clip(some + around, 0, len(alike) - 1)]])
+                made[name].append(pa.ListArray.from_arrays(pa.array(ends), pa.array(out[own & (widths > 0)].ravel(), pa.int32())))
+        n = int(own.sum())
+        called = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(filters)), n), pa.int32()), pa.array(list(filters), pa.string())).cast(pa.string())
+        return pa.table([called, pa.array([key[0].as_py()] * (n * len(filters)), pa.int64()), pa.array(np.tile(y[own], len(filters)), pa.int32()), *map(pa.chunked_array, made.values())], names=["filter", "frame_id", "y", *columns])
+
+    reach = max(radius for radius, _ in filters.values()) * step
+    return in_bands(rows.select("frame_id", "y", *columns), reach, band).groupBy("frame_id", "band").applyInArrow(run, schema)
+
 
-    return in_bands(rows.select("frame_id", "y", *columns), radius * step, band).groupBy("frame_id", "band").applyInArrow(run, schema)
+def stencil(rows: DataFrame, radius: int, step: int, one: Callable[[np.ndarray], np.ndarray], columns: tuple[str, ...], band: int = BAND) -> DataFrame:
+    """frame_id, y and each of the columns as one filter leaves it."""
+    return stencils(rows, {"one": (radius, one)}, step, columns, band).drop("filter")
 
 
-def smoothed(rows: DataFrame, weights: list[float], depth: int, step: int, finish: Callable, columns: tuple[str, ...]) -> DataFrame:
+def smoothing(weights: list[float], depth: int, step: int, finish: Callable) -> Filter:
     """finish(mean, 16-bit value) of the weighted mean over the window, horizontally and then vertically in the order of the offsets."""
     radius, shift = len(weights) // 2, 1 << (16 - depth)
 
@@ -231,17 +244,27 @@ def smoothed(rows: DataFrame, weights: list[float], depth: int, step: int, finis
         across = weighted([side(v, k, step) for k in range(-radius, radius + 1)], weights)
         return finish(weighted(list(across), weights), v[radius])
 
-    return stencil(rows, radius, step, one, columns)
+    return radius, one
+
+
+def separable_filter(weights: list[float], depth: int, step: int) -> Filter:
+    return smoothing(weights, depth, step, lambda mean, _: to_full_scale(mean, full_scale_factor(depth)))
+
+
+def unsharp_filter(weights: list[float], amount: float, depth: int, step: int) -> Filter:
+    return smoothing(weights, depth, step, lambda mean, v: to_full_scale(v + amount * (v - mean), full_scale_factor(depth)))
 
 
 def separable(rows: DataFrame, weights: list[float], depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
     """Weighted mean over the window; 16-bit values rescaled to full scale."""
-    return smoothed(rows, weights, depth, step, lambda mean, _: to_full_scale(mean, full_scale_factor(depth)), columns)
+    radius, one = separable_filter(weights, depth, step)
+    return stencil(rows, radius, step, one, columns)
 
 
 def unsharp_mask(rows: DataFrame, weights: list[float], amount: float, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
     """v + amount * (v - weighted mean), rescaled to full scale."""
-    return smoothed(rows, weights, depth, step, lambda mean, v: to_full_scale(v + amount * (v - mean), full_scale_factor(depth)), columns)
+    radius, one = unsharp_filter(weights, amount, depth, step)
+    return stencil(rows, radius, step, one, columns)
 
 
 def box_weights(radius: int) -> list[float]:
@@ -253,25 +276,32 @@ def gaussian_weights(radius: int, sigma: float) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
+def extreme_filter(radius: int, depth: int, step: int, largest: bool) -> Filter:
+    scale, pick = full_scale_factor(depth) * (1 << (16 - depth)), np.maximum if largest else np.minimum
+    return radius, lambda v: to_full_scale(pick.reduce([side(pick.reduce(v), k, step) for k in range(-radius, radius + 1)]), scale)
+
+
 def extreme(rows: DataFrame, radius: int, depth: int, step: int, largest: bool, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
     """Erode or dilate: minimum or maximum over the window, rescaled to 16 bit."""
-    scale, pick = full_scale_factor(depth) * (1 << (16 - depth)), np.maximum if largest else np.minimum
-    return stencil(rows, radius, step, lambda v: to_full_scale(pick.reduce([side(pick.reduce(v), k, step) for k in range(-radius, radius + 1)]), scale), columns)
+    return stencil(rows, radius, step, extreme_filter(radius, depth, step, largest)[1], columns)
 
 
-def median_filter(rows: DataFrame, radius: int, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
-    """Median of the same-phase window (the count is odd), rescaled to 16 bit."""
+def median_of(radius: int, depth: int, step: int) -> Filter:
     scale, n = full_scale_factor(depth) * (1 << (16 - depth)), (2 * radius + 1) ** 2
 
     def one(v: np.ndarray) -> np.ndarray:
         window = np.concatenate([side(v, k, step) for k in range(-radius, radius + 1)])
         return to_full_scale(np.partition(window, n // 2, 0)[n // 2], scale)
 
-    return stencil(rows, radius, step, one, columns)
+    return radius, one
 
 
-def sobel(rows: DataFrame, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
-    """A quarter of the gradient's length, rescaled to 16 bit."""
+def median_filter(rows: DataFrame, radius: int, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
+    """Median of the same-phase window (the count is odd), rescaled to 16 bit."""
+    return stencil(rows, radius, step, median_of(radius, depth, step)[1], columns)
+
+
+def sobel_filter(depth: int, step: int) -> Filter:
     scale = full_scale_factor(depth) * (1 << (16 - depth))
 
     def one(v: np.ndarray) -> np.ndarray:
@@ -280,7 +310,12 @@ def sobel(rows: DataFrame, depth: int, step: int, columns: tuple[str, ...] = ("c
         gy = left[2] + 2 * mid[2] + right[2] - left[0] - 2 * mid[0] - right[0]
         return to_full_scale(np.sqrt((gx * gx + gy * gy).astype(np.float64)) / 4, scale)
 
-    return stencil(rows, 1, step, one, columns)
+    return 1, one
+
+
+def sobel(rows: DataFrame, depth: int, step: int, columns: tuple[str, ...] = ("codes",)) -> DataFrame:
+    """A quarter of the gradient's length, rescaled to 16 bit."""
+    return stencil(rows, 1, step, sobel_filter(depth, step)[1], columns)
 
 
 # --- Defects ------------------------------------------------------------------------------------------------------------------

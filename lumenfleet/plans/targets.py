@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.semantics import c
@@ -98,15 +100,19 @@ def _component(k: str) -> str:
 @query(f"WITH {SCENE}, {RGB} " + " UNION ALL ".join(map(_component, "rgb")))
 def n08_rgb_filters(spark, d):
     """Six filters of each component; a sum over each row that tells where its values stand."""
-    rows, box, bell, rgb = rgb_rows(spark, d), transform.box_weights(1), transform.gaussian_weights(2, 1.2), ("r", "g", "b")
-    made = {
-        "mean": transform.separable(rows, box, src.DEPTH, 1, rgb), "gaussian": transform.separable(rows, bell, src.DEPTH, 1, rgb), "unsharp": transform.unsharp_mask(rows, bell, 1.5, src.DEPTH, 1, rgb),
-        "minimum": transform.extreme(rows, 1, src.DEPTH, 1, False, rgb), "median": transform.median_filter(rows, 1, src.DEPTH, 1, rgb), "sobel": transform.sobel(rows, src.DEPTH, 1, rgb),
+    box, bell, rgb = transform.box_weights(1), transform.gaussian_weights(2, 1.2), ("r", "g", "b")
+    filters = {
+        "mean": transform.separable_filter(box, src.DEPTH, 1), "gaussian": transform.separable_filter(bell, src.DEPTH, 1), "unsharp": transform.unsharp_filter(bell, 1.5, src.DEPTH, 1),
+        "minimum": transform.extreme_filter(1, src.DEPTH, 1, False), "median": transform.median_of(1, src.DEPTH, 1), "sobel": transform.sobel_filter(src.DEPTH, 1),
     }
-    out = None
-    for name, df in made.items():
-        total = lambda k: F.aggregate(F.transform(k, lambda v, i: v.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
-        each = df.select(F.lit(name).alias("filter"), "frame_id", "y", F.explode(F.array(*[F.struct(F.lit(k).alias("component"), total(k).alias("checked")) for k in rgb])).alias("s"))
-        one = each.select("filter", "frame_id", "y", "s.component", "s.checked")
-        out = one if out is None else out.unionByName(one)
-    return out
+
+    def run(batches):
+        for batch in batches:
+            for at, name in enumerate(rgb, 3):
+                n = batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends, v = np.cumsum(n), batch.column(at).flatten().to_numpy(zero_copy_only=False)
+                place = np.arange(len(v)) - np.repeat(ends - n, n) + 1
+                sums = np.concatenate([[0], np.cumsum(v * place)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([name] * len(n), pa.string()), pa.array(sums[ends] - sums[ends - n], pa.int64())], names=["filter", "frame_id", "y", "component", "checked"])
+
+    return transform.stencils(rgb_rows(spark, d), filters, 1, rgb).mapInArrow(run, "filter string, frame_id long, y int, component string, checked long")

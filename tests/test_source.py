@@ -5,8 +5,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfleet.operators import sampling
-from lumenfleet.plans import colour, fleet  # noqa: F401
+from lumenfleet.operators import sampling, transform
+from lumenfleet.plans import colour, fleet, targets  # noqa: F401
 from lumenfleet.sources import frames as src
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,15 @@ def test_strides_in_batches_and_kept_columns(spark):
     assert [r["v"] for r in found.collect()] == [1, 5, 13, 29, 1, None, 7]
     rows = spark.createDataFrame([(1, y, list(range(6)), 3, 2) for y in range(4)], "frame_id long, y int, codes array<int>, cs long, rs long")
     assert sorted(map(tuple, sampling.sampled(rows, "cs", "rs", "rs").collect())) == [(1, y, x, x, 2) for y in (0, 2) for x in (0, 3)]
+
+
+def test_filters_share_a_pass(spark):
+    """All filters read their rows once, and each gives what it gives alone."""
+    plan = fleet.QUERIES["n08_rgb_filters"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("FlatMapGroupsInArrow") == 1
+    rows = src.rows(spark, SF).filter("frame_id < 3")
+    filters = {"median": transform.median_of(1, 12, 2), "gaussian": transform.separable_filter(transform.gaussian_weights(2, 1.2), 12, 2), "sobel": transform.sobel_filter(12, 2)}
+    both = transform.stencils(rows, filters, 2, ("codes",), band=8)
+    alone = {"median": transform.median_filter(rows, 1, 12, 2), "gaussian": transform.separable(rows, transform.gaussian_weights(2, 1.2), 12, 2), "sobel": transform.sobel(rows, 12, 2)}
+    for name, df in alone.items():
+        assert sorted(map(tuple, both.filter(F.col("filter") == name).drop("filter").collect())) == sorted(map(tuple, df.collect()))
