@@ -67,10 +67,9 @@ _BITS = "CASE WHEN v = 0 THEN 0 ELSE (126 + length(ltrim(bin(v), '0'))) * 838860
 @query(f"WITH {SCENE}, b AS (SELECT frame_id, y, x, ({_BITS})::BIGINT AS b FROM (SELECT frame_id, y, x, code*16 AS v FROM px)) SELECT frame_id, y, sha256(unhex(string_agg(printf('%02x%02x%02x%02x', b%256, b//256%256, b//65536%256, b//16777216), '' ORDER BY x))) AS sha256, true AS back FROM b GROUP BY ALL")
 def k02_float_rows(spark, d):
     """16-bit values as real samples of 32 bits, and whether the bytes give them back."""
-    rows = src.rows(spark, d).select("frame_id", "y", F.transform("codes", lambda v: (v * 16).cast("float")).alias("values"))
-    data = raw.encode_floats(rows)
-    back = raw.decode_floats(data).select("frame_id", "y", c("values").alias("got"))
-    return data.join(back, ["frame_id", "y"]).join(rows, ["frame_id", "y"]).select("frame_id", "y", F.sha2("data", 256).alias("sha256"), (c("got") == c("values")).alias("back"))
+    rows = src.rows(spark, d).select("frame_id", "y", F.transform("codes", lambda v: (v * 16).cast("float")).alias("given"))
+    data = raw.encode_floats(rows, "given", "given").withColumn("sha256", F.sha2("data", 256))
+    return raw.decode_floats(data, "sha256", "given").select("frame_id", "y", "sha256", (c("values") == c("given")).alias("back"))
 
 
 _SCALE, _FULL = f"{65535.0 / (4095 << 4) * 16!r}::DOUBLE", f"{65535.0 / (4095 << 4)!r}::DOUBLE"

@@ -59,23 +59,25 @@ def read_raw(spark: SparkSession, path: str, width: int, height: int, depth: int
     return lines.select("path", F.expr(f"i DIV {height}").alias("frame_id"), F.expr(f"CAST(i % {height} AS INT)").alias("y"), "codes")
 
 
-def encode_floats(rows: DataFrame, values: str = "values") -> DataFrame:
-    """rows (frame_id, y, array of numbers) to frame_id, y, data: real samples of 32 bits, little end first."""
+def encode_floats(rows: DataFrame, values: str = "values", *keep: str) -> DataFrame:
+    """rows (frame_id, y, array of numbers) to frame_id, y, data and the kept columns: real samples of 32 bits, little end first."""
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [v.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes() if v.is_valid else None for v in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["frame_id", "y", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), *batch.columns[3:]], names=["frame_id", "y", "data", *keep])
 
-    return rows.select("frame_id", "y", values).mapInArrow(run, "frame_id long, y int, data binary")
+    return rows.select("frame_id", "y", values, *keep).mapInArrow(run, "frame_id long, y int, data binary" + "".join(f", {k} {kinds[k]}" for k in keep))
 
 
-def decode_floats(data: DataFrame) -> DataFrame:
-    """frame_id, y, data back to frame_id, y, values."""
+def decode_floats(data: DataFrame, *keep: str) -> DataFrame:
+    """frame_id, y, data back to frame_id, y, values, and the kept columns."""
+    kinds = dict(data.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [np.frombuffer(raw, "<f4") if raw is not None else None for raw in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.float32()))], names=["frame_id", "y", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.float32())), *batch.columns[3:]], names=["frame_id", "y", "values", *keep])
 
-    return data.select("frame_id", "y", "data").mapInArrow(run, "frame_id long, y int, values array<float>")
+    return data.select("frame_id", "y", "data", *keep).mapInArrow(run, "frame_id long, y int, values array<float>" + "".join(f", {k} {kinds[k]}" for k in keep))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfleet.operators import sampling, transform
 from lumenfleet.plans import colour, fleet, targets  # noqa: F401
 from lumenfleet.sources import frames as src
+from lumenfleet.sources import raw
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +64,11 @@ def test_filters_share_a_pass(spark):
     alone = {"median": transform.median_filter(rows, 1, 12, 2), "gaussian": transform.separable(rows, transform.gaussian_weights(2, 1.2), 12, 2), "sobel": transform.sobel(rows, 12, 2)}
     for name, df in alone.items():
         assert sorted(map(tuple, both.filter(F.col("filter") == name).drop("filter").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_float_rows_meet_without_a_join(spark, no_broadcast):
+    plan = fleet.QUERIES["k02_float_rows"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    some = spark.createDataFrame([(1, 0, [1.5, 2.0], "a"), (1, 1, None, "b")], "frame_id long, y int, values array<float>, own string")
+    back = raw.decode_floats(raw.encode_floats(some, "values", "own"), "own")
+    assert sorted(map(tuple, back.collect())) == [(1, 0, [1.5, 2.0], "a"), (1, 1, None, "b")]
