@@ -145,13 +145,33 @@ def noise_pair(px_pairs: DataFrame, saturation: int) -> DataFrame:
     return pair_noise(per, ["pair_id"], saturation)
 
 
-def two_phases(a: np.ndarray, b: np.ndarray) -> list[tuple[int, ...]]:
-    """(parity of x, n, sum of a, of its square, of a - b, of its square) for the two column phases of two rows."""
-    out = []
-    for parity in (0, 1):
-        v, d = (x[parity::2].astype(np.int64) for x in (a, a.astype(np.int64) - b))
-        out.append((parity, len(v), int(v.sum()), int((v * v).sum()), int(d.sum()), int((d * d).sum())))
-    return out
+#: Pixels that are worked on at once.
+CELLS = 1 << 20
+
+
+def two_phases(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(parity of x, n, sum of a, of its square, of a - b, of its square) for the two column phases of each pair of rows, which are tables of rows
+    of one width: two records a pair, one after the other."""
+    out = np.zeros((len(a), 2, 6), np.int64)
+    each = max(1, CELLS // max(1, a.shape[1]))
+    for at in range(0, len(a), each):
+        for parity in (0, 1):
+            v, w = (x[at : at + each, parity::2].astype(np.int64) for x in (a, b))
+            d = v - w
+            columns = (parity, v.shape[1], v.sum(1), (v * v).sum(1), d.sum(1), (d * d).sum(1))
+            for i, x in enumerate(columns):
+                out[at : at + each, parity, i] = x
+    return out.reshape(-1, 6)
+
+
+def paired_phases(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows are of equal length, and the records of two_phases for them. Values lie one row after another; ends begin with 0."""
+    widths = np.diff(a_ends)
+    alike = widths == np.diff(b_ends)
+    of = [np.flatnonzero(alike & (widths == w)) for w in np.unique(widths[alike])]
+    made = [two_phases(*(v[ends[own][:, None] + np.arange(int(widths[own[0]]))] for v, ends in ((a, a_ends), (b, b_ends)))) for own in of]
+    which = np.concatenate([*of, np.zeros(0, np.int64)]).astype(np.int64)
+    return which, np.concatenate([*made, np.zeros((0, 6), np.int64)])
 
 
 def pair_moments(rows: DataFrame, *keys: str) -> DataFrame:
@@ -160,15 +180,9 @@ def pair_moments(rows: DataFrame, *keys: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found = [], []
             lists = [(batch.column(k).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(batch.column(k).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])) for k in ("a", "b")]
-            (a, a_ends), (b, b_ends) = lists
-            for i in range(len(batch)):
-                if a_ends[i + 1] - a_ends[i] == b_ends[i + 1] - b_ends[i]:
-                    at += [i, i]
-                    found += two_phases(a[a_ends[i] : a_ends[i + 1]], b[b_ends[i] : b_ends[i + 1]])
-            own = batch.select([*keys, "y"]).take(pa.array(at, pa.int64()))
-            numbers = np.array(found, np.int64).reshape(-1, 6)
+            which, numbers = paired_phases(*lists[0], *lists[1])
+            own = batch.select([*keys, "y"]).take(pa.array(np.repeat(which, 2), pa.int64()))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(numbers[:, 0], pa.int32()), *[pa.array(numbers[:, i]) for i in range(1, 6)]], names=[*keys, "y", "parity", "n", "s", "s2", "ds", "ds2"])
 
     kinds = dict(rows.dtypes)

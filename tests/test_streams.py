@@ -112,3 +112,19 @@ def test_values_of_a_sensor_one_after_another(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     got = sorted(tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(tuple(x) for x in qc.consecutive_difference(spark.createDataFrame(rows, schema)).collect()) and len(got) == 57
+
+
+def test_a_band_of_rows_is_one_entry_of_state(spark, tmp_path):
+    """What waits of a sensor's 70 rows stands in two entries, and comes out as the batch has it."""
+    r = np.random.default_rng(5)
+    rows = [(1, f, START + dt.timedelta(seconds=f), y, r.integers(-9, 1 << 17, 5 + y % 2).tolist()) for f in range(3) for y in range(70)]
+    spark.createDataFrame(rows, LANDED).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = noise.consecutive_moments(spark.readStream.schema(LANDED).parquet(str(tmp_path / "in")), late="10 seconds")
+    sink = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    job = sink.trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert job.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    spark.createDataFrame([(9, 0, START + dt.timedelta(hours=1), 0, [1])], LANDED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    want = noise.consecutive_moments(spark.createDataFrame(rows, LANDED))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(KEYS).collect())) == sorted(map(tuple, want.select(KEYS).collect()))
