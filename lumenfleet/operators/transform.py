@@ -138,6 +138,18 @@ def side(values: np.ndarray, k: int, step: int) -> np.ndarray:
     return values[..., i % step + np.clip(i // step + k, 0, last) * step]
 
 
+def tables_of(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of image rows of one width, and their values as a table, in parts of at most CELLS pixels or one row; rows without values are
+    left out."""
+    widths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(widths) - widths
+    for w in np.unique(widths[widths > 0]):
+        alike = np.flatnonzero(widths == w)
+        for at in range(0, len(alike), max(1, CELLS // int(w))):
+            own = alike[at : at + max(1, CELLS // int(w))]
+            yield own, flat[starts[own][:, None] + np.arange(w)].astype(np.int64)
+
+
 def of_rows(lists: list[pa.Array], one: Callable[[np.ndarray], np.ndarray], kind: pa.DataType, shape: Callable[[int], int]) -> pa.Array:
     """one(values) of image rows of one width at a time: values are tables of rows by pixels, one for each of the lists; shape tells the width
     of the result."""
@@ -320,20 +332,25 @@ def sobel(rows: DataFrame, depth: int, step: int, columns: tuple[str, ...] = ("c
 
 # --- Defects ------------------------------------------------------------------------------------------------------------------
 def phase_moments(rows: DataFrame, segment: int | None = None) -> DataFrame:
-    """frame_id, part, phase, n, s, s2 of each row's pixels, by exposure segment (0 without) and colour-filter phase: two records a row and
-    segment, no pixel leaves its row."""
+    """frame_id, part, phase, n, s, s2 of each row's pixels, by exposure segment (0 without) and colour-filter phase: four records a
+    frame and segment from each batch, no pixel leaves it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for frame, y, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                v = codes.values.to_numpy(zero_copy_only=False).astype(np.int64) if codes.is_valid else np.zeros(0, np.int64)
-                for at in range(0, len(v), segment or max(1, len(v))):
+            y, made = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), []
+            for own, v in tables_of(batch.column(2)):
+                each = max(1, min(segment or v.shape[1], v.shape[1]))
+                for part, at in enumerate(range(0, v.shape[1], each)):
                     for parity in (0, 1):
-                        own = v[at : at + segment if segment else len(v)][parity::2]
-                        out.append((frame, at // segment if segment else 0, y % 2 * 2 + parity, len(own), int(own.sum()), int((own * own).sum())))
-            columns = np.array(out, np.int64).reshape(-1, 6).T
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), *[pa.array(x) for x in columns[3:]]], names=["frame_id", "part", "phase", "n", "s", "s2"])
+                        some = v[:, at : at + each][:, parity::2]
+                        n = np.full(len(own), some.shape[1])
+                        made.append(np.stack([own, np.full(len(own), part), y[own] % 2 * 2 + parity, n, some.sum(1, dtype=np.int64), np.einsum("ij,ij->i", some, some, dtype=np.int64)]))
+            columns = np.concatenate([*made, np.zeros((6, 0), np.int64)], 1)
+            # What a batch holds of a frame's phase becomes one record.
+            keys = pa.table([batch.column(0).take(pa.array(columns[0])), *map(pa.array, columns[1:])], names=["frame_id", "part", "phase", "n", "s", "s2"])
+            sums = keys.group_by(["frame_id", "part", "phase"]).aggregate([(k, "sum") for k in ("n", "s", "s2")])
+            kinds = pa.schema([("frame_id", pa.int64()), ("part", pa.int32()), ("phase", pa.int32()), ("n", pa.int64()), ("s", pa.int64()), ("s2", pa.int64())])
+            yield from sums.select(["frame_id", "part", "phase", "n_sum", "s_sum", "s2_sum"]).rename_columns(kinds.names).cast(kinds).to_batches()
 
     return rows.select("frame_id", "y", "codes").mapInArrow(run, "frame_id long, part int, phase int, n long, s long, s2 long").filter("n > 0")
 
@@ -353,20 +370,31 @@ def marked(rows: DataFrame, k: float, segment: int | None = None, **kept: Column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, hots, means, sigmas = [], [], [], []
-            for y, codes, limits in zip(batch.column("y").to_pylist(), batch.column("codes"), batch.column("limits"), strict=True):
-                v = codes.values.to_numpy(zero_copy_only=False).astype(np.int64) if codes.is_valid else np.zeros(0, np.int64)
-                t = limits.values
-                at, mean, sigma = (t.field(n).to_numpy(zero_copy_only=False) for n in ("at", "mean", "sigma"))
-                full = np.full((3, int(at.max()) + 2), np.nan)
-                full[0, at], full[1, at] = mean, sigma
-                x = np.arange(len(v))
-                own = (x // segment * 4 if segment else 0) + y % 2 * 2 + (x % segment if segment else x) % 2
-                m, s = full[0, own], full[1, own]
-                hot, dead = v > m + k * s, v < m - k * s
-                bad = np.flatnonzero(hot | dead)
-                xs.append(bad.astype(np.int32)), hots.append(hot[bad]), means.append(m[bad]), sigmas.append(s[bad])
-            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(xs, pa.list_(pa.int32())), pa.array(hots, pa.list_(pa.bool_())), pa.array(means, pa.list_(pa.float64())), pa.array(sigmas, pa.list_(pa.float64()))], names=[*names, "x", "hot", "mean", "sigma"])
+            y, limits = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("limits")
+            t, ends = limits.flatten(), np.concatenate([[0], np.cumsum(limits.value_lengths().to_numpy(zero_copy_only=False))])
+            at, mean, sigma = (t.field(n).to_numpy(zero_copy_only=False) for n in ("at", "mean", "sigma"))
+            found = []
+            for own, v in tables_of(batch.column("codes")):
+                each = max(1, min(segment or v.shape[1], v.shape[1]))
+                bounds = np.full((2, len(own), -(-v.shape[1] // each) * 4), np.nan)
+                sizes = ends[own + 1] - ends[own]
+                line = np.repeat(np.arange(len(own)), sizes)
+                from_ = np.repeat(ends[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                here = at[from_] < bounds.shape[2]  # wider rows of the frame have more segments
+                bounds[:, line[here], at[from_][here]] = mean[from_][here], sigma[from_][here]
+                phase = y[own] % 2 * 2
+                for part, start in enumerate(range(0, v.shape[1], each)):
+                    for parity in (0, 1):
+                        some = v[:, start : start + each][:, parity::2]
+                        m, s = bounds[:, np.arange(len(own)), part * 4 + phase + parity]
+                        hot = some > (m + k * s)[:, None]
+                        i, j = np.nonzero(hot | (some < (m - k * s)[:, None]))
+                        found.append((own[i], start + parity + 2 * j, hot[i, j], m[i], s[i]))
+            row, x, hot, m, s = (np.concatenate(v) for v in zip(*found, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0), np.zeros(0)), strict=True))
+            order = np.lexsort((x, row))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order], kind)) for v, kind in ((x, pa.int32()), (hot, pa.bool_()), (m, pa.float64()), (s, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, *lists], names=[*names, "x", "hot", "mean", "sigma"])
 
     kinds = dict(met.dtypes)
     schema = ", ".join([*[f"{n} {kinds[n]}" for n in names], "x array<int>, hot array<boolean>, mean array<double>, sigma array<double>"])
@@ -409,17 +437,18 @@ def corrected(rows: DataFrame, step: int, mean: bool = False, band: int = BAND)
     def run(key, table):
         table = table.sort_by("y").combine_chunks()
         y = table.column("y").to_numpy()
-        rows = [v.values.to_numpy(zero_copy_only=False) for v in table.column("codes")]
-        bad = [v.values.to_numpy(zero_copy_only=False) for v in table.column("x")]
-        width, low = max((len(r) for r in rows), default=0), int(y.min())
+        def spread_out(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            lists = table.column(name).combine_chunks()
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            return np.repeat(np.arange(len(y)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), lists.flatten().to_numpy(zero_copy_only=False)
+
+        (line, column, codes), (bad, _, places), (_, _, hot) = map(spread_out, ("codes", "x", "hot"))
+        width, low = int(column.max(initial=-1)) + 1, int(y.min())
         values, good = np.zeros((int(y.max()) - low + 1, width), np.int64), np.zeros((int(y.max()) - low + 1, width), bool)
-        for at, codes, places in zip(y - low, rows, bad, strict=True):
-            values[at, : len(codes)], good[at, : len(codes)] = codes, True
-            good[at, places] = False
-        own = np.flatnonzero(y // band == key[1].as_py())
-        ys = np.concatenate([np.full(len(bad[i]), y[i]) for i in own] or [np.zeros(0, np.int32)])
-        xs = np.concatenate([bad[i] for i in own] or [np.zeros(0, np.int32)])
-        hot = np.concatenate([table.column("hot")[int(i)].values.to_numpy(zero_copy_only=False) for i in own] or [np.zeros(0, bool)])
+        values[y[line] - low, column], good[y[line] - low, column] = codes, True
+        good[y[bad] - low, places] = False
+        own = y[bad] // band == key[1].as_py()
+        ys, xs, hot = y[bad][own], places[own], hot[own]
         ny, nx = ys[:, None] - low + down * step, xs[:, None] + right * step
         there = (ny >= 0) & (ny < len(values)) & (nx >= 0) & (nx < width)
         ny, nx = np.where(there, ny, 0), np.where(there, nx, 0)

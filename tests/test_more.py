@@ -146,3 +146,22 @@ def test_ranks_by_deviation(spark):
     assert order(transform.ranked_by_deviation(found, 9, "frame_id"), "frame_id", "rank") == [(1, 0, 1, 1), (1, 2, 0, 2), (1, 0, 0, 3), (1, 1, 0, 4), (2, 0, 0, 1), (2, 0, 5, 2)]
     plan = transform.ranked_by_deviation(found, 4)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_defects_from_batches_of_rows(spark):
+    """A batch leaves one record of moments for each frame and phase; rows of several widths and without values share it; bounds are each segment's own."""
+    r = np.random.default_rng(8)
+    lines = [(f, y, None if (f, y) == (1, 3) else r.integers(0, 5000 if r.random() < 0.1 else 900, 40 if f < 3 else 24 + y % 2).tolist()) for f in range(5) for y in range(12)]
+    rows = spark.createDataFrame(lines, "frame_id long, y int, codes array<int>").coalesce(1)
+    assert transform.phase_moments(rows).count() == 5 * 4
+    for segment in (None, 12):
+        pools = {}
+        for f, y, codes in lines:
+            for x, v in enumerate(codes or []):
+                pools.setdefault((f, x // segment if segment else 0, y % 2 * 2 + (x % segment if segment else x) % 2), []).append((y, x, v))
+        want = set()
+        for (f, _, _), own in pools.items():
+            v = np.array([p[2] for p in own], float)
+            want |= {(f, y, x, c, "hot" if c > v.mean() else "dead") for y, x, c in own if abs(c - v.mean()) > 1.5 * v.std()}
+        got = [(d["frame_id"], d["y"], d["x"], d["code"], d["type"]) for d in transform.defects(rows, F.lit("Rggb"), 1.5, segment).collect()]
+        assert want and len(got) == len(want) and set(got) == want
