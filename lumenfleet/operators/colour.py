@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +81,34 @@ def interleaved_pixels(samples: Column, width: int) -> Column:
     return F.when(F.size(samples) == 3 * width, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), triple))
 
 
+def interleaved(rows: DataFrame) -> DataFrame:
+    """frame_id, y, samples: r, g, b, r, g, b ... of the arrays r, g, b of a row, a batch at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, g, b = (batch.column(k).flatten() for k in COLOURS)
+            sizes = batch.column("r").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not all(batch.column("r").value_lengths().equals(batch.column(k).value_lengths()) for k in COLOURS):
+                raise ValueError("components of a row are of several lengths")
+            samples = pa.concat_arrays([r, g, b]).take(pa.array(np.arange(3 * len(r)).reshape(3, -1).T.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("frame_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(3 * sizes)]), pa.int32()), samples)], names=["frame_id", "y", "samples"])
+
+    return rows.select("frame_id", "y", *COLOURS).mapInArrow(run, "frame_id long, y int, samples array<int>")
+
+
+def apart(rows: DataFrame, width: int) -> DataFrame:
+    """frame_id, y, r, g, b of interleaved rows (frame_id, y, samples), a batch at once; rows whose length is not three times the width give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.equal(batch.column("samples").value_lengths(), 3 * width))
+            flat, offsets = batch.column("samples").flatten(), pa.array(np.arange(len(batch) + 1) * width, pa.int32())
+            parts = [pa.ListArray.from_arrays(offsets, flat.take(pa.array(np.arange(k, len(flat), 3)))) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("frame_id"), batch.column("y"), *parts], names=["frame_id", "y", *COLOURS])
+
+    return rows.select("frame_id", "y", "samples").mapInArrow(run, "frame_id long, y int, r array<int>, g array<int>, b array<int>")
+
+
 def develop(value: Column, black: float, white: float, wb: float = 1.0, gain: float = 1.0, contrast: float = 1.0, gamma: float = 2.2) -> Column:
     """16-bit value of one channel to 8 bit: levels, white balance and gain, contrast about one half, clamp, gamma."""
     x = (value - F.lit(float(black))) * F.lit(1.0 / (white - black)) if white > black else F.when(value > black, 1.0).otherwise(0.0)

@@ -181,6 +181,32 @@ def by_row(rows: DataFrame, groups: list[list[str]], names: list[str], one: Call
     return rows.select("frame_id", "y", *flat).mapInArrow(run, "frame_id long, y int, " + ", ".join(f"{n} array<{kind}>" for n in names))
 
 
+#: Pixels that leave a task at once as records.
+RECORDS = 1 << 18
+
+
+def wide(rows: DataFrame, *names: str) -> DataFrame:
+    """frame_id, y, x and one value of each of the array columns: a record a pixel, from values as they lie in Arrow's batches. Arrays of a row are of one
+    length; rows without values give no records."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(n).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+            if any((own != sizes[0]).any() for own in sizes[1:]):
+                raise ValueError("arrays of a row are of several lengths")
+            each = max(1, RECORDS // max(1, int(sizes[0].max(initial=0))))
+            for at in range(0, len(batch), each):
+                some, n = batch.slice(at, each), sizes[0][at : at + each]
+                line = np.repeat(np.arange(len(n)), n)
+                x = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+                keys = [some.column(k).take(pa.array(line)) for k in ("frame_id", "y")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(x, pa.int32()), *[some.column(k).flatten() for k in names]], names=["frame_id", "y", "x", *names])
+
+    value = lambda n: kinds[n].removeprefix("array<").removesuffix(">")
+    return rows.select("frame_id", "y", *names).mapInArrow(run, f"frame_id {kinds['frame_id']}, y {kinds['y']}, x int, " + ", ".join(f"{n} {value(n)}" for n in names))
+
+
 def to_full_scale(values: np.ndarray, factor: float) -> np.ndarray:
     return np.clip(np.floor(values * factor + 0.5), 0, 65535).astype(np.int32)
 

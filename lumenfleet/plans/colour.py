@@ -34,8 +34,7 @@ def rgb_rows(spark, d):
 
 
 def wide_rgb(df):
-    px = df.select("frame_id", "y", F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "v"))
-    return px.select("frame_id", "y", "x", "v.r", "v.g", "v.b")
+    return transform.wide(df, "r", "g", "b")
 
 
 @query(f"""WITH {SCENE}, nb AS (SELECT p.frame_id, p.y, p.x, p.code, p.channel, CASE q.channel WHEN 'R' THEN 'R' WHEN 'B' THEN 'B' ELSE 'G' END AS hue, q.code AS v
@@ -61,8 +60,7 @@ def x02_x03_luminance(spark, d):
 @query(f"WITH {SCENE}, {RGB}, t AS (SELECT frame_id, y, count(*) AS n FROM rgb GROUP BY ALL) SELECT rgb.frame_id, rgb.y, rgb.x, r, g, b FROM rgb")
 def s12_interleaved(spark, d):
     """Interleaved rows r, g, b, r, g, b ... apart again."""
-    rows = rgb_rows(spark, d).select("frame_id", "y", F.flatten(F.transform(F.arrays_zip("r", "g", "b"), lambda v: F.array(v["r"], v["g"], v["b"]))).alias("samples"))
-    return rows.select("frame_id", "y", F.posexplode(colour.interleaved_pixels(c("samples"), src.WIDTH)).alias("x", "v")).select("frame_id", "y", "x", "v.r", "v.g", "v.b")
+    return wide_rgb(colour.apart(colour.interleaved(rgb_rows(spark, d)), src.WIDTH))
 
 
 def _develop_sql(v: str, wb: float) -> str:

@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfleet.operators import colour as tones
 from lumenfleet.operators import sampling, transform
 from lumenfleet.plans import colour, fleet, targets  # noqa: F401
 from lumenfleet.sources import frames as src
@@ -72,3 +73,16 @@ def test_float_rows_meet_without_a_join(spark, no_broadcast):
     some = spark.createDataFrame([(1, 0, [1.5, 2.0], "a"), (1, 1, None, "b")], "frame_id long, y int, values array<float>, own string")
     back = raw.decode_floats(raw.encode_floats(some, "values", "own"), "own")
     assert sorted(map(tuple, back.collect())) == [(1, 0, [1.5, 2.0], "a"), (1, 1, None, "b")]
+
+
+def test_records_of_pixels_from_batches(spark):
+    """Rows of several widths, without values and cut into parts; interleaved rows of another length give none; no array is worked on value by value."""
+    lines = [(f, y, None if y == 2 else [(f * 7 + y * 3 + x) % 50 for x in range(3 + f % 2)]) for f in range(6) for y in range(4)]
+    rows = spark.createDataFrame(lines, "frame_id long, y int, r array<int>").selectExpr("frame_id", "y", "r", "transform(r, v -> v + 100) AS g", "transform(r, v -> v + 200) AS b")
+    want = sorted((f, y, x, v, v + 100, v + 200) for f, y, r in lines for x, v in enumerate(r or []))
+    assert sorted(map(tuple, transform.wide(rows, "r", "g", "b").collect())) == want
+    again = transform.wide(tones.apart(tones.interleaved(rows), 4), "r", "g", "b")
+    assert sorted(map(tuple, again.collect())) == [w for w in want if w[0] % 2] and again.columns == ["frame_id", "y", "x", "r", "g", "b"]
+    for name in ("s12_interleaved", "n08_rgb_maximum"):
+        plan = fleet.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "arrays_zip" not in plan and "Generate posexplode" not in plan
