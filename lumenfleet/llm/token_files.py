@@ -83,11 +83,16 @@ def id_counts(encoded: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.bincount(np.frombuffer(raw, f"<u{width}"))
-                if len(own) > len(total):
-                    total = np.pad(total, (0, len(own) - len(total)))
-                total[: len(own)] += own
+            widths = batch.column(1).to_numpy(zero_copy_only=False)
+            for width in np.unique(widths):
+                raw = batch.column(0).filter(pa.array(widths == width))  # documents lie one after another: counted together, not one by one
+                ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+                ids = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(f"<u{width}")
+                for at in range(0, len(ids), BLOCK_IDS):
+                    own = np.bincount(ids[at : at + BLOCK_IDS])
+                    if len(own) > len(total):
+                        total = np.pad(total, (0, len(own) - len(total)))
+                    total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -140,6 +141,8 @@ PLAIN = re.compile("[ ]?[!-~\\xa1-\u024f]+")
 class PieceIds:
     """compute() for UnitTable: plain Latin units are cut by the tokenizer's pattern and each distinct piece goes to the library's
     model once; all other units, and those that may hold special tokens, go through the whole library.
+
+    Ids are kept as bytes (32-bit numbers), not as lists: Python's garbage collector has none of them to go through.
     """
 
     def __init__(self, tokenizer, pattern: str, lower: bool, most: int = 100_000):
@@ -148,33 +151,31 @@ class PieceIds:
         self.model, self.library = tokenizer.model, library_ids(tokenizer)
         self.cut, self.lower, self.most = regex.compile(pattern).findall, lower, most
         self.printed = {b: c for c, b in byte_alphabet().items()}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.known[piece] = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.printed))]
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known[piece] = array("i", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.printed))]).tobytes()
         return ids
 
     def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
             self.known.clear()
-        out: list[int | None] = []
+        out: list[bytes] = []
         sizes = np.zeros(len(units), np.int64)
         others: list[int] = []
         known, tokenize, lower = self.known, self.model.tokenize, self.lower
         for i, unit in enumerate(units):
             word = unit[1:] if unit[0] == " " else unit
             if word.isascii() and word.isalpha():  # one piece, written as it stands
-                ids = [t.id for t in tokenize(("\u0120" if len(word) < len(unit) else "") + (word.lower() if lower else word))]
+                ids = array("i", [t.id for t in tokenize(("\u0120" if len(word) < len(unit) else "") + (word.lower() if lower else word))]).tobytes()
             elif "<|" in unit or not PLAIN.fullmatch(unit):
                 others.append(i)
                 continue
             else:
-                ids = []
-                for piece in self.cut(unit.lower() if lower else unit):
-                    ids += known.get(piece) or self._piece(piece)
-            sizes[i] = len(ids)
-            out += ids
-        plain = np.array(out, np.int32)
+                ids = b"".join([known.get(piece) or self._piece(piece) for piece in self.cut(unit.lower() if lower else unit)])
+            sizes[i] = len(ids) // 4
+            out.append(ids)
+        plain = np.frombuffer(b"".join(out), np.int32)
         if not others:
             return plain, sizes
         flat, lengths = self.library([units[i] for i in others])

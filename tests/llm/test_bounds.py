@@ -121,3 +121,32 @@ def test_special_strings_without_asking_the_library():
     began = time.time()
     counts = counter.unit(("ab" * 20 + SEPARATOR) * 20_000)
     assert counts[-1] == 20_000 * (len(library.encode("ab" * 20, add_special_tokens=False).ids) + 1) and time.time() - began < 20
+
+
+def test_ids_are_counted_by_batches(spark, monkeypatch):
+    """Documents of both widths, counted together: so many calls as batches have widths, not as there are documents."""
+    from lumenfleet.llm.token_files import id_counts
+
+    r = np.random.default_rng(2)
+    docs = [(2 if i % 3 else 4, r.integers(0, 300 if i % 3 else 70_000, 1 + i % 5)) for i in range(200)]
+    rows = spark.createDataFrame([(w, v.astype(f"<u{w}").tobytes()) for w, v in docs], "width int, ids binary").coalesce(1)
+    want = np.bincount(np.concatenate([v for _, v in docs]))
+    assert id_counts(rows.select("ids", "width")).tolist() == want.tolist()
+    calls, inner = [], np.bincount
+    step = lambda v: (calls.append(len(v)), inner(v))[1]
+    monkeypatch.setattr(np, "bincount", step)
+
+    class Encoded:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            import pyarrow as pa
+
+            self.made = list(run([pa.RecordBatch.from_arrays([pa.array([v.astype(f"<u{w}").tobytes() for w, v in docs]), pa.array([w for w, _ in docs])], names=["ids", "width"])]))
+            raise StopIteration
+
+    encoded = Encoded()
+    with pytest.raises(StopIteration):
+        id_counts(encoded)
+    assert len(calls) == 2 and encoded.made[0].column(1).to_pylist() == want[want > 0].tolist()
