@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.semantics import c
 from ..sources import export, raw_files
 from ..sources import frames as src
-from ..sources.shared import fresh
+from ..sources.shared import fresh, staged
 from .fleet import SCENE, query
 
 #: Frames of a lot, whose files are named after one source.
@@ -30,7 +30,7 @@ ROWS = f"r AS (SELECT frame_id, y, {NAME} AS name, string_agg(code, ',' ORDER BY
 
 def exported(spark, d, kind: str = "codes", plain: bool = False) -> tuple[str, DataFrame, DataFrame]:
     """The folder of the scene's frames, each a file; their descriptors; name, bytes, sha256 of the files."""
-    frames, folder = descriptors(spark, d), fresh(spark, "frames")
+    frames, folder = staged(descriptors(spark, d), "descriptors"), fresh(spark, "frames")
     own = frames.drop("packing", "endianness", "header", "padding") if plain else frames
     return folder, frames, export.export_frames(src.rows(spark, d), own, folder, kind)
 
@@ -42,7 +42,7 @@ def s01_raw_files(spark, d):
     done.write.format("noop").mode("overwrite").save()
     files = raw_files.catalogue(spark, folder, "*.raw", recursive=False).join(frames.select("name", "width", "height", "bit_depth", "packing", "endianness", "header", F.lit(1).alias("frames")), "name")
     read = raw_files.read_frames(files)
-    return read.select(F.regexp_extract("path", r"[^/]*$", 0).alias("name"), "y", F.array_join("codes", ",").alias("codes"))
+    return read.select(F.substring_index("path", "/", -1).alias("name"), "y", F.array_join("codes", ",").alias("codes"))
 
 
 @query(f"WITH {SCENE}, l AS (SELECT o_orderkey//48 AS frame_id, o_orderkey, (o_orderkey%48)::INT AS row, x::INT AS x, ({src.CODES['scene']})::INT AS code FROM orders, range(0,64) r(x)) SELECT {NAME} AS name, (row//12)::BIGINT AS frame, (row%12)::INT AS y, string_agg(code, ',' ORDER BY x) AS codes FROM l GROUP BY ALL")
@@ -52,7 +52,7 @@ def s01_raw_source(spark, d):
     done.write.format("noop").mode("overwrite").save()
     raw_files.register(spark)
     read = spark.read.format("raw_frames").options(width=64, height=12, bit_depth=12, glob="*.raw").load(folder)
-    return read.select(F.regexp_extract("path", r"[^/]*$", 0).alias("name"), "frame", "y", F.array_join("codes", ",").alias("codes"))
+    return read.select(F.substring_index("path", "/", -1).alias("name"), "frame", "y", F.array_join("codes", ",").alias("codes"))
 
 
 @query(f"WITH {SCENE}, f AS (SELECT frame_id, max(y) + 1 AS height FROM px GROUP BY frame_id) SELECT {NAME} AS name, '.raw' AS ext, (frame_id%3*16 + 128*height)::BIGINT AS length FROM f")
@@ -74,7 +74,7 @@ def k08_batch_export(spark, d):
         folder, _, done = exported(spark, d, kind, plain=True)
         done.write.parquet(f"{folder}-noted")
         content = spark.read.format("binaryFile").option("pathGlobFilter", "*.raw").load(folder)
-        lying = content.select(F.regexp_extract("path", r"[^/]*$", 0).alias("name"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        lying = content.select(F.substring_index("path", "/", -1).alias("name"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
         noted = spark.read.parquet(f"{folder}-noted").select("name", c("bytes").alias("noted_bytes"), c("sha256").alias("noted"))
         one = lying.join(noted, "name").select(F.lit(kind).alias("kind"), "name", "bytes", "sha256", ((c("noted") == c("sha256")) & (c("noted_bytes") == c("bytes"))).alias("same"))
         out = one if out is None else out.unionByName(one)

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import c
-from .raw_files import catalogue, committed, encoded, publish, register
+from .raw_files import catalogue, committed, container, encoded, publish, register
 
 #: codes in their containers, 16-bit full scale, 8-bit gray, 8-bit red, green and blue.
 KINDS = ("codes", "full16", "gray8", "rgb8")
@@ -58,16 +59,34 @@ def refusals(frames: DataFrame, folder: str, kind: str = "codes", one_size: bool
     return out.distinct()
 
 
+def encoded_rows(values: pa.ListArray, formats: list[tuple], codes: np.ndarray) -> pa.Array:
+    """Each row of values in containers of its own format, formats[codes[i]]: (bit_depth, packing, endianness, padding). The rows of a format
+    are encoded at once."""
+    flat, ends = values.flatten(), np.concatenate([[0], np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    if values.null_count or flat.null_count:
+        raise ValueError("a row to be written lacks values")
+    flat, owner = flat.to_numpy(zero_copy_only=False), np.repeat(codes, np.diff(ends))
+    order, parts = np.argsort(codes, kind="stable"), []
+    for k in np.unique(codes):
+        raw, sizes = encoded(flat[owner == k], *formats[k]), np.diff(ends)[codes == k] * container(*formats[k][::2]).itemsize
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        parts.append(pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(raw)]))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return pa.concat_arrays(parts).take(pa.array(back)) if parts else pa.array([], pa.binary())
+
+
 def as_bytes(rows: DataFrame) -> DataFrame:
-    """(name, part, values, bit_depth, packing, endianness, padding) to (name, part, data): values in containers of their depth."""
+    """(name, part, values, bit_depth, packing, endianness, padding, head) to (name, part, data): head, and values in containers of their depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, rest = batch.column(2), batch.select(["bit_depth", "packing", "endianness", "padding"]).to_pylist()
-            data = [encoded(values[i].values.to_numpy(zero_copy_only=False), r["bit_depth"], r["packing"], r["endianness"], r["padding"]) for i, r in enumerate(rest)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["name", "part", "data"])
+            known: dict[tuple, int] = {}
+            codes = np.array([known.setdefault(k, len(known)) for k in zip(*(batch.column(i).to_pylist() for i in range(3, 7)), strict=True)], np.int64)
+            data = encoded_rows(batch.column(2), list(known), codes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.binary_join_element_wise(batch.column(7), data, pa.scalar(b"", pa.binary()))], names=["name", "part", "data"])
 
-    return rows.select("name", "part", "values", "bit_depth", "packing", "endianness", "padding").mapInArrow(run, "name string, part long, data binary")
+    return rows.select("name", "part", "values", "bit_depth", "packing", "endianness", "padding", "head").mapInArrow(run, "name string, part long, data binary")
 
 
 def export_frames(rows: DataFrame, frames: DataFrame, folder: str, kind: str = "codes", one_size: bool = False) -> DataFrame:
@@ -88,7 +107,10 @@ def export_frames(rows: DataFrame, frames: DataFrame, folder: str, kind: str = "
     bad = refusals(frames, folder, kind, one_size, existing).limit(20).collect()
     if bad:
         raise ExportRefused("; ".join(f"{r['name']}: {r['reason']}" for r in sorted(bad)))
-    joined = rows.join(frames.select("frame_id", "name", "bit_depth", "packing", "endianness", "padding"), "frame_id")
+    # Both sides are dealt by frame, and the numbers of the rows come from there: a frame's rows meet in one task, in order, by one shuffle.
+    described = frames.select("frame_id", "name", "bit_depth", "packing", "endianness", "padding", "header").hint("shuffle_hash")
+    joined = described.join(rows.withColumn("there", F.lit(True)), "frame_id", "left").filter("there OR header > 0")
+    joined = joined.withColumn("part", F.row_number().over(Window.partitionBy("frame_id", "name").orderBy("y")).cast("long"))
     top = F.pow(F.lit(2), c("bit_depth")).cast("int") - 1
     narrow = {"bit_depth": F.lit(8)}
     if kind == "codes":
@@ -101,8 +123,7 @@ def export_frames(rows: DataFrame, frames: DataFrame, folder: str, kind: str = "
         made = joined.withColumn("values", F.flatten(F.transform(F.arrays_zip("r", "g", "b"), lambda p: F.array(p["r"], p["g"], p["b"])))).withColumns(narrow)
     else:
         raise ValueError(f"not a kind of export: {kind}")
-    parts = as_bytes(made.withColumn("part", c("y").cast("long")))
-    heads = frames.filter("header > 0").select("name", F.lit(-1).cast("long").alias("part"), F.unhex(F.repeat(F.lit(f"{HEADER_BYTE:02x}"), c("header").cast("int"))).alias("data"))
-    parts = parts.unionByName(heads).repartition("name").sortWithinPartitions("name", "part")
+    head = F.when((c("part") == 1) & (c("header") > 0), F.unhex(F.repeat(F.lit(f"{HEADER_BYTE:02x}"), c("header").cast("int")))).otherwise(F.lit(b""))
+    parts = as_bytes(made.withColumns({"head": head, "values": F.when(c("there"), c("values")).otherwise(F.array().cast("array<int>"))}))
     parts.write.format("raw_frames").mode("append").save(folder)
     return publish(spark, folder, committed(spark, folder))

@@ -13,6 +13,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from ..operators.formats import extension_of, folder_of, frame_bytes, frames_of
 SCHEMA = "path string, frame long, y int, codes array<int>"
 #: Bytes that a task reads at once, and in all.
 BAND_BYTES, TASK_BYTES = 8 << 20, 64 << 20
+#: Bands to a task at most: small files cost their opening, not their bytes.
+TASK_BANDS = 1000
 #: Where a sink's unfinished files lie, and the note that makes them count.
 ATTEMPTS, COMMITTED = "_attempts", "_committed"
 
@@ -58,9 +61,11 @@ def encoded(codes: np.ndarray, depth: int, packing: str, endianness: str, paddin
 
 
 def catalogue(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """path, folder, name, ext, length, modified of the files in a folder. No content is read: the scan is pruned to what listing gives."""
-    scan = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    name = F.regexp_extract("path", r"[^/]*$", 0)
+    """path, folder, name, ext, length, modified of the files in a folder. No content is read: the scan is pruned to what listing gives, and
+    its splits (32 files each, as Spark takes a file to cost 4 MB of reading) are put together to a few tasks a core."""
+    scan = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder).drop("content")
+    scan = scan.coalesce(4 * spark.sparkContext.defaultParallelism)
+    name = F.substring_index("path", "/", -1)
     return scan.select("path", folder_of("path").alias("folder"), name.alias("name"), extension_of("path").alias("ext"), "length", c("modificationTime").alias("modified"))
 
 
@@ -232,24 +237,38 @@ def read_frames(files: DataFrame, band_bytes: int = BAND_BYTES, task_bytes: int
     """path, frame, y, codes of files (path, length, width, height, bit_depth, packing, endianness, header, frames), each by its own format.
 
     The plan of bands (path, frame, y, rows, offset) is a table: only, a condition on it, says which are read. Bands are dealt evenly to as many
-    tasks as their bytes ask for. Frames that are not there whole are left out; formats should be checked first (broken_rules).
+    tasks as their bytes and their number ask for; what small files give is handed on together. Frames that are not there whole are left out; formats should be checked first (broken_rules).
     """
     line = F.expr("CAST(width AS BIGINT) * IF(bit_depth <= 8, 1, 2)")
     each = frames_of(files).withColumn("line", line).withColumn("rows", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(band_bytes) / c("line"))).cast("int"))
     cut = each.select("path", "frame", "offset", "width", "bit_depth", "packing", "endianness", "line", F.explode(F.sequence(F.lit(0), c("height") - 1, c("rows"))).alias("y"), F.col("rows").alias("most"), "height")
     plan = cut.select("path", "frame", "y", F.least("most", c("height") - c("y")).alias("rows"), (c("offset") + c("y") * c("line")).alias("offset"), "width", "bit_depth", "packing", "endianness")
     plan = plan if only is None else plan.filter(only)
-    total = plan.agg(F.sum(F.expr("CAST(rows AS BIGINT) * width * IF(bit_depth <= 8, 1, 2)"))).first()[0] or 0
+    total, n = plan.agg(F.sum(F.expr("CAST(rows AS BIGINT) * width * IF(bit_depth <= 8, 1, 2)")), F.count(F.lit(1))).first()
+
+    def together(held: list[tuple[str, int, int, np.ndarray]]) -> pa.RecordBatch:
+        sizes = [len(codes) for *_, codes in held]
+        own = np.repeat(np.arange(len(held)), sizes)
+        widths = np.repeat([codes.shape[1] for *_, codes in held], sizes)
+        codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(widths)]), pa.int32()), pa.array(np.concatenate([codes.ravel() for *_, codes in held]), pa.int32()))
+        rows = np.concatenate([np.arange(at, at + k) for (_, _, at, _), k in zip(held, sizes, strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]).take(pa.array(own)), pa.array(np.array([h[1] for h in held])[own], pa.int64()), pa.array(rows, pa.int32()), codes], names=["path", "frame", "y", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, values = [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 layout = Layout(r["width"], r["rows"], r["bit_depth"], r["packing"], r["endianness"], r["offset"])
                 for at, codes in bands(r["path"], 0, r["rows"], layout, band_bytes):
-                    rows = np.arange(at, at + len(codes)) + r["y"]
-                    yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(rows)), pa.array([r["frame"]] * len(rows), pa.int64()), pa.array(rows, pa.int32()), as_lists(codes)], names=["path", "frame", "y", "codes"])
+                    if held and values + codes.size > band_bytes // 8:
+                        yield together(held)
+                        held, values = [], 0
+                    held.append((r["path"], r["frame"], at + r["y"], codes))
+                    values += codes.size
+        if held:
+            yield together(held)
 
-    return plan.repartition(max(1, -(-total // task_bytes))).mapInArrow(run, SCHEMA)
+    return plan.repartition(max(1, -(-(total or 0) // task_bytes), -(-n // TASK_BANDS))).mapInArrow(run, SCHEMA)
 
 
 # Writing ---------------------------------------------------------------------------------------------------------------------------
@@ -276,7 +295,12 @@ class RawWriter(DataSourceArrowWriter):
         out = name = None
         try:
             for batch in iterator:
-                for row_name, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                data = batch.column(2).cast(pa.large_binary()).fill_null(b"")
+                ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+                whole = memoryview(data.buffers()[2] or b"")
+                at = 0
+                for row_name, same in groupby(batch.column(0).to_pylist()):  # the rows of a name are written at once
+                    first, at = at, at + sum(1 for _ in same)
                     if row_name != name:
                         if out:
                             out.close()
@@ -284,7 +308,7 @@ class RawWriter(DataSourceArrowWriter):
                             raise ValueError(f"not a file name: {row_name!r}")
                         name, out = row_name, system.open_output_stream(f"{own}/{len(files)}")
                         files.append({"name": name, "file": f"{attempt}/{len(files)}", "bytes": 0, "sha256": hashlib.sha256()})
-                    raw = data.as_py() or b""
+                    raw = whole[ends[first] : ends[at]]
                     out.write(raw)
                     files[-1]["bytes"] += len(raw)
                     files[-1]["sha256"].update(raw)
