@@ -11,7 +11,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,8 @@ class _Codes(dict):
 class UnitTable:
     """Rows of integers for text units. compute(units) gives the rows of new units as (flat values, lengths).
 
-    max_units bounds the memory of a worker: beyond it the table starts anew. Results don't depend on it.
+    max_units bounds the memory of a worker: beyond it, units that were met once are forgotten, or all, where the others are more than
+    half of the bound. Results don't depend on it.
     """
 
     def __init__(self, split: Callable[[str], list[str]], compute: Callable, max_units: int = 800_000):
@@ -55,11 +56,24 @@ class UnitTable:
     def _reset(self) -> None:
         self.codes, self.flat = _Codes(), np.zeros(0, np.int32)
         self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Drop what was met once; the others count half from here on, so that what is met no more goes in time."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > self.max_units // 2:
+            self._reset()
+            return
+        units = list(compress(self.codes, (self.met > 1).tolist()))
+        self.flat, self.lengths, self.met = self.values(kept), self.lengths[kept], self.met[kept] // 2
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.codes.clear()
+        self.codes.update(zip(units, range(len(units)), strict=True))
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all units of the texts, one after another, and the number of units of each text."""
         if len(self.codes) > self.max_units:
-            self._reset()
+            self._forget()
         units = [self.split(t) for t in texts]
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(units)), np.int64, int(sizes.sum()))
@@ -69,6 +83,9 @@ class UnitTable:
             self.lengths = np.concatenate([self.lengths, lengths])
             self.starts = np.cumsum(self.lengths) - self.lengths
             self.codes.new = []
+        met = np.bincount(codes, minlength=len(self.codes)).astype(np.int32)
+        met[: len(self.met)] += self.met
+        self.met = met
         return codes, sizes
 
     def values(self, codes: np.ndarray) -> np.ndarray:

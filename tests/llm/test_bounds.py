@@ -150,3 +150,28 @@ def test_ids_are_counted_by_batches(spark, monkeypatch):
     with pytest.raises(StopIteration):
         id_counts(encoded)
     assert len(calls) == 2 and encoded.made[0].column(1).to_pylist() == want[want > 0].tolist()
+
+
+def test_a_full_table_keeps_what_is_met_often():
+    """op2: beyond its bound a table forgets units met once, not those that come again; values stay right, and the bound holds."""
+    import numpy as np
+
+    from lumenfleet.llm.units import UnitTable, document_ids
+
+    asked: list[str] = []
+
+    def compute(units):
+        asked.extend(units)
+        return np.array([int(u) for u in units for _ in range(int(u) % 3)], np.int32), np.array([int(u) % 3 for u in units], np.int64)
+
+    table = UnitTable(str.split, compute, max_units=40)
+    for i in range(30):
+        words = ["7", "8", *map(str, range(100 + 10 * i, 110 + 10 * i)), "7", "8"]
+        ids, sizes = document_ids(table, [" ".join(words), ""])
+        assert ids.tolist() == [int(w) for w in words for _ in range(int(w) % 3)] and sizes.tolist() == [len(ids), 0]
+        assert len(table.codes) <= 40 + 12
+    assert asked.count("7") == asked.count("8") == 1
+    for _ in range(3):  # more come again than half the bound holds: all are forgotten
+        every = " ".join(str(v) for v in range(60))
+        ids, _ = document_ids(table, [every + " " + every])
+        assert ids.tolist() == 2 * [v for v in range(60) for _ in range(v % 3)] and len(table.codes) <= 60 + 52
