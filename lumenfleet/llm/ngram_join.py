@@ -48,6 +48,8 @@ MASK = 64
 SHARE_SETS = 20_000
 #: Tokens of one set that are looked up at once.
 SLICE = 16_384
+#: Sets that meet a block at once, on average; a block travels once for so many.
+ASKING = 4096
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -430,6 +432,13 @@ def placed_in_blocks(left: DataFrame, n: int) -> DataFrame:
     return blocks
 
 
+def in_shares(open_: DataFrame) -> DataFrame:
+    """q, g and share: the sets that meet a block, in shares of about ASKING. How many shares a block has, and so how often it is sent, goes by the
+    sets that ask for it, not by all sets."""
+    shares = open_.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("shares"))  # one row per block
+    return open_.join(shares, "g").select("q", "g", F.pmod(F.xxhash64("q"), F.col("shares")).alias("share"))
+
+
 def opened(left: DataFrame) -> DataFrame:
     """Links across labels among the sets of left (set_id, n, hashes, label).
 
@@ -483,11 +492,12 @@ def opened(left: DataFrame) -> DataFrame:
     labels = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     pure = labels.filter("low = high").select("g", F.col("low").alias("label"))  # none of its sets is new to that label
     named = wanted.join(placed.select("q", "label"), "q").join(pure, ["g", "label"], "left_anti")
-    open_ = staged(named.select("q", "g"), "opens")
+    found = staged(named.select("q", "g"), "opens")
     dropped(tokens, blocks)
-    share = (F.pmod(F.xxhash64("q"), F.lit(-(-n_left // 4096)))).alias("share")  # bounds the sets that meet a block at once
-    asking = open_.join(placed.select("q", "n", "hashes", "label"), "q").select("g", share, "q", "hashes", "label")
-    need = open_.select(F.col("g").alias("g_b"), share.alias("share_b")).distinct()
+    open_ = staged(in_shares(found), "shares")
+    dropped(found)
+    asking = open_.join(placed.select("q", "n", "hashes", "label"), "q").select("g", "share", "q", "hashes", "label")
+    need = open_.select(F.col("g").alias("g_b"), F.col("share").alias("share_b")).distinct()
     asked = need.join(placed.select(F.col("q").alias("b"), F.col("hashes").alias("h"), F.col("label").alias("l"), F.col("g").alias("g_b")), "g_b")
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:

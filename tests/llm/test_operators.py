@@ -125,6 +125,27 @@ def test_ngram_components(spark, monkeypatch, rounds):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_blocks_are_sent_for_the_sets_that_ask(spark, monkeypatch):
+    """A block few sets ask for is sent once, however many sets there are; every question is dealt to one share, and links don't depend on the shares."""
+    monkeypatch.setattr(ngram_join, "ASKING", 100)
+    asked = [(q, 0) for q in range(450)] + [(q, g) for g in range(1, 60) for q in range(g * 7, g * 7 + 9)]
+    rows = ngram_join.in_shares(spark.createDataFrame(asked, "q long, g long")).collect()
+    shares = {}
+    for r in rows:
+        shares.setdefault(r["g"], set()).add(r["share"])
+    assert sorted((r["q"], r["g"]) for r in rows) == sorted(asked)
+    assert shares[0] == set(range(5)) and all(shares[g] == {0} for g in range(1, 60))
+    monkeypatch.setattr(ngram_join, "ASKING", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
+    r, texts = random.Random(8), []
+    for _ in range(6):
+        base = [f"w{r.randint(0, 500)}" for _ in range(60)]
+        texts += [" ".join(w if r.random() > 0.02 else "edit" for w in base) for _ in range(8)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_components(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
 def test_ngram_components_of_nothing(spark):
     assert ngram_components(docs_of(spark, ["x"]).limit(0)).count() == 0
 
