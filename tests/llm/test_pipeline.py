@@ -31,6 +31,23 @@ def test_rows_that_repeat_an_id_are_told_apart(spark):
     assert Counter((x["doc_id"], x["text"]) for x in got.collect()) == Counter(want)
 
 
+def test_quality_writes_no_copy_and_stages_go(spark, tmp_path, monkeypatch):
+    """Verdicts are made once, below the filter, and nothing is written for them; a stage's table goes when its successor is there."""
+    r = random.Random(9)
+    rows = [(i, prose(r) if i % 3 else "too short", "ab"[i % 2]) for i in range(12)] + [(None, None, "a"), (1, prose(r), "b")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+    with monkeypatch.context() as m:
+        m.setattr(corpus_pipeline, "staged", None)
+        good = corpus_pipeline.quality(spark, docs, "")
+    assert Counter(x["text"] for x in good.collect()) == Counter(t for _, t, _ in rows if t and t != "too short")
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") == 1 and plan.index("Filter (kept") < plan.index("regexp_extract_all")
+    monkeypatch.setattr(corpus_pipeline, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("pipeline-")] == ["pipeline-packing"]
+
+
 def test_run_equals_brute_force(spark, tmp_path):
     r = random.Random(6)
     rows = []
