@@ -133,9 +133,13 @@ def stencil_rows(rows: DataFrame, radius: int, step: int, band: int = BAND, colu
 
 def side(values: np.ndarray, k: int, step: int) -> np.ndarray:
     """The same-phase neighbour k steps on of every value along the last axis, the edge value repeated."""
-    i = np.arange(values.shape[-1])
-    last = (len(i) - 1 - i % step) // step
-    return values[..., i % step + np.clip(i // step + k, 0, last) * step]
+    n, d = values.shape[-1], k * step
+    inner, edge = (slice(0, max(0, n - d)), np.arange(max(0, n - d), n)) if d >= 0 else (slice(-d, n), np.arange(min(n, -d)))
+    out = np.empty(values.shape, values.dtype)
+    out[..., inner] = values[..., d:] if d >= 0 else values[..., : max(0, n + d)]
+    last = (n - 1 - edge % step) // step
+    out[..., edge] = values[..., edge % step + np.clip(edge // step + k, 0, last) * step]
+    return out
 
 
 def tables_of(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -228,44 +232,87 @@ def in_bands(rows: DataFrame, reach: int, band: int) -> DataFrame:
 CELLS = 1 << 22
 
 
-#: Radius of a filter, and what it makes of the rows of a window: a table (row of the window, image row, pixel).
+#: Pixels that a filter works on at once: what a core keeps near itself.
+PIECE = 1 << 15
+#: Radius of a filter, and what it makes of the rows of a window: a table (row of the window, image row, pixel). Windows slide: row k + 1 of
+#: one is row k of the next.
 Filter = tuple[int, Callable[[np.ndarray], np.ndarray]]
 
 
-def stencils(rows: DataFrame, filters: dict[str, Filter], step: int, columns: tuple[str, ...], band: int = BAND) -> DataFrame:
+def slid(v: np.ndarray) -> np.ndarray:
+    """The rows over which windows slide, each once."""
+    return np.concatenate([v[0], v[1:, -1]])
+
+
+def filtered(values: np.ndarray, runs: np.ndarray, own: np.ndarray, radius: int, one: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the rows are own, and what the filter makes of them. runs numbers the rows that are neighbours, in order; windows end with their
+    run, whose edge rows repeat, but many runs are worked on at once."""
+    starts = np.flatnonzero(np.diff(runs, prepend=-1))
+    ends, mine = np.append(starts[1:], len(runs)), np.flatnonzero(own)
+    first, m = np.searchsorted(mine, starts), np.add.reduceat(own, starts, dtype=np.int64) if len(starts) else starts
+    some = np.flatnonzero(m)
+    if not len(some):
+        return mine, np.zeros((0, values.shape[1]), np.int32)
+    begun, m = mine[first[some]], m[some]
+    lens = m + 2 * radius
+    place = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+    at = np.clip(np.repeat(begun - radius, lens) + place, np.repeat(starts[some], lens), np.repeat(ends[some] - 1, lens))
+    kept, out, done = place < np.repeat(m, lens), np.zeros((len(mine), values.shape[1]), np.int32), 0
+    each = max(1, PIECE // max(1, values.shape[1]))
+    for cut in range(0, len(at) - 2 * radius, each):
+        n = min(each, len(at) - 2 * radius - cut)
+        window = np.moveaxis(np.lib.stride_tricks.sliding_window_view(values[at[cut : cut + n + 2 * radius]], 2 * radius + 1, 0), 2, 0)
+        keep = kept[cut : cut + n]
+        k = int(keep.sum())
+        out[done : done + k] = one(window)[keep]
+        done += k
+    return mine, out
+
+
+def stencils(rows: DataFrame, filters: dict[str, Filter], step: int, columns: tuple[str, ...], band: int = BAND, together: int = 1, fold: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """filter, frame_id, y and each of the columns as the filter leaves it, all filters from one pass: windows are the same-phase rows around, those
-    at the edges repeated. Bands meet their neighbouring rows in tasks of their own, so a tall frame is as many tasks as it has bands.
-    Rows without values give none, and don't count as neighbours."""
-    schema = "filter string, frame_id long, y int, " + ", ".join(f"{n} array<int>" for n in columns)
+    at the edges repeated. Bands meet their neighbouring rows in tasks of their own, so a tall frame is as many tasks as it has bands;
+    of small frames so many may go together. Rows without values give none, and don't count as neighbours. With fold, a whole number
+    leaves in place of each row: fold of a table of filtered rows, 0 for rows without values."""
+    schema = "filter string, frame_id long, y int, " + ", ".join(f"{n} {'long' if fold else 'array<int>'}" for n in columns)
 
     def run(key, table):
-        table = table.sort_by("y").combine_chunks()
-        y = table.column("y").to_numpy()
+        ids, y = table.column("frame_id").combine_chunks(), table.column("y").to_numpy()
+        frame = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.unique(ids.fill_null(0).to_numpy(), return_inverse=True)[1])
+        order = np.lexsort((y, frame))
+        table, frame, y = table.take(pa.array(order)).combine_chunks(), frame[order], y[order]
         own, made = y // band == key[1].as_py(), {n: [] for n in columns}
         for name in columns:
             lists = table.column(name).combine_chunks()
-            widths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            there, width = np.flatnonzero(widths), int(widths.max(initial=0))
-            if (widths[there] != width).any():
-                raise ValueError(f"frame {key[0].as_py()} has rows of several lengths")
-            values = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((0, 0), np.int32)
-            ends = np.concatenate([[0], np.cumsum(np.where(widths[own] > 0, width, 0))]).astype(np.int32)
+            widths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(widths) - widths
+            there = np.flatnonzero(widths)
+            odd = there[1:][(frame[there[1:]] == frame[there[:-1]]) & (widths[there[1:]] != widths[there[:-1]])]
+            if len(odd):
+                raise ValueError(f"frame {table.column('frame_id')[int(odd[0])].as_py()} has rows of several lengths")
+            if step > 1:
+                there = there[np.lexsort((y[there], y[there] % step, frame[there]))]
+            given = [(int(w), there[widths[there] == w]) for w in np.unique(widths[there])]
+            kept = np.where(own, widths, 0)
+            offsets = np.cumsum(kept) - kept
             for radius, one in filters.values():
-                out, each = np.zeros((len(y), width), np.int32), max(1, CELLS // max(1, width * (2 * radius + 1)))
-                around = np.arange(-radius, radius + 1)[:, None]
-                for phase in range(step):
-                    alike = np.flatnonzero(y[there] % step == phase)
-                    mine = np.flatnonzero(own[there[alike]])
-                    for at in range(0, len(mine), each):
-                        some = mine[at : at + each]
-                        out[there[alike[some]]] = one(values[alike[np.clip(some + around, 0, len(alike) - 1)]])
-                made[name].append(pa.ListArray.from_arrays(pa.array(ends), pa.array(out[own & (widths > 0)].ravel(), pa.int32())))
+                out, sums = np.zeros(0 if fold else kept.sum(), np.int32), np.zeros(len(y), np.int64)
+                for w, which in given:  # frames of several widths may be together
+                    values = flat.reshape(-1, w) if step == 1 and len(given) == 1 else flat[starts[which][:, None] + np.arange(w)]
+                    mine, found = filtered(values, np.cumsum(np.diff(frame[which] * step + y[which] % step, prepend=-1) != 0), own[which], radius, one)
+                    if fold:
+                        sums[which[mine]] = fold(found)
+                    else:
+                        out[offsets[which[mine]][:, None] + np.arange(w)] = found
+                made[name].append(pa.array(sums[own]) if fold else pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept[own])]), pa.int32()), pa.array(out, pa.int32())))
         n = int(own.sum())
         called = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(filters)), n), pa.int32()), pa.array(list(filters), pa.string())).cast(pa.string())
-        return pa.table([called, pa.array([key[0].as_py()] * (n * len(filters)), pa.int64()), pa.array(np.tile(y[own], len(filters)), pa.int32()), *map(pa.chunked_array, made.values())], names=["filter", "frame_id", "y", *columns])
+        of = table.column("frame_id").take(pa.array(np.tile(np.flatnonzero(own), len(filters))))
+        return pa.table([called, of, pa.array(np.tile(y[own], len(filters)), pa.int32()), *map(pa.chunked_array, made.values())], names=["filter", "frame_id", "y", *columns])
 
     reach = max(radius for radius, _ in filters.values()) * step
-    return in_bands(rows.select("frame_id", "y", *columns), reach, band).groupBy("frame_id", "band").applyInArrow(run, schema)
+    cut = in_bands(rows.select("frame_id", "y", *columns), reach, band)
+    return cut.groupBy("frame_id" if together == 1 else F.expr(f"frame_id DIV {together}"), "band").applyInArrow(run, schema)
 
 
 def stencil(rows: DataFrame, radius: int, step: int, one: Callable[[np.ndarray], np.ndarray], columns: tuple[str, ...], band: int = BAND) -> DataFrame:
@@ -278,9 +325,9 @@ def smoothing(weights: list[float], depth: int, step: int, finish: Callable) ->
     radius, shift = len(weights) // 2, 1 << (16 - depth)
 
     def one(v: np.ndarray) -> np.ndarray:
-        v = (v * shift).astype(np.float64)
-        across = weighted([side(v, k, step) for k in range(-radius, radius + 1)], weights)
-        return finish(weighted(list(across), weights), v[radius])
+        lines, n = (slid(v) * shift).astype(np.float64), v.shape[1]
+        across = weighted([side(lines, k, step) for k in range(-radius, radius + 1)], weights)
+        return finish(weighted([across[k : k + n] for k in range(2 * radius + 1)], weights), lines[radius : radius + n])
 
     return radius, one
 
@@ -328,6 +375,11 @@ def median_of(radius: int, depth: int, step: int) -> Filter:
     scale, n = full_scale_factor(depth) * (1 << (16 - depth)), (2 * radius + 1) ** 2
 
     def one(v: np.ndarray) -> np.ndarray:
+        if radius == 1 and v.dtype.kind == "i":  # of three ordered columns: the middle one of the largest low, the middle middle, the smallest high
+            least, most = np.minimum(v[0], v[1]), np.maximum(v[0], v[1])
+            low, middle, high = ([side(t, k, step) for k in (-1, 0, 1)] for t in (np.minimum(least, v[2]), np.maximum(least, np.minimum(most, v[2])), np.maximum(most, v[2])))
+            centre = lambda a, b, d: np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), d))
+            return to_full_scale(centre(np.maximum.reduce(low), centre(*middle), np.minimum.reduce(high)), scale)
         window = np.concatenate([side(v, k, step) for k in range(-radius, radius + 1)])
         return to_full_scale(np.partition(window, n // 2, 0)[n // 2], scale)
 
@@ -343,9 +395,13 @@ def sobel_filter(depth: int, step: int) -> Filter:
     scale = full_scale_factor(depth) * (1 << (16 - depth))
 
     def one(v: np.ndarray) -> np.ndarray:
-        left, mid, right = (side(v, k, step).astype(np.int64) for k in (-1, 0, 1))
+        lines, n = slid(v), v.shape[1]
+        small = lines.dtype == np.int32 and lines.size and lines.max() < 1 << 16 and lines.min() >= 0  # sums fit, and their squares are exact
+        left, mid, right = ([t[k : k + n] for k in range(3)] for t in (side(lines if small else lines.astype(np.int64), k, step) for k in (-1, 0, 1)))
         gx = right[0] + 2 * right[1] + right[2] - left[0] - 2 * left[1] - left[2]
         gy = left[2] + 2 * mid[2] + right[2] - left[0] - 2 * mid[0] - right[0]
+        if small:
+            gx, gy = gx.astype(np.float64), gy.astype(np.float64)
         return to_full_scale(np.sqrt((gx * gx + gy * gy).astype(np.float64)) / 4, scale)
 
     return 1, one

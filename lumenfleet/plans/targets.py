@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.semantics import c
@@ -96,6 +95,10 @@ def _component(k: str) -> str:
     return f"SELECT filter, frame_id, y, '{k}' AS component, sum(v*(x+1))::BIGINT AS checked FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
 
 
+#: Frames that a call filters: 64 have 200,000 pixels.
+TOGETHER = 64
+
+
 @query(f"WITH {SCENE}, {RGB} " + " UNION ALL ".join(map(_component, "rgb")))
 def n08_rgb_filters(spark, d):
     """Six filters of each component; a sum over each row that tells where its values stand."""
@@ -105,13 +108,6 @@ def n08_rgb_filters(spark, d):
         "minimum": transform.extreme_filter(1, src.DEPTH, 1, False), "median": transform.median_of(1, src.DEPTH, 1), "sobel": transform.sobel_filter(src.DEPTH, 1),
     }
 
-    def run(batches):
-        for batch in batches:
-            for at, name in enumerate(rgb, 3):
-                n = batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                ends, v = np.cumsum(n), batch.column(at).flatten().to_numpy(zero_copy_only=False)
-                place = np.arange(len(v)) - np.repeat(ends - n, n) + 1
-                sums = np.concatenate([[0], np.cumsum(v * place)])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([name] * len(n), pa.string()), pa.array(sums[ends] - sums[ends - n], pa.int64())], names=["filter", "frame_id", "y", "component", "checked"])
-
-    return transform.stencils(rgb_rows(spark, d), filters, 1, rgb).mapInArrow(run, "filter string, frame_id long, y int, component string, checked long")
+    checked = lambda v: (v * np.arange(1, v.shape[1] + 1)).sum(1)
+    folded = transform.stencils(rgb_rows(spark, d), filters, 1, rgb, together=TOGETHER, fold=checked)
+    return folded.unpivot(["filter", "frame_id", "y"], list(rgb), "component", "checked")

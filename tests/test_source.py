@@ -1,5 +1,6 @@
 """The source of frames: what groups and joins pixels by frame moves no pixel; numpy's codes are those of SQL."""
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -86,3 +87,22 @@ def test_records_of_pixels_from_batches(spark):
     for name in ("s12_interleaved", "n08_rgb_maximum"):
         plan = fleet.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "arrays_zip" not in plan and "Generate posexplode" not in plan
+
+
+@pytest.mark.parametrize("step", [1, 2])
+def test_frames_that_are_filtered_together(spark, monkeypatch, step):
+    """Frames of several widths and heights in one call, with rows that have no values and in pieces, give what each gives alone; a fold
+    leaves a number for each row, and the query's rows don't come back to Python."""
+    r = np.random.default_rng(4)
+    lines = [(f, y, None if (f + y) % 7 == 3 else r.integers(0, 4096, 5 + f % 3).tolist()) for f in range(9) for y in range(1 + f * 4)]
+    rows = spark.createDataFrame(lines, "frame_id long, y int, codes array<int>").coalesce(2)
+    filters = {"mean": transform.separable_filter(transform.box_weights(1), 12, step), "bell": transform.unsharp_filter(transform.gaussian_weights(2, 1.2), 1.5, 12, step), "low": transform.extreme_filter(1, 12, step, False), "median": transform.median_of(1, 12, step), "sobel": transform.sobel_filter(12, step)}
+    alone = sorted((x["filter"], x["frame_id"], x["y"], x["codes"]) for x in transform.stencils(rows, filters, step, ("codes",), band=8).collect())
+    monkeypatch.setattr(transform, "PIECE", 30)
+    assert alone == sorted((x["filter"], x["frame_id"], x["y"], x["codes"]) for x in transform.stencils(rows, filters, step, ("codes",), band=8, together=4).collect())
+    folded = transform.stencils(rows, filters, step, ("codes",), band=8, together=4, fold=lambda v: v.sum(1)).collect()
+    assert sorted((x["filter"], x["frame_id"], x["y"], x["codes"]) for x in folded) == [(n, f, y, sum(v)) for n, f, y, v in alone]
+    near = [(y, v) for f, y, v in lines if f == 8 and y % step == 0 and v]
+    want = {near[i][0]: [sorted(t[min(max(x + d * step, x % step), (6 - x % step) // step * step + x % step)] for t in (near[max(0, i - 1)][1], near[i][1], near[min(len(near) - 1, i + 1)][1]) for d in (-1, 0, 1))[4] for x in range(7)] for i in range(len(near))}
+    assert {y: v for n, f, y, v in alone if n == "median" and f == 8 and y in want} == {y: [min(65535, int(v * (65535 / (4095 << 4) * 16) + 0.5)) for v in codes] for y, codes in want.items()}
+    assert fleet.QUERIES["n08_rgb_filters"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
