@@ -73,9 +73,8 @@ def k08_batch_export(spark, d):
     for kind in _HEX:
         folder, _, done = exported(spark, d, kind, plain=True)
         done.write.parquet(f"{folder}-noted")
-        content = spark.read.format("binaryFile").option("pathGlobFilter", "*.raw").load(folder)
-        lying = content.select(F.substring_index("path", "/", -1).alias("name"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-        noted = spark.read.parquet(f"{folder}-noted").select("name", c("bytes").alias("noted_bytes"), c("sha256").alias("noted"))
+        noted = spark.read.schema(done.schema).parquet(f"{folder}-noted").select("name", c("bytes").alias("noted_bytes"), c("sha256").alias("noted"))
+        lying = raw_files.digests(noted, folder)
         one = lying.join(noted, "name").select(F.lit(kind).alias("kind"), "name", "bytes", "sha256", ((c("noted") == c("sha256")) & (c("noted_bytes") == c("bytes"))).alias("same"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -31,6 +31,8 @@ SCHEMA = "path string, frame long, y int, codes array<int>"
 BAND_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 #: Bands to a task at most: small files cost their opening, not their bytes.
 TASK_BANDS = 1000
+#: Files to a task at most that reads them whole.
+TASK_FILES = 4096
 #: Where a sink's unfinished files lie, and the note that makes them count.
 ATTEMPTS, COMMITTED = "_attempts", "_committed"
 
@@ -271,6 +273,32 @@ def read_frames(files: DataFrame, band_bytes: int = BAND_BYTES, task_bytes: int
     return plan.repartition(max(1, -(-(total or 0) // task_bytes), -(-n // TASK_BANDS))).mapInArrow(run, SCHEMA)
 
 
+def digests(files: DataFrame, folder: str, band_bytes: int = BAND_BYTES) -> DataFrame:
+    """name, bytes, sha256 of the files (name) as they lie in folder; names without a file give none. Tasks open them by their names, a band at a
+    time, so that no list of the folder's files stands on the driver."""
+    root = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, own = opened(root)
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                try:
+                    file = system.open_input_stream(f"{own}/{name}")
+                except FileNotFoundError:
+                    continue
+                digest, n = hashlib.sha256(), 0
+                with file:
+                    while some := file.read(band_bytes):
+                        digest.update(some)
+                        n += len(some)
+                found.append((name, n, digest.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))], names=["name", "bytes", "sha256"])
+
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // TASK_FILES))
+    return files.select("name").repartition(tasks).mapInArrow(run, "name string, bytes long, sha256 string")
+
+
 # Writing ---------------------------------------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfleet.plans import files, fleet  # noqa: F401
 from lumenfleet.sources import export, raw_files
 
 
@@ -155,3 +156,17 @@ def test_rows_are_encoded_by_format(spark):
     for bad in ([None], [[1, None]]):
         with pytest.raises(ValueError, match="lacks"):
             export.encoded_rows(pa.array(bad, pa.list_(pa.int32())), formats, np.array([0]))
+
+
+def test_digests_of_files_by_their_names(spark, tmp_path, monkeypatch):
+    """Files are opened by name in tasks, in bands; what isn't there gives no row, and the export lists no folder."""
+    for i in range(5):
+        (tmp_path / f"f{i}.raw").write_bytes(bytes([i]) * (i * 1000))
+    names = spark.createDataFrame([(f"f{i}.raw",) for i in range(7)], "name string")
+    want = {f"f{i}.raw": (i * 1000, hashlib.sha256(bytes([i]) * (i * 1000)).hexdigest()) for i in range(5)}
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        assert {r["name"]: (r["bytes"], r["sha256"]) for r in raw_files.digests(names, folder, band_bytes=300).collect()} == want
+    monkeypatch.setattr(raw_files, "TASK_FILES", 1)
+    assert raw_files.digests(names, str(tmp_path)).rdd.getNumPartitions() == 7
+    found = fleet.QUERIES["k08_batch_export"](spark, "/root/testdata/sf0.001")
+    assert "binaryFile" not in found._jdf.queryExecution().executedPlan().toString() and found.filter("same").count() == found.count() > 0
