@@ -23,7 +23,7 @@ def landed(spark, d) -> tuple[DataFrame, DataFrame]:
     folder = fresh(spark, "landed")
     rows.write.parquet(folder)
     end.coalesce(1).write.mode("append").parquet(folder)  # streams take files in the order in which they came
-    each = max(5, spark.sparkContext.defaultParallelism)  # a batch of fewer files than cores leaves cores without work
+    each = max(5, 4 * spark.sparkContext.defaultParallelism)  # a batch costs its state's commits, and one of fewer files than cores leaves cores without work
     return spark.readStream.schema(LANDED).option("maxFilesPerTrigger", each).parquet(folder), spark.read.schema(LANDED).parquet(folder)
 
 

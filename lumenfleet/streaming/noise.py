@@ -69,6 +69,8 @@ class Rows:
 def passed(last: Rows, rows: Rows, mark: int, idle_ms: int) -> tuple[np.ndarray, Rows, Rows]:
     """frame, y and moments of the pairs that the watermark has passed, what came last of each y, and what waits."""
     frame, ms, y = rows.keys
+    if not len(last) and (ms > mark).all():  # nothing is due
+        return np.zeros((0, len(MOMENTS.split(", ")) - 1), np.int64), last, rows
     waiting = rows.take(np.flatnonzero(ms > mark))
     after = np.full(len(rows), np.iinfo(np.int64).min)
     if len(last) and len(rows):

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfleet.plans import fleet, streams  # noqa: F401
+from lumenfleet.sources import frames as src
 from lumenfleet.streaming import noise, qc
 
 START = dt.datetime(2024, 5, 1, tzinfo=dt.UTC)
@@ -128,3 +130,19 @@ def test_a_band_of_rows_is_one_entry_of_state(spark, tmp_path):
     sink.trigger(availableNow=True).start().awaitTermination()
     want = noise.consecutive_moments(spark.createDataFrame(rows, LANDED))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(KEYS).collect())) == sorted(map(tuple, want.select(KEYS).collect()))
+
+
+def test_few_batches_and_nothing_moved_before_it_is_due(spark, tmp_path, monkeypatch):
+    """A batch takes four files a core; rows that all wait are kept as they are, and give what they give when the watermark has passed."""
+    rows = noise.Rows.of([1, 2, 2], [5, 6, 6], [0, 0, 1], [[1, 2], [3, 5], [4, 4]])
+    none = noise.Rows.joined([])
+    found, last, waiting = noise.passed(none, rows, 4, 1000)
+    assert found.shape == (0, 8) and not len(last) and waiting is rows
+    found, last, waiting = noise.passed(none, rows, 10, 1000)
+    assert found[:, :4].tolist() == [[2, 0, 0, 1], [2, 0, 1, 1]] and last.keys.tolist() == [[2, 2], [6, 6], [0, 1]] and not len(waiting)
+    monkeypatch.setattr(src, "LOT_ROWS", 100)
+    stream, table = streams.landed(spark, "/root/testdata/sf0.001")
+    job = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    job.awaitTermination()
+    read = [p["numInputRows"] for p in job.recentProgress if p["numInputRows"]]
+    assert sum(read) == table.count() and len(read) == 1
